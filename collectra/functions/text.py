@@ -145,6 +145,6 @@ def fingerprint(default_prompt: Column, override: Column) -> Column:
     return F.struct(
         F.sha2(used, 256).alias("sha256"),
         F.length(used).alias("length"),
-        F.substring(used, 1, 240).alias("preview"),
+        F.concat(F.substring(used, 1, 240), F.when(F.length(used) > 240, "…").otherwise("")).alias("preview"),
         (strip(F.coalesce(override, F.lit(""))) != "").alias("is_override"),
     )

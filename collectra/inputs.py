@@ -42,7 +42,7 @@ SQL: dict[str, tuple[list[str], str]] = {
     "collection_raw": (["orders"], f"""
 SELECT 'rec_' || cast(CASE WHEN o_orderkey % 40 = 39 THEN o_orderkey - 1 ELSE o_orderkey END AS string) AS record_id,
   CASE WHEN o_orderkey % 20 = 3 THEN NULL
-       WHEN o_orderkey % 20 = 7 THEN ''
+       WHEN o_orderkey % 20 = 7 THEN '' WHEN o_orderkey = 78 THEN 'BÃ¼hne'
        WHEN o_orderkey % 20 = 11 THEN 'GemÃ¤lde ' || cast(o_custkey AS string)
        WHEN o_orderkey % 20 = 13 THEN '  Ansicht ' || cast(o_custkey AS string) || ' '
        ELSE 'Ansicht ' || cast(o_custkey AS string) END AS title,

@@ -333,14 +333,14 @@ SELECT *, 'cluster_' || lpad(cast(row_number() OVER (ORDER BY worst, category) -
 
 
 @query("issue_clusters", f"""WITH {FINDINGS} {_LISTED} {_CLUSTERS}
-SELECT cluster_id, category, affected_columns, affected_records, severity FROM numbered""")
+SELECT cluster_id, category, coalesce(affected_columns, '') AS affected_columns, affected_records, severity FROM numbered""")
 def issue_clusters(spark, sf_dir):
     c = report.issue_clusters(_findings(spark, sf_dir))
     return c.select("cluster_id", "category", F.concat_ws(",", "affected_columns").alias("affected_columns"), "affected_records", "severity")
 
 
 @query("work_package_candidates", f"""WITH {FINDINGS} {_LISTED} {_CLUSTERS}
-SELECT category AS action_type, severity AS priority, affected_records AS estimated_records, affected_columns FROM numbered WHERE severity <> 'info'""")
+SELECT category AS action_type, severity AS priority, affected_records AS estimated_records, coalesce(affected_columns, '') AS affected_columns FROM numbered WHERE severity <> 'info'""")
 def work_package_candidates(spark, sf_dir):
     p = report.package_candidates(report.issue_clusters(_findings(spark, sf_dir)))
     return p.select("action_type", "priority", "estimated_records", F.concat_ws(",", "affected_columns").alias("affected_columns"))
