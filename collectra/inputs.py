@@ -16,26 +16,15 @@ TABLES = [
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
-_YEAR = "cast(extract(year FROM o_orderdate) AS string)"
-_DATE_TEXT = f"""CASE o_orderkey % 18
-    WHEN 0 THEN {_YEAR}
-    WHEN 1 THEN 'ca. ' || {_YEAR}
-    WHEN 2 THEN {_YEAR} || '-2010'
-    WHEN 3 THEN 'vor ' || {_YEAR}
-    WHEN 4 THEN 'NACH ' || {_YEAR}
-    WHEN 5 THEN substring({_YEAR}, 1, 3) || '0er Jahre'
-    WHEN 6 THEN cast(15 + o_custkey % 6 AS string) || '. Jh.'
-    WHEN 7 THEN 'Anfang ' || cast(15 + o_custkey % 6 AS string) || '. Jahrhundert'
-    WHEN 8 THEN cast(1 + o_custkey % 28 AS string) || '.' || cast(1 + o_custkey % 12 AS string) || '.' || {_YEAR}
-    WHEN 9 THEN 'Mai ' || {_YEAR}
-    WHEN 10 THEN {_YEAR} || ' Dez'
-    WHEN 11 THEN 'Sommer ' || {_YEAR}
-    WHEN 12 THEN '[' || {_YEAR} || ']'
-    WHEN 13 THEN 'o.D.'
-    WHEN 14 THEN 'keine Ahnung ' || cast(o_custkey AS string)
-    WHEN 15 THEN 'ca. ' || {_YEAR} || ' bis 2015'
-    WHEN 16 THEN {_YEAR} || '/03/15'
-    ELSE ' ' || {_YEAR} || '-07 ' END"""
+_ORDERS = """(SELECT o_orderkey, o_custkey, o_orderpriority, o_orderkey % 18 AS k, 15 + o_custkey % 6 AS cent,
+    cast(extract(year FROM o_orderdate) AS string) AS y, cast(1 + o_custkey % 28 AS string) || '.' || cast(1 + o_custkey % 12 AS string) || '.' AS dm
+  FROM {orders}) o"""
+_DATE_TEXT = """CASE k WHEN 0 THEN y WHEN 1 THEN 'ca. ' || y WHEN 2 THEN y || '-2010' WHEN 3 THEN 'vor ' || y
+    WHEN 4 THEN 'NACH ' || y WHEN 5 THEN substring(y, 1, 3) || '0er Jahre' WHEN 6 THEN cast(cent AS string) || '. Jh.'
+    WHEN 7 THEN 'Anfang ' || cast(cent AS string) || '. Jahrhundert' WHEN 8 THEN dm || y WHEN 9 THEN 'Mai ' || y
+    WHEN 10 THEN y || ' Dez' WHEN 11 THEN 'Sommer ' || y WHEN 12 THEN '[' || y || ']' WHEN 13 THEN 'o.D.'
+    WHEN 14 THEN 'keine Ahnung ' || cast(o_custkey AS string) WHEN 15 THEN 'ca. ' || y || ' bis 2015'
+    WHEN 16 THEN y || '/03/15' ELSE ' ' || y || '-07 ' END"""
 
 SQL: dict[str, tuple[list[str], str]] = {
     # name: (what it reads, SELECT)
@@ -62,9 +51,9 @@ SELECT 'rec_' || cast(CASE WHEN o_orderkey % 40 = 39 THEN o_orderkey - 1 ELSE o_
   CASE o_orderkey % 6 WHEN 0 THEN 'nan' WHEN 1 THEN 'Kutsche und Pferd, um ' || cast(o_custkey AS string)
        WHEN 2 THEN '   ' WHEN 3 THEN 'Bemerkung: Alte Mühle (St. Gallen), Kutschen'
        WHEN 4 THEN 'Das alte Haus; Pferd "Rosa"' ELSE NULL END AS note
-FROM {{orders}}"""),
+FROM {_ORDERS}"""),
     "date_texts": (["orders"], f"""
-SELECT 'rec_' || cast(o_orderkey AS string) AS record_id, {_DATE_TEXT} AS text, o_orderkey AS ord FROM {{orders}}"""),
+SELECT 'rec_' || cast(o_orderkey AS string) AS record_id, {_DATE_TEXT} AS text, o_orderkey AS ord FROM {_ORDERS}"""),
     "mentions": (["events"], """
 SELECT 'rec_' || cast(cast(floor(event_id / 3) AS bigint) AS string) AS record_id,
   CASE event_id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'place' ELSE 'note' END AS source_column,
@@ -85,8 +74,8 @@ FROM {events}"""),
     "dates": (["orders"], f"""
 SELECT 'rec_' || cast(CASE WHEN o_orderkey % 40 = 39 THEN o_orderkey - 1 ELSE o_orderkey END AS string) AS record_id,
   'date_text' AS source_column, trim({_DATE_TEXT}) AS original,
-  CASE WHEN o_orderkey % 18 IN (13, 14) THEN '' ELSE {_YEAR} || '~' END AS edtf, o_orderkey AS ord
-FROM {{orders}} WHERE o_orderkey % 5 <> 4"""),
+  CASE WHEN o_orderkey % 18 IN (13, 14) THEN '' ELSE y || '~' END AS edtf, o_orderkey AS ord
+FROM {_ORDERS} WHERE o_orderkey % 5 <> 4"""),
     "authority": (["part"], """
 SELECT 'a' || cast(p_partkey AS string) AS authority_id,
   CASE WHEN p_partkey % 3 = 0 THEN 'Ort ' || cast(p_partkey % 90 AS string)

@@ -188,7 +188,7 @@ def flat_findings(df):
 
 @query("findings", f"WITH {FINDINGS} SELECT * FROM findings")
 def findings(spark, sf_dir):
-    return flat_findings(checks.run_checks(datasets(spark, sf_dir)))
+    return flat_findings(_findings(spark, sf_dir))
 
 
 def _one_check(name, check, category):
