@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-MODULES = ["quality", "dates_text", "selection", "authority", "review", "export"]
+MODULES = ["quality", "dates_text", "selection", "authority", "review", "export", "ingest", "models"]
 
 
 def query(name: str, sql: str | None = None):
