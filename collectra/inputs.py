@@ -8,6 +8,7 @@ with the tables.
 from __future__ import annotations
 
 import os
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -146,15 +147,24 @@ FROM {labels}"""),
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores, such as one small
+    file. A table of many files has splits enough and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived input as a lazy projection over the given tables."""
     reads, select = SQL[name]
     for t in reads:
-        select = select.replace("{" + t + "}", f"parquet.`{os.path.join(sf_dir, t)}.parquet`")
+        view = f"given_{t}_{zlib.crc32(sf_dir.encode()):08x}"
+        table(spark, sf_dir, t).createOrReplaceTempView(view)
+        select = select.replace("{" + t + "}", view)
     return spark.sql(select.replace('"named_entity', "`named_entity").replace('preferredName"', "preferredName`"))
 
 

@@ -31,16 +31,28 @@ def _grams(c: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), "")))
 
 
+# A list up to this size is searched inside the projection, without any join.
+MAX_INLINE_TERMS = 500
+
+
+def _inline_scan(cells: DataFrame, terms: list, out_columns: list[str]) -> DataFrame:
+    """Substring search for a short list of terms: one array expression."""
+    fields = ["key", "term", "replacement", "category", "note"]
+    known = F.array(*[F.struct(*[F.lit(t[f]).alias(f) for f in fields]) for t in terms])
+    hits = F.filter(known, lambda t: F.contains(F.col("_text"), t["key"]))
+    return cells.select("record_id", "column", "value", F.explode(hits).alias("t")).select("record_id", "column", "value", "t.*").select(*out_columns)
+
+
 def scan_terms(cells: DataFrame, terms: DataFrame, case_sensitive: bool = False, whole_word: bool = True) -> DataFrame:
     """``(record_id, column, value, term, replacement, category, note)`` for
     every cell and term that occurs in it.
 
     Whole words: any match contains the first token of the term as a token of
     the cell, so cells are exploded to distinct tokens and joined on it; terms
-    of several tokens are then checked against the cell. Substrings, and terms
-    made of boundary characters only, are joined on their leading one to three
-    characters instead and checked the same way. No cell meets a term it does
-    not share an anchor with.
+    of several tokens are then checked against the cell. Substrings of a long
+    term list, and terms made of boundary characters only, are joined on their
+    leading one to three characters instead and checked the same way. No cell
+    is joined to a term it does not share an anchor with.
     """
     known = keyed_terms(terms, case_sensitive)
     cells = cells.where(has_text(F.col("value"))).withColumn(
@@ -51,6 +63,10 @@ def scan_terms(cells: DataFrame, terms: DataFrame, case_sensitive: bool = False,
     )
     first = F.get(F.filter(F.split(F.col("key"), SPLIT), lambda t: t != ""), F.lit(0))
     out_columns = ["record_id", "column", "value", "term", "replacement", "category", "note"]
+    if not whole_word:
+        short = known.limit(MAX_INLINE_TERMS + 1).collect()
+        if len(short) <= MAX_INLINE_TERMS:
+            return _inline_scan(cells, short, out_columns) if short else cells.select("record_id", "column", "value", *[F.lit("").alias(c) for c in out_columns[3:]]).limit(0)
     known = known.withColumn("_anchor", first if whole_word else F.lit(None).cast("string"))
     by_token = known.where(F.col("_anchor").isNotNull())
     by_gram = known.where(F.col("_anchor").isNull()).withColumn("_n", F.least(F.lit(3), F.length("key")))
