@@ -215,7 +215,8 @@ def check_format_inconsistency(ds: Dataset, n_ids: int = 5, scan: DataFrame | No
 
 
 def variant_groups(freq: DataFrame, max_values: int = 1000) -> DataFrame:
-    """Spellings that differ only in case: ``(column, canonical, form, cnt, forms)``.
+    """Spellings that differ only in case: ``(column, canonical, pairs)``, the
+    pairs being (form, cnt).
 
     Columns with more than ``max_values`` distinct cell values are free text and
     left out; the guard is decided on counts before any cell is split.
@@ -226,28 +227,28 @@ def variant_groups(freq: DataFrame, max_values: int = 1000) -> DataFrame:
         values.join(F.broadcast(listed), "column", "left_semi")  # one row per column of the table
         .select("column", "cnt", F.explode(split_terms(F.col("value"))).alias("form"))
         .groupBy("column", "form").agg(F.sum("cnt").alias("cnt"))
-        .withColumn("canonical", F.lower("form"))
     )
-    # at most max_values cells per column remain, so these groups are small
-    several = spelled.groupBy("column", "canonical").agg(F.count("*").alias("forms")).where(F.col("forms") > 1)
-    return spelled.join(several, ["column", "canonical"]).select("column", "canonical", "form", "cnt", "forms")
+    # at most max_values cells per column are left, so a group is small
+    return spelled.groupBy("column", F.lower("form").alias("canonical")).agg(
+        F.array_sort(F.collect_list(F.struct("form", "cnt"))).alias("pairs")
+    ).where(F.size("pairs") > 1)
+
+
+def variant_rows(groups: DataFrame) -> DataFrame:
+    """``(column, canonical, form, cnt, forms)``: one row per spelling."""
+    return groups.select("column", "canonical", F.size("pairs").cast("long").alias("forms"), F.explode("pairs").alias("p")).select(
+        "column", "canonical", "p.form", "p.cnt", "forms"
+    )
 
 
 def check_term_variants(ds: Dataset, max_values: int = 1000, n_examples: int = 5, freq: DataFrame | None = None) -> DataFrame:
     groups = variant_groups(freq if freq is not None else frequencies(ds.df), max_values)
-    per_term = groups.groupBy("column", "canonical").agg(
-        F.array_sort(F.collect_list(F.struct("form", "cnt"))).alias("pairs")
-    ).withColumn("example", F.struct(
-        F.col("canonical"), F.col("pairs.form").alias("forms"), F.col("pairs.cnt").alias("counts")
-    ))
-    counted = per_term.groupBy("column").agg(F.count("*").alias("n"))
-    examples = (
-        top_rows(per_term, ["column"], [F.col("canonical")], n_examples)
-        .groupBy("column").agg(F.array_sort(F.collect_list("example")).alias("examples"))
+    example = F.struct("canonical", F.col("pairs.form").alias("forms"), F.col("pairs.cnt").alias("counts"))
+    counted = groups.groupBy("column").agg(
+        F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(example)), 1, n_examples).alias("examples")
     )
-    joined = counted.join(F.broadcast(examples), "column")
     return finding(
-        joined, ds.name, ORD_VARIANTS, category=F.lit("term_variants"), severity=F.lit("warning"), column=F.col("column"),
+        counted, ds.name, ORD_VARIANTS, category=F.lit("term_variants"), severity=F.lit("warning"), column=F.col("column"),
         message=F.format_string("Column '%s' has %d term variant groups", F.col("column"), F.col("n")),
         evidence=evidence(variant_count=F.col("n")), examples=F.col("examples"),
         suggestion=F.lit("Normalize to consistent form before export"),

@@ -216,7 +216,7 @@ def check_linkage(spark, sf_dir):
 @query("term_variant_groups", f"""WITH {FREQ} {VARIANTS}
 SELECT "column", canonical, form, cnt, forms FROM variants WHERE dataset = 'collection'""")
 def term_variant_groups(spark, sf_dir):
-    return checks.variant_groups(profile.frequencies(collection(spark, sf_dir)))
+    return checks.variant_rows(checks.variant_groups(profile.frequencies(collection(spark, sf_dir))))
 
 
 @query("authority_slots", f"""WITH {CELLS} SELECT

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import inputs
 from ..functions.codes import IMAGE_STATUSES, REVIEW_STATUSES
-from ..operators import filters, images, joins, sampling, standard
+from ..operators import filters, images, sampling, standard
 from .quality import COLLECTION, collection
 from .registry import query
 
@@ -113,7 +113,7 @@ def image_status_counts(spark, sf_dir):
 
 
 @query("record_images", f"""WITH {_I}, refs AS (SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 2 = 0 THEN 'C:\\fotos\\bild_' ELSE '/srv/BILD_' END || o_orderkey || '.jpg' AS path FROM orders)
-SELECT ord, image_id FROM refs LEFT JOIN images ON lower(regexp_extract(path, '[^/\\\\]*$')) = lower(regexp_extract(filename, '[^/\\\\]*$'))""".replace("refs AS (SELECT o_orderkey AS ord", "refs AS (SELECT o_orderkey AS ord").replace("image_id FROM refs", "image_id FROM refs").replace("SELECT ord, image_id", "SELECT refs.ord, image_id"))
+SELECT refs.ord, image_id FROM refs LEFT JOIN images ON lower(regexp_extract(path, '[^/\\\\]*$')) = lower(regexp_extract(filename, '[^/\\\\]*$'))""")
 def record_images(spark, sf_dir):
     o = inputs.table(spark, sf_dir, "orders")
     refs = o.select(
@@ -261,7 +261,9 @@ def new_tasks(spark, sf_dir):
     return standard.add_new_tasks(all_tasks.where("priority = 0"), all_tasks).select("field", "category")
 
 
-@query("active_mappings", None)
+@query("active_mappings", f"""WITH {COLLECTION} SELECT m.c AS "column", m.t AS target_type, CASE m.c WHEN 'record_id' THEN count(record_id) WHEN 'title' THEN count(title) WHEN 'creator' THEN count(creator)
+  WHEN 'place' THEN count(place) WHEN 'note' THEN count(note) ELSE count(date_text) END / count(*) AS fill_rate
+FROM collection, (VALUES ('record_id', 'CatalogIDDigital'), ('title', 'TitleDocMain'), ('creator', 'Creator'), ('place', 'SubjectGeographic'), ('note', 'Description'), ('date_text', 'DateIssued')) m(c, t) GROUP BY ALL""")
 def active_mappings(spark, sf_dir):
     rates = collection(spark, sf_dir)
     from ..operators.profile import fill_rates
