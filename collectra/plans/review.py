@@ -4,7 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import inputs
-from ..operators import dictionary, entities, remediation, report, review
+from ..operators import entities, filters, remediation, report, review
+from ..session import scratch_path
+from ..sinks import tables
+from ..sources import workspace
 from . import quality
 from .authority import mentions
 from .registry import query
@@ -148,3 +151,38 @@ def suggestions_dry_run(spark, sf_dir):
     df = inputs.derive(spark, sf_dir, "labelled")
     would = remediation.apply_suggestions(df, inputs.derive(spark, sf_dir, "suggestions"), dry_run=True)[1]
     return remediation.mark_applied(would).select("suggestion_id", "status")
+
+
+# ---- stored state -----------------------------------------------------------
+
+@query("upserted_images", f"""WITH {_I} SELECT image_id, CASE WHEN ord % 4 = 0 THEN 'neu' ELSE review_comment END AS review_comment FROM images""")
+def upserted_images(spark, sf_dir):
+    i = inputs.derive(spark, sf_dir, "images").select("image_id", "review_comment", "ord")
+    changed = i.where("ord % 4 = 0").withColumn("review_comment", F.lit("neu"))
+    return filters.upsert(i, changed, ["image_id"]).select("image_id", "review_comment")
+
+
+@query("pending_images", f"WITH {_I} SELECT count(*) FILTER (review_status = 'pending') AS pending, count(*) FILTER (review_status = 'pending') > 0 AS blocked FROM images")
+def pending_images(spark, sf_dir):
+    i = inputs.derive(spark, sf_dir, "images")
+    return i.agg(F.count_if(F.col("review_status") == "pending").alias("pending")).withColumn("blocked", F.lit(filters.has_pending(i)))
+
+
+@query("review_export", f"WITH {inputs.cte('suggestions', 'decisions')} SELECT 'suggestions' AS name, count(*) AS n FROM suggestions UNION ALL SELECT 'decisions', count(*) FROM decisions")
+def review_export(spark, sf_dir):
+    path = scratch_path(spark, "review")
+    tables.write_review({n: inputs.derive(spark, sf_dir, n) for n in ("suggestions", "decisions")}, path)
+    back = {n: spark.read.schema("status string").json(f"{path}/{n}") for n in ("suggestions", "decisions")}
+    return workspace.summary(back)
+
+
+@query("report_files", f"""WITH {inputs.cte('mentions', 'dates')} SELECT 'entities_by_type_status' AS name, cast(count(*) AS BIGINT) AS n FROM mentions UNION ALL SELECT 'dates_by_method', count(*) FROM dates""")
+def report_files(spark, sf_dir):
+    path = scratch_path(spark, "report")
+    dated = inputs.derive(spark, sf_dir, "dates").withColumn("method", F.lit("rule"))
+    empty = spark.createDataFrame([], "severity string, category string")
+    counts = report.report_tables(empty, mentions(spark, sf_dir), dated)
+    tables.write_report({k: counts[k] for k in ("entities_by_type_status", "dates_by_method")}, path)
+    back = {k: spark.read.parquet(f"{path}/{k}") for k in ("entities_by_type_status", "dates_by_method")}
+    parts = [t.agg(F.sum("n").alias("n")).withColumn("name", F.lit(k)) for k, t in back.items()]
+    return parts[0].unionByName(parts[1])

@@ -263,7 +263,7 @@ def new_tasks(spark, sf_dir):
 
 @query("active_mappings", f"""WITH {COLLECTION} SELECT m.c AS "column", m.t AS target_type, CASE m.c WHEN 'record_id' THEN count(record_id) WHEN 'title' THEN count(title) WHEN 'creator' THEN count(creator)
   WHEN 'place' THEN count(place) WHEN 'note' THEN count(note) ELSE count(date_text) END / count(*) AS fill_rate
-FROM collection, (VALUES ('record_id', 'CatalogIDDigital'), ('title', 'TitleDocMain'), ('creator', 'Creator'), ('place', 'SubjectGeographic'), ('note', 'Description'), ('date_text', 'DateIssued')) m(c, t) GROUP BY ALL""")
+FROM collection, (VALUES ('record_id', 'CatalogIDDigital'), ('title', 'TitleDocMain'), ('creator', 'Creator'), ('place', 'SubjectGeographic'), ('note', 'Description'), ('date_text', 'DateIssued')) m(c, t) GROUP BY m.c, m.t""")
 def active_mappings(spark, sf_dir):
     rates = collection(spark, sf_dir)
     from ..operators.profile import fill_rates

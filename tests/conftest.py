@@ -11,7 +11,7 @@ from collectra.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "8")
+    session = build_session("tests", "4", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
