@@ -147,11 +147,16 @@ FROM {labels}"""),
 }
 
 
+MIN_SPLIT_BYTES = 256 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores, such as one small
-    file. A table of many files has splits enough and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Use more cores on an input with fewer splits than its size allows, such as
+    one small file. A table of many files has splits enough and is left as it
+    is, and no split gets smaller than ``MIN_SPLIT_BYTES``."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, size // MIN_SPLIT_BYTES)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
