@@ -1,6 +1,8 @@
 """Scan cells for problem terms by equi-joins on tokens or character grams."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +33,24 @@ def _grams(c: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), "")))
 
 
-# A list up to this size is searched inside the projection, without any join.
+# Lists up to these sizes are searched inside the projection, without any join.
 MAX_INLINE_TERMS = 500
+MAX_INLINE_WORDS = 32
+
+
+def _inline_scan(cells: DataFrame, terms: list, whole_word: bool, out_columns: list[str]) -> DataFrame:
+    """Search for a short list of terms in one array expression. A word is
+    looked for as plain text first, and its edges are checked only where it is."""
+    text = F.col("_text")
 
+    def hit(key: str) -> Column:
+        found = F.contains(text, F.lit(key))
+        quoted = re.sub(r"([\\.\[\]{}()*+?^$|\-#&~])", r"\\\1", key)
+        return found & text.rlike(rf"(?U)(?<![^{BOUNDARY}]){quoted}(?![^{BOUNDARY}])") if whole_word else found
 
-def _inline_scan(cells: DataFrame, terms: list, out_columns: list[str]) -> DataFrame:
-    """Substring search for a short list of terms: one array expression."""
-    fields = ["key", "term", "replacement", "category", "note"]
-    known = F.array(*[F.struct(*[F.lit(t[f]).alias(f) for f in fields]) for t in terms])
-    hits = F.filter(known, lambda t: F.contains(F.col("_text"), t["key"]))
+    fields = ["term", "replacement", "category", "note"]
+    entries = [F.when(hit(t["key"]), F.struct(*[F.lit(t[f]).alias(f) for f in fields])) for t in terms]
+    hits = F.filter(F.array(*entries), lambda t: t.isNotNull())
     return cells.select("record_id", "column", "value", F.explode(hits).alias("t")).select("record_id", "column", "value", "t.*").select(*out_columns)
 
 
@@ -47,7 +58,7 @@ def scan_terms(cells: DataFrame, terms: DataFrame, case_sensitive: bool = False,
     """``(record_id, column, value, term, replacement, category, note)`` for
     every cell and term that occurs in it.
 
-    Whole words: any match contains the first token of the term as a token of
+    A short list is one expression per cell. Beyond that, whole words: any match contains the first token of the term as a token of
     the cell, so cells are exploded to distinct tokens and joined on it; terms
     of several tokens are then checked against the cell. Substrings of a long
     term list, and terms made of boundary characters only, are joined on their
@@ -63,10 +74,10 @@ def scan_terms(cells: DataFrame, terms: DataFrame, case_sensitive: bool = False,
     )
     first = F.get(F.filter(F.split(F.col("key"), SPLIT), lambda t: t != ""), F.lit(0))
     out_columns = ["record_id", "column", "value", "term", "replacement", "category", "note"]
-    if not whole_word:
-        short = known.limit(MAX_INLINE_TERMS + 1).collect()
-        if len(short) <= MAX_INLINE_TERMS:
-            return _inline_scan(cells, short, out_columns) if short else cells.select("record_id", "column", "value", *[F.lit("").alias(c) for c in out_columns[3:]]).limit(0)
+    bound = MAX_INLINE_WORDS if whole_word else MAX_INLINE_TERMS
+    short = known.limit(bound + 1).collect()
+    if 0 < len(short) <= bound:
+        return _inline_scan(cells, short, whole_word, out_columns)
     known = known.withColumn("_anchor", first if whole_word else F.lit(None).cast("string"))
     by_token = known.where(F.col("_anchor").isNotNull())
     by_gram = known.where(F.col("_anchor").isNull()).withColumn("_n", F.least(F.lit(3), F.length("key")))

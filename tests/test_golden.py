@@ -126,8 +126,10 @@ def test_term_scan_paths_agree(spark, monkeypatch):
     import re
     edge = r"\s,;.!?\"'()\[\]"
     want = {(str(i), w) for i, v in enumerate(values) for w in words if re.search(rf"(?<![^{edge}])" + re.escape(w.lower()) + rf"(?![^{edge}])", v.lower())}
-    got = {(r["record_id"], r["term"]) for r in terms.scan_terms(cells, known).collect()}
-    assert got == want
+    assert {(r["record_id"], r["term"]) for r in terms.scan_terms(cells, known).collect()} == want
+    with monkeypatch.context() as m:
+        m.setattr(terms, "MAX_INLINE_WORDS", 0)
+        assert {(r["record_id"], r["term"]) for r in terms.scan_terms(cells, known).collect()} == want
     want = {(str(i), w) for i, v in enumerate(values) for w in words if w.lower() in v.lower()}
     assert {(r["record_id"], r["term"]) for r in terms.scan_terms(cells, known, whole_word=False).collect()} == want
     monkeypatch.setattr(terms, "MAX_INLINE_TERMS", 0)
