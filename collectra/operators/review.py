@@ -71,7 +71,7 @@ def queue_summary(items: DataFrame) -> DataFrame:
     return items.select(F.explode(facets).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
 
 
-def pipeline_status(images: DataFrame, mentions: DataFrame, candidates: DataFrame, entries: DataFrame) -> DataFrame:
+def gate_status(images: DataFrame, mentions: DataFrame, candidates: DataFrame, entries: DataFrame) -> DataFrame:
     """Status counts of the three review gates and the dictionary."""
     from .authority import enrichment
 

@@ -102,15 +102,15 @@ def checked_suggestions(spark, sf_dir):
     return review.checked_suggestions(s)[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("pipeline_status", f"""WITH {_I}, {_M}, st AS (SELECT unnest(['pending', 'accepted', 'rejected', 'total']) AS status), e AS (SELECT lower(text) AS k, max(gnd_id) AS g FROM mentions WHERE status = 'accepted' GROUP BY 1)
+@query("gate_status", f"""WITH {_I}, {_M}, st AS (SELECT unnest(['pending', 'accepted', 'rejected', 'total']) AS status), e AS (SELECT lower(text) AS k, max(gnd_id) AS g FROM mentions WHERE status = 'accepted' GROUP BY 1)
 SELECT '1_ocr' AS phase, st.status, (SELECT count(*) FROM images WHERE st.status IN ('total', review_status)) AS n FROM st
 UNION ALL SELECT '2_ner', st.status, (SELECT count(*) FROM mentions m WHERE st.status IN ('total', m.status)) FROM st
 UNION ALL SELECT '3_authority', st.status, (SELECT count(*) FROM mentions m WHERE m.gnd_id <> '' AND st.status IN ('total', m.status)) FROM st
 UNION ALL SELECT 'dictionary', 'total', count(*) FROM e UNION ALL SELECT 'dictionary', 'enriched', count(*) FROM e WHERE g <> '' UNION ALL SELECT 'dictionary', 'unenriched', count(*) FROM e WHERE g = ''""")
-def pipeline_status(spark, sf_dir):
+def gate_status(spark, sf_dir):
     m = mentions(spark, sf_dir)
     entries = m.where("status = 'accepted'").groupBy(F.lower("text").alias("key")).agg(F.max("gnd_id").alias("gnd_id"))
-    return review.pipeline_status(inputs.derive(spark, sf_dir, "images"), m, m.where("gnd_id <> ''"), entries)
+    return review.gate_status(inputs.derive(spark, sf_dir, "images"), m, m.where("gnd_id <> ''"), entries)
 
 
 # ---- corrections: the value-level steps of the derived suggestions ----------
