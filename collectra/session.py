@@ -1,7 +1,6 @@
 """Session defaults and the shared scratch folder."""
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -23,24 +22,32 @@ def build_session(app: str = "collectra", cpus: str = "*", shuffle_partitions: i
     )
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. The cluster names it in ``spark.checkpoint.dir``;
-    only where that is unset (tests) a temporary folder is made."""
+    """The folder all executors see. The cluster names it in ``spark.checkpoint.dir``.
+    Where that is unset, only a local session (tests) gets a temporary folder;
+    anything else is an error, since executors would not share it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    if configured:
+        return configured
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, never reused between runs."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back. The rows survive
     lost executors, are computed once, and the next plan knows their size."""
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
