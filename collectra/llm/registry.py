@@ -1,11 +1,13 @@
 """Queries of this subpackage by name, and SQL where it can say the same."""
 from __future__ import annotations
 
-from . import simhash
+from . import quality, simhash, urls
 
 
 def queries() -> dict:
     return {
+        "op3_url_filter": urls.op3,
+        "op5_quality_classifier": quality.op5,
         "op8_simhash_near_dedup": simhash.op8,
     }
 
