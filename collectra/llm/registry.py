@@ -1,14 +1,16 @@
 """Queries of this subpackage by name, and SQL where it can say the same."""
 from __future__ import annotations
 
-from . import quality, simhash, urls
+from . import packing, quality, secrets, simhash, urls
 
 
 def queries() -> dict:
     return {
         "op3_url_filter": urls.op3,
         "op5_quality_classifier": quality.op5,
+        "op6_secret_scans": secrets.op6,
         "op8_simhash_near_dedup": simhash.op8,
+        "op10_best_fit_packing": packing.op10,
     }
 
 
