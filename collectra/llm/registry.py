@@ -1,11 +1,12 @@
 """Queries of this subpackage by name, and SQL where it can say the same."""
 from __future__ import annotations
 
-from . import packing, quality, secrets, simhash, substrings, urls
+from . import packing, quality, scoring, secrets, simhash, substrings, urls
 
 
 def queries() -> dict:
     return {
+        "op1_lm_scoring": scoring.op1,
         "op2_substring_dedup": substrings.op2,
         "op3_url_filter": urls.op3,
         "op5_quality_classifier": quality.op5,
