@@ -1,7 +1,7 @@
 """Queries of this subpackage by name, and SQL where it can say the same."""
 from __future__ import annotations
 
-from . import packing, quality, scoring, secrets, simhash, substrings, urls
+from . import decontaminate, packing, quality, scoring, secrets, simhash, substrings, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_url_filter": urls.op3,
         "op5_quality_classifier": quality.op5,
         "op6_secret_scans": secrets.op6,
+        "op7_benchmark_decontamination": decontaminate.op7,
         "op8_simhash_near_dedup": simhash.op8,
         "op10_best_fit_packing": packing.op10,
     }
