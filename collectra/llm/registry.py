@@ -1,7 +1,7 @@
 """Queries of this subpackage by name, and SQL where it can say the same."""
 from __future__ import annotations
 
-from . import decontaminate, packing, quality, scoring, secrets, simhash, substrings, urls
+from . import decontaminate, packing, quality, scoring, secrets, simhash, substrings, urls, vectors
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_secret_scans": secrets.op6,
         "op7_benchmark_decontamination": decontaminate.op7,
         "op8_simhash_near_dedup": simhash.op8,
+        "op9_embedding_near_dedup": vectors.op9,
         "op10_best_fit_packing": packing.op10,
     }
 
