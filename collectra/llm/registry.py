@@ -1,7 +1,7 @@
 """Queries of this subpackage by name, and SQL where it can say the same."""
 from __future__ import annotations
 
-from . import decontaminate, packing, quality, scoring, secrets, simhash, substrings, urls, vectors
+from . import decontaminate, extract, packing, quality, scoring, secrets, simhash, substrings, urls, vectors
 
 
 def queries() -> dict:
@@ -9,6 +9,7 @@ def queries() -> dict:
         "op1_lm_scoring": scoring.op1,
         "op2_substring_dedup": substrings.op2,
         "op3_url_filter": urls.op3,
+        "op4_html_extraction": extract.op4,
         "op5_quality_classifier": quality.op5,
         "op6_secret_scans": secrets.op6,
         "op7_benchmark_decontamination": decontaminate.op7,
