@@ -1,6 +1,8 @@
 """Queries of this subpackage by name, and SQL where it can say the same."""
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, extract, packing, quality, scoring, secrets, simhash, substrings, urls, vectors
 
 
@@ -16,6 +18,7 @@ def queries() -> dict:
         "op8_simhash_near_dedup": simhash.op8,
         "op9_embedding_near_dedup": vectors.op9,
         "op10_best_fit_packing": packing.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 

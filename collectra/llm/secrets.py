@@ -195,6 +195,26 @@ def redact(text: str) -> str:
     return "".join(out) + text[at:]
 
 
+def redacted(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``docs`` with every secret in ``text_col`` replaced, and ``size_col``, where there is
+    one, counting the new text. Null texts stay null."""
+    at = docs.columns.index(text_col)
+    size = docs.columns.index(size_col) if size_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old = batch.column(at).to_pylist()
+            new = [redact(t) if t else t for t in old]
+            columns = list(batch.columns)
+            columns[at] = pa.array(new, columns[at].type)
+            if size is not None:
+                sizes = [n if a == b else len(b) for n, a, b in zip(columns[size].to_pylist(), old, new, strict=True)]
+                columns[size] = pa.array(sizes, columns[size].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut_lineage
 from .common import blobs, table, texts
@@ -125,6 +126,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fingerprint").select("id", "fingerprint", "component")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their group: those with its smallest
+    id, once if they are repeated. Of a group without any id one row per text fingerprint
+    stays."""
+    found = cut_lineage(near_duplicates(docs, id_col, text_col, width, distance))
+    kept = cut_lineage(found.where("id <=> component").groupBy("id", "fingerprint").count())
+    at, name = docs.columns.index(text_col), "simhash_of_text"
+    while name in docs.columns:
+        name += "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column(name, pa.array([fingerprint(t or b"", width) for t in blobs(batch.column(at))], pa.int64()))
+
+    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    out = marked.join(kept, marked[id_col].eqNullSafe(kept.id) & (marked[name] == kept.fingerprint), "left_semi")
+    if kept.where("count > 1").limit(1).count():
+        out = out.dropDuplicates([id_col, name])
+    return out.select(*docs.columns)
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
