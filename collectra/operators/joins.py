@@ -67,20 +67,18 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, sa
 
 
 def ordered_text(
-    rows: DataFrame, keys: list[str], value: str, order: str, out: str, sep: str = "; ", max_items: int = 100_000
-) -> tuple[DataFrame, DataFrame]:
+    rows: DataFrame, keys: list[str], value: str, order: str, out: str, sep: str = "; "
+) -> DataFrame:
     """Distinct values of each group in first-seen order, joined to one text.
 
-    Copies collapse in the map-side combine. Groups with more than ``max_items``
-    distinct values are not collected into one row: they come back whole as the
-    second frame ``(keys, value, order)``, one row per value.
+    Copies collapse in the map-side combine, so a group moves one row per
+    distinct value and task; what meets in one task is the text of one output
+    cell, which no row of a result table can do without.
     """
     firsts = rows.groupBy(*keys, value).agg(F.min(order).alias("_ord"))
-    wide = firsts.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_items).select(*keys)
     pairs = F.array_sort(F.collect_list(F.struct("_ord", value)))
     text = F.concat_ws(sep, F.transform(pairs, lambda p: p[value]))
-    joined = firsts.join(wide, keys, "left_anti").groupBy(*keys).agg(text.alias(out))
-    return joined, firsts.join(wide, keys, "left_semi").withColumnRenamed("_ord", order)
+    return firsts.groupBy(*keys).agg(text.alias(out))
 
 
 def best_row(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -22,13 +22,13 @@ def image_confidence():
 def known_terms(spark, sf_dir):
     """Terms with authority ids: every third place name."""
     c = inputs.table(spark, sf_dir, "customer")
-    return c.where("c_custkey < 60").select(
+    return c.select(
         F.concat(F.lit("ort "), "c_custkey").alias("term"),
         F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("g"), "c_custkey")).otherwise("").alias("gnd_id"), F.col("c_custkey").alias("ord"),
     )
 
 
-_TERMS = "terms AS (SELECT 'ort ' || c_custkey AS term, 'g' || c_custkey AS gnd_id FROM customer WHERE c_custkey < 60 AND c_custkey % 3 = 0)"
+_TERMS = "terms AS (SELECT 'ort ' || c_custkey AS term, 'g' || c_custkey AS gnd_id FROM customer WHERE c_custkey % 3 = 0)"
 _CODES = {"PER": "ner_persons", "ORG": "ner_organisations", "LOC": "ner_places", "GPE": "ner_geo_political", "DAT": "ner_dates_raw", "CON": "ner_concepts"}
 _LABELS = f"""{_M}, lab AS (SELECT record_id, entity_type, label, min(ord) AS o FROM (SELECT record_id, entity_type, ord, CASE WHEN gnd_preferred <> '' THEN gnd_preferred ELSE text END AS label FROM mentions) GROUP BY ALL),
 cells AS (SELECT record_id, entity_type, string_agg(label, '; ' ORDER BY o) AS t FROM lab GROUP BY ALL)"""
@@ -42,7 +42,7 @@ def _pivot_sql(source: str, value: str, names: dict[str, str]) -> str:
 SELECT c.record_id, title, {', '.join(f"coalesce({n}, '') AS {n}" for n in _CODES.values())} FROM collection c LEFT JOIN wide USING (record_id)""")
 def enriched_entities(spark, sf_dir):
     df = collection(spark, sf_dir).select("record_id", "title")
-    return enriched_csv.enrich(df, mentions(spark, sf_dir))[0].select("record_id", "title", *_CODES.values())
+    return enriched_csv.enrich(df, mentions(spark, sf_dir)).select("record_id", "title", *_CODES.values())
 
 
 @query("enriched_dates", f"""WITH {COLLECTION}, {_D}, per AS (SELECT record_id, max_by(edtf, ord) AS e FROM dates WHERE edtf <> '' GROUP BY 1)
@@ -75,7 +75,7 @@ SELECT c.record_id, coalesce(max(ids) FILTER (entity_type = 'PER'), '') AS gnd_p
 FROM (SELECT record_id, row_number() OVER () AS rn FROM collection) c LEFT JOIN pt USING (record_id) GROUP BY c.record_id, rn""")
 def enriched_authority_ids(spark, sf_dir):
     df = collection(spark, sf_dir).select("record_id")
-    out = enriched_csv.enrich(df, mentions(spark, sf_dir), terms=known_terms(spark, sf_dir))[0]
+    out = enriched_csv.enrich(df, mentions(spark, sf_dir), terms=known_terms(spark, sf_dir))
     return out.select("record_id", "gnd_persons_ids", "gnd_places_ids", "gnd_organisations_ids")
 
 
@@ -86,12 +86,28 @@ def enriched_combined_ids(spark, sf_dir):
     return enriched_csv.authority_ids(rows, known_terms(spark, sf_dir))[1]
 
 
-@query("enriched_csv_file", f"""WITH {COLLECTION} SELECT record_id, title, place FROM collection""")
+_SLOTS = {"persons": "PER", "organisations": "ORG", "places": "LOC", "geo_political": "GPE", "dates_raw": "DAT", "concepts": "CON"}
+
+
+@query("enriched_csv_file", f"""WITH {COLLECTION}, {_LABELS}, {_TERMS}, {_D}, {_I}, wide AS (SELECT record_id, {_pivot_sql('cells', 't', _CODES)} FROM cells GROUP BY 1),
+hits AS (SELECT record_id, entity_type, gnd_id, min(o) AS o FROM lab JOIN terms ON lower(trim(label)) = term GROUP BY ALL),
+pt AS (SELECT record_id, entity_type, string_agg(gnd_id, '; ' ORDER BY o) AS ids FROM hits GROUP BY ALL),
+ids AS (SELECT record_id, {', '.join(f"max(ids) FILTER (entity_type = '{code}') AS gnd_{slot}_ids" for slot, code in _SLOTS.items())} FROM pt GROUP BY 1),
+per AS (SELECT record_id, max_by(edtf, ord) AS e FROM dates WHERE edtf <> '' GROUP BY 1),
+acc AS (SELECT record_id, max_by(json_extract_string(result, '$.description'), ord) AS d, max_by(json_extract_string(result, '$.confidence'), ord) AS c, max_by(reviewer, ord) AS r
+  FROM images WHERE review_status = 'accepted' AND record_id <> '' GROUP BY 1)
+SELECT c.record_id, c.title, c.place, c.date_text, {', '.join(f"nullif(wide.{n}, '') AS {n}" for n in _CODES.values())}, {', '.join(f"ids.gnd_{slot}_ids" for slot in _SLOTS)}, e AS edtf_date_text,
+  nullif(d, '') AS image_description, nullif(acc.c, '') AS image_confidence, nullif(r, '') AS image_reviewer
+FROM collection c LEFT JOIN wide ON wide.record_id = c.record_id LEFT JOIN ids ON ids.record_id = c.record_id LEFT JOIN per ON per.record_id = c.record_id LEFT JOIN acc ON acc.record_id = c.record_id""")
 def enriched_csv_file(spark, sf_dir):
+    """Every enrichment in one written file, read back as text; blank cells come back null."""
     path = scratch_path(spark, "enriched")
-    df = collection(spark, sf_dir).select("record_id", "title", "place")
-    common.write_csv(df, path, quote_all=False)
-    return spark.read.option("header", True).option("escape", '"').schema("record_id string, title string, place string").csv(path)
+    df = collection(spark, sf_dir).select("record_id", "title", "place", "date_text")
+    out = enriched_csv.enrich(
+        df, mentions(spark, sf_dir), inputs.derive(spark, sf_dir, "dates"), inputs.derive(spark, sf_dir, "images"), known_terms(spark, sf_dir))
+    common.write_csv(out, path, quote_all=False)
+    back = spark.read.option("header", True).option("escape", '"').schema(", ".join(f"`{c}` string" for c in out.columns)).csv(path)
+    return back.select(*df.columns, *_CODES.values(), *[f"gnd_{slot}_ids" for slot in _SLOTS], "edtf_date_text", "image_description", "image_confidence", "image_reviewer")
 
 
 # ---- import XML -------------------------------------------------------------
@@ -118,7 +134,7 @@ SELECT rn, pos, trim(v) AS v FROM (SELECT rn, unnest(string_split(place, ';')) A
  || coalesce('<metadata label="Titel" type="TitleDocMain">' || title || '</metadata>', '') || coalesce(x, '') || coalesce('<metadata label="Notiz" type="Description">' || {_ESC.format(v='note')} || '</metadata>', '') || {_process('record_id')} AS xml
 FROM rows LEFT JOIN places USING (rn)""")
 def import_xml_records(spark, sf_dir):
-    return import_xml.record_xml(collection(spark, sf_dir), _mapping(spark, _XML_ROWS), known_terms(spark, sf_dir))[0]
+    return import_xml.record_xml(collection(spark, sf_dir), _mapping(spark, _XML_ROWS), known_terms(spark, sf_dir))
 
 
 @query("import_xml_date_overrides", f"""WITH {COLLECTION}, {_D}, over AS (SELECT record_id, original, min_by(edtf, ord) AS e FROM dates WHERE edtf <> '' GROUP BY ALL)
@@ -126,10 +142,10 @@ SELECT c.record_id, '<goobi-import><data type="MuseumObject"><metadata label="Id
 FROM collection c LEFT JOIN over o ON o.record_id = c.record_id AND o.original = c.date_text""")
 def import_xml_date_overrides(spark, sf_dir):
     rows = [("record_id", "CatalogIDDigital", "Id", False), ("date_text", "DateIssued", "", False)]
-    return import_xml.record_xml(collection(spark, sf_dir), _mapping(spark, rows), known_terms(spark, sf_dir), dates=inputs.derive(spark, sf_dir, "dates"))[0]
+    return import_xml.record_xml(collection(spark, sf_dir), _mapping(spark, rows), known_terms(spark, sf_dir), dates=inputs.derive(spark, sf_dir, "dates"))
 
 
-@query("import_xml_entities", f"""WITH {COLLECTION}, {_M}, {_TERMS}, lookup AS (SELECT term, gnd_id FROM terms UNION ALL SELECT lower(text), min_by(gnd_id, ord) FROM mentions WHERE status <> 'rejected' AND gnd_id <> '' AND lower(text) NOT IN (SELECT 'ort ' || c_custkey FROM customer WHERE c_custkey < 60) GROUP BY 1),
+@query("import_xml_entities", f"""WITH {COLLECTION}, {_M}, {_TERMS}, lookup AS (SELECT term, gnd_id FROM terms UNION ALL SELECT lower(text), min_by(gnd_id, ord) FROM mentions WHERE status <> 'rejected' AND gnd_id <> '' AND lower(text) NOT IN (SELECT 'ort ' || c_custkey FROM customer) GROUP BY 1),
 el AS (SELECT record_id, string_agg('<metadata label="Schlagwort" type="SubjectTopic"' || {_GND.format(g='coalesce(l.gnd_id, nullif(m.gnd_id, chr(0)))')} || '>' || text || '</metadata>', '' ORDER BY ord) AS x
 FROM (SELECT * REPLACE (CASE WHEN gnd_id = '' THEN chr(0) ELSE gnd_id END AS gnd_id) FROM mentions WHERE status <> 'rejected' AND entity_type NOT IN ('PER', 'ORG')) m LEFT JOIN lookup l ON l.term = lower(text) GROUP BY 1)
 SELECT c.record_id, '<goobi-import><data type="MuseumObject"><metadata label="Id" type="CatalogIDDigital">' || c.record_id || '</metadata>' || coalesce(x, '') || {_process('c.record_id')} AS xml FROM collection c LEFT JOIN el USING (record_id)""")
@@ -138,14 +154,14 @@ def import_xml_entities(spark, sf_dir):
     m = mentions(spark, sf_dir).where("entity_type NOT IN ('PER', 'ORG') OR gnd_id <> ''").withColumn(
         "status", F.when(F.col("entity_type").isin("PER", "ORG"), F.lit("rejected")).otherwise(F.col("status")))
     linked = mentions(spark, sf_dir).where("gnd_id <> '' AND status <> 'rejected'").select(F.col("text").alias("term"), "gnd_id", (F.col("ord") + 1000).alias("ord"))
-    terms = known_terms(spark, sf_dir).unionByName(linked.join(F.broadcast(known_terms(spark, sf_dir).select(F.col("term").alias("_t"))), F.lower("term") == F.col("_t"), "left_anti"))
-    return import_xml.record_xml(collection(spark, sf_dir).select("record_id"), _mapping(spark, rows), terms, m)[0]
+    terms = known_terms(spark, sf_dir).unionByName(linked.join(known_terms(spark, sf_dir).select(F.col("term").alias("_t")), F.lower("term") == F.col("_t"), "left_anti"))
+    return import_xml.record_xml(collection(spark, sf_dir).select("record_id"), _mapping(spark, rows), terms, m)
 
 
 @query("import_xml_batch", f"WITH {COLLECTION} SELECT record_id AS process_title, count(*) AS n FROM collection GROUP BY 1")
 def import_xml_batch(spark, sf_dir):
     path = scratch_path(spark, "batch")
-    import_xml.write_batch(import_xml.record_xml(collection(spark, sf_dir), _mapping(spark, _XML_ROWS), known_terms(spark, sf_dir))[0], path)
+    import_xml.write_batch(import_xml.record_xml(collection(spark, sf_dir), _mapping(spark, _XML_ROWS), known_terms(spark, sf_dir)), path)
     back = spark.read.format("xml").option("rowTag", "goobi-import").schema("process struct<title:string>").load(path)
     return back.groupBy(F.col("process.title").alias("process_title")).agg(F.count("*").alias("n"))
 
@@ -166,7 +182,7 @@ SELECT rn, unnest(string_split(place, ';')) AS v, generate_subscripts(string_spl
 SELECT record_id, '<mods:mods version="3.7">' || coalesce('<mods:titleInfo><mods:title>' || title || '</mods:title></mods:titleInfo>', '') || coalesce('<mods:originInfo><mods:dateIssued>' || date_text || '</mods:dateIssued></mods:originInfo>', '')
  || coalesce(x, '') || '<mods:identifier type="catalog">' || record_id || '</mods:identifier>' || coalesce(t, '') || '</mods:mods>' AS mods FROM rows LEFT JOIN places USING (rn) LEFT JOIN temporal USING (record_id)""")
 def mods_records(spark, sf_dir):
-    return mets.mods_records(collection(spark, sf_dir), _mapping(spark, _MODS_ROWS), dates=inputs.derive(spark, sf_dir, "dates"))[0]
+    return mets.mods_records(collection(spark, sf_dir), _mapping(spark, _MODS_ROWS), dates=inputs.derive(spark, sf_dir, "dates"))
 
 
 @query("mods_entities", f"""WITH {_M}, k AS (SELECT *, coalesce(nullif(gnd_preferred, ''), text) AS n, CASE WHEN gnd_id <> '' THEN ' authority="gnd" valueURI="http://d-nb.info/gnd/' || gnd_id || '"' ELSE '' END AS a,
@@ -176,14 +192,14 @@ SELECT record_id, '<mods:mods version="3.7">' || string_agg(CASE g WHEN 0 THEN '
 FROM k WHERE record_id IN (SELECT 'rec_' || o_orderkey FROM orders) GROUP BY record_id""")
 def mods_entities(spark, sf_dir):
     df = inputs.table(spark, sf_dir, "orders").select(F.concat(F.lit("rec_"), "o_orderkey").alias("record_id"))
-    out = mets.mods_records(df, _mapping(spark, []), mentions(spark, sf_dir))[0]
+    out = mets.mods_records(df, _mapping(spark, []), mentions(spark, sf_dir))
     return out.where("mods <> '<mods:mods version=\"3.7\"></mods:mods>'")
 
 
 @query("mets_documents", f"WITH {COLLECTION} SELECT count(*) AS records, count(title) AS titles FROM collection")
 def mets_documents(spark, sf_dir):
     path = scratch_path(spark, "mets")
-    mets.write_mets(mets.mods_records(collection(spark, sf_dir), _mapping(spark, _MODS_ROWS))[0], path)
+    mets.write_mets(mets.mods_records(collection(spark, sf_dir), _mapping(spark, _MODS_ROWS)), path)
     schema = "titleInfo struct<title:string>, identifier string"
     back = spark.read.format("xml").option("rowTag", "mods").option("ignoreNamespace", True).schema(schema).load(path)
     return back.agg(F.count("*").alias("records"), F.count("titleInfo.title").alias("titles"))
@@ -198,14 +214,14 @@ SELECT record_id, '{{' || concat_ws(',', '"@type":"CreativeWork"', '"name":"' ||
   '"description":"' || replace(note, '"', '\\"') || '"', '"identifier":"' || record_id || '"', '"@id":"https://data.museum/' || record_id || '"', '"temporal":' || t) || '}}' AS node FROM collection LEFT JOIN t USING (record_id)""")
 def jsonld_records(spark, sf_dir):
     df = collection(spark, sf_dir)
-    return jsonld.record_nodes(df, _mapping(spark, _JSON_ROWS), "https://data.museum/", dates=inputs.derive(spark, sf_dir, "dates"))[0]
+    return jsonld.record_nodes(df, _mapping(spark, _JSON_ROWS), "https://data.museum/", dates=inputs.derive(spark, sf_dir, "dates"))
 
 
 @query("jsonld_entities", f"""WITH {_M}, n AS (SELECT record_id, ord, CASE WHEN entity_type = 'PER' THEN 'mentions' WHEN entity_type = 'ORG' THEN 'accountablePerson' ELSE 'contentLocation' END AS p FROM mentions WHERE entity_type IN ('PER', 'ORG', 'LOC', 'GPE'))
 SELECT record_id, p AS property, count(*) AS n FROM n WHERE record_id IN (SELECT 'rec_' || o_orderkey FROM orders) GROUP BY ALL""")
 def jsonld_entities(spark, sf_dir):
     df = inputs.table(spark, sf_dir, "orders").select(F.concat(F.lit("rec_"), "o_orderkey").alias("record_id"))
-    nodes = jsonld.record_nodes(df, _mapping(spark, []), "https://data.museum/", mentions(spark, sf_dir))[0]
+    nodes = jsonld.record_nodes(df, _mapping(spark, []), "https://data.museum/", mentions(spark, sf_dir))
     props = F.array(*[F.struct(F.lit(p).alias("property"), F.get_json_object("node", f"$.{p}").alias("v")) for p in ("mentions", "contentLocation", "accountablePerson")])
     rows = nodes.select("record_id", F.explode(props).alias("x")).select("record_id", "x.*").where("v IS NOT NULL")
     n = F.when(F.col("v").startswith("["), F.json_array_length("v")).otherwise(1)
@@ -221,7 +237,7 @@ def jsonld_authorities(spark, sf_dir):
 @query("jsonld_file", f"WITH {COLLECTION} SELECT record_id, title FROM collection")
 def jsonld_file(spark, sf_dir):
     path = scratch_path(spark, "jsonld")
-    jsonld.write_jsonld(jsonld.record_nodes(collection(spark, sf_dir), _mapping(spark, _JSON_ROWS), "https://data.museum/")[0], path)
+    jsonld.write_jsonld(jsonld.record_nodes(collection(spark, sf_dir), _mapping(spark, _JSON_ROWS), "https://data.museum/"), path)
     back = spark.read.schema("identifier string, name string").json(path + "/graph")
     return back.select(F.col("identifier").alias("record_id"), F.col("name").alias("title"))
 

@@ -56,7 +56,7 @@ _MODS = [("title", "TitleDocMain", False), ("creator", "Creator", True), ("date_
 def _mets(spark, sf_dir):
     path = scratch_path(spark, "mets")
     mapping = spark.createDataFrame([(c, t, "", rep, "", True, i) for i, (c, t, rep) in enumerate(_MODS)], standard.MAPPING)
-    mets.write_mets(mets.mods_records(collection(spark, sf_dir), mapping)[0], path)
+    mets.write_mets(mets.mods_records(collection(spark, sf_dir), mapping), path)
     return path
 
 

@@ -11,21 +11,12 @@ from ..functions.text import strip, xml_escape
 from ..operators.joins import lookup_join
 from ..operators.profile import quoted
 
-# Groups above this size are not gathered into one row of an export.
-MAX_PER_RECORD = 100_000
 
-
-def collect_bounded(
-    rows: DataFrame, keys: str | list[str], order: str, fields: list[str], out: str, limit: int = MAX_PER_RECORD
-) -> tuple[DataFrame, DataFrame]:
-    """``(keys, out)`` with the ordered rows of each key as an array of structs,
-    and the rows of keys with more than ``limit`` rows, unchanged, to be written
-    as a table of their own."""
+def collected(rows: DataFrame, keys: str | list[str], order: str, fields: list[str], out: str) -> DataFrame:
+    """``(keys, out)`` with the ordered rows of each key as an array of structs:
+    all that one exported document holds."""
     keys = [keys] if isinstance(keys, str) else keys
-    large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*keys)
-    kept = rows.join(large, keys, "left_anti")
-    arrays = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_ord"), *fields))).alias(out))
-    return arrays, rows.join(large, keys, "left_semi")
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_ord"), *fields))).alias(out))
 
 
 def row_key(columns: list[str]) -> Column:

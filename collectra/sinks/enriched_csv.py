@@ -33,9 +33,11 @@ def _with_global(df: DataFrame, wide: DataFrame, id_column: str, columns: list[s
     own = wide.where(F.col("record_id") != GLOBAL).withColumnRenamed("record_id", "_rid")
     out = lookup_join(df.withColumn("_rid", F.col(quoted(id_column)).cast("string")), own, ["_rid"], "left").drop("_rid")
     shared = wide.where(F.col("record_id") == GLOBAL).select(F.lit(1).alias("_k"), *[F.col(c).alias(f"_g_{c}") for c in columns])
-    if not fits_broadcast(shared, 1):
-        raise ValueError("entities without a record do not fit one broadcast row; give them a record id")
-    out = out.withColumn("_k", F.lit(1)).join(F.broadcast(shared), "_k", "left")
+    if fits_broadcast(shared, 1):
+        out = out.withColumn("_k", F.lit(1)).join(F.broadcast(shared), "_k", "left")
+    else:  # one long row: a copy for each of many tasks
+        spread = shared.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(255))))
+        out = out.withColumn("_k", F.pmod(F.xxhash64(F.col(quoted(id_column))), F.lit(256)).cast("int")).join(spread, "_k", "left")
     filled = {c: F.coalesce(F.nullif(c, F.lit("")), F.col(f"_g_{c}"), F.lit("")) for c in columns}
     return out.withColumns(filled).drop("_k", *[f"_g_{c}" for c in columns])
 
@@ -51,7 +53,7 @@ def authority_ids(rows: DataFrame, terms: DataFrame, sep: str = "; ") -> tuple[D
     hits = lookup_join(parts, gnd_lookup(terms), ["part"], "inner")
     position = F.array_position(F.array(*[F.lit(c) for c in ENTITY_COLUMNS]), F.col("entity_type"))
     hits = hits.withColumn("at", F.struct(position.alias("t"), "ord", "pos"))
-    return ordered_text(hits, ["record_id", "entity_type"], "gnd_id", "at", "ids", sep)[0], ordered_text(hits, ["record_id"], "gnd_id", "at", "gnd_ids", sep)[0]
+    return ordered_text(hits, ["record_id", "entity_type"], "gnd_id", "at", "ids", sep), ordered_text(hits, ["record_id"], "gnd_id", "at", "gnd_ids", sep)
 
 
 def edtf_columns(df: DataFrame, dates: DataFrame, id_column: str) -> DataFrame:
@@ -104,15 +106,14 @@ def image_columns(df: DataFrame, images: DataFrame, id_column: str, sep: str = "
 def enrich(
     df: DataFrame, mentions: DataFrame | None = None, dates: DataFrame | None = None, images: DataFrame | None = None,
     terms: DataFrame | None = None, id_column: str = "record_id", sep: str = "; ", statuses: list[str] | None = None,
-) -> tuple[DataFrame, DataFrame | None]:
-    """(enriched table, labels too many for one cell). The second frame holds
-    every label of the records whose cells would exceed the bound of
-    :func:`ordered_text`; it is empty on ordinary data and written next to the
-    table, so nothing is lost."""
-    out, overflow = df, None
+) -> DataFrame:
+    """The table with every enrichment that is given, all labels of a record in
+    its cells. A record gets the labels without a record only where it has none
+    of its own."""
+    out = df
     if mentions is not None:
         rows = labels(mentions, statuses)
-        joined, overflow = ordered_text(rows, ["record_id", "entity_type"], "label", "ord", "text", sep)
+        joined = ordered_text(rows, ["record_id", "entity_type"], "label", "ord", "text", sep)
         out = _with_global(out, _pivot(joined, "text", ENTITY_COLUMNS), id_column, list(ENTITY_COLUMNS.values()))
     if dates is not None:
         out = edtf_columns(out, dates, id_column)
@@ -123,4 +124,4 @@ def enrich(
         names = {code: f"gnd_{column[len('ner_'):]}_ids" for code, column in ENTITY_COLUMNS.items()}
         wide = per_record.join(_pivot(per_type, "ids", names), "record_id", "left")
         out = _with_global(out, wide, id_column, ["gnd_ids", *names.values()])
-    return out, overflow
+    return out

@@ -10,7 +10,7 @@ from ..functions.names import parse_name
 from ..functions.text import safe_file_name, split_values, strip, xml_escape
 from ..operators.joins import lookup_join
 from ..operators.profile import quoted
-from .common import MAX_PER_RECORD, cell, collect_bounded, element, gnd_lookup, with_row_hits, write_documents
+from .common import cell, collected, element, gnd_lookup, with_row_hits, write_documents
 
 # FIXED VALUES: element and type names of the import format.
 ROOT, BATCH = "goobi-import", "goobi-import-batch"
@@ -91,9 +91,8 @@ def _terms(mentions: DataFrame | None, terms: DataFrame) -> DataFrame:
 def record_xml(
     df: DataFrame, mappings: DataFrame, terms: DataFrame, mentions: DataFrame | None = None, dates: DataFrame | None = None,
     images: DataFrame | None = None, doc_type: str = DEFAULT_TYPE, auto_catalog_id: bool = True, journal: str = "Import",
-    limit: int = MAX_PER_RECORD,
-) -> tuple[DataFrame, DataFrame | None]:
-    """(``record_id, xml``; mentions of records with more than ``limit`` of them).
+) -> DataFrame:
+    """``(record_id, xml)``: one document per row.
 
     Rejected mentions are left out. A missing catalogue id is taken from
     ``record_id`` or refused. Cells equal to the original text of a date of
@@ -127,11 +126,10 @@ def record_xml(
     lookup = _terms(mentions, terms)
     out = with_row_hits(out, columns, parts, lookup, ["part"], "gnd_id", "_auth")
     body = [mapped_elements(cell(m["source_column"]), m["target_type"], m["label"] or m["target_type"], m["repeatable"]) for m in plain]
-    overflow = None
     if mentions is not None:
         kept = mentions.where("status <> 'rejected'").withColumn("part", F.lower("text"))
         keyed = lookup_join(kept, lookup.withColumnRenamed("gnd_id", "_term_gnd"), ["part"], "left").withColumn("_xml", _mention_element())
-        arrays, overflow = collect_bounded(keyed, "record_id", "ord", ["_xml"], "_mentions", limit)
+        arrays = collected(keyed, "record_id", "ord", ["_xml"], "_mentions")
         out = lookup_join(out, arrays, ["record_id"], "left")
         body.append(F.coalesce(F.array_join(F.transform("_mentions", lambda m: m["_xml"]), ""), F.lit("")))
     if images is not None:
@@ -150,10 +148,10 @@ def record_xml(
     record = F.coalesce(F.col("record_id").cast("string"), F.lit(""))
     process = F.concat(
         F.lit("<process><title>"), xml_escape(record), F.lit('</title><journal type="info" creator="- automatic -">'),
-        F.lit(journal), F.lit("</journal></process>"),
+        xml_escape(F.lit(journal)), F.lit("</journal></process>"),
     )
-    xml = F.concat(F.lit(f'<{ROOT}><data type="{doc_type}">'), *body, F.lit("</data>"), process, F.lit(f"</{ROOT}>"))
-    return out.select(record.alias("record_id"), xml.alias("xml")), overflow
+    xml = F.concat(F.lit(f'<{ROOT}><data type="'), xml_escape(F.lit(doc_type)), F.lit('">'), *body, F.lit("</data>"), process, F.lit(f"</{ROOT}>"))
+    return out.select(record.alias("record_id"), xml.alias("xml"))
 
 
 def write_batch(xml: DataFrame, path: str) -> None:

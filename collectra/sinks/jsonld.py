@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import ENTITY_TO_SCHEMA, mapped, provenance
 from ..functions.text import split_values
 from ..operators.joins import lookup_join
-from .common import MAX_PER_RECORD, cell, collect_bounded
+from .common import cell, collected
 from .enriched_csv import result_cells
 from .import_xml import mapping_list
 
@@ -76,14 +76,13 @@ def _nodes_of(prop: str) -> Column:
 
 def record_nodes(
     df: DataFrame, mappings: DataFrame, base_url: str, mentions: DataFrame | None = None, dates: DataFrame | None = None,
-    images: DataFrame | None = None, id_column: str = "record_id", limit: int = MAX_PER_RECORD, statuses: list[str] | None = None,
-) -> tuple[DataFrame, list[DataFrame]]:
-    """(``record_id, node``; rows of records too large for one node). Mentions
-    of all review states take part unless ``statuses`` says otherwise."""
+    images: DataFrame | None = None, id_column: str = "record_id", statuses: list[str] | None = None,
+) -> DataFrame:
+    """``(record_id, node)``: one node per row. Mentions of all review states take part unless ``statuses`` says otherwise."""
     check_base_url(base_url)
     active = mapping_list(mappings)
     rid = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
-    out, left_over = df.withColumn("_rid", rid), []
+    out = df.withColumn("_rid", rid)
     values: dict[str, Column] = {}
     for m in active:
         if m["source_column"] in df.columns:
@@ -103,14 +102,12 @@ def record_nodes(
             F.col("entity_type").alias("type"), same.alias("sameAs"), F.lit("ner").alias("_source"),
         ))
         kept = kept.select(F.col("record_id").alias("_rid"), "ord", mapped(F.col("entity_type"), MENTION_PROPERTY).alias("p"), node.alias("n"))
-        arrays, large = collect_bounded(kept, "_rid", "ord", ["p", "n"], "_mentions", limit)
-        left_over.append(large)
+        arrays = collected(kept, "_rid", "ord", ["p", "n"], "_mentions")
         out = lookup_join(out, arrays, ["_rid"], "left")
         for prop in sorted(set(MENTION_PROPERTY.values())):
             values[prop] = _merged(values.get(prop), _nodes_of(prop))
     if dates is not None:
-        arrays, large = collect_bounded(dates.where("edtf <> ''").withColumnRenamed("record_id", "_rid"), "_rid", "ord", ["edtf"], "_dates", limit)
-        left_over.append(large)
+        arrays = collected(dates.where("edtf <> ''").withColumnRenamed("record_id", "_rid"), "_rid", "ord", ["edtf"], "_dates")
         out = lookup_join(out, arrays, ["_rid"], "left")
         each = F.transform("_dates", lambda d: F.to_json(F.struct(F.lit("edtf").alias("@type"), d["edtf"].alias("@value"))))
         values["temporal"] = F.concat(F.lit("["), F.array_join(each, ","), F.lit("]"))
@@ -125,7 +122,7 @@ def record_nodes(
                 new = F.when(v.isNotNull(), _value(v, m["repeatable"]))
                 values[key] = F.coalesce(new, values[key]) if key in values else new
     pairs = [F.lit('"@type":"CreativeWork"')] + [F.concat(F.lit(json.dumps(k) + ":"), v) for k, v in values.items()]
-    return out.select(F.col("_rid").alias("record_id"), F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")).alias("node")), left_over
+    return out.select(F.col("_rid").alias("record_id"), F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")).alias("node"))
 
 
 def authority_nodes(entries: DataFrame) -> DataFrame:

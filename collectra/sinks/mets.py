@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import mapped
 from ..functions.text import split_values, utc_timestamp, xml_escape
 from ..operators.joins import lookup_join
-from .common import MAX_PER_RECORD, cell, collect_bounded
+from .common import cell, collected
 from .enriched_csv import result_cells
 from .import_xml import mapping_list
 
@@ -79,14 +79,13 @@ _GROUP = {"LOC": "0", "GPE": "0", "PER": "1", "ORG": "2"}
 
 def mods_records(
     df: DataFrame, mappings: DataFrame, mentions: DataFrame | None = None, dates: DataFrame | None = None, images: DataFrame | None = None,
-    id_column: str = "record_id", limit: int = MAX_PER_RECORD,
-) -> tuple[DataFrame, list[DataFrame]]:
-    """(``record_id, mods``; rows of records too large for one document)."""
+    id_column: str = "record_id",
+) -> DataFrame:
+    """``(record_id, mods)``: one record per row."""
     active = mapping_list(mappings)
-    out, left_over = df.withColumn("_rid", F.coalesce(F.col(id_column).cast("string"), F.lit(""))), []
+    out = df.withColumn("_rid", F.coalesce(F.col(id_column).cast("string"), F.lit("")))
     if images is not None:
-        values, large = collect_bounded(result_cells(images), ["record_id", "key"], "ord", ["value"], "_v", limit)
-        left_over.append(large)
+        values = collected(result_cells(images), ["record_id", "key"], "ord", ["value"], "_v")
         joined = values.withColumn("value", F.array_join(F.transform("_v", lambda p: p["value"]), "; "))
         maps = joined.groupBy(F.col("record_id").alias("_rid")).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_image"))
         out = lookup_join(out, maps, ["_rid"], "left")
@@ -111,19 +110,17 @@ def mods_records(
     if mentions is not None:
         kept = mentions.where("status <> 'rejected'").withColumn("_xml", _mention()).where("_xml IS NOT NULL")
         kept = kept.withColumn("_at", F.struct(mapped(F.col("entity_type"), _GROUP).alias("g"), "ord"))
-        arrays, large = collect_bounded(kept.withColumnRenamed("record_id", "_rid"), "_rid", "_at", ["_xml"], "_mentions", limit)
-        left_over.append(large)
+        arrays = collected(kept.withColumnRenamed("record_id", "_rid"), "_rid", "_at", ["_xml"], "_mentions")
         out = lookup_join(out, arrays, ["_rid"], "left")
         body.append(F.coalesce(F.array_join(F.transform("_mentions", lambda x: x["_xml"]), ""), F.lit("")))
     if dates is not None:
         kept = dates.where("edtf <> ''").withColumnRenamed("record_id", "_rid")
-        arrays, large = collect_bounded(kept, "_rid", "ord", ["edtf"], "_dates", limit)
-        left_over.append(large)
+        arrays = collected(kept, "_rid", "ord", ["edtf"], "_dates")
         out = lookup_join(out, arrays, ["_rid"], "left")
         each = F.transform("_dates", lambda d: tag("subject", tag("temporal", xml_escape(d["edtf"]), ' encoding="edtf"')))
         body.append(F.coalesce(F.array_join(each, ""), F.lit("")))
     xml = F.concat(F.lit('<mods:mods version="3.7">'), *body, F.lit("</mods:mods>"))
-    return out.select(F.col("_rid").alias("record_id"), xml.alias("mods")), left_over
+    return out.select(F.col("_rid").alias("record_id"), xml.alias("mods"))
 
 
 def write_mets(mods: DataFrame, path: str, label: str = "Export") -> None:
