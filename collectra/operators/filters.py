@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text
@@ -16,7 +16,7 @@ MAX_INLINE_IDS = 1000
 def apply_rules(df: DataFrame, rules: list[dict], id_column: str | None = None, record_ids: list[str] | DataFrame | None = None) -> DataFrame:
     """Keep listed records that meet every rule. ``contains`` is a
     case-insensitive regular expression; null never matches; rules on unknown
-    columns are ignored. A long id list comes as a frame and is joined."""
+    columns are ignored. Ids come as a frame or a list; a long list is joined."""
     if record_ids is not None and id_column in df.columns:
         if isinstance(record_ids, DataFrame):
             ids = record_ids.select(F.col(record_ids.columns[0]).cast("string").alias(id_column)).distinct()
@@ -24,8 +24,10 @@ def apply_rules(df: DataFrame, rules: list[dict], id_column: str | None = None,
         else:
             listed = [str(v) for v in record_ids if str(v).strip()]
             if len(listed) > MAX_INLINE_IDS:
-                raise ValueError("pass long id lists as a DataFrame")
-            df = df.where(F.col(quoted(id_column)).cast("string").isin(listed))
+                ids = df.sparkSession.createDataFrame([(v,) for v in listed], f"`{id_column}` string").distinct()
+                df = lookup_join(df, ids, [id_column], "left_semi")
+            else:
+                df = df.where(F.col(quoted(id_column)).cast("string").isin(listed))
     for rule in rules:
         if rule.get("column") not in df.columns:
             continue
@@ -90,13 +92,16 @@ def sorted_facets(counts: DataFrame) -> DataFrame:
 
 
 def id_page(df: DataFrame, id_column: str, search: str = "", offset: int = 0, limit: int = 200) -> DataFrame:
-    """A page of distinct ids in ascending order, one row beyond the limit
-    telling whether more follow (``has_more``)."""
-    limit = max(1, min(limit, 2000))
+    """A page of distinct ids in ascending order, with ``has_more`` telling
+    whether more follow: one row beyond the page is read for it."""
+    limit = max(1, limit)
     ids = df.select(F.col(quoted(id_column)).cast("string").alias("record_id")).where("record_id IS NOT NULL").distinct()
     if search:
         ids = ids.where(_contains(F.col("record_id"), search))
-    return ids.orderBy("record_id").offset(max(offset, 0)).limit(limit)
+    page = ids.orderBy("record_id").offset(max(offset, 0)).limit(limit + 1)
+    rank = Window.orderBy("record_id")  # over limit + 1 rows
+    return page.select("record_id", F.row_number().over(rank).alias("_n"), (F.count("*").over(Window.partitionBy()) > limit).alias("has_more")).where(
+        F.col("_n") <= limit).drop("_n")
 
 
 def id_total(df: DataFrame, id_column: str, search: str = "") -> DataFrame:

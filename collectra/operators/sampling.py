@@ -75,7 +75,7 @@ def spot_check(items: DataFrame, strategy: str = "random", n: int = 20, seed: in
         "low_confidence": [F.col("confidence"), F.col(key)],
         "by_type": [F.col("entity_type"), F.col(key)],
     }.get(strategy, [sample_order(key, seed)])
-    return pending.orderBy(*order).limit(min(n, 200))
+    return pending.orderBy(*order).limit(n)
 
 
 def chunk_numbers(df: DataFrame, order: str, size: int, cuts: int = 256) -> DataFrame:

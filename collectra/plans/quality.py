@@ -63,12 +63,10 @@ def ids_sql(n: int) -> str:
 
 
 TERMS = """CASE WHEN contains(value, ';') THEN string_split(value, ';') WHEN contains(value, '|') THEN string_split(value, '|') ELSE [value] END"""
-VARIANTS = """, few AS (
-SELECT dataset, "column" FROM freq WHERE value IS NOT NULL AND value <> '' GROUP BY ALL HAVING count(*) <= 1000),
-spelled AS (
+VARIANTS = """, spelled AS (
 SELECT dataset, "column", lower(form) AS canonical, form, cast(sum(cnt) AS BIGINT) AS cnt FROM (
   SELECT dataset, "column", cnt, regexp_replace(unnest(TERMS), '^\\s+|\\s+$', '', 'g') AS form
-  FROM freq JOIN few USING (dataset, "column") WHERE value IS NOT NULL AND value <> '') WHERE form <> '' GROUP BY ALL),
+  FROM freq WHERE value IS NOT NULL AND value <> '') WHERE form <> '' GROUP BY ALL),
 variants AS (
 SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY dataset, "column", canonical) AS forms FROM spelled) WHERE forms > 1)""".replace("TERMS", TERMS)
 

@@ -44,7 +44,8 @@ def facet_counts(spark, sf_dir):
     return filters.facet_counts(collection(spark, sf_dir), ["place", "subject"], **_VIEW)
 
 
-@query("record_id_page", f"""WITH {COLLECTION} SELECT DISTINCT record_id FROM collection WHERE contains(lower(record_id), 'c_1') ORDER BY record_id LIMIT 50 OFFSET 20""")
+@query("record_id_page", f"""WITH {COLLECTION}, ids AS (SELECT DISTINCT record_id FROM collection WHERE contains(lower(record_id), 'c_1'))
+SELECT record_id, (SELECT count(*) FROM ids) > 70 AS has_more FROM ids ORDER BY record_id LIMIT 50 OFFSET 20""")
 def record_id_page(spark, sf_dir):
     return filters.id_page(collection(spark, sf_dir), "record_id", "C_1", 20, 50)
 
