@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import DICTIONARY_TO_CODE, ENTITY_TO_DICTIONARY, authority_label, mapped
@@ -137,19 +137,32 @@ def type_counts(entries: DataFrame) -> DataFrame:
 def apply_changes(table: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Merge a change table (``op`` add, update or delete, ``ord``) by key.
 
-    Per key the last change counts. Updates overwrite the columns they fill,
-    deletes drop the row, adds need a new key. Returns the merged table and the
-    refused changes (additions of known keys, updates and deletes of unknown ones).
+    The changes of a key take effect in the order of ``ord``. Updates overwrite the
+    columns they fill, deletes drop the row, adds need a key that is not there at that
+    moment. Returns the merged table and the refused changes, ``(key, op)``.
+
+    After an add the row is there and after a delete it is not, refused or not, so
+    the nearest add or delete before a change tells whether it finds its row.
     """
-    last = best_row(changes, [key], [F.col("ord").desc()])
     columns = [c for c in table.columns if c != key]
-    delta = last.select(key, F.col("op").alias("_op"), *[
-        (F.col(c) if c in changes.columns else F.lit(None)).cast(table.schema[c].dataType).alias(f"_new_{c}") for c in columns
-    ])
-    known = table.withColumn("_known", F.lit(True))
-    both = known.join(delta, key, "full_outer")
-    keep = (F.col("_known") & F.coalesce(F.col("_op") != "delete", F.lit(True))) | (F.col("_known").isNull() & (F.col("_op") == "add"))
-    fresh = F.col("_known").isNull() | (F.coalesce(F.col("_op"), F.lit("")) == "update")
-    merged = both.where(keep).select(key, *[F.when(fresh, F.coalesce(f"_new_{c}", c)).otherwise(F.col(c)).alias(c) for c in columns])
-    refused = both.where((F.col("_known") & (F.col("_op") == "add")) | (F.col("_known").isNull() & (F.col("_op") != "add"))).select(key, F.col("_op").alias("op"))
-    return merged, refused
+    known = table.select(key).withColumn("_known", F.lit(True))
+    op, whole = F.col("op"), Window.partitionBy(key)
+    before = whole.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    there = F.when(op == "add", True).when(op == "delete", False)
+    steps = changes.join(known, key, "left").withColumn(
+        "_there", F.coalesce(F.last(there, ignorenulls=True).over(before), F.col("_known"), F.lit(False))
+    ).withColumn("_refused", (op == "add") == F.col("_there")).withColumn("_dropped", F.max(F.when(op == "delete", F.col("ord"))).over(whole))
+    alive = ~F.col("_refused") & (op != "delete") & F.coalesce(F.col("ord") > F.col("_dropped"), F.lit(True))
+    news = [
+        (F.max(F.when(alive & F.col(c).isNotNull(), F.struct("ord", F.col(c).alias("v"))))["v"] if c in changes.columns else F.lit(None)).cast(
+            table.schema[c].dataType)
+        for c in columns
+    ]
+    delta = steps.groupBy(key).agg(
+        F.max("_dropped").isNotNull().alias("_gone"), F.coalesce(F.bool_or(alive & (op == "add")), F.lit(False)).alias("_new"),
+        *[n.alias(f"_new_{c}") for n, c in zip(news, columns, strict=True)])
+    both = table.withColumn("_old", F.lit(True)).join(delta, key, "full_outer")
+    old = F.coalesce(F.col("_old"), F.lit(False)) & ~F.coalesce(F.col("_gone"), F.lit(False))
+    merged = both.where(old | F.coalesce(F.col("_new"), F.lit(False))).select(
+        key, *[F.coalesce(F.col(f"_new_{c}"), F.when(old, F.col(c))).alias(c) for c in columns])
+    return merged, steps.where("_refused").select(key, "op")

@@ -180,14 +180,21 @@ def dictionary_target(spark, sf_dir):
 
 
 @query("dictionary_changes", """WITH base AS (SELECT 's' || s_suppkey AS key, s_name AS term, s_nationkey AS n FROM supplier),
-ch AS (SELECT 's' || (p_partkey % 30) AS key, CASE p_partkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS op, p_name AS term, p_partkey AS ord FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 30 ORDER BY p_partkey DESC) = 1)
-SELECT key, CASE WHEN base.key IS NULL OR op = 'update' THEN coalesce(ch.term, base.term) ELSE base.term END AS term, n FROM base FULL JOIN ch USING (key)
-WHERE (base.key IS NOT NULL AND coalesce(op, '') <> 'delete') OR (base.key IS NULL AND op = 'add')""")
+raw AS (SELECT 's' || (p_partkey % 30) AS key, CASE (p_partkey // 30 + p_partkey) % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS op, p_name AS term, p_partkey AS ord FROM part),
+ch AS (SELECT * FROM raw WHERE ord % 7 <> 3 OR op <> 'delete'),
+line AS (SELECT ch.*, coalesce(last_value(CASE op WHEN 'add' THEN true WHEN 'delete' THEN false END IGNORE NULLS) OVER (PARTITION BY ch.key ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), base.key IS NOT NULL) AS there,
+  max(CASE WHEN op = 'delete' THEN ord END) OVER (PARTITION BY ch.key) AS gone FROM ch LEFT JOIN base USING (key)),
+live AS (SELECT * FROM line WHERE op <> 'delete' AND (op = 'add') <> there AND (gone IS NULL OR ord > gone)),
+last AS (SELECT key, max_by(term, ord) AS term, bool_or(op = 'add') AS made FROM live GROUP BY 1),
+dropped AS (SELECT DISTINCT key FROM line WHERE gone IS NOT NULL)
+SELECT key, coalesce(last.term, CASE WHEN dropped.key IS NULL THEN base.term END) AS term, CASE WHEN dropped.key IS NULL THEN n END AS n FROM base FULL JOIN last USING (key) LEFT JOIN dropped USING (key)
+WHERE (base.key IS NOT NULL AND dropped.key IS NULL) OR coalesce(made, false)""")
 def dictionary_changes(spark, sf_dir):
     base = inputs.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("key"), F.col("s_name").alias("term"), F.col("s_nationkey").alias("n"))
     p = inputs.table(spark, sf_dir, "part")
-    op = F.when(F.col("p_partkey") % 3 == 0, "add").when(F.col("p_partkey") % 3 == 1, "update").otherwise("delete")
-    changes = p.select(F.concat(F.lit("s"), (F.col("p_partkey") % 30).cast("string")).alias("key"), op.alias("op"), F.col("p_name").alias("term"), F.col("p_partkey").alias("ord"))
+    kind = (F.floor(F.col("p_partkey") / 30) + F.col("p_partkey")) % 3
+    op = F.when(kind == 0, "add").when(kind == 1, "update").otherwise("delete")
+    changes = p.where((F.col("p_partkey") % 7 != 3) | (op != "delete")).select(F.concat(F.lit("s"), (F.col("p_partkey") % 30).cast("string")).alias("key"), op.alias("op"), F.col("p_name").alias("term"), F.col("p_partkey").alias("ord"))
     return dictionary.apply_changes(base, changes, "key")[0]
 
 

@@ -31,19 +31,22 @@ def clean_table(df: DataFrame) -> DataFrame:
 def load_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, facts: list[dict] | None = None) -> DataFrame:
     """A file or folder of CSV files as one table of text columns.
 
-    Files are grouped by encoding and delimiter, each group is one scan, and
-    groups are united by column name. Nothing but names is inferred.
+    Files are grouped by encoding, delimiter and header line, so that a group
+    has one column order; each group is one scan, and groups are united by
+    column name. Encodings are decided file by file. Nothing but names is inferred.
     """
     facts = facts or file_facts(spark, path, SUFFIXES)
     if not facts:
         raise FileNotFoundError(f"no CSV, TSV or TXT files in {path}")
-    groups: dict[tuple[str, str], list[str]] = {}
+    claimed = [f["path"] for f in facts if f["encoding"] == "utf-8"]
+    broken = broken_utf8(spark, claimed) if claimed and not encoding else set()  # bytes beyond the first block decide
+    groups: dict[tuple[str, str, str], list[str]] = {}
     for f in facts:
-        groups.setdefault((encoding or f["encoding"], delimiter or f["delimiter"]), []).append(f["path"])
+        enc = encoding or ("cp1252" if f["path"] in broken else f["encoding"])
+        header = f["header"] if f.get("header") is not None else f["path"]  # a header too long to compare stands alone
+        groups.setdefault((enc, delimiter or f["delimiter"], header), []).append(f["path"])
     frames = []
-    for (enc, sep), files in sorted(groups.items()):
-        if not encoding and enc == "utf-8" and broken_utf8(spark, files):
-            enc = "cp1252"  # bytes beyond the first block decide
+    for (enc, sep, _), files in sorted(groups.items()):
         options = {"header": True, "sep": sep, "encoding": SPARK_NAMES.get(enc, enc), "multiLine": True, "escape": '"', "quote": '"'}
         raw = spark.read.options(**options).csv(files)
         frames.append(clean_table(from_latin1(raw) if enc == "cp1252" else raw))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +79,11 @@ def line_ending_of(raw: bytes) -> str:
 def facts_of(raw: bytes) -> dict:
     encoding, bom, warning = encoding_of(raw)
     text = raw.decode("utf-8-sig" if encoding == "utf-8" else encoding, errors="replace").lstrip("﻿")
-    return {"encoding": encoding, "has_bom": bom, "warning": warning or "", "delimiter": delimiter_of(text[:4096]), "line_ending": line_ending_of(raw)}
+    first, more, _ = text.partition("\n")
+    return {
+        "encoding": encoding, "has_bom": bom, "warning": warning or "", "delimiter": delimiter_of(text[:4096]), "line_ending": line_ending_of(raw),
+        "header": first.rstrip("\r") if more or len(raw) < HEAD_BYTES else None,  # None: longer than what was read
+    }
 
 
 def file_facts(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> list[dict]:
@@ -94,13 +99,19 @@ def file_facts(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -
         for batch in batches:
             yield pd.DataFrame([{"path": p, **facts_of(bytes(h))} for p, h in zip(batch["path"], batch["head"])])
 
-    schema = "path string, encoding string, has_bom boolean, warning string, delimiter string, line_ending string"
+    schema = "path string, encoding string, has_bom boolean, warning string, delimiter string, line_ending string, header string"
     return [r.asDict() for r in heads.mapInPandas(peek, schema).collect()]  # one small row per file
 
 
-def broken_utf8(spark: SparkSession, files: list[str]) -> bool:
-    """Does any line of these files hold bytes that are not UTF-8? Stops at the first."""
-    return not spark.read.text(files).where(~F.is_valid_utf8("value")).limit(1).isEmpty()
+def broken_utf8(spark: SparkSession, files: list[str]) -> set[str]:
+    """Those of the files that hold bytes which are not UTF-8 in any line."""
+    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file"))
+    broken = {_plain(unquote(r["file"])) for r in lines.where(~F.is_valid_utf8("value")).select("file").distinct().collect()}
+    return {f for f in files if _plain(f) in broken}
+
+
+def _plain(file: str) -> str:
+    return re.sub(r"^file:/+", "/", file)
 
 
 def root_format(raw: bytes) -> str:
@@ -120,11 +131,27 @@ def root_format(raw: bytes) -> str:
     return "unknown"
 
 
-def xml_format(spark: SparkSession, path: str) -> str:
+def xml_formats(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The XML files below a path by format; ``unknown`` also takes what has no element."""
     files = list_files(spark, path)
     if not files:
         raise FileNotFoundError(path)
-    return root_format(head(spark, files[0]))
+    out: dict[str, list[str]] = {}
+    for f in files:
+        try:
+            kind = root_format(head(spark, f))
+        except ValueError:
+            kind = "unknown"
+        out.setdefault(kind, []).append(f)
+    return out
+
+
+def xml_format(spark: SparkSession, path: str) -> str:
+    """The format of a file, or of all files of a folder; an error if they differ."""
+    found = xml_formats(spark, path)
+    if len(found) > 1:
+        raise ValueError(f"{path} holds files of several formats: {sorted(found)}")
+    return next(iter(found))
 
 
 def preview(spark: SparkSession, path: str, rows: int = 10) -> tuple[dict, DataFrame]:

@@ -1,10 +1,13 @@
 """Problem-term lists from CSV, TXT and JSON files."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .files import head, list_files
 
 # FIXED VALUES: words that mark a header row.
 HEADERS = ["term", "begriff", "wort", "word"]
@@ -20,9 +23,14 @@ def _finish(rows: DataFrame) -> DataFrame:
 
 def read_csv_terms(spark: SparkSession, path: str) -> DataFrame:
     """``term[,replacement[,category[,note]]]``; a header line is skipped."""
-    rows = spark.read.schema(SCHEMA).options(header=False, escape='"').csv(path)
-    ordered = rows.withColumn("ord", F.monotonically_increasing_id())
-    return _finish(ordered.where(~F.coalesce(F.lower(strip(F.col("term"))).isin(HEADERS), F.lit(False))))
+    groups: dict[bool, list[str]] = {}
+    for file in list_files(spark, path):
+        first = head(spark, file).decode("utf-8-sig", "replace").partition("\n")[0].split(",")[0]
+        groups.setdefault(first.strip().strip('"').strip().lower() in HEADERS, []).append(file)
+    if not groups:
+        raise FileNotFoundError(path)
+    frames = [spark.read.schema(SCHEMA).options(header=skip, escape='"').csv(files) for skip, files in sorted(groups.items())]
+    return _finish(reduce(DataFrame.unionByName, frames).withColumn("ord", F.monotonically_increasing_id()))
 
 
 def read_json_terms(spark: SparkSession, path: str) -> DataFrame:

@@ -3,8 +3,10 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import zipfile
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..operators.profile import Dataset, drop_empty_columns
 from .csv import describe
-from .files import xml_format
+from .files import xml_formats
 
 _S = "array<string>"
 MODS_SCHEMA = (
@@ -127,17 +129,34 @@ def load_lido(spark: SparkSession, path: str, keep_empty: bool = False) -> DataF
     return flat if keep_empty else drop_empty_columns(flat)
 
 
-def load_xml(spark: SparkSession, path: str) -> DataFrame:
-    kind = xml_format(spark, path)
-    if kind == "unknown":
-        raise ValueError(f"the root element is neither METS/MODS nor LIDO: {path}")
-    return load_lido(spark, path) if kind == "lido" else load_mods(spark, path)
+def load_xml(spark: SparkSession, path: str, skip_unknown: bool = False) -> DataFrame:
+    """All MODS and LIDO files below a path, united by column name. A file of another
+    kind is an error, or left out with ``skip_unknown`` (``xml_formats`` names it)."""
+    found = xml_formats(spark, path)
+    unknown = found.pop("unknown", [])
+    if unknown and not (skip_unknown and found):
+        raise ValueError(f"the root element is neither METS/MODS nor LIDO: {unknown[:20]}")
+    lido = found.pop("lido", [])
+    mods = [f for files in found.values() for f in files]
+    frames = [load(spark, files) for load, files in ((load_mods, mods), (load_lido, lido)) if files]
+    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1], allowMissingColumns=True)
 
 
 def ingest_xml(spark: SparkSession, path: str) -> tuple[Dataset, DataFrame]:
     return describe(load_xml(spark, path), os.path.splitext(os.path.basename(path.rstrip("/")))[0])
 
 
+def _decoded(raw: bytes) -> str:
+    """A well-formed document as text without comments, by its byte order mark or declaration."""
+    expat.ParserCreate().Parse(raw, True)
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        text = raw.decode("utf-16")
+    else:
+        declared = re.match(rb"""(?:\xef\xbb\xbf)?<\?xml[^>]*?encoding\s*=\s*["']([A-Za-z0-9._-]+)""", raw)
+        text = raw.decode(declared[1].decode() if declared and not raw.startswith(b"\xef\xbb\xbf") else "utf-8-sig")
+    return re.sub(r"<!--.*?-->", "", re.sub(r"^\s*<\?xml.*?\?>", "", text, flags=re.S), flags=re.S)
+
+
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
     """``(archive, member, xml, error)``: one row per XML file in the archives.
     Archives are spread over tasks; members are read one at a time."""
@@ -157,7 +176,7 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
                     try:
                         if zf.getinfo(name).file_size > MAX_MEMBER_BYTES:
                             raise ValueError("member is too large for one row")
-                        row = (archive, name, zf.read(name).decode("utf-8-sig"), None)
+                        row = (archive, name, _decoded(zf.read(name)), None)
                     except Exception as e:  # a bad member must not stop the archive
                         row = (archive, name, None, f"{type(e).__name__}: {e}")
                     yield pd.DataFrame([row], columns=columns)

@@ -199,3 +199,35 @@ def test_enriched_globals_and_csv(spark, tmp_path):
     common.write_csv(df, str(tmp_path / "csv"), bom=True)
     raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "csv").glob("*.csv")))
     assert raw.startswith(b"\xef\xbb\xbf") and b" x" in raw
+
+
+def test_changes_in_order_against_a_fold(spark):
+    import random
+
+    rng = random.Random(3)
+    base = {f"k{i}": {"term": f"t{i}", "n": i} for i in range(12)}
+    changes = [(f"k{rng.randrange(20)}", rng.choice(["add", "update", "delete"]), rng.choice([None, f"c{i}"]), rng.choice([None, 100 + i]), i) for i in range(150)]
+    rows, refused = {k: dict(v) for k, v in base.items()}, []
+    for key, op, term, n, _ in changes:
+        if (op == "add") == (key in rows):
+            refused.append((key, op))
+        elif op == "delete":
+            del rows[key]
+        elif op == "add":
+            rows[key] = {"term": term, "n": n}
+        else:
+            rows[key].update({k: v for k, v in (("term", term), ("n", n)) if v is not None})
+    table = spark.createDataFrame([(k, v["term"], v["n"]) for k, v in base.items()], "key string, term string, n int")
+    merged, left = dictionary.apply_changes(table, spark.createDataFrame(changes, "key string, op string, term string, n int, ord int"), "key")
+    assert {r["key"]: {"term": r["term"], "n": r["n"]} for r in merged.collect()} == rows
+    assert sorted(tuple(r) for r in left.collect()) == sorted(refused)
+
+
+def test_one_image_per_name(spark):
+    from collectra.operators import images
+
+    records = spark.createDataFrame([(1, "a/scan1.jpg"), (2, "b/SCAN1.JPG"), (3, None)], "id int, path string")
+    files = spark.createDataFrame([("i1", "x/scan1.jpg", 1), ("i2", "y/scan1.jpg", 2)], "image_id string, filename string, ord int")
+    linked = images.link_records(records, "path", files)
+    assert sorted((r["id"], r["image_id"]) for r in linked.collect()) == [(1, "i2"), (2, "i2"), (3, None)]
+    assert tuple(images.link_counts(linked).first()) == (2, 3)

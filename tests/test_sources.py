@@ -109,3 +109,42 @@ def test_incremental_goes_on(spark, tmp_path):
     frame.limit(3).coalesce(1).write.mode("append").parquet(source)
     again = incremental.run_incremental(spark, source, schema, lambda df: df.select(F.raise_error(F.lit("x")).alias("a")), out, 2).first()
     assert (again["processed_rows"], again["error_rows"]) == (23, 3) and incremental.results(spark, out).count() == 20
+
+
+def test_headers_and_encodings_by_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,title\n1,Alpha\n")
+    (tmp_path / "b.csv").write_text("title,id\nBeta,2\n")
+    (tmp_path / "c.csv").write_bytes("id,title\n3,Müller\n".encode())
+    (tmp_path / "d.csv").write_bytes(b"id,title\n" + b"".join(b"%d,x\n" % i for i in range(10, 3000)) + "4,Zürich\n".encode("cp1252"))
+    got = {r["id"]: r["title"] for r in csv.load_csv(spark, str(tmp_path)).collect()}
+    assert (got["1"], got["2"], got["3"], got["4"]) == ("Alpha", "Beta", "Müller", "Zürich") and len(got) == 2994
+
+
+def test_mixed_xml_folder(spark, tmp_path):
+    (tmp_path / "m.xml").write_text(MODS)
+    (tmp_path / "l.xml").write_text(
+        '<lido:lido xmlns:lido="http://www.lido-schema.org"><lido:administrativeMetadata><lido:recordWrap><lido:recordID>L1</lido:recordID>'
+        "</lido:recordWrap></lido:administrativeMetadata></lido:lido>")
+    df = xml.load_xml(spark, str(tmp_path))
+    assert df.count() == 3 and {r["record_id"] for r in df.collect()} >= {"L1"}
+    (tmp_path / "x.xml").write_text("<other/>")
+    with pytest.raises(ValueError):
+        xml.load_xml(spark, str(tmp_path))
+    assert xml.load_xml(spark, str(tmp_path), skip_unknown=True).count() == 3
+
+
+def test_zip_members_by_their_own_rules(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as zf:
+        zf.writestr("good.xml", MODS)
+        zf.writestr("broken.xml", "<mods><titleInfo><title>x</mods>")
+        zf.writestr("commented.xml", "<list><!-- <mods><titleInfo><title>no</title></titleInfo></mods> --><mods><titleInfo><title>yes</title></titleInfo></mods></list>")
+        zf.writestr("latin.xml", '<?xml version="1.0" encoding="ISO-8859-1"?><mods><titleInfo><title>Zürich</title></titleInfo></mods>'.encode("latin-1"))
+    rows, rejects = xml.load_zip(spark, str(tmp_path))
+    assert {r["title"] for r in rows.collect()} == {"Ansicht von Berlin", "Zweites", "yes", "Zürich"}
+    assert [r["member"] for r in rejects.collect()] == ["broken.xml"]
+
+
+def test_only_the_first_line_is_a_header(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("term,replacement\nalt,neu\nwort,begriff\n")
+    (tmp_path / "u.csv").write_text("kurz,lang\nterm,x\n")
+    assert {r["term"] for r in terms.read_csv_terms(spark, str(tmp_path)).collect()} == {"alt", "wort", "kurz", "term"}
