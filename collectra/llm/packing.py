@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import table, texts
+from .common import blobs, table, texts
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -28,7 +28,7 @@ class WordIds(dict):
     its words' ids in order. Latin-1 words of letters only, with or without closing
     marks, go straight to the merge model; all others take the whole tokenizer."""
 
-    LIMIT, LONGEST = 500_000, 64
+    LIMIT, LONGEST = 1_000_000, 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -36,21 +36,23 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {i: as_bytes(chr(i))[0][0] for i in range(256) if chr(i).isalpha()}
 
     def _encode(self, word: str) -> bytes:
         if word.isalpha() and ord(max(word)) < 256:
-            found = [t.id for t in self.tokenizer.model.tokenize(self.letters(word.lower())[0][0])]
+            found = [t.id for t in self.tokenizer.model.tokenize(word.lower().translate(self.letters))]
         else:
             found = self.tokenizer.encode(word, add_special_tokens=False).ids
         return np.array(found, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(".,;:!?")
-        if core != word and core.isalpha() and ord(max(core)) < 256:
-            found = self[core.lower()] + self[word[len(core):]]
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(b".,;:!?")
+        text = core.decode()
+        if core != word and text.isalpha() and ord(max(text)) < 256:
+            found = self[text.lower().encode()] + self[word[len(core):]]
         else:
-            found = self._encode(word)
+            found = self._encode(word.decode())
         if len(word) <= self.LONGEST:
             if len(self) >= self.LIMIT:
                 self.clear()
@@ -58,16 +60,14 @@ class WordIds(dict):
         return found
 
 
-ASCII_SPACE = str.maketrans("\t\n\v\f\r", "     ")
-_IDS: dict[str, WordIds] = {}
-
-
-def token_ids(text: str, path: str) -> bytes:
-    """The packed ids of a text, then the end id."""
-    if path not in _IDS:
-        _IDS[path] = WordIds(path)
-    words = [w for w in text.translate(ASCII_SPACE).split(" ") if w]
-    return b"".join(map(_IDS[path].__getitem__, words)) + END_ID.to_bytes(4, "little")
+def token_ids(text: bytes, path: str) -> bytes:
+    """The packed ids of a text, then the end id. The words met so far stay with the
+    worker process, for its next tasks too: they hang on an installed module, as the
+    functions of this package travel by value and begin anew with each task."""
+    kept = vars(public_tokenizers).setdefault("word_ids", {})
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return b"".join(map(kept[path].__getitem__, text.split())) + END_ID.to_bytes(4, "little")
 
 
 def pieces(docs: DataFrame, size: int = 4096, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,8 +79,8 @@ def pieces(docs: DataFrame, size: int = 4096, path: str | None = None, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = token_ids(text.as_py(), path)
+            for key, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
+                ids = token_ids(text, path)
                 for i, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at:at + 4 * size]
                     rows.append((key, i, at // 4, len(part) // 4, zlib.crc32(part)))
