@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text, parse_json, strip
+from ..session import cut_lineage, exists
 from .joins import lookup_join
+from .profile import quoted
 
 RESULT = "success boolean, response string, error string, error_type string, duration double"
 Answer = Callable[[list[dict]], list[str]]
@@ -62,6 +64,30 @@ def with_parsed(results: DataFrame) -> DataFrame:
     )
 
 
+def answer_table(items: DataFrame, answer: Answer, prompt: str = "", path: str | None = None, **run) -> DataFrame:
+    """Items with their parsed answers, written once: every later step reads the table,
+    so no item is asked twice and all steps see the same answer.
+
+    ``item_key`` is a hash of ``prompt`` and the item. With a ``path`` the table
+    outlives the run: a rerun asks only for items whose key has no successful answer
+    there, and its rows are added."""
+    spark = items.sparkSession
+    content = F.to_json(F.struct(*[F.col(quoted(c)) for c in items.columns]))
+    keyed = items.withColumn("item_key", F.sha2(F.concat_ws("\n", F.lit(prompt), content), 256))
+    if path is None:
+        return cut_lineage(with_parsed(run_items(keyed, answer, **run)))
+    todo = keyed
+    if exists(spark, path):
+        todo = pending_items(keyed, spark.read.parquet(path).where("success").select("item_key"), ["item_key"])
+    with_parsed(run_items(todo, answer, **run)).write.mode("append").parquet(path)
+    # a failed item that was asked again has a row for each try; the best one counts
+    found = spark.read.parquet(path)
+    found = found.join(keyed.select("item_key").distinct(), "item_key", "left_semi")
+    best = found.groupBy("item_key").agg(F.max(F.col("success").cast("int")).alias("_best"))
+    return found.join(best, "item_key").where(F.col("success").cast("int") == F.col("_best")).drop("_best").select(
+        *keyed.columns, *[c for c in found.columns if c not in keyed.columns])
+
+
 def pending_items(items: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Items a stopped run still has to answer."""
     return lookup_join(items, done.select(*keys).distinct(), keys, "left_anti")

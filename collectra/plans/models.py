@@ -54,7 +54,7 @@ _NOTES = COLLECTION + ", n AS (SELECT record_id, note FROM collection WHERE note
   count(*) FILTER (starts_with(note, 'Das')) AS parse_failed, count(*) FILTER (NOT contains(note, 'Kutschen')) / count(*) AS success_rate FROM n""")
 def model_batch_report(spark, sf_dir):
     items = mc.text_items(collection(spark, sf_dir), ["note"], "record_id")
-    return batch.batch_report(batch.with_parsed(batch.run_items(items, tagger))).drop("avg_duration")
+    return batch.batch_report(batch.answer_table(items, tagger)).drop("avg_duration")
 
 
 @query("model_completion", f"""WITH {_NOTES}, s AS (SELECT count(*) AS total_records, (SELECT count(DISTINCT record_id) FROM n WHERE starts_with(note, 'Kutsche')) AS succeeded, count(*) FILTER (contains(note, 'Kutschen')) AS llm_failed,
@@ -67,7 +67,7 @@ def model_completion(spark, sf_dir):
 
 @query("model_parse_failures", f"""WITH {_NOTES} SELECT record_id, 'no json' AS raw_response_preview, 'JSON parse failed' AS error_message FROM n WHERE starts_with(note, 'Das')""")
 def model_parse_failures(spark, sf_dir):
-    return batch.parse_failures(batch.with_parsed(batch.run_items(mc.text_items(collection(spark, sf_dir), ["note"], "record_id"), tagger)))
+    return batch.parse_failures(batch.answer_table(mc.text_items(collection(spark, sf_dir), ["note"], "record_id"), tagger))
 
 
 _WORDS = COLLECTION + """, w AS (SELECT record_id, 'title' AS source_column, trim(unnest(string_split(title, ' ')), '.,;:()"') AS text FROM collection WHERE title IS NOT NULL)"""
@@ -85,12 +85,7 @@ SELECT record_id, text, entity_type, CASE WHEN a.text IS NULL THEN 'llm' WHEN b.
 def hybrid_mentions(spark, sf_dir):
     df = collection(spark, sf_dir)
     known = spark.createDataFrame([("Ansicht", "PER", 0)], "term string, entity_type string, ord int")
-    order = F.struct(F.col("record_id"), F.col("source_column"), F.lit(0).alias("pos"))
-    rules = entities.gazetteer_mentions(profile.cells(df, "record_id", ["title"]), known).withColumn("reasoning", F.lit("")).withColumn("ord", order)
-    model = mc.extract_mentions(mc.text_items(df, ["title"], "record_id"), tagger)[0]
-    columns = ["record_id", "source_column", "text", "entity_type", "confidence", "source", "ord"]
-    merged = entities.merge_extractions(rules.select(*columns), model.select(*columns), by=["record_id", "source_column", "text", "entity_type"])
-    return merged.select("record_id", "text", "entity_type", "source")
+    return mc.extract_hybrid(df, ["title"], known, tagger).select("record_id", "text", "entity_type", "source")
 
 
 _HYBRID = DATES_SQL + """, hyb AS (SELECT record_id, ord, original, CASE WHEN edtf IS NOT NULL THEN edtf WHEN ord % 2 = 1 THEN '19XX' ELSE '' END AS edtf, CASE WHEN edtf IS NULL THEN 'llm' ELSE 'rule' END AS method FROM edtf)"""
@@ -112,7 +107,7 @@ j AS (SELECT *, CASE WHEN contains(value, ';') AND contains(value, ',') THEN 'se
 
 def _judged(spark, sf_dir):
     items = mc.cell_items(collection(spark, sf_dir), "record_id", ["place", "subject"])
-    return mc.cell_findings(batch.with_parsed(batch.run_items(items, judge)))
+    return mc.cell_findings(batch.answer_table(items, judge))
 
 
 @query("model_cell_findings", f"""WITH {_JUDGED} SELECT record_id, "column", value, CASE issue_type WHEN 'generic' THEN 'low_information_value' ELSE 'field_misuse' END AS category,
@@ -131,13 +126,13 @@ _COLS = COLLECTION + """, c AS (SELECT 'place' AS "column", place AS value FROM
 @query("model_column_reports", f"""WITH {_COLS} SELECT "column", 100.0::DOUBLE - least(50, count(DISTINCT value)) AS field_purity_score, count(value) < count(*) AS review_required FROM c GROUP BY 1""")
 def model_column_reports(spark, sf_dir):
     items = mc.column_items(collection(spark, sf_dir), ["place", "subject", "creator"])
-    return mc.column_reports(batch.with_parsed(batch.run_items(items, purity))).select("column", "field_purity_score", "review_required")
+    return mc.column_reports(batch.answer_table(items, purity)).select("column", "field_purity_score", "review_required")
 
 
 @query("model_issue_summary", f"""WITH {_JUDGED}, f AS (SELECT * FROM j WHERE issue_type <> 'likely_correct') SELECT 'issue_type' AS kind, issue_type AS name, count(*)::DOUBLE AS n FROM f GROUP BY 2
 UNION ALL SELECT 'column', "column", count(*) FROM f GROUP BY 2 UNION ALL SELECT 'purity', "column", 100.0 - least(50, count(DISTINCT value)) FROM c GROUP BY 2""")
 def model_issue_summary(spark, sf_dir):
-    reports = mc.column_reports(batch.with_parsed(batch.run_items(mc.column_items(collection(spark, sf_dir), ["place", "subject"]), purity)))
+    reports = mc.column_reports(batch.answer_table(mc.column_items(collection(spark, sf_dir), ["place", "subject"]), purity))
     return mc.issue_summary(_judged(spark, sf_dir), reports)
 
 
@@ -154,7 +149,7 @@ def coherence(items: list[dict]) -> list[str]:
 WHERE title IS NOT NULL OR place IS NOT NULL""")
 def model_record_reports(spark, sf_dir):
     items = mc.record_items(collection(spark, sf_dir), "record_id", ["title", "place"])
-    return mc.record_reports(batch.with_parsed(batch.run_items(items, coherence))).select("record_id", "severity", F.size("issues").alias("n_issues"))
+    return mc.record_reports(batch.answer_table(items, coherence)).select("record_id", "severity", F.size("issues").alias("n_issues"))
 
 
 def scanner(items: list[dict]) -> list[str]:
@@ -165,7 +160,7 @@ def scanner(items: list[dict]) -> list[str]:
 SELECT record_id, 'Kutsche' AS term, 'low' AS severity FROM s WHERE contains(note, 'Kutsche')""")
 def model_problem_terms(spark, sf_dir):
     items = mc.term_items(collection(spark, sf_dir), "record_id")
-    return mc.problem_terms(batch.with_parsed(batch.run_items(items, scanner))).select("record_id", "term", "severity")
+    return mc.problem_terms(batch.answer_table(items, scanner)).select("record_id", "term", "severity")
 
 
 def classifier(items: list[dict]) -> list[str]:
@@ -181,7 +176,7 @@ _PARTS = COLLECTION + ", p AS (SELECT record_id, trim(unnest(string_split(subjec
 
 @query("subject_classification", f"""WITH {_PARTS} SELECT 'unclassified' AS kind, record_id, term FROM p WHERE regexp_matches(term, '^\\p{{Ll}}') UNION ALL SELECT 'doubtful', record_id, term FROM p WHERE length(term) < 5""")
 def subject_classification(spark, sf_dir):
-    parsed = batch.with_parsed(batch.run_items(mc.text_items(collection(spark, sf_dir), ["subject"], "record_id"), classifier))
+    parsed = batch.answer_table(mc.text_items(collection(spark, sf_dir), ["subject"], "record_id"), classifier)
     loose, doubtful = mc.subject_terms(parsed)
     return loose.withColumn("kind", F.lit("unclassified")).unionByName(doubtful.withColumn("kind", F.lit("doubtful")))
 
@@ -189,7 +184,7 @@ def subject_classification(spark, sf_dir):
 @query("subject_findings", f"""WITH {_PARTS} SELECT 'warning' AS severity, (SELECT count(*) FROM p WHERE regexp_matches(term, '^\\p{{Ll}}')) || ' terms could not be classified' AS message
 UNION ALL SELECT 'info', 'Semantic classification: ' || count(subject) || '/' || count(subject) || ' records' FROM collection""")
 def subject_findings(spark, sf_dir):
-    parsed = batch.with_parsed(batch.run_items(mc.text_items(collection(spark, sf_dir), ["subject"], "record_id"), classifier))
+    parsed = batch.answer_table(mc.text_items(collection(spark, sf_dir), ["subject"], "record_id"), classifier)
     return mc.subject_findings(parsed, "subject").select("severity", "message")
 
 
@@ -199,14 +194,28 @@ def transcription_mentions(spark, sf_dir):
     return mc.extract_mentions(items, tagger)[0].select("record_id", "source_column", "text")
 
 
-@query("page_mentions", """WITH pages AS (SELECT conv_id AS doc_id, turn AS page, CASE WHEN turn % 3 = 2 THEN '[… leer]' ELSE 'Seite Bern Bern Genf' END AS text FROM conversations)
-SELECT DISTINCT cast(doc_id AS VARCHAR) AS doc_id, unnest(['Seite', 'Bern', 'Genf']) AS text FROM pages WHERE NOT starts_with(text, '[…')""")
+@query("page_mentions", """WITH pages AS (SELECT conv_id AS doc_id, turn AS page, text FROM conversations WHERE turn % 3 <> 2 AND text IS NOT NULL AND NOT starts_with(text, 'Das')),
+w AS (SELECT doc_id, trim(unnest(string_split_regex(text, '\\s+')), '.,;:()"') AS text FROM pages)
+SELECT DISTINCT cast(doc_id AS VARCHAR) AS doc_id, text FROM w WHERE regexp_matches(text, '^\\p{Lu}')""")
 def page_mentions(spark, sf_dir):
     c = inputs.table(spark, sf_dir, "conversations")
-    pages = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.when(F.col("turn") % 3 == 2, "[… leer]").otherwise("Seite Bern Bern Genf").alias("text"))
+    marked = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("[… leer] "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    pages = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), marked.alias("text"))
     return mc.page_mentions(pages, tagger)[0].select("doc_id", "text")
 
 
+@query("model_rerun_skips", f"""WITH {_NOTES}, k AS (SELECT count(*) AS n, count(*) FILTER (contains(note, 'Kutschen')) AS failed FROM n)
+SELECT 'first' AS run, n AS asked FROM k UNION ALL SELECT 'second', failed FROM k""")
+def model_rerun_skips(spark, sf_dir):
+    """A second run asks again for the items that failed, and for no others."""
+    path = scratch_path(spark, "answers")
+    items = mc.text_items(collection(spark, sf_dir), ["note"], "record_id")
+    once = batch.answer_table(items, tagger, "names", path).count()
+    batch.answer_table(items, tagger, "names", path)
+    total = spark.read.parquet(path).agg(F.count("*").alias("n"))
+    return total.select(F.stack(F.lit(2), F.lit("first"), F.lit(once).cast("long"), F.lit("second"), F.col("n") - F.lit(once)).alias("run", "asked"))
+
+
 @query("page_labels", f"""WITH {_I} SELECT CASE WHEN analyzed IS FALSE THEN 'error' WHEN coalesce(try_cast(json_extract_string(result, '$.confidence') AS DOUBLE), 0) >= 0.7 THEN 'high' ELSE 'low' END AS label, count(*) AS n FROM images GROUP BY 1""")
 def page_labels(spark, sf_dir):
     from .export import image_confidence

@@ -45,6 +45,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a table or file at this path, in whatever store it names?"""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back. The rows survive
     lost executors, are computed once, and the next plan knows their size."""

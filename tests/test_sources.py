@@ -148,3 +148,23 @@ def test_only_the_first_line_is_a_header(spark, tmp_path):
     (tmp_path / "t.csv").write_text("term,replacement\nalt,neu\nwort,begriff\n")
     (tmp_path / "u.csv").write_text("kurz,lang\nterm,x\n")
     assert {r["term"] for r in terms.read_csv_terms(spark, str(tmp_path)).collect()} == {"alt", "wort", "kurz", "term"}
+
+
+def test_each_item_is_asked_once(spark, tmp_path):
+    log = tmp_path / "asked"
+
+    def answer(items):
+        with open(log, "a") as fh:
+            fh.write("x\n" * len(items))
+        return ['{"unclassified": ["a"], "classifications": [{"term": "b", "confidence": 0.1}]}'] * len(items)
+
+    items = spark.createDataFrame([(str(i), "subject", f"t{i}") for i in range(10)], "record_id string, source_column string, text string")
+    parsed = batch.answer_table(items, answer)
+    model_checks.subject_findings(parsed, "subject").collect()
+    model_checks.subject_findings(parsed, "subject").count()
+    assert log.read_text().count("x") == 10
+    path = str(tmp_path / "answers")
+    assert batch.answer_table(items.limit(4), answer, "p", path).count() == 4
+    assert batch.answer_table(items, answer, "p", path).count() == 10 and log.read_text().count("x") == 20
+    batch.answer_table(items, answer, "other prompt", path)
+    assert log.read_text().count("x") == 30
