@@ -11,12 +11,10 @@ which are review-sized:
 * a cell then needs only the last correction of its record and, without one,
   the first correction of its value: two lookups per corrected column.
 
-The log follows groups of equal cells, not cells, along the same pointers.
+The log follows groups of equal cells, not cells, along the same pointers, also by doubling.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +88,39 @@ def _long(df: DataFrame, id_column: str | None, columns: list[str]) -> DataFrame
     return df.select(item.alias("item_id"), F.explode(cells).alias("c")).select("item_id", "c.*")
 
 
+def _jumps(values: DataFrame) -> list[DataFrame]:
+    """Tables ``(rid, ptr)`` of the rule 1, 2, 4, ... steps ahead; as many as the
+    longest chain has binary digits."""
+    table = cut_lineage(values.where("nxt IS NOT NULL").select("rid", F.col("nxt").alias("ptr")))
+    out = []
+    while not table.isEmpty():
+        out.append(table)
+        ahead = table.select(F.col("rid").alias("ptr"), F.col("ptr").alias("_p"))
+        table = cut_lineage(table.join(ahead, "ptr").select("rid", F.col("_p").alias("ptr")))
+    return out
+
+
+def _ends(starts: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """Add ``end``: the last rule of the chain from ``rid`` that comes before ``until``."""
+    out = starts.withColumn("end", F.col("rid"))
+    for table in reversed(jumps):
+        ahead = table.select(F.col("rid").alias("end"), "ptr")
+        out = out.join(ahead, "end", "left").withColumn("end", F.when(F.col("ptr") < F.col("until"), F.col("ptr")).otherwise(F.col("end"))).drop("ptr")
+    return out
+
+
+def _along(paths: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """``(rid, n_cells)``: what paths add to each rule they pass. A path counts from its
+    first rule and is taken off behind its last; sums over all that leads to a rule
+    then double their reach with every table."""
+    off = paths.where("nxt IS NOT NULL").select(F.col("nxt").alias("rid"), (-F.col("cnt")).alias("n"))
+    sums = cut_lineage(paths.select("rid", F.col("cnt").alias("n")).unionByName(off).groupBy("rid").agg(F.sum("n").alias("n")))
+    for table in jumps:
+        moved = sums.join(table, "rid").select(F.col("ptr").alias("rid"), "n")
+        sums = cut_lineage(sums.unionByName(moved).groupBy("rid").agg(F.sum("n").alias("n")))
+    return sums.withColumnRenamed("n", "n_cells")
+
+
 def _log(df: DataFrame, rules: DataFrame, first: DataFrame, id_column: str | None, columns: list[str]) -> DataFrame:
     """Cells each rule changed and, for rules by id, the value before."""
     cells = _long(df, id_column, columns)
@@ -116,21 +147,13 @@ def _log(df: DataFrame, rules: DataFrame, first: DataFrame, id_column: str | Non
     before = before.withColumn("_v", F.when(F.col("prev_rid").isNull(), F.col("v0")).otherwise(F.col("prev_to"))).withColumn(
         "_r", F.when(F.col("prev_rid").isNull(), F.col("_first")).otherwise(F.col("prev_nxt")))
     frontier = frontier.unionByName(before.select(F.col("rid").alias("owner"), F.col("_r").alias("rid"), F.col("rid").alias("until"), F.lit(0).cast("long").alias("cnt")))
-    values = rules.where("kind = 'value'").select("rid", F.col("to").alias("to"), "nxt")
-    frontier = cut_lineage(frontier.where("rid IS NOT NULL AND rid < until"))
-    hops = []
-    while not frontier.isEmpty():
-        hop = cut_lineage(frontier.join(values, "rid"))
-        hops.append(hop)
-        frontier = cut_lineage(
-            hop.where("nxt IS NOT NULL AND nxt < until").groupBy("owner", F.col("nxt").alias("rid"), "until").agg(F.sum("cnt").alias("cnt"))
-        )
-    empty = before.select(none.alias("owner"), none.alias("rid"), none.alias("cnt"), F.lit(None).cast("string").alias("to")).limit(0)
-    passed = reduce(DataFrame.unionByName, [h.select("owner", "rid", "cnt", "to") for h in hops], empty)
-    counts = passed.where("owner IS NULL").groupBy("rid").agg(F.sum("cnt").alias("n_cells"))
-    reached = passed.where("owner IS NOT NULL").groupBy(F.col("owner").alias("rid")).agg(F.max_by("to", "rid").alias("_to"), F.count("*").alias("_hops"))
+    values = cut_lineage(rules.where("kind = 'value'").select("rid", F.col("to").alias("to"), "nxt"))
+    jumps = _jumps(values)
+    ends = cut_lineage(_ends(frontier.where("rid IS NOT NULL AND rid < until"), jumps).join(values.withColumnRenamed("rid", "end"), "end"))
+    counts = _along(ends.where("owner IS NULL"), jumps)
+    reached = ends.where("owner IS NOT NULL").select(F.col("owner").alias("rid"), F.col("to").alias("_to"), F.lit(True).alias("_moved"))
     by_id = before.join(reached, "rid", "left").select(
-        "rid", F.col("cnt").alias("n_cells"), F.when(F.col("_hops") > 0, F.col("_to")).otherwise(F.col("_v")).alias("original")
+        "rid", F.col("cnt").alias("n_cells"), F.when(F.col("_moved"), F.col("_to")).otherwise(F.col("_v")).alias("original")
     )
     by_value = rules.where("kind = 'value'").join(counts.where("n_cells > 0"), "rid").select("rid", "n_cells", F.col("from").alias("original"))
     batch = F.col("action_type") == "normalize_label"
@@ -142,9 +165,10 @@ def _log(df: DataFrame, rules: DataFrame, first: DataFrame, id_column: str | Non
 
 
 def apply_suggestions(
-    df: DataFrame, suggestions: DataFrame, id_column: str | None = None, dry_run: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """(corrected table, change log) of all accepted suggestions in ``seq`` order.
+    df: DataFrame, suggestions: DataFrame, id_column: str | None = None, dry_run: bool = False, log: bool = True
+) -> tuple[DataFrame, DataFrame | None]:
+    """(corrected table, change log) of all accepted suggestions in ``seq`` order;
+    without ``log`` only the table is worked out.
 
     A dry run returns the table as it is and the suggestions it would apply.
     New target columns start empty. Splits are advice only and change nothing.
@@ -166,9 +190,9 @@ def apply_suggestions(
     )
     out = df.withColumns({c: F.lit("") for c in made})
     if not columns:
-        return out, logged_only
+        return out, logged_only if log else None
     first = cut_lineage(rules.where("kind = 'value'").groupBy("column", "from").agg(F.min("rid").alias("rid"), F.min_by("final", "rid").alias("final")))
-    log = _log(df, rules, first, id_column, columns)
+    changes = _log(df, rules, first, id_column, columns).unionByName(logged_only) if log else None
     if id_column:
         last = rules.where("kind = 'id'").groupBy("item_id", "column").agg(F.max_by("final", "rid").alias("final"))
         per_item = last.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("final")))).alias("_set"))
@@ -186,7 +210,7 @@ def apply_suggestions(
         else:
             by_value = F.col(quoted(c))
         out = out.withColumn("_new", F.when(by_id.isNotNull(), by_id["final"]).otherwise(by_value)).drop("_hit").withColumn(c, F.col("_new")).drop("_new")
-    return out.select(*df.columns, *made), log.unionByName(logged_only)
+    return out.select(*df.columns, *made), changes
 
 
 def mark_applied(suggestions: DataFrame) -> DataFrame:

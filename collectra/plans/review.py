@@ -115,9 +115,9 @@ def gate_status(spark, sf_dir):
 
 # ---- corrections: the value-level steps of the derived suggestions ----------
 
-def _applied(spark, sf_dir):
+def _applied(spark, sf_dir, log=True):
     df = inputs.derive(spark, sf_dir, "labelled").drop("ord")
-    return remediation.apply_suggestions(df, inputs.derive(spark, sf_dir, "suggestions"))
+    return remediation.apply_suggestions(df, inputs.derive(spark, sf_dir, "suggestions"), log=log)
 
 
 # Fold over the accepted suggestions of one column, in order, per record.
@@ -133,7 +133,7 @@ done AS (SELECT f, record_id, CASE WHEN rs IS NULL THEN v ELSE list_reduce(list_
 
 @query("corrected_records", f"""WITH {_FOLD} SELECT record_id, max(v) FILTER (f = 'subject') AS subject, max(v) FILTER (f = 'source') AS source, max(v) FILTER (f = 'subject_new') AS subject_new FROM done GROUP BY 1""")
 def corrected_records(spark, sf_dir):
-    return _applied(spark, sf_dir)[0].select("record_id", "subject", "source", "subject_new")
+    return _applied(spark, sf_dir, log=False)[0].select("record_id", "subject", "source", "subject_new")
 
 
 @query("change_log_logged_only", f"WITH {inputs.cte('suggestions')} SELECT suggestion_id, item_id AS record_id, action_type FROM suggestions WHERE status = 'accepted' AND action_type IN ('flag_for_authority_lookup', 'leave_unchanged_mark_uncertain')")
@@ -141,7 +141,17 @@ def change_log_logged_only(spark, sf_dir):
     return _applied(spark, sf_dir)[1].where("n_cells = 0").select("suggestion_id", "record_id", "action_type")
 
 
-@query("change_log")
+_STEP = """lambda a, r: CASE WHEN r[1] = chr(1) THEN substr(r, 2) WHEN r[1] = chr(2) AND a = split_part(substr(r, 2), chr(3), 1) THEN split_part(substr(r, 2), chr(3), 2) ELSE a END"""
+
+
+@query("change_log", f"""WITH {_FOLD}, steps AS (SELECT f, record_id, v, rs, unnest(generate_series(1, len(rs))) AS i FROM touched WHERE rs IS NOT NULL),
+states AS (SELECT f, rs[i] AS r, CASE WHEN i = 1 THEN v ELSE list_reduce(list_prepend(v, list_transform(rs[1:i - 1], lambda r: CASE WHEN r.rec IS NOT NULL THEN chr(1) || r.new ELSE chr(2) || r.old || chr(3) || r.new END)), {_STEP}) END AS before FROM steps),
+hits AS (SELECT r.seq AS seq, any_value(f) AS f, count(*) AS n, min(before) AS before FROM states WHERE r.rec IS NOT NULL OR before = r.old GROUP BY 1),
+named AS (SELECT suggestion_id, s.seq, CASE action_type WHEN 'normalize_label' THEN 'batch' ELSE coalesce(item_id, '') END AS record_id, f AS "column", before AS original_value, suggested_value AS new_value, action_type, n AS n_cells,
+  CASE action_type WHEN 'normalize_label' THEN 'Batch normalization: ' || n || ' cells updated' ELSE '' END AS note FROM hits JOIN suggestions s ON s.seq = hits.seq)
+SELECT * FROM named UNION ALL SELECT suggestion_id, seq, coalesce(item_id, ''), coalesce(target_field, ''), original_value, original_value, action_type, 0,
+  CASE action_type WHEN 'flag_for_authority_lookup' THEN 'Flagged for authority lookup — value unchanged' ELSE 'Marked as uncertain — value unchanged' END
+FROM suggestions WHERE status = 'accepted' AND action_type IN ('flag_for_authority_lookup', 'leave_unchanged_mark_uncertain')""")
 def change_log(spark, sf_dir):
     return _applied(spark, sf_dir)[1]
 

@@ -231,3 +231,16 @@ def test_one_image_per_name(spark):
     linked = images.link_records(records, "path", files)
     assert sorted((r["id"], r["image_id"]) for r in linked.collect()) == [(1, "i2"), (2, "i2"), (3, None)]
     assert tuple(images.link_counts(linked).first()) == (2, 3)
+
+
+def test_long_chains_take_few_rounds(spark):
+    """300 corrections of one value, each picking up what the one before made."""
+    n = 300
+    df = spark.createDataFrame([("r1", "v0"), ("r2", "v7"), ("r3", "x")], "record_id string, subject string")
+    rules = [(f"s{i}", "normalize_label", f"v{i}", f"v{i + 1}", None, "subject", "accepted", i) for i in range(n)]
+    schema = "suggestion_id string, action_type string, original_value string, suggested_value string, item_id string, target_field string, status string, seq long"
+    out, log = remediation.apply_suggestions(df, spark.createDataFrame(rules, schema))
+    assert {r["record_id"]: r["subject"] for r in out.collect()} == {"r1": f"v{n}", "r2": f"v{n}", "r3": "x"}
+    assert {r["seq"]: r["n_cells"] for r in log.collect()} == {i: 1 if i < 7 else 2 for i in range(n)}
+    chain = spark.createDataFrame([(i, i + 1 if i + 1 < n else None) for i in range(n)], "rid long, nxt long")
+    assert len(remediation._jumps(chain)) == 9
