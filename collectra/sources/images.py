@@ -1,7 +1,7 @@
 """Image folders as tables of technical facts."""
 from __future__ import annotations
 
-import struct
+import io
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 # FIXED VALUES: file types by extension, and by leading bytes.
 MIME = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".tif": "image/tiff", ".tiff": "image/tiff", ".webp": "image/webp"}
 MAGIC = {"ffd8ff": "image/jpeg", "89504e470d0a1a0a": "image/png", "49492a00": "image/tiff", "4d4d002a": "image/tiff"}
+HEAD = 1 << 20
 SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
 
 
@@ -24,16 +25,31 @@ def mime_type(path: Column, content: Column) -> Column:
     return out
 
 
+# Frame headers are SOF0 to SOF15, without DHT, JPG and DAC, which lie among them.
+FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
+# Markers without a length: TEM, the restarts, and the start and end of an image.
+BARE = frozenset({0x01, *range(0xD0, 0xDA)})
+
+
 def jpeg_frame(data: bytes) -> tuple[int | None, int | None]:
-    """(width, height) of the first frame header, following segment lengths."""
-    at = 2
-    while at + 9 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xD9:
-        size, = struct.unpack(">H", data[at + 2:at + 4])
-        if data[at + 1] in (0xC0, 0xC1, 0xC2):
-            height, width = struct.unpack(">HH", data[at + 5:at + 9])
-            return width, height
-        at += 2 + size
-    return None, None
+    """(width, height) by the first frame header. Fill bytes before a marker are
+    passed over; image data, an end of image or a cut file end the search."""
+    stream = io.BytesIO(data)
+    while True:
+        byte = stream.read(1)
+        if byte != b"\xff":
+            return None, None
+        while byte == b"\xff":
+            byte = stream.read(1)
+        if not byte or byte in (b"\xd9", b"\xda"):
+            return None, None
+        if byte[0] in BARE:
+            continue
+        length = int.from_bytes(stream.read(2), "big")
+        if byte[0] in FRAMES:
+            frame = stream.read(5)  # precision, height, width
+            return (int.from_bytes(frame[3:], "big"), int.from_bytes(frame[1:3], "big")) if len(frame) == 5 else (None, None)
+        stream.seek(max(length - 2, 0), io.SEEK_CUR)
 
 
 @F.pandas_udf(SIZE)
@@ -44,13 +60,14 @@ def jpeg_size(content: pd.Series) -> pd.DataFrame:
 
 def scan_images(spark: SparkSession, path: str, with_content: bool = False) -> DataFrame:
     """One row per image below a folder. Sizes of PNG files and hashes are
-    computed in the JVM; only JPEG bytes go to Python."""
+    computed in the JVM; only the first part of JPEG files goes to Python."""
     globs = "*.{jpg,jpeg,png,tif,tiff,webp,JPG,JPEG,PNG,TIF,TIFF,WEBP}"
     files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=globs).load(path)
     c = F.col("content")
     typed = files.withColumn("mime_type", mime_type(F.col("path"), c))
     is_png, is_jpeg = F.col("mime_type") == "image/png", F.col("mime_type") == "image/jpeg"
-    sized = typed.withColumn("_jpeg", jpeg_size(F.when(is_jpeg, c)))
+    # frame headers come before the image data, behind at most some metadata segments of 64 KB
+    sized = typed.withColumn("_jpeg", jpeg_size(F.when(is_jpeg, F.substring(c, 1, HEAD))))
 
     def png(at: int) -> Column:
         return F.when(is_png & (F.col("length") >= 24), F.conv(F.hex(F.substring(c, at, 4)), 16, 10).cast("int"))
