@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,13 +93,15 @@ def cell_marks() -> dict[str, Column]:
     return marks
 
 
-def scan_cells(ds: Dataset, n_ids: int = 10) -> DataFrame:
+def scan_cells(ds: Dataset, n_ids: int = 10, freq: DataFrame | None = None) -> DataFrame:
     """``(column, kind, total, filled, n, record_ids)``: what all cell checks
-    need, from two passes over the table whatever the number of checks. The
-    first counts with a map-side combine; the second ranks example ids."""
+    need, whatever their number. The counts come from the value counts ``freq``
+    where they are at hand; one pass over the table ranks example ids."""
     marks = cell_marks()
-    counts = cells(ds.df).groupBy("column").agg(
-        F.count("*").alias("total"), F.count("value").alias("filled"), *[F.count_if(m).alias(k) for k, m in marks.items()]
+    counted, cnt = (cells(ds.df), F.lit(1)) if freq is None else (freq, F.col("cnt"))
+    tally = lambda test: F.sum(F.when(test, cnt).otherwise(0)).cast("long")
+    counts = counted.groupBy("column").agg(
+        F.sum(cnt).cast("long").alias("total"), tally(F.col("value").isNotNull()).alias("filled"), *[tally(m).alias(k) for k, m in marks.items()]
     ).withColumn("missing", F.col("total") - F.col("filled"))
     kinds = ["missing", *marks]
     long = counts.unpivot(["column", "total", "filled"], [quoted(k) for k in kinds], "kind", "n").where(F.col("n") > 0)
@@ -141,7 +142,14 @@ def check_missing_values(ds: Dataset, n_ids: int = 10, scan: DataFrame | None =
     )
 
 
-def check_duplicate_records(ds: Dataset, n_ids: int = 20) -> DataFrame:
+def id_counts(ds: Dataset, freq: DataFrame | None = None) -> DataFrame:
+    """``(record_id, n)`` of every id, from the value counts where they are at hand."""
+    if freq is not None:
+        return freq.where(F.col("column") == ds.id_column).select(F.col("value").alias("record_id"), F.col("cnt").alias("n"))
+    return ds.df.groupBy(F.col(quoted(ds.id_column)).cast("string").alias("record_id")).agg(F.count("*").alias("n"))
+
+
+def check_duplicate_records(ds: Dataset, n_ids: int = 20, freq: DataFrame | None = None) -> DataFrame:
     """Rows that share their id; null ids count as equal. Without an id column
     the table itself is the problem."""
     if not ds.id_column:
@@ -150,8 +158,7 @@ def check_duplicate_records(ds: Dataset, n_ids: int = 20) -> DataFrame:
             one, ds.name, ORD_DUPLICATE, category=F.lit("schema_mismatch"), severity=F.lit("critical"),
             message=F.lit("No unique ID column detected"),
         )
-    groups = ds.df.groupBy(F.col(quoted(ds.id_column)).cast("string").alias("record_id")).agg(F.count("*").alias("n"))
-    repeated = groups.where(F.col("n") > 1)
+    repeated = id_counts(ds, freq).where(F.col("n") > 1)
     # the ids are distinct here, so the few smallest are a bounded top-k
     ids = repeated.where(F.col("record_id").isNotNull()).withColumn("_one", F.lit(1))
     counted = repeated.agg(F.sum("n").alias("rows")).where(F.col("rows") > 0).withColumn("_one", F.lit(1))
@@ -236,7 +243,7 @@ def variant_rows(groups: DataFrame) -> DataFrame:
 
 
 def check_term_variants(ds: Dataset, n_examples: int = 5, freq: DataFrame | None = None) -> DataFrame:
-    groups = variant_groups(freq if freq is not None else frequencies(ds.df))
+    groups = cut_lineage(variant_groups(freq if freq is not None else frequencies(ds.df)))
     example = F.struct("canonical", F.col("pairs.form").alias("forms"), F.col("pairs.cnt").alias("counts"))
     first = top_rows(groups, ["column"], [F.col("canonical")], n_examples).groupBy("column").agg(F.array_sort(F.collect_list(example)).alias("examples"))
     counted = groups.groupBy("column").agg(F.count("*").alias("n")).join(first, "column")  # one row per column on both sides
@@ -287,18 +294,19 @@ def check_authority_coverage(ds: Dataset) -> DataFrame:
     )
 
 
-def id_membership(datasets: list[Dataset]) -> DataFrame:
+def id_membership(datasets: list[Dataset], freqs: dict[str, DataFrame] | None = None) -> DataFrame:
     """One row per id with a flag per dataset; one shuffle for any number of
     datasets, and repeated ids collapse in the map-side combine."""
     tagged = reduce(DataFrame.unionByName, [
-        d.df.select(F.col(quoted(d.id_column)).cast("string").alias("record_id"), F.lit(i).alias("_ds")) for i, d in enumerate(datasets)
+        (id_counts(d, freqs[d.name]).select("record_id", F.lit(i).alias("_ds")) if freqs else
+         d.df.select(F.col(quoted(d.id_column)).cast("string").alias("record_id"), F.lit(i).alias("_ds"))) for i, d in enumerate(datasets)
     ]).where(F.col("record_id").isNotNull())
     return tagged.groupBy("record_id").agg(*[F.max(F.col("_ds") == i).alias(f"in_{i}") for i in range(len(datasets))])
 
 
-def linkage_counts(datasets: list[Dataset]) -> DataFrame:
+def linkage_counts(datasets: list[Dataset], members: DataFrame | None = None) -> DataFrame:
     """Per ordered pair of datasets: shared ids and ids only on the left side."""
-    members = id_membership(datasets)
+    members = id_membership(datasets) if members is None else members
     pairs = [(i, j) for i in range(len(datasets)) for j in range(i + 1, len(datasets))]
     sums = []
     for i, j in pairs:
@@ -316,9 +324,9 @@ def linkage_counts(datasets: list[Dataset]) -> DataFrame:
     return members.agg(*sums).select(F.explode(rows).alias("r")).select("r.*")
 
 
-def orphans(datasets: list[Dataset]) -> DataFrame:
+def orphans(datasets: list[Dataset], members: DataFrame | None = None) -> DataFrame:
     """``(source, target, record_id)`` for every id without a match."""
-    members = id_membership(datasets)
+    members = id_membership(datasets) if members is None else members
     marks = F.array(*[
         F.when(F.col(f"in_{i}") & ~F.col(f"in_{j}"), F.struct(F.lit(a.name).alias("source"), F.lit(b.name).alias("target")))
         for i, a in enumerate(datasets) for j, b in enumerate(datasets) if i != j
@@ -326,14 +334,15 @@ def orphans(datasets: list[Dataset]) -> DataFrame:
     return members.select("record_id", F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m")).select("m.source", "m.target", "record_id")
 
 
-def check_linkage(datasets: list[Dataset], n_ids: int = 10) -> DataFrame:
+def check_linkage(datasets: list[Dataset], n_ids: int = 10, freqs: dict[str, DataFrame] | None = None) -> DataFrame:
     """Orphans in both directions and shared ids, for each pair of datasets."""
     datasets = [d for d in datasets if d.id_column]
     spark = SparkSession.getActiveSession()
     if len(datasets) < 2:
         return spark.createDataFrame([], FINDING)
-    counts = linkage_counts(datasets)
-    ids = first_ids(orphans(datasets), ["source", "target"], n_ids)
+    members = cut_lineage(id_membership(datasets, freqs))
+    counts = linkage_counts(datasets, members)
+    ids = first_ids(orphans(datasets, members), ["source", "target"], n_ids)
     sides = counts.select(
         "shared_count",
         F.explode(F.array(
@@ -358,20 +367,23 @@ def check_linkage(datasets: list[Dataset], n_ids: int = 10) -> DataFrame:
 def run_checks(datasets: list[Dataset], freqs: dict[str, DataFrame] | None = None) -> DataFrame:
     """Findings of all checks on all datasets, and of the links between them.
 
-    The cell scan of each dataset is report-sized and checkpointed, so the three
-    cell checks share it. ``freqs`` passes value counts computed elsewhere.
+    Each dataset is read twice: once for its value counts, from which come all
+    numbers, repeated ids, variants and links, and once for example ids. Both results
+    are written, so that no check repeats them. ``freqs`` passes value counts that are
+    there already.
     """
     frames = []
+    freqs = freqs or {d.name: cut_lineage(d.frequencies()) for d in datasets}
     for i, d in enumerate(datasets):
-        scan = cut_lineage(scan_cells(d))
+        freq = freqs[d.name]
+        scan = cut_lineage(scan_cells(d, freq=freq))
         found = [
-            check_missing_values(d, scan=scan), check_duplicate_records(d), check_encoding_issues(d, scan=scan),
-            check_format_inconsistency(d, scan=scan), check_term_variants(d, freq=(freqs or {}).get(d.name)),
-            check_authority_coverage(d),
+            check_missing_values(d, scan=scan), check_duplicate_records(d, freq=freq), check_encoding_issues(d, scan=scan),
+            check_format_inconsistency(d, scan=scan), check_term_variants(d, freq=freq), check_authority_coverage(d),
         ]
         frames += [f.withColumn("ord", F.col("ord") + 10 * i) for f in found]
     if len(datasets) > 1:
-        frames.append(check_linkage(datasets).withColumn("ord", F.col("ord") + 10 * len(datasets)))
+        frames.append(check_linkage(datasets, freqs=freqs).withColumn("ord", F.col("ord") + 10 * len(datasets)))
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -385,10 +397,6 @@ def profiles(datasets: list[Dataset], freqs: dict[str, DataFrame] | None = None)
 
 def analyze(datasets: list[Dataset]) -> tuple[DataFrame, DataFrame]:
     """(findings, profile), both materialised. The value counts, the only
-    data-sized intermediate, are computed once and kept on disk meanwhile."""
-    freqs = {d.name: d.frequencies().persist(StorageLevel.DISK_ONLY) for d in datasets}
-    findings = cut_lineage(run_checks(datasets, freqs))
-    profile = cut_lineage(profiles(datasets, freqs))
-    for freq in freqs.values():
-        freq.unpersist()
-    return findings, profile
+    data-sized intermediate, are written once and read by all."""
+    freqs = {d.name: cut_lineage(d.frequencies()) for d in datasets}
+    return cut_lineage(run_checks(datasets, freqs)), cut_lineage(profiles(datasets, freqs))
