@@ -16,9 +16,9 @@ from ..session import cut_lineage
 from .common import blobs, by_crc, table, texts
 
 END = b"\n"  # no word holds white space
-CONTEXT, WIDTH, NOISE, BATCH = 5, 24, 32, 2048
-WORDS, ENDINGS = 320, 191
-KNOWN_WORDS, KNOWN_BYTES = 262_144, 48
+CONTEXT, WIDTH, NOISE, BATCH = 5, 16, 32, 2048
+WORDS, ENDINGS = 160, 94
+KNOWN_WORDS, KNOWN_BYTES = 131_072, 48
 LN10 = log(10)
 
 
@@ -70,9 +70,11 @@ def word_counts(rows: DataFrame, limit: int = 400_000) -> DataFrame:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The totals and the bounded part of the counts. The endings, the last two bytes of
     a word, are aggregated over all words: at most 65,792 rows."""
-    short = counts.where(F.length("word") <= KNOWN_BYTES)
-    top = short.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toPandas()
-    known = dict(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))
+    short = counts.where(F.length("word") <= KNOWN_BYTES).withColumn("step", F.floor(F.log2("n") * 32).cast("int"))
+    steps = short.groupBy("step").agg(F.count("*").alias("words")).toPandas().sort_values("step", ascending=False)  # at most 2,048 steps
+    fits = steps["step"][steps["words"].cumsum() <= KNOWN_WORDS]
+    top = short.where(F.col("step") >= int(fits.min())).select("word", "n").toPandas() if len(fits) else short.limit(0).toPandas()
+    known = dict(sorted(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True), key=lambda r: (-r[1], r[0])))
     chosen = [w for w in known if w != END][:WORDS]
     words = {END: 0} | {w: i + 1 for i, w in enumerate(chosen)}
     # words by their last two bytes, at most 65,792 groups
@@ -123,19 +125,27 @@ class Model:
             at += a.size
         return self
 
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        return np.einsum("bcd,cd->bd", self.inputs[context], self.places)
+    def placed(self) -> list[np.ndarray]:
+        """The input vectors as they count at each place."""
+        return [self.inputs * p for p in self.places]
+
+    @staticmethod
+    def predicted(context: np.ndarray, placed: list[np.ndarray]) -> np.ndarray:
+        out = placed[0][context[:, 0]]
+        for c in range(1, CONTEXT):
+            out += placed[c][context[:, c]]
+        return out
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised over all outputs."""
         out = np.empty(len(target), np.float32)
-        weights = np.ascontiguousarray(self.outputs.T)
+        weights, placed = np.ascontiguousarray(self.outputs.T), self.placed()
         ones = np.ones(len(self.bias), np.float32)
         scores = np.empty((min(512, max(1, len(target))), len(self.bias)), np.float32)
         for i in range(0, len(target), 512):
             c, t = context[i:i + 512], target[i:i + 512]
             s = scores[:len(t)]
-            np.matmul(self.predicted(c), weights, out=s)
+            np.matmul(self.predicted(c, placed), weights, out=s)
             s += self.bias
             s -= s.max(axis=1, keepdims=True)
             own = s[np.arange(len(t)), t]
@@ -168,7 +178,7 @@ class Trainer:
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         m, n = self.m, len(target)
         noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), len(self.edges) - 1)
-        h = m.predicted(context)
+        h = m.predicted(context, m.placed())
         out, away = m.outputs[target], m.outputs[noise]
         true = (h * out).sum(axis=1) + m.bias[target] - self.log_noise[target]
         false = h @ away.T + m.bias[noise] - self.log_noise[noise]
@@ -195,19 +205,27 @@ class Trainer:
         into[sorted_rows[begins]] += np.add.reduceat(values[order], begins, axis=0)
 
 
-def _token_ids(words: list[bytes], vocab: Vocabulary, codes: dict[bytes, int]) -> np.ndarray:
-    """Output numbers of a text's words and its end token; ``codes`` remembers words."""
-    found = []
-    for w in words:
-        i = codes.get(w)
-        if i is None:
-            i = vocab.words.get(w)
-            i = vocab.ending(w) if i is None else i
-            if len(codes) < KNOWN_WORDS and len(w) <= KNOWN_BYTES:
-                codes[w] = i
-        found.append(i)
-    found.append(0)
-    return np.array(found, np.int32)
+class Codes(dict):
+    """Numbers words: those with counts at hand from 0, others, not kept, by their ending
+    after those. Per number: the model's output, log10(count + 1), and whether the word
+    is one of its ending rather than an output of its own."""
+
+    def __init__(self, vocab: Vocabulary):
+        known = vocab.counts if END in vocab.counts else {END: 0} | vocab.counts
+        super().__init__(zip(known, range(len(known)), strict=True))
+        self.first, self.vocab = len(known), vocab
+        own = [vocab.words.get(w, -1) for w in known]
+        ends = np.arange(vocab.size)
+        self.outputs = np.concatenate([[vocab.ending(w) if i < 0 else i for w, i in zip(known, own, strict=True)], ends]).astype(np.int32)
+        self.logs = np.concatenate([np.log10(np.array(list(known.values()), float) + 1), np.zeros(vocab.size)])
+        self.within = np.concatenate([np.array(own) < 0, np.zeros(vocab.size, bool)])
+
+    def __missing__(self, word: bytes) -> int:
+        return self.first + self.vocab.ending(word)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Of a text's words and its end token."""
+        return np.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), self[END])
 
 
 def train(rows: DataFrame, vocab: Vocabulary, turns: tuple[tuple[int, float], ...] = ((16, 0.12), (4, 0.06))) -> Model:
@@ -225,7 +243,8 @@ def train(rows: DataFrame, vocab: Vocabulary, turns: tuple[tuple[int, float], ..
         start = model.flat()
 
         def run(batches: Iterator[pa.RecordBatch], start=start, stride=stride, rate=rate, turn=turn) -> Iterator[pa.RecordBatch]:
-            vocab, codes = Vocabulary(**shared.value), {}
+            vocab = Vocabulary(**shared.value)
+            codes = Codes(vocab)
             local = Model(vocab.size, vocab.prior).load(start)
             part = TaskContext.get().partitionId()
             trainer = Trainer(local, vocab.prior, 1000 * turn + part, rate)
@@ -243,7 +262,7 @@ def train(rows: DataFrame, vocab: Vocabulary, turns: tuple[tuple[int, float], ..
             for batch in batches:
                 for text in blobs(batch.column(1)):
                     words = text.lower().split()
-                    ids = _token_ids(words, vocab, codes)
+                    ids = codes.outputs[codes.of(words)]
                     at = np.arange(len(words) % stride, len(ids), stride)
                     contexts.append(windows(ids)[at])
                     targets.append(ids[at])
@@ -279,8 +298,7 @@ def score(rows: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model) -
         known, flat = shared.value
         vocab = Vocabulary(**known)
         local = Model(vocab.size, vocab.prior).load(flat)
-        codes: dict[bytes, int] = {}
-        logs = {w: log10(c + 1) for w, c in vocab.counts.items()}
+        codes = Codes(vocab)
         first = vocab.mass > 0  # endings: the model gives their mass, the count the share in it
         share = np.where(first, -np.log10(np.maximum(vocab.mass, 1)), 0.0)
         number = TaskContext.get().partitionId() << 36
@@ -294,25 +312,18 @@ def score(rows: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model) -
                     group.append((batch.column(0)[at].as_py(), docs[at]))
                     size += len(docs[at]) + 1
                     at += 1
-                ids = [_token_ids(words, vocab, codes) for _, words in group]
-                begins = np.cumsum([0] + [len(i) for i in ids[:-1]])
-                target = np.concatenate(ids)
+                numbers = [codes.of(words) for _, words in group]
+                begins = np.cumsum([0] + [len(i) for i in numbers[:-1]])
+                together = np.concatenate(numbers)
+                ids, logs, target = [codes.outputs[i] for i in numbers], codes.logs[together], codes.outputs[together]
                 own = local.log_probabilities(np.concatenate([windows(i) for i in ids]), target) / LN10 + share[target]
-                neural = np.add.reduceat(own, begins)
-                for (key, words), total in zip(group, neural.tolist(), strict=True):
-                    tally, known, rest, times = 0.0, 0, [], []
-                    in_class = 0.0
-                    for w, c in Counter([*words, END]).items():
-                        v = logs.get(w)
-                        if v is None:
-                            rest.append(w)
-                            times.append(c)
-                        else:
-                            tally += c * v
-                            known += c
-                            if w not in vocab.words:
-                                in_class += c * v
-                    out.append((number, key, len(words) + 1, known, tally, total + in_class, rest, times))
+                neural = np.add.reduceat(own + logs * codes.within[together], begins).tolist()
+                tally = np.add.reduceat(logs, begins).tolist()
+                for (key, words), own_numbers, log, total in zip(group, numbers, tally, neural, strict=True):
+                    others = np.flatnonzero(own_numbers >= codes.first)
+                    rest = Counter(map(words.__getitem__, others.tolist()))
+                    known = len(words) + 1 - len(others) - (vocab.counts.get(END, 0) == 0)
+                    out.append((number, key, len(words) + 1, known, log, total, list(rest), list(rest.values())))
                     number += 1
             columns = list(zip(*out, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
