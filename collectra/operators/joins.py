@@ -6,6 +6,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # A frame is broadcast only when both measures hold.
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -14,12 +16,13 @@ HOT_SHARE = 1.0 / 512
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Measure the frame (never more than ``max_rows`` + 1 rows of it)."""
+    """Measure the frame, rows and bytes, with a sum per task. Hand in a frame that is
+    written or cheap; :func:`lookup_join` writes its lookup side first."""
     width = reduce(
         lambda a, b: a + b,
         [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(1)) + F.lit(8) for c in df.columns],
     )
-    row = df.limit(max_rows + 1).select(width.cast("long").alias("w")).agg(F.count("*").alias("n"), F.sum("w").alias("b")).first()
+    row = df.select(width.cast("long").alias("w")).agg(F.count("*").alias("n"), F.sum("w").alias("b")).first()
     return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 
@@ -30,12 +33,14 @@ def any_null(keys: list[str]) -> Column:
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
     """Join a large frame with a lookup table on equal keys.
 
-    A lookup that measures small is broadcast and the large side is not
+    The lookup is written once, so that measuring it and joining it do not work it
+    out twice. One that measures small is broadcast and the large side is not
     shuffled. Otherwise rows with hot keys are split off: their part of the
     lookup (at most 1/HOT_SHARE keys) is broadcast when it measures small and
     salted when it does not, and only the remaining, even keys are shuffled.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    small = cut_lineage(small)
     if fits_broadcast(small):
         return big.join(F.broadcast(small), keys, how)
     keyed = big.where(~any_null(keys))

@@ -1,7 +1,7 @@
 """Records as import XML, built from column expressions."""
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,18 +165,22 @@ def name_collisions(xml: DataFrame) -> DataFrame:
 
 
 def write_files(xml: DataFrame, folder: str) -> None:
-    """One file per record in a folder all executors see; refuses collisions."""
+    """One file per record; refuses collisions. ``folder`` may be a URI of any store that
+    Arrow knows (hdfs, s3, gs, file); a plain path must be one that all executors see."""
     clash = name_collisions(xml).limit(3).collect()
     if clash:
         raise ValueError(f"file names would collide: {[r[0] for r in clash]}")
 
     def write(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
         for row in rows:
-            target = os.path.join(folder, f"{row['file_name']}.xml")
-            part = f"{target}.{os.getpid()}.part"
-            with open(part, "w", encoding="utf-8") as fh:
-                fh.write("<?xml version='1.0' encoding='utf-8'?>\n" + row["xml"])
-            os.replace(part, target)  # a retried task overwrites whole files only
+            target = f"{base.rstrip('/')}/{row['file_name']}.xml"
+            part = f"{target}.{uuid.uuid4().hex[:8]}.part"
+            with store.open_output_stream(part) as out:
+                out.write(("<?xml version='1.0' encoding='utf-8'?>\n" + row["xml"]).encode())
+            store.move(part, target)  # a retried task replaces whole files only
 
     xml.select(safe_file_name(F.col("record_id")).alias("file_name"), "xml").foreachPartition(write)

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,6 @@ HEAD_BYTES = 8192
 BOMS = {b"\xef\xbb\xbf": "utf-8", b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}
 SPARK_NAMES = {"utf-8": "UTF-8", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}
 DELIMITERS = [",", ";", "\t", "|"]
-# Directories up to this size are listed and peeked at from the driver, a few
-# kilobytes per file; larger ones are peeked at by a job.
-MAX_PEEK_FILES = 1000
 
 
 def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> list[str]:
@@ -89,18 +87,8 @@ def facts_of(raw: bytes) -> dict:
 def file_facts(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> list[dict]:
     """Facts per file, with its path."""
     files = list_files(spark, path, suffixes)
-    if len(files) <= MAX_PEEK_FILES:
-        return [{"path": f, **facts_of(head(spark, f))} for f in files]
-    heads = spark.read.format("binaryFile").load(files).select("path", F.substring("content", 1, HEAD_BYTES).alias("head"))
-
-    def peek(batches):
-        import pandas as pd
-
-        for batch in batches:
-            yield pd.DataFrame([{"path": p, **facts_of(bytes(h))} for p, h in zip(batch["path"], batch["head"])])
-
-    schema = "path string, encoding string, has_bom boolean, warning string, delimiter string, line_ending string, header string"
-    return [r.asDict() for r in heads.mapInPandas(peek, schema).collect()]  # one small row per file
+    with ThreadPoolExecutor(16) as pool:  # some kilobytes per file, never whole files
+        return list(pool.map(lambda f: {"path": f, **facts_of(head(spark, f))}, files))
 
 
 def broken_utf8(spark: SparkSession, files: list[str]) -> set[str]:

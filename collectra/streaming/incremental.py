@@ -12,6 +12,9 @@ from pyspark.sql.streaming import StreamingQueryListener
 Process = Callable[[DataFrame], DataFrame]
 METRICS = "batch_id long, rows long, results long, error string, finished_at string"
 
+# Signs of an error that is not the batch's own.
+CLUSTER_ERRORS = ("ExecutorLostFailure", "FetchFailed", "SparkContext was shut down", "has been stopped", "OutOfMemoryError", "No space left on device", "Connection refused")
+
 
 def run_incremental(
     spark: SparkSession, source: str, schema, process: Process, out: str, files_per_batch: int = 100, source_format: str = "parquet",
@@ -21,8 +24,9 @@ def run_incremental(
 
     Each batch writes its results and metrics to a folder named after its id,
     replacing what a failed attempt left, so a rerun neither loses nor doubles
-    rows. An error in ``process`` is recorded for its batch and does not stop
-    the others. Progress is kept below ``out``; the next call goes on from there.
+    rows. An error in ``process`` is recorded for its batch, whose rows are set aside
+    below ``out/rejects``, and does not stop the others; an error of the cluster ends
+    the run, and the batch is taken again by the next call. Progress is kept below ``out``; the next call goes on from there.
     """
     stream = spark.readStream.format(source_format).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(source)
 
@@ -33,8 +37,11 @@ def run_incremental(
         try:
             process(batch).write.mode("overwrite").parquet(target)
             written = session.read.parquet(target).count()
-        except Exception as e:  # recorded per batch
+        except Exception as e:
+            if any(sign in str(e) for sign in CLUSTER_ERRORS):
+                raise
             error = f"{type(e).__name__}: {e}"[:2000]
+            batch.write.mode("overwrite").parquet(os.path.join(out, "rejects", f"batch_id={batch_id}"))
         now = datetime.now(timezone.utc).isoformat()
         record = session.createDataFrame([(batch_id, rows, written, error, now)], METRICS)
         record.write.mode("overwrite").parquet(os.path.join(out, "metrics", f"batch_id={batch_id}"))
