@@ -1,6 +1,7 @@
 """Embedding near-duplicates: exact cosine threshold pairs by cover-tree dual traversal."""
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from math import ceil, sqrt
 
@@ -32,16 +33,19 @@ def _cover(x: np.ndarray, radius: float) -> list[np.ndarray]:
             owner[inside] = best[inside]
         left = np.flatnonzero(owner < 0)
         own = block[left] @ block[left].T >= limit
-        fresh = []
-        while len(left):
-            taken = own[0]
-            owner[left[taken]] = len(groups) + len(fresh)
-            fresh.append(left[0])
-            left, own = left[~taken], own[~taken][:, ~taken]
+        free, fresh = np.ones(len(left), bool), []
+        for i in range(len(left)):
+            if free[i]:
+                taken = own[i] & free
+                taken[i] = True
+                owner[left[taken]] = len(groups) + len(fresh)
+                fresh.append(left[i])
+                free &= ~taken
         centres = np.concatenate([centres, block[fresh]])
         groups += [[] for _ in fresh]
-        for i in np.unique(owner):
-            groups[i].append(np.flatnonzero(owner == i) + at)
+        order = np.argsort(owner, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
+            groups[owner[part[0]]].append(part + at)
     return [np.concatenate(g) for g in groups]
 
 
@@ -49,7 +53,8 @@ class Tree:
     """Nested covers of the rows of ``x`` with halving radii. Rows are reordered so that a
     node is a range; ``levels`` holds (begin, end, radius, first child, last child)."""
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray):
+        x = _unit(raw.astype(np.float64)).astype(np.float32)
         nodes, self.levels, tops = [np.arange(len(x))], [], []
         for radius in RADII:
             parts = [[n] if len(n) == 1 else [n[g] for g in _cover(x[n], radius)] for n in nodes]
@@ -58,7 +63,7 @@ class Tree:
         self.order = np.concatenate(nodes)
         ends = np.cumsum([len(n) for n in nodes])
         begins = np.concatenate([[0], ends[:-1]])
-        self.x = x[self.order]
+        self.x, self.ids, self.weights, self.raw = x[self.order], ids[self.order], weights[self.order], raw[self.order]
         for level in range(len(RADII) - 1, -1, -1):  # the last level's ranges give the others'
             if level < len(RADII) - 1:
                 children = tops[level + 1]
@@ -69,17 +74,33 @@ class Tree:
             below = tops[level + 1] if level < len(RADII) - 1 else None
             self.levels.insert(0, (begins, ends, radii, below))
 
+    def packed(self) -> bytes:
+        """Numbers only; vectors in the precision they came in."""
+        return pickle.dumps((self.ids, self.weights, self.raw, self.levels))
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        tree.ids, tree.weights, tree.raw, tree.levels = pickle.loads(blob)
+        tree.full = _unit(tree.raw.astype(np.float64))
+        tree.x = tree.full.astype(np.float32)
+        return tree
+
 
 def leaf_pairs(a: Tree, b: Tree, reach: float) -> Iterator[tuple[int, int, int, int]]:
     """Row ranges of the leaf pairs that may hold rows within ``reach``: a pair of nodes is
     dropped where the distance of the centres exceeds reach and both radii."""
     begins_a, _, radii_a, _ = a.levels[0]
     begins_b, _, radii_b, _ = b.levels[0]
+    tops_b, widest = np.ascontiguousarray(b.x[begins_b].T), radii_b.max()
     for at in range(0, len(begins_a), 1024):
         part = slice(at, at + 1024)
-        span = reach + radii_a[part, None] + radii_b[None, :]
-        left, right = np.nonzero(a.x[begins_a[part]] @ b.x[begins_b].T >= 1 - span * span / 2 - SLACK)
-        left = left + at
+        near = a.x[begins_a[part]] @ tops_b
+        span = reach + radii_a[part] + widest  # first with the widest node, then with each one's own radius
+        left, right = np.nonzero(near >= (1 - span * span / 2 - SLACK).astype(np.float32)[:, None])
+        span = reach + radii_a[part][left] + radii_b[right]
+        kept = near[left, right] >= 1 - span * span / 2 - SLACK
+        left, right = left[kept] + at, right[kept]
         for level in range(len(RADII)):
             if level:
                 down_a, down_b = a.levels[level - 1][3], b.levels[level - 1][3]
@@ -116,22 +137,14 @@ def _stars(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[
     return [(int(u), int(v)) for u, v in out if u != v]
 
 
-def _block(group: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(group["ids"], np.int64), np.frombuffer(group["weights"], np.int64), np.frombuffer(group["values"], np.float32)
-
-
-def _links(groups: pa.Table, threshold: float, width: int) -> tuple[list, list]:
+def _links(trees: list[Tree], threshold: float) -> tuple[list, list]:
     """Weighted link counts of the vectors of two blocks, or of one with itself, and edges."""
     reach = sqrt(2 - 2 * threshold)
-    sides = [_block(r) for r in sorted(groups.to_pylist(), key=lambda r: r["side"])]
-    full = [_unit(v.astype(np.float64).reshape(-1, width)) for _, _, v in sides]
-    trees = [Tree(x.astype(np.float32)) for x in full]
     a, b = trees[0], trees[-1]
-    ids_a, ids_b = sides[0][0][a.order], sides[-1][0][b.order]
-    weights_a, weights_b = sides[0][1][a.order], sides[-1][1][b.order]
-    xa, xb = full[0][a.order], full[-1][b.order]
+    ids_a, weights_a, xa = a.ids, a.weights, a.full
+    ids_b, weights_b, xb = b.ids, b.weights, b.full
     counts_a, counts_b, edges = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64), []
-    alone = len(sides) == 1
+    alone = len(trees) == 1
     for b0, e0, b1, e1 in leaf_pairs(a, b, reach):
         if alone and b1 < b0:
             continue
@@ -155,8 +168,8 @@ def near_pairs(distinct: DataFrame, width: int, threshold: float, block: int = 8
 
     The top of the cover tree is drawn on the cluster: vectors go to the nearest of up to
     ``most_cells`` centres, cells are cut into blocks of about ``block`` vectors, and
-    two blocks meet only if their centres lie within the reach and both radii. A pair of
-    blocks is one task's work: it builds both trees and walks them together."""
+    two blocks meet only if their centres lie within the reach and both radii. Each block's
+    tree is built once; a pair of blocks is one task's work, which walks both trees together."""
     spark = distinct.sparkSession
     size = distinct.count()
     cells = max(1, min(most_cells, ceil(size / block)))
@@ -175,28 +188,32 @@ def near_pairs(distinct: DataFrame, width: int, threshold: float, block: int = 8
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(cell, pa.int32()), pa.array(far, pa.float64())], ["uid", "n", "v", "cell", "far"])
 
+    def build(group: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(group.column("v").to_pylist()), np.float32).reshape(-1, width)
+        tree = Tree(np.asarray(group.column("uid")), np.asarray(group.column("n")), raw)
+        return pa.table({"cell": group.column("cell").slice(0, 1), "cut": group.column("cut").slice(0, 1), "tree": pa.array([tree.packed()], pa.binary())})
+
     placed = cut_lineage(distinct.select("uid", "n", "v").mapInArrow(nearest, "uid long, n long, v binary, cell int, far double"))
     known = {r["cell"]: (r["n"], r["far"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     cuts = {c: ceil(n / (2 * block)) for c, (n, _) in known.items()}
     reach = sqrt(2 - 2 * threshold)
     apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
-    partners = [(c, d, cuts[c], cuts[d]) for c in known for d in known if c == d or apart[c, d] <= reach + known[c][1] + known[d][1] + 1e-3]
-    meets = spark.createDataFrame(partners, "cell int, other int, mine int, theirs int")
+    partners = [(c, d, cuts[d]) for c in known for d in known if c == d or apart[c, d] <= reach + known[c][1] + known[d][1] + 1e-3]
+    meets = spark.createDataFrame(partners, "cell int, other int, theirs int")
     mine = F.pmod(F.xxhash64("uid"), "mine").cast("int")
-    sent = placed.join(meets, "cell").select("uid", "n", "v", "cell", "other", mine.alias("cut"), F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)).alias("their"))
+    numbers = spark.createDataFrame(list(cuts.items()), "cell int, mine int")
+    blocks = placed.join(numbers, "cell").select("cell", mine.alias("cut"), "uid", "n", "v").groupBy("cell", "cut").applyInArrow(
+        build, "cell int, cut int, tree binary")
+    sent = blocks.join(meets, "cell").select("tree", "cell", "other", "cut", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)).alias("their"))
     own, far = F.struct(F.col("cell").alias("c"), F.col("cut").alias("k")), F.struct(F.col("other").alias("c"), F.col("their").alias("k"))
-    sent = sent.select(F.least(own, far).alias("low"), F.greatest(own, far).alias("high"), (own > far).cast("int").alias("side"), "uid", "n", "v")
+    sent = sent.select(F.least(own, far).alias("low"), F.greatest(own, far).alias("high"), (own > far).cast("int").alias("side"), "tree")
 
     def run(group: pa.Table) -> pa.Table:
-        side = np.asarray(group.column("side"))
-        ids, n = np.asarray(group.column("uid")), np.asarray(group.column("n"))
-        v = np.array(group.column("v").to_pylist(), object)
-        packed = [{"side": s, "ids": ids[side == s].tobytes(), "weights": n[side == s].tobytes(), "values": b"".join(v[side == s])} for s in np.unique(side)]
-        key = group.select(["low", "high"]).slice(0, 1).to_pylist()[0]
-        if len(packed) == 1 and key["low"] != key["high"]:
-            return pa.table({k: pa.array([], pa.int64()) for k in ("u", "v", "links")})
-        counts, edges = _links(pa.Table.from_pylist(packed), threshold, width)
-        rows = [(u, None, c) for u, c in counts] + [(u, w, None) for u, w in edges]
+        sides = sorted(group.to_pylist(), key=lambda r: r["side"])
+        rows = []
+        if len(sides) == 2 or sides[0]["low"] == sides[0]["high"]:  # a cut without vectors has no tree
+            counts, edges = _links([Tree.unpacked(r["tree"]) for r in sides], threshold)
+            rows = [(u, None, c) for u, c in counts] + [(u, w, None) for u, w in edges]
         columns = list(zip(*rows, strict=True)) or [[]] * 3
         return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("u", "v", "links"), columns, strict=True)})
 
