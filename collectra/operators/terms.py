@@ -54,16 +54,18 @@ def _inline_scan(cells: DataFrame, terms: list, whole_word: bool, out_columns: l
     return cells.select("record_id", "column", "value", F.explode(hits).alias("t")).select("record_id", "column", "value", "t.*").select(*out_columns)
 
 
-def scan_terms(cells: DataFrame, terms: DataFrame, case_sensitive: bool = False, whole_word: bool = True) -> DataFrame:
+def scan_terms(cells: DataFrame, terms: DataFrame, case_sensitive: bool = False, whole_word: bool = True, inline: int | None = None) -> DataFrame:
     """``(record_id, column, value, term, replacement, category, note)`` for
     every cell and term that occurs in it.
 
-    A short list is one expression per cell. Beyond that, whole words: any match contains the first token of the term as a token of
+    A list of up to ``inline`` terms (by default 32 words or 500 substrings) is one
+    expression per cell. Beyond that, whole words: any match contains the first token of the term as a token of
     the cell, so cells are exploded to distinct tokens and joined on it; terms
     of several tokens are then checked against the cell. Substrings of a long
     term list, and terms made of boundary characters only, are joined on their
     leading one to three characters instead and checked the same way. No cell
-    is joined to a term it does not share an anchor with.
+    is joined to a term it does not share an anchor with. The exploded rows hold a
+    hash of the cell and one anchor; the text joins again where a term was found.
     """
     known = keyed_terms(terms, case_sensitive)
     cells = cells.where(has_text(F.col("value"))).withColumn(
@@ -74,7 +76,7 @@ def scan_terms(cells: DataFrame, terms: DataFrame, case_sensitive: bool = False,
     )
     first = F.get(F.filter(F.split(F.col("key"), SPLIT), lambda t: t != ""), F.lit(0))
     out_columns = ["record_id", "column", "value", "term", "replacement", "category", "note"]
-    bound = MAX_INLINE_WORDS if whole_word else MAX_INLINE_TERMS
+    bound = inline if inline is not None else MAX_INLINE_WORDS if whole_word else MAX_INLINE_TERMS
     short = known.limit(bound + 1).collect()
     if 0 < len(short) <= bound:
         return _inline_scan(cells, short, whole_word, out_columns)
@@ -82,18 +84,19 @@ def scan_terms(cells: DataFrame, terms: DataFrame, case_sensitive: bool = False,
     by_token = known.where(F.col("_anchor").isNotNull())
     by_gram = known.where(F.col("_anchor").isNull()).withColumn("_n", F.least(F.lit(3), F.length("key")))
     frames = []
+    cells = cells.withColumn("_cell", F.xxhash64("record_id", "column", "value"))
+
+    def found(anchors: Column, listed: DataFrame, check: Column) -> DataFrame:
+        slim = cells.select("_cell", F.explode(anchors).alias("_anchor"))
+        pairs = lookup_join(slim, listed, ["_anchor"], "inner").select("_cell", "_anchor", "key", *out_columns[3:]).distinct()
+        return lookup_join(cells, pairs, ["_cell"], "inner").where(F.contains("_text", F.col("key")) & check).select(*out_columns)
+
     if whole_word:
-        exploded = cells.withColumn("_anchor", F.explode(tokens(F.col("_text"))))
-        frames.append(
-            lookup_join(exploded, by_token, ["_anchor"], "inner")
-            .where((F.col("key") == F.col("_anchor")) | F.regexp_like("_text", inside)).select(*out_columns)
-        )
+        frames.append(found(tokens(F.col("_text")), by_token, (F.col("key") == F.col("_anchor")) | F.regexp_like("_text", inside)))
     for row in by_gram.select("_n").distinct().collect():  # at most three lengths
         n = row[0]
         anchored = by_gram.where(F.col("_n") == n).withColumn("_anchor", F.substring("key", 1, n))
-        exploded = cells.withColumn("_anchor", F.explode(_grams(F.col("_text"), n)))
-        check = F.regexp_like("_text", inside) if whole_word else F.contains("_text", F.col("key"))
-        frames.append(lookup_join(exploded, anchored, ["_anchor"], "inner").where(check).select(*out_columns))
+        frames.append(found(_grams(F.col("_text"), n), anchored, F.regexp_like("_text", inside) if whole_word else F.lit(True)))
     if not frames:
         return cells.select("record_id", "column", "value", *[F.lit("").alias(c) for c in out_columns[3:]]).limit(0)
     out = frames[0]

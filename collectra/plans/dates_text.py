@@ -224,6 +224,32 @@ def term_scan_documents(spark, sf_dir):
     return terms.scan_terms(d, words).select("record_id", "term")
 
 
+_PHRASES = """pairs AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{3,} [a-z]{3,}')) AS term FROM benchmark)"""
+
+
+def _phrases(spark, sf_dir):
+    """Hundreds of terms of two words each, from the benchmark."""
+    b = inputs.table(spark, sf_dir, "benchmark")
+    found = b.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{3,} [a-z]{3,}"), F.lit(0))).alias("term")).distinct()
+    blank = F.lit("")
+    return found.select("term", blank.alias("replacement"), blank.alias("category"), blank.alias("note"), F.crc32(F.col("term").cast("binary")).alias("ord"))
+
+
+def _texts(spark, sf_dir):
+    return inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.lit("text").alias("column"), F.col("text").alias("value"))
+
+
+@query("term_scan_phrases", f"""WITH {_PHRASES} SELECT doc_id AS record_id, term FROM documents, pairs
+WHERE contains(lower(text), term) AND regexp_matches(lower(text), '(^|{_B})' || term || '($|{_B})')""")
+def term_scan_phrases(spark, sf_dir):
+    return terms.scan_terms(_texts(spark, sf_dir), _phrases(spark, sf_dir), inline=0).select("record_id", "term")
+
+
+@query("term_scan_phrase_parts", f"""WITH {_PHRASES} SELECT doc_id AS record_id, term FROM documents, pairs WHERE contains(lower(text), term)""")
+def term_scan_phrase_parts(spark, sf_dir):
+    return terms.scan_terms(_texts(spark, sf_dir), _phrases(spark, sf_dir), whole_word=False, inline=0).select("record_id", "term")
+
+
 @query("term_scan_transcriptions", f"""WITH {inputs.cte('images')} SELECT coalesce(nullif(record_id, ''), image_id) AS record_id, '[OCR] ' || filename AS "column", 'KUTSCHE' AS term
 FROM images WHERE contains(json_extract_string(result, '$.transcription'), 'Kutsche')""")
 def term_scan_transcriptions(spark, sf_dir):
