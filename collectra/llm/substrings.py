@@ -67,10 +67,12 @@ class Pool:
         return [np.concatenate(c) for c in zip(*self.parts, strict=True)]
 
 
-SENT = "bucket int, key long, positions binary, hashes binary, more binary, owners binary, ids binary, keys binary"
-SENT_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+SENT = "bucket int, dest int, positions binary, hashes binary, more binary, owners binary, ids binary, keys binary"
+SENT_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
 SENT_NAMES = [c.split()[0] for c in SENT.split(", ")]
-FOUND = "key long, positions binary"
+FOUND = "dest int, positions binary, owners binary, keys binary"
+FOUND_KEYS = "key long, positions binary"
+FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -78,24 +80,25 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SENT_TYPES, strict=True)], SENT_NAMES)
 
 
-def _known(keys: np.ndarray, owners: np.ndarray, positions: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Per document, the packed positions; ``owners`` number the documents."""
-    if len(owners):
-        order = np.lexsort((positions, owners))
-        owners, positions = owners[order], positions[order]
-        cuts = np.flatnonzero(np.diff(owners)) + 1
-        for owner, part in zip(owners[np.concatenate([[0], cuts])], np.split(positions, cuts), strict=True):
-            yield int(keys[owner]), packed(part)
+def _known(keys: np.ndarray, positions: np.ndarray, groups: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Decided positions, packed: one row per group of documents that are gathered together."""
+    if len(keys):
+        dest = (keys.view(np.uint64) % np.uint64(groups)).astype(np.int32)
+        order = np.lexsort((positions, keys, dest))
+        keys, positions, dest = keys[order], positions[order], dest[order]
+        for part in np.split(np.arange(len(dest)), np.flatnonzero(np.diff(dest)) + 1):
+            used, local = np.unique(keys[part], return_inverse=True)
+            yield int(dest[part[0]]), packed(positions[part]), packed(local), used.tobytes()
 
 
-def _sent(pool: Pool, buckets: int, choose: Callable) -> list[tuple]:
+def _sent(pool: Pool, buckets: int, groups: int, choose: Callable) -> list[tuple]:
     """What a task gives on: for each bucket of hashes one row with its occurrences, one
     per distinct hash, and the positions that are decided here already. ``choose`` gives
     the occurrences to send and those decided."""
     owners, positions, hashes, *more = pool.columns()
     ids, keys = np.array(pool.ids, np.int64), np.array(pool.keys, np.int64)
     send, decided = choose(hashes, more[0] if more else None, ids[owners], positions)
-    rows = [(key % buckets, key, blob, None, None, None, None, None) for key, blob in _known(keys, owners[decided], positions[decided])]
+    rows = [(dest, dest, at, None, None, local, None, used) for dest, at, local, used in _known(keys[owners[decided]], positions[decided], groups)]
     bucket = (hashes[send] % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((positions[send], owners[send], bucket))
     send, bucket = send[order], bucket[order]
@@ -108,27 +111,36 @@ def _sent(pool: Pool, buckets: int, choose: Callable) -> list[tuple]:
 
 
 def _received(group: pa.Table) -> tuple[list, tuple[np.ndarray, ...] | None]:
-    """The decided rows of a bucket, and its occurrences: keys, owners, ids, positions,
-    hashes and further hash bits."""
-    out, parts, keys, base = [], [], [], 0
+    """The decided rows of a bucket, and its occurrences: keys, ids, positions, hashes and
+    further hash bits."""
+    out, parts = [], []
     for r in group.to_pylist():
         if r["hashes"] is None:
-            out.append((r["key"], r["positions"]))
+            out.append(tuple(r[n] for n in FOUND_NAMES))
             continue
-        local, ids = unpacked(r["owners"]), np.frombuffer(r["ids"], np.int64)
+        local = unpacked(r["owners"])
         hashes = np.frombuffer(r["hashes"], np.uint64)
         more = np.frombuffer(r["more"], np.uint32) if r["more"] else np.zeros(len(hashes), np.uint32)
-        parts.append((local + base, ids[local], unpacked(r["positions"]), hashes, more))
-        keys.append(np.frombuffer(r["keys"], np.int64))
-        base += len(ids)
-    if not parts:
-        return out, None
-    return out, (np.concatenate(keys), *map(np.concatenate, zip(*parts, strict=True)))
+        parts.append((np.frombuffer(r["keys"], np.int64)[local], np.frombuffer(r["ids"], np.int64)[local], unpacked(r["positions"]), hashes, more))
+    return out, tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else None
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    keys, positions = zip(*rows, strict=True) if rows else ([], [])
-    return pa.table({"key": pa.array(keys, pa.int64()), "positions": pa.array(positions, pa.binary())})
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.table({n: pa.array(c, pa.binary() if i else pa.int32()) for i, (n, c) in enumerate(zip(FOUND_NAMES, columns, strict=True))})
+
+
+def _gather(group: pa.Table) -> pa.Table:
+    """All positions of each document of a group: one row ``(key, positions)`` per document."""
+    keys, positions = [], []
+    for r in group.to_pylist():
+        keys.append(np.frombuffer(r["keys"], np.int64)[unpacked(r["owners"])])
+        positions.append(unpacked(r["positions"]))
+    keys, positions = np.concatenate(keys), np.concatenate(positions)
+    order = np.lexsort((positions, keys))
+    keys, positions = keys[order], positions[order]
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return pa.table({"key": pa.array(keys[begins]), "positions": pa.array([packed(p) for p in np.split(positions, begins[1:])], pa.binary())})
 
 
 def _runs(hashes: np.ndarray, more: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,15 +158,18 @@ def _choose_anchors(hashes, more, ids, positions):
     return order[begins], order[np.repeat(lengths > 1, lengths)]
 
 
-def _repeated_anchors(group: pa.Table) -> pa.Table:
-    out, found = _received(group)
-    if found:
-        keys, owners, _, positions, hashes, more = found
-        order, begins = _runs(hashes, more)
-        lengths = np.diff(np.append(begins, len(order)))
-        hit = order[np.repeat(lengths > 1, lengths)]
-        out += _known(keys, owners[hit], positions[hit])
-    return _table(out)
+def _repeated_anchors(groups: int) -> Callable:
+    def run(group: pa.Table) -> pa.Table:
+        out, found = _received(group)
+        if found:
+            keys, _, positions, hashes, more = found
+            order, begins = _runs(hashes, more)
+            lengths = np.diff(np.append(begins, len(order)))
+            hit = order[np.repeat(lengths > 1, lengths)]
+            out += _known(keys[hit], positions[hit], groups)
+        return _table(out)
+
+    return run
 
 
 def _choose_windows(hashes, more, ids, positions):
@@ -167,27 +182,33 @@ def _choose_windows(hashes, more, ids, positions):
     return order[first], order[~first & ~same]
 
 
-def _later_windows(group: pa.Table) -> pa.Table:
-    out, found = _received(group)
-    if found:
-        keys, owners, ids, positions, hashes, more = found
-        order, begins = _runs(hashes, more, ids, positions)
-        at = np.repeat(order[begins], np.diff(np.append(begins, len(order))))
-        later = order[(ids[order] != ids[at]) | (positions[order] != positions[at])]
-        out += _known(keys, owners[later], positions[later])
-    return _table(out)
+def _later_windows(groups: int) -> Callable:
+    def run(group: pa.Table) -> pa.Table:
+        out, found = _received(group)
+        if found:
+            keys, ids, positions, hashes, more = found
+            order, begins = _runs(hashes, more, ids, positions)
+            at = np.repeat(order[begins], np.diff(np.append(begins, len(order))))
+            later = order[(ids[order] != ids[at]) | (positions[order] != positions[at])]
+            out += _known(keys[later], positions[later], groups)
+        return _table(out)
+
+    return run
 
 
-def _buckets(docs: DataFrame) -> int:
-    spark = docs.sparkSession
+def _buckets(docs: DataFrame) -> tuple[int, int]:
+    """Buckets of hashes, for some megabytes of text each, and groups of documents to which
+    positions go back; fewer groups, since each bucket writes to each."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(max(size >> 22, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 1 << 24))
+    buckets = min(max(size >> 22, 2 * tasks), 1 << 24)
+    return buckets, max(tasks, buckets >> 3)
 
 
 def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     """``(key, positions)``: starts of windows that also start earlier, for rows ``(key, id, text)``."""
     anchor = width - PERIOD + 1
-    buckets = _buckets(docs)
+    buckets, groups = _buckets(docs)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = Pool()
@@ -198,10 +219,10 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
                     at = cover_positions(len(words) - anchor + 1)
                     pool.add(LAST if doc is None else doc, key, at, window_hashes(word_hashes(words), at, anchor, 0))
                 if pool.size >= FLUSH:
-                    yield _batch(_sent(pool, buckets, _choose_anchors))
+                    yield _batch(_sent(pool, buckets, groups, _choose_anchors))
                     pool = Pool()
         if pool.size:
-            yield _batch(_sent(pool, buckets, _choose_anchors))
+            yield _batch(_sent(pool, buckets, groups, _choose_anchors))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = Pool()
@@ -211,30 +232,31 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
                 words = word_hashes(text.split())
                 n = len(words) - width + 1
                 open_ = np.zeros(n + 1, np.int64)
-                for at in map(unpacked, found):  # an anchor lies in the windows that begin up to PERIOD - 1 before it
-                    np.add.at(open_, np.minimum(np.maximum(at - PERIOD + 1, 0), n), 1)
-                    np.add.at(open_, np.minimum(at + 1, n), -1)
+                at = unpacked(found)  # an anchor lies in the windows that begin up to PERIOD - 1 before it
+                np.add.at(open_, np.minimum(np.maximum(at - PERIOD + 1, 0), n), 1)
+                np.add.at(open_, np.minimum(at + 1, n), -1)
                 at = np.flatnonzero(np.cumsum(open_[:n]) > 0)
                 more = (window_hashes(words, at, width, 2) >> np.uint64(32)).astype(np.uint32)
                 pool.add(LAST if doc is None else doc, key, at, window_hashes(words, at, width, 1), more)
                 if pool.size >= FLUSH:
-                    yield _batch(_sent(pool, buckets, _choose_windows))
+                    yield _batch(_sent(pool, buckets, groups, _choose_windows))
                     pool = Pool()
         if pool.size:
-            yield _batch(_sent(pool, buckets, _choose_windows))
+            yield _batch(_sent(pool, buckets, groups, _choose_windows))
+
+    def gathered(sent: DataFrame, decide: Callable) -> DataFrame:
+        return sent.groupBy("bucket").applyInArrow(decide(groups), FOUND).groupBy("dest").applyInArrow(_gather, FOUND_KEYS)
 
-    gathered = lambda found: found.groupBy("key").agg(F.collect_list("positions").alias("positions"))
-    repeated = cut_lineage(docs.select("key", "id", "text").mapInArrow(anchors, SENT).groupBy("bucket").applyInArrow(_repeated_anchors, FOUND))
-    candidates = docs.join(gathered(repeated), "key").select("key", "id", "text", "positions")
-    return gathered(candidates.mapInArrow(windows, SENT).groupBy("bucket").applyInArrow(_later_windows, FOUND))
+    repeated = cut_lineage(gathered(docs.select("key", "id", "text").mapInArrow(anchors, SENT), _repeated_anchors))
+    candidates = docs.join(repeated, "key").select("key", "id", "text", "positions")
+    return gathered(candidates.mapInArrow(windows, SENT), _later_windows)
 
 
-def keep_mask(n: int, width: int, starts: list[np.ndarray]) -> np.ndarray:
+def keep_mask(n: int, width: int, starts: np.ndarray) -> np.ndarray:
     """Which of ``n`` words no window at ``starts`` covers."""
     edge = np.zeros(n + 1, np.int64)
-    for at in starts:
-        np.add.at(edge, at, 1)
-        np.add.at(edge, np.minimum(at + width, n), -1)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, np.minimum(starts + width, n), -1)
     return np.cumsum(edge[:n]) == 0
 
 
@@ -263,7 +285,7 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
                 words = text.split()
                 total.append(len(words))
                 if found:
-                    mask = keep_mask(len(words), width, [unpacked(b) for b in found])
+                    mask = keep_mask(len(words), width, unpacked(found))
                     words = [w for w, k in zip(words, mask.tolist(), strict=True) if k]
                 removed.append(total[-1] - len(words))
                 kept.append(b" ".join(words))
