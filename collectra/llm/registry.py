@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": substrings.OP2_SQL, "op9_embedding_near_dedup": vectors.OP9_SQL}

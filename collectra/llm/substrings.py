@@ -297,6 +297,18 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
     return both.mapInArrow(run, "id long, n_words long, n_removed long, text string")
 
 
+_WINDOW = ", ".join(["w", *(f"lead(w, {i}) OVER line" for i in range(1, 20))])
+#: The same rows in DuckDB: windows as hashed texts, the first of each kept apart.
+OP2_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+words AS (SELECT r, doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+windows AS (SELECT r, doc_id, i, md5(concat_ws(' ', {_WINDOW})) AS h, lead(w, 19) OVER line IS NOT NULL AS whole FROM words WINDOW line AS (PARTITION BY r ORDER BY i)),
+firsts AS (SELECT h, min(struct_pack(d := doc_id, i := i)) AS f FROM windows WHERE whole GROUP BY h),
+later AS (SELECT r, i FROM windows JOIN firsts USING (h) WHERE whole AND struct_pack(d := doc_id, i := i) > f),
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 19)) AS i FROM later),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, cast(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -249,6 +249,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     return linked.unionByName(rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
 
 
+#: The same rows in DuckDB, from all pairs.
+OP9_SQL = """WITH RECURSIVE v AS (SELECT vec_id, cast(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+c AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.vec_id),
+roots AS (SELECT vec_id, min(root) AS component_id FROM c GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN roots USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select(

@@ -275,3 +275,13 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         table(spark, SF, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_queries_with_sql_give_the_same_rows(spark):
+    from compare import differences, duck
+
+    from collectra.llm import registry
+
+    con = duck(SF)
+    for name, sql in registry.oracle_sql().items():
+        assert differences(spark, con, SF, registry.queries()[name], sql) is None
