@@ -78,6 +78,10 @@ def test_scores_of_nothing(nothing):
     assert scoring.lm_scores(nothing).collect() == []
 
 
+def test_model_has_its_full_size():
+    assert scoring.WORDS >= 320 and scoring.ENDINGS >= 191 and scoring.WIDTH >= 24
+
+
 def brute_substrings(rows, width=20):
     order = lambda i: (i is None, i or 0)
     split, first = [(i, (t or "").encode().split()) for i, t in rows], {}
