@@ -5,6 +5,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log, log10
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -185,24 +186,26 @@ class Trainer:
         gt = -1 / (1 + np.exp(np.clip(true, -30, 30))) / n
         gf = 1 / (1 + np.exp(np.clip(-false, -30, 30))) / n
         dh = gt[:, None] * out + gf @ away
-        outputs, bias = np.zeros_like(m.outputs), np.zeros_like(m.bias)
-        self._gather(outputs, target, gt[:, None] * h)
+        outputs = self._gathered(target, gt[:, None] * h)
+        bias = np.bincount(target, gt, len(m.bias)).astype(np.float32)
         np.add.at(outputs, noise, gf.T @ h)
-        bias += np.bincount(target, gt, len(bias)).astype(np.float32)
         np.add.at(bias, noise, gf.sum(axis=0))
         inputs, places = np.zeros_like(m.inputs), np.empty_like(m.places)
         for c in range(CONTEXT):
-            self._gather(inputs, context[:, c], dh * m.places[c])
-            places[c] = (m.inputs[context[:, c]] * dh).sum(axis=0)
+            own = self._gathered(context[:, c], dh)
+            inputs += own * m.places[c]
+            places[c] = (m.inputs * own).sum(axis=0)
         for i, g in enumerate((inputs, outputs, places, bias)):
             self._descend(i, g * np.float32(n ** 0.5))
 
-    @staticmethod
-    def _gather(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
+    def _gathered(self, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The sum of the values of each output's rows."""
+        into = np.zeros_like(self.m.outputs)
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort, for two bytes
         sorted_rows = rows[order]
         begins = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-        into[sorted_rows[begins]] += np.add.reduceat(values[order], begins, axis=0)
+        into[sorted_rows[begins]] = np.add.reduceat(values[order], begins, axis=0)
+        return into
 
 
 class Codes(dict):
@@ -228,11 +231,13 @@ class Codes(dict):
         return np.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), self[END])
 
 
-def train(rows: DataFrame, vocab: Vocabulary, turns: tuple[tuple[int, float], ...] = ((16, 0.12), (4, 0.06))) -> Model:
+def train(rows: DataFrame, vocab: Vocabulary, turns: tuple[tuple[int, float], ...] = ((16, 0.12), (1, 0.06))) -> Model:
     """Trains on the documents ``(id, text)``, all of them, in ``turns`` of (stride, rate).
 
     In a turn each task starts from the same parameters and takes steps over every
-    ``stride``-th token of each of its documents, in context; the parameters are then
+    ``stride``-th token of each of its documents, in context, from an offset that the
+    text's hash gives, so that the end token is a target as often as it comes; the last
+    turn takes every token. The parameters are then
     averaged by the number of tokens behind them. They are sent as one row per
     parameter block, added up map-side by Spark, and come back as one vector of fixed
     size. Without tokens the start values stay: uniform contexts, unigram biases."""
@@ -263,7 +268,7 @@ def train(rows: DataFrame, vocab: Vocabulary, turns: tuple[tuple[int, float], ..
                 for text in blobs(batch.column(1)):
                     words = text.lower().split()
                     ids = codes.outputs[codes.of(words)]
-                    at = np.arange(len(words) % stride, len(ids), stride)
+                    at = np.arange(crc32(text) % stride, len(ids), stride)
                     contexts.append(windows(ids)[at])
                     targets.append(ids[at])
                     held += len(at)

@@ -78,6 +78,21 @@ def test_scores_of_nothing(nothing):
     assert scoring.lm_scores(nothing).collect() == []
 
 
+def test_short_texts_teach_words_and_ends(spark):
+    """Two words a text: a third of the tokens are ends, and the model's mean P(end) comes within a fifth of that."""
+    import numpy as np
+    docs = spark.createDataFrame([(i, f"left{i % 5} right{i % 5}") for i in range(120_000)], "doc_id long, text string")
+    rows = scoring.texts(docs)
+    vocab = scoring.vocabulary(scoring.word_counts(rows))
+    model = scoring.train(rows, vocab)
+    codes = scoring.Codes(vocab)
+    ids = [codes.outputs[codes.of([b"left%d" % k, b"right%d" % k])] for k in range(5)]
+    context, target = np.concatenate([scoring.windows(i) for i in ids]), np.concatenate(ids)
+    ends = np.exp(model.log_probabilities(context, np.zeros(len(context), int)))
+    assert abs(ends.mean() - 1 / 3) < 1 / 15
+    assert np.exp(model.log_probabilities(context, target))[target > 0].mean() > 0.5
+
+
 def test_model_has_its_full_size():
     assert scoring.WORDS >= 320 and scoring.ENDINGS >= 191 and scoring.WIDTH >= 24
 
