@@ -130,50 +130,73 @@ def blocks(page: str) -> list[Block]:
         heading = bool(stack) and stack[-1][0] in HEADINGS
 
 
-def _first_pass(text: str, block: Block, articles: bool) -> int:
-    """Decide a block by its place, its link density, its length and its stop words."""
+def _first_pass(text: str, block: Block, articles: bool) -> tuple[int, str]:
+    """Decide a block by its place, its link density, its length and its stop words, and
+    name the rule. To stand in an article lowers what is asked of a block; to stand
+    outside, on a page with articles, raises it."""
     if block.furniture:
-        return BAD
-    if articles:
-        return GOOD if block.inside else BAD
+        return BAD, "furniture"
     linked = block.linked / max(1, len(text))
     if linked > LINKED:
-        return BAD
+        return BAD, "links"
     if block.heading or len(text) < SHORT:
-        return OPEN
+        return OPEN, "open"
     words = text.lower().split()
     stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
+    if block.inside:
+        return (GOOD, "inside") if linked < 0.1 or stops >= STOPS else (OPEN, "open")
     if len(text) >= LONG:
-        return GOOD if stops >= STOPS or linked < 0.1 else BAD
-    return GOOD if stops >= STOPS else OPEN
+        return (GOOD if stops >= STOPS or (linked < 0.1 and not articles) else BAD), "length"
+    return (GOOD, "stop words") if stops >= STOPS and not articles else (OPEN, "open")
 
 
-def main_text(page: str) -> str:
-    """The article of a page: its blocks, white space joined, one per line.
+def _nearest(first: list[tuple[int, str]], without: str = "") -> list[int | None]:
+    """Of each block, the last decided one before it."""
+    out, last = [], None
+    for i, (label, rule) in enumerate(first):
+        out.append(last)
+        if label != OPEN and rule != without:
+            last = i
+    return out
+
+
+def _both(first: list[tuple[int, str]], without: str = "") -> list[tuple[int | None, int | None]]:
+    """Of each block, the nearest decided ones before and after it."""
+    after = [None if i is None else len(first) - 1 - i for i in _nearest(first[::-1], without)][::-1]
+    return list(zip(_nearest(first, without), after, strict=True))
+
+
+def labelled(page: str) -> list[tuple[str, int, str]]:
+    """Text, label and deciding rule of each block of a page.
 
-    First pass: furniture by element and class, then link density, length and share of
-    stop words decide a block. Inside ``article`` or ``main``, where a page has them
-    with any text, every block is kept that is not furniture, and all outside goes. Second pass: headings and short blocks that are still open take
-    the label of the nearest decided block, and of two at the same distance the next. A
-    page without any decided block keeps its open ones."""
+    First pass: furniture by element and class, then link density, length, share of stop
+    words and place decide a block. Second pass: headings and short blocks that are still
+    open take the label of the nearest decided block, and of two at the same distance the
+    next. On a page with articles, an open block inside goes only if all decided blocks
+    next to it that are not furniture go, and one outside stays only between two that
+    stay. A page without any decided block keeps its open ones."""
     found = [(t, b) for b in blocks(page) if (t := " ".join("".join(b.parts).split()))]
     articles = any(b.inside and not b.furniture for _, b in found)
-    labels = [_first_pass(t, b, articles) for t, b in found]
-    decided = [i for i, v in enumerate(labels) if v != OPEN]
-    final = list(labels)
-    before, k = None, 0
-    for i, v in enumerate(labels):
-        if v != OPEN:
-            before, k = i, k + 1
-            continue
-        after = decided[k] if k < len(decided) else None
-        if before is None and after is None:
-            final[i] = GOOD
-        elif after is not None and (before is None or after - i <= i - before):
-            final[i] = labels[after]
-        else:
-            final[i] = labels[before]
-    return "\n".join(t for (t, _), v in zip(found, final, strict=True) if v == GOOD)
+    first = [_first_pass(t, b, articles) for t, b in found]
+    around, text = _both(first), _both(first, "furniture")
+    final = []
+    for i, (label, _) in enumerate(first):
+        if label == OPEN:
+            before, after = text[i] if found[i][1].inside else around[i]
+            near = [first[j][0] for j in (before, after) if j is not None]
+            if articles:
+                label = GOOD if (found[i][1].inside and (GOOD in near or not near)) or near == [GOOD, GOOD] else BAD
+            elif not near:
+                label = GOOD
+            else:
+                label = first[after if after is not None and (before is None or after - i <= i - before) else before][0]
+        final.append(label)
+    return [(t, v, "neighbours" if rule == "open" else rule) for (t, _), v, (_, rule) in zip(found, final, first, strict=True)]
+
+
+def main_text(page: str) -> str:
+    """The article of a page: its blocks, white space joined, one per line."""
+    return "\n".join(t for t, v, _ in labelled(page) if v == GOOD)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

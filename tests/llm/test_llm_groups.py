@@ -285,3 +285,15 @@ def test_queries_with_sql_give_the_same_rows(spark):
     con = duck(SF)
     for name, sql in registry.oracle_sql().items():
         assert differences(spark, con, SF, registry.queries()[name], sql) is None
+
+
+PROSE = "It was the best of the days that they had in the house by the sea, and all of them were there with the children for the whole of it, as they had been."
+
+
+@pytest.mark.parametrize("page,wanted", [
+    (f"<main><p>{PROSE}</p><ul><li><a href=/a>Other story of the day</a></li><li><a href=/b>And one more</a></li></ul></main>", PROSE),
+    (f"<div><p>{PROSE}</p><article><p><a href=/t>Read this teaser</a></p></article><p>{PROSE}</p></div>", f"{PROSE}\n{PROSE}"),
+    (f"<article><h1>Title</h1><p>{PROSE}</p><p>Short end.</p></article><div>Imprint</div>", f"Title\n{PROSE}\nShort end."),
+])
+def test_article_is_a_feature_not_a_verdict(page, wanted):
+    assert extract.main_text(page) == wanted
