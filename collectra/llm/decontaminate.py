@@ -86,12 +86,13 @@ def template_windows(tokens: np.ndarray, width: int) -> np.ndarray:
 
 
 class Index:
-    """Template windows of some benchmark items. An item shorter than a window is one
-    window of its own length. Windows with fewer than ``LITERALS`` literal tokens say
-    too little and are left out."""
+    """Template windows and windows of values of some benchmark items. An item shorter
+    than a window is one window of its own length. Template windows with fewer than
+    ``LITERALS`` literal tokens say too little and are left out; windows of values all
+    count, so that verbatim text is found whatever it is made of."""
 
     def __init__(self, items: list[tuple[int, bytes]], width: int):
-        words, by_width = Words(), defaultdict(list)
+        words, by_width = Words(), defaultdict(list)  # by width, and whether of values
         self.items = []
         for key, text in items:
             tokens, values, kinds, _ = template(text, words)
@@ -101,7 +102,8 @@ class Index:
             hashes = template_windows(tokens, w)
             literal = np.convolve(kinds == LITERAL, np.ones(w, int), "valid") >= min(LITERALS, w)
             for at in np.flatnonzero(literal):
-                by_width[w].append((hashes[at], len(self.items), at))
+                by_width[w, False].append((hashes[at], len(self.items), at))
+            by_width[w, True] += [(h, len(self.items), at) for at, h in enumerate(template_windows(values, w))]
             self.items.append((key, tokens, values, kinds))
         self.windows = {}
         for w, rows in by_width.items():
@@ -112,14 +114,19 @@ class Index:
         """``(item, kind, share, first word, words matched)`` of each item that leaks into the text."""
         tokens, values, kinds, place = template(text, words)
         lines: dict[int, set[int]] = defaultdict(set)
-        for w, (hashes, item, offset) in self.windows.items():
-            found = template_windows(tokens, w)
+        for (w, raw), (hashes, item, offset) in self.windows.items():
+            if len(tokens) < w:
+                continue
+            found, start = template_windows(values if raw else tokens, w), None
+            if not raw:
+                other, start = _as_first_words(tokens, values, kinds, w)
+                found, start = np.concatenate([found, other]), np.concatenate([np.arange(len(found)), start])
             low = np.searchsorted(hashes, found)
             hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == found)
             for at in hit.tolist():
                 k = int(low[at])
                 while k < len(hashes) and hashes[k] == found[at]:
-                    lines[int(item[k])].add(at - int(offset[k]))
+                    lines[int(item[k])].add((at if raw else int(start[at])) - int(offset[k]))
                     k += 1
         out = []
         for i, diagonals in lines.items():
@@ -141,13 +148,24 @@ class Index:
         return out
 
 
+def _as_first_words(tokens: np.ndarray, values: np.ndarray, kinds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that begin with a name, read as an item's first word, which is literal
+    there: hashes and places. What stands before a copy decides how the text reads it."""
+    at = np.flatnonzero(kinds[:len(kinds) - width + 1] == NAME)
+    if not len(at):
+        return np.zeros(0, np.uint64), at
+    held = np.lib.stride_tricks.sliding_window_view(tokens, width)[at]
+    held[:, 0] = values[at]
+    return window_hashes(held.ravel(), np.arange(0, held.size, width), width, 0), at
+
+
 def _aligned(wanted, own, own_kinds, tokens, values, d: int) -> tuple[np.ndarray, bool]:
-    """Which tokens of an item agree with a text on one diagonal, and whether all slots
+    """Which tokens of an item agree with a text on one diagonal, by template or by value, and whether all slots
     hold the item's own values. A slot counts only where its value goes one to one with
     the item's: 3, 5, 3 fits 4, 7, 4 but not 4, 7, 9."""
     matched = np.zeros(len(wanted), bool)
     a, b = max(d, 0), min(d + len(wanted), len(tokens))
-    matched[a - d:b - d] = wanted[a - d:b - d] == tokens[a:b]
+    matched[a - d:b - d] = (wanted[a - d:b - d] == tokens[a:b]) | (own[a - d:b - d] == values[a:b])
     slots = np.flatnonzero(matched & (own_kinds != LITERAL))
     to, back, same = {}, {}, True
     for s in slots.tolist():

@@ -224,3 +224,16 @@ def test_leaks_in_chunks(spark, monkeypatch):
     given = {r.doc_id: r.text for r in docs.collect()}
     planted = {(d, i) for d, t in given.items() for i, x in texts.items() if x and x in (t or "")}
     assert planted <= {(r.id, r.item_id) for r in whole}
+
+
+@pytest.mark.parametrize("item,text,kind", [
+    ("What is 345 * 678 ?", "so then: What is 345 * 678 ? it said", "exact"),
+    ("WHERE DID ANNA BOB AND CARL GO IN 1999", "see WHERE DID ANNA BOB AND CARL GO IN 1999 now", "exact"),
+    ("The Old Man And The Sea By Ernest Hemingway", "he read The Old Man And The Sea By Ernest Hemingway twice", "exact"),
+    ("What color is the sky at noon", "A Title Line\nWhat color is the sky at noon", "exact"),
+    ("What color is the sky at noon", "Q1) What color is the sky at noon", "exact"),
+    ("What do 3 apples and 4 pears cost", "Q1) What do 5 apples and 7 pears cost", "template"),
+])
+def test_verbatim_copies_match(item, text, kind):
+    index = decontaminate.Index([(1, item.encode())], 8)
+    assert [m[1] for m in index.matches(text.encode(), decontaminate.Words(), 0.5)] == [kind]
