@@ -24,7 +24,8 @@ def record_context(columns: list[str], skip: str = "", n: int = 8) -> Column:
     return F.map_from_entries(F.slice(filled, 1, n))
 
 
-def row_text(columns: list[str], sep: str = "; ", size: int = 500) -> Column:
-    """Non-empty cells of a row as one text for a prompt."""
+def row_text(columns: list[str], sep: str = "; ", size: int | None = None) -> Column:
+    """Non-empty cells of a row as one text for a prompt, whole or its first ``size`` characters."""
     cells = [F.nullif(strip(F.col(quoted(c)).cast("string")), F.lit("")) for c in columns]
-    return F.substring(F.concat_ws(sep, *cells), 1, size)
+    text = F.concat_ws(sep, *cells)
+    return text if size is None else F.substring(text, 1, size)

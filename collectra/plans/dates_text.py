@@ -158,7 +158,7 @@ def record_context(spark, sf_dir):
 
     df = collection(spark, sf_dir).where(F.col("note").isNotNull())
     ctx = context(["title", "creator", "place", "subject", "date_text", "note"], skip="note")
-    return df.select("record_id", F.size(ctx).alias("others"), row_text(df.columns).alias("row_text"))
+    return df.select("record_id", F.size(ctx).alias("others"), row_text(df.columns, size=500).alias("row_text"))
 
 
 @query("code_labels", f"""WITH {inputs.cte('mentions')} SELECT entity_type,

@@ -244,3 +244,10 @@ def test_long_chains_take_few_rounds(spark):
     assert {r["seq"]: r["n_cells"] for r in log.collect()} == {i: 1 if i < 7 else 2 for i in range(n)}
     chain = spark.createDataFrame([(i, i + 1 if i + 1 < n else None) for i in range(n)], "rid long, nxt long")
     assert len(remediation._jumps(chain)) == 9
+
+
+def test_term_items_hold_the_whole_row(spark):
+    from collectra.operators import model_checks
+    df = spark.createDataFrame([("r1", "x" * 900, "eine Kutsche")], "record_id string, title string, note string")
+    assert model_checks.term_items(df, "record_id").first()["text"].endswith("eine Kutsche")
+    assert len(model_checks.term_items(df, "record_id", size=500).first()["text"]) == 500
