@@ -51,9 +51,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, row_group: int | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back. The rows survive
-    lost executors, are computed once, and the next plan knows their size."""
+    lost executors, are computed once, and the next plan knows their size. Row groups
+    of few bytes let many tasks read what one task has written."""
     path = scratch_path(df.sparkSession, "table")
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.size", str(row_group)) if row_group else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
