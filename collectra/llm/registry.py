@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, extract, middle, packing, quality, scoring, secrets, simhash, substrings, urls, vectors
+from . import bpe, collocations, decontaminate, extract, middle, packing, quality, scoring, secrets, simhash, substrings, urls, vectors
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_simhash_near_dedup": simhash.op8,
         "op9_embedding_near_dedup": vectors.op9,
         "op10_best_fit_packing": packing.op10,
+        "op11_phrase_collocations": collocations.op11,
         "op12_fill_in_middle": middle.op12,
         "op13_byte_bpe": bpe.op13,
         "pipeline": corpus_pipeline.run,
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": substrings.OP2_SQL,
         "op9_embedding_near_dedup": vectors.OP9_SQL,
+        "op11_phrase_collocations": collocations.OP11_SQL,
         "op12_fill_in_middle": middle.OP12_SQL,
     }

@@ -8,7 +8,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 
-from collectra.llm import bpe, middle
+from collectra.llm import bpe, collocations, middle
 from collectra.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -108,3 +108,83 @@ def test_bpe_of_nothing(nothing):
 def test_middle_as_sql(spark):
     from compare import differences, duck
     assert differences(spark, duck(SF), SF, middle.op12, middle.OP12_SQL) is None
+
+
+def expected_phrases(rows, least, longest=5, top=2000):
+    counts, totals = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", folded):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            for k in range(1, longest + 1):
+                counts.update((lang, tuple(words[i:i + k])) for i in range(len(words) - k + 1))
+    frequent = {p: f for p, f in counts.items() if f >= least}
+    longer = {}
+    for (lang, p), f in frequent.items():
+        for i in range(len(p)):
+            for j in range(i + 1, len(p) + 1):
+                if j - i < len(p):
+                    longer[lang, p[i:j]] = max(longer.get((lang, p[i:j]), 0), f)
+    out = {}
+    for (lang, p), a in frequent.items():
+        if len(p) > 1 and 100 * longer.get((lang, p), 0) < 100 * a:
+            cuts = [(1000 * a * totals[lang] // (frequent[lang, p[:k]] * frequent[lang, p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            out.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), frequent[lang, p[:k]], frequent[lang, p[k:]]))
+    return sorted((lang, i + 1, p.decode(), -a, left, right, totals[lang], -score)
+                  for lang, found in out.items() for i, (score, a, p, left, right) in enumerate(sorted(found)[:top]))
+
+
+def phrase_rows(seed=5, n=400):
+    rng = random.Random(seed)
+    words = ["the", "The", "of", "Ä", "x'y", "new york", "a\tb", "über", " z"] + [f"w{i}" for i in range(12)]
+    rows = []
+    for _ in range(n):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", ", ", ".\n", "!?", "\x0b"]) for _ in range(rng.randint(0, 60)))
+        rows.append((rng.choice(["en", "de", None, "und"]), text))
+    return rows + [("en", None), ("fr", ""), ("en", "in the year of the cat " * 900), ("en", "a a a a a a")] * 2
+
+
+def found_phrases(spark, rows, **how):
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "lang string, text string, a int, phrase string")
+    return sorted(map(tuple, collocations.collocations(docs, **how).collect()))
+
+
+@pytest.mark.parametrize("how", [
+    {"least": 20}, {"least": 5, "block": 300}, {"least": 20, "top": 7}, {"least": 20, "longest": 2}])
+def test_phrases(spark, how, monkeypatch):
+    if "block" in how:  # many blocks, three levels of sums, keys beyond the dense part, texts in several parts
+        monkeypatch.setattr(collocations, "FAN", 4)
+        monkeypatch.setattr(collocations, "HEAD", 8)
+        monkeypatch.setattr(collocations, "WINDOW", 100)
+    rows = phrase_rows()
+    wanted = expected_phrases(rows, how["least"], how.get("longest", 5), how.get("top", 2000))
+    assert wanted and found_phrases(spark, rows, **how) == wanted
+
+
+def test_no_phrases(spark):
+    assert found_phrases(spark, []) == []
+    assert found_phrases(spark, [("en", "one two"), (None, None)]) == []
+    assert found_phrases(spark, [("en", "one. two. " * 200)]) == []
+
+
+def test_scores_beyond_64_bits(spark):
+    from pyspark.sql import functions as F
+
+    a, n, one, two = 3_000_000_000_000, 90_000_000_000_000, 4_000_000_000_000, 5_000_000_000_007
+    row = spark.createDataFrame([(a, n, [one, a], [two, a])], "a long, n long, firsts array<long>, lasts array<long>")
+    assert row.select(F.expr(collocations._LOWEST).alias("c")).select("c.score", "c.l", "c.r").first() == (1000 * a * n // (one * two), one, two)
+
+
+def test_parts_of_a_long_text():
+    text = (b"ab cd\xffef " * 9 + b"x" * 50 + b" y") * 3
+    for size in (1, 7, 20, 1000):
+        parts = list(collocations.portions(text, size))
+        assert b"".join(parts) == text and all(p[-1:] in b" \xff" for p in parts[:-1])
+
+
+def test_phrases_as_sql(spark):
+    from compare import differences, duck
+    assert differences(spark, duck(SF), SF, collocations.op11, collocations.OP11_SQL) is None
