@@ -1,5 +1,7 @@
 """Operators against brute force: joins under skew, ordered corrections, samples, exports."""
+import hashlib
 import random
+from collections import Counter
 from xml.etree import ElementTree
 
 import pytest
@@ -106,6 +108,41 @@ def test_samples(spark):
     assert chunks.where(F.col("chunk") != F.floor(F.col("id") / 128) + 1).count() == 0
 
 
+def test_samples_are_refined_at_the_border(spark, monkeypatch):
+    """One id in a third of all rows, some of them equal in every column, and no bucket above a few rows."""
+    monkeypatch.setattr(sampling, "BORDER", 4)
+    rows = [(7 if i % 3 == 0 else i, "same" if i % 6 == 0 else f"v{i}", {"k": i} if i % 6 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, v string, m map<string,int>").withColumn("_key", F.lit(1))
+    place = {i: hashlib.md5(f"42:{i}".encode()).hexdigest() for i, *_ in rows}
+    for n, digits in ((1, 1), (233, 1), (233, 3), (1000, 3)):
+        got = [r["id"] for r in sampling.sample_rows(df, "id", n, digits=digits).collect()]
+        assert sorted(got, key=place.get) == sorted((i for i, *_ in rows), key=place.get)[:n]
+    # around the frequent id the border runs through its rows
+    ordered = sorted((i for i, *_ in rows), key=place.get)
+    n = ordered.index(7) + 120
+    taken = sampling.sample_rows(df, "id", n, digits=1).collect()
+    assert len(taken) == n and sum(r["id"] == 7 for r in taken) == 120
+    whole = Counter((i, v, str(m)) for i, v, m in rows)
+    assert all(k <= whole[r] for r, k in Counter((r["id"], r["v"], str(r["m"])) for r in taken).items())
+
+
+def test_samples_of_nothing(spark):
+    empty = spark.createDataFrame([], "id long, g string")
+    assert sampling.sample_rows(empty, "id", 5).collect() == []
+    assert sampling.sample_stratified(empty, "id", "g", 0.5).collect() == []
+    assert sampling.chunk_numbers(empty, "id", 5).collect() == []
+
+
+def test_row_numbers_with_ties(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(5)).otherwise(F.col("id") % 7).alias("k"), F.col("id").alias("_part"))
+    got = {r["_part"]: r["n"] for r in sampling.row_numbers(df, F.desc("k"), F.col("_part"), name="n").collect()}
+    wanted = sorted(((5 if i % 3 else i % 7), i) for i in range(3000))
+    wanted.sort(key=lambda r: (-r[0], r[1]))
+    assert got == {i: n + 1 for n, (_, i) in enumerate(wanted)}
+    chunks = sampling.chunk_numbers(df, "k", 100).groupBy("chunk").count().collect()
+    assert {r["chunk"]: r["count"] for r in chunks} == {c: 100 for c in range(1, 31)}
+
+
 MENTION = "text string, entity_type string, confidence double, source string, record_id string, status string, gnd_id string, gnd_preferred string, ord long"
 
 
