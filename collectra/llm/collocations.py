@@ -6,12 +6,13 @@ from collections.abc import Iterator
 from functools import reduce
 from itertools import count
 from math import ceil
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup_join
@@ -22,6 +23,8 @@ from .common import blobs, table
 #: Pieces end at these characters, words at blanks and tabs.
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 BREAK = b"\xff"
+#: Between language and word; like BREAK, no byte of UTF-8.
+BETWEEN = b"\xfe"
 _FOLD = bytes(0xFF if c in SEPARATORS else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: Numbers below HEAD are counted in one dense array of HEAD x HEAD cells; the others as sorted keys.
@@ -33,26 +36,96 @@ WINDOW = 8 << 20
 #: What meets in one group: this many blocks, or sums of this many groups.
 FAN = 512
 
-NUMBERED = "block long, tokens binary, lang string, words array<string>, numbers array<int>, times array<long>"
+NUMBERED = "block long, place long, data binary, counts binary, numbers binary, langs array<string>, sums array<long>"
 UNITS = "block long, units binary"
-CELLS = "part long, place long, keys binary, counts binary"
+CELLS = "part long, place long, keys binary, counts binary, numbers binary"
 DECIDED = "part long, place long, keys binary, ids binary, counts binary"
 
 
 def packed(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+    """Numbers, compressed: first all their first bytes, then all second ones, and so on."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpacked(blob: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
-
-
-def packed_keys(keys: np.ndarray) -> bytes:
-    return packed(np.diff(keys, prepend=keys.dtype.type(0)))
-
-
-def unpacked_keys(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(blob, "<u8"), dtype=np.uint64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(width, -1).T).reshape(-1).view(kind)
+
+
+class Pairs:
+    """Keys of pairs: two ids in 64 bits, in sorted arrays."""
+
+    @staticmethod
+    def pack(keys: np.ndarray) -> bytes:
+        return packed(np.diff(keys, prepend=np.uint64(0)))
+
+    @staticmethod
+    def unpack(blob: bytes) -> np.ndarray:
+        return np.cumsum(unpacked(blob, "<u8"), dtype=np.uint64)
+
+    @staticmethod
+    def places(keys: np.ndarray, places: int) -> np.ndarray:
+        """The place of each pair, by its tile."""
+        tile = ((keys >> np.uint64(32 + TILE)) << np.uint64(32)) | ((keys & np.uint64(0xFFFFFFFF)) >> np.uint64(TILE))
+        tile = (tile ^ (tile >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return ((tile ^ (tile >> np.uint64(29))) % np.uint64(places)).astype(np.int64)
+
+    @staticmethod
+    def sums(each: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = np.concatenate(each), np.concatenate(times)
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[first], np.add.reduceat(counts, first)
+
+    @staticmethod
+    def held(own: np.ndarray, known: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some keys are known, and their ids."""
+        if not len(known):
+            return np.zeros(len(own), bool), ids
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        hit = known[at] == own
+        return hit, ids[at[hit]]
+
+
+class Words:
+    """Keys of words: language and word in one, in sorted arrays of bytes objects."""
+
+    @staticmethod
+    def array(keys: list[bytes]) -> np.ndarray:
+        out = np.empty(len(keys), object)
+        out[:] = keys
+        return out
+
+    @staticmethod
+    def pack(keys: np.ndarray) -> bytes:
+        return zstandard.ZstdCompressor(level=3).compress(BREAK.join(keys.tolist()))
+
+    @staticmethod
+    def unpack(blob: bytes) -> np.ndarray:
+        return Words.array(zstandard.ZstdDecompressor().decompress(blob).split(BREAK))
+
+    @staticmethod
+    def places(keys: np.ndarray, places: int) -> np.ndarray:
+        return np.fromiter(map(crc32, keys.tolist()), np.int64, len(keys)) % places
+
+    @staticmethod
+    def sums(each: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        counts: dict[bytes, int] = {}
+        for keys, n in zip(each, times, strict=True):
+            for key, value in zip(keys.tolist(), n.tolist(), strict=True):
+                counts[key] = counts.get(key, 0) + value
+        found = sorted(counts)
+        return Words.array(found), np.array([counts[k] for k in found], np.int64)
+
+    @staticmethod
+    def held(own: np.ndarray, known: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = dict(zip(known.tolist(), ids.tolist(), strict=True))
+        found = [to.get(k, 0) for k in own.tolist()]
+        hit = np.array(found, "<u4")
+        return hit > 0, hit[hit > 0]
 
 
 def _names(schema: str) -> list[str]:
@@ -86,22 +159,24 @@ def portions(text: bytes, size: int) -> Iterator[bytes]:
     yield text[at:]
 
 
-def numbered_words(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def numbered_words(docs: DataFrame, places: int, block: int = BLOCK) -> DataFrame:
     """Blocks of about ``block`` words: one row with the words as numbers of that block (0: a
-    break), and rows with its words by language, their numbers and how often they come."""
+    break) and the sum of each language, and per place one with the words that belong there,
+    how often they come, and their numbers."""
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
 
-    def rows(block_id: int, parts: list[np.ndarray], langs: dict[str, Numbers]) -> Iterator[pa.RecordBatch]:
+    def rows(block_id: int, parts: list[np.ndarray], langs: dict[str, Numbers]) -> pa.RecordBatch:
         tokens = np.concatenate(parts)
         times = np.bincount(tokens)
-        columns = [[block_id], [packed(tokens)], [None], [None], [None], [None]]
-        for lang, words in langs.items():
-            found = [(w.decode("utf-8", "replace"), i) for w, i in words.items() if i]
-            for at in range(0, len(found), 50_000):
-                names, numbers = zip(*found[at:at + 50_000], strict=True)
-                for column, value in zip(columns, (block_id, None, lang, names, numbers, times[list(numbers)]), strict=True):
-                    column.append(value)
-        kinds = (pa.int64(), pa.binary(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _names(NUMBERED))
+        own = [np.fromiter(words.values(), np.int64, len(words)) for words in langs.values()]
+        sums = [int(times[n[n > 0]].sum()) for n in own]
+        out = [(block_id, None, packed(tokens), None, None, list(langs), sums)]
+        found = [(lang.encode() + BETWEEN + w, i) for lang, words in langs.items() for w, i in words.items() if i]
+        if found:
+            keys, numbers = zip(*sorted(found), strict=True)
+            numbers = np.array(numbers, "<i4")
+            out += [(*row, None, None) for row in _dealt(Words, block_id, Words.array(keys), times[numbers], places, numbers)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], _names(NUMBERED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block_id = TaskContext.get().partitionId() << 28
@@ -116,10 +191,10 @@ def numbered_words(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                     parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
                     size += len(words)
                     if size >= block and words[-1] == BREAK:
-                        yield from rows(block_id, parts, langs)
+                        yield rows(block_id, parts, langs)
                         parts, langs, counter, size, block_id = [], {}, count(1), 0, block_id + 1
         if size:
-            yield from rows(block_id, parts, langs)
+            yield rows(block_id, parts, langs)
 
     return cut_lineage(docs.mapInArrow(run, NUMBERED))
 
@@ -129,20 +204,27 @@ def squeezed(units: np.ndarray) -> bytes:
     return packed(units[(units > 0) | np.append(False, units[:-1] > 0)].astype("<u4"))
 
 
-def first_units(numbered: DataFrame, vocabulary: DataFrame, ids: DataFrame) -> DataFrame:
+def first_units(tokens: DataFrame, decided: DataFrame) -> DataFrame:
     """Each block's words as ids by frequency; 0 is a break or a word that is not frequent."""
 
-    def run(tokens: pa.Table, known: pa.Table) -> pa.Table:
-        if not tokens.num_rows:
-            return pa.table({"block": pa.array([], pa.int64()), "units": pa.array([], pa.binary())})
-        words = unpacked(tokens["tokens"][0].as_py(), "<i4")
+    def run(held: pa.Table, known: pa.Table) -> pa.Table:
+        if not held.num_rows:
+            return _no_units()
+        words = unpacked(held["data"][0].as_py(), "<i4")
         to = np.zeros(int(words.max(initial=0)) + 1, np.uint32)
-        to[known["number"].to_numpy()] = known["id"].to_numpy()
-        return pa.table({"block": tokens["own"], "units": pa.array([squeezed(to[words])], pa.binary())})
+        for numbers, ids in zip(known["keys"].to_pylist(), known["ids"].to_pylist(), strict=True):
+            to[unpacked(numbers, "<i4")] = unpacked(ids, "<u4")
+        return pa.table({"block": held["block"], "units": pa.array([squeezed(to[words])], pa.binary())})
+
+    return cut_lineage(tokens.select("block", "data").groupBy("block").cogroup(_back(decided).groupBy("block")).applyInArrow(run, UNITS))
 
-    known = vocabulary.join(ids, ["lang", "word"]).select("block", "number", "id")
-    tokens = numbered.where(F.col("tokens").isNotNull()).select(F.col("block").alias("own"), "tokens")
-    return cut_lineage(tokens.groupBy("own").cogroup(known.groupBy("block")).applyInArrow(run, UNITS))
+
+def _back(decided: DataFrame) -> DataFrame:
+    return decided.where(F.col("part").isNotNull()).select(F.col("part").alias("block"), "keys", "ids")
+
+
+def _no_units() -> pa.Table:
+    return pa.table({"block": pa.array([], pa.int64()), "units": pa.array([], pa.binary())})
 
 
 def neighbours(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,96 +246,76 @@ def counted(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[order], times[order]
 
 
-def place_of(keys: np.ndarray, places: int) -> np.ndarray:
-    """The place of each pair, by its tile."""
-    tile = ((keys >> np.uint64(32 + TILE)) << np.uint64(32)) | ((keys & np.uint64(0xFFFFFFFF)) >> np.uint64(TILE))
-    tile = (tile ^ (tile >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return ((tile ^ (tile >> np.uint64(29))) % np.uint64(places)).astype(np.int64)
-
-
-def _dealt(part: int, keys: np.ndarray, times: np.ndarray, places: int) -> list[tuple]:
+def _dealt(kind: type, part: int, keys: np.ndarray, times: np.ndarray, places: int, numbers: np.ndarray | None = None) -> list[tuple]:
     """Rows of CELLS, one for each place."""
-    place = place_of(keys, places)
+    place = kind.places(keys, places)
     order = np.argsort(place, kind="stable")
     cuts = np.flatnonzero(np.diff(place[order])) + 1
-    return [(part, int(place[at[0]]), packed_keys(keys[at]), packed(times[at].astype("<i8"))) for at in np.split(order, cuts) if len(at)]
+    return [
+        (part, int(place[at[0]]), kind.pack(keys[at]), packed(times[at].astype("<i8")), None if numbers is None else packed(numbers[at]))
+        for at in np.split(order, cuts) if len(at)
+    ]
 
 
-def _cells(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], _names(CELLS))
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    names = _names(schema)
+    kinds = [pa.int64() if c.endswith("long") else pa.binary() for c in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _summed(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The keys of each row, and all keys with their sums."""
-    each = [unpacked_keys(b) for b in group["keys"].to_pylist()]
-    keys = np.concatenate(each)
-    times = np.concatenate([unpacked(b, "<i8") for b in group["counts"].to_pylist()])
-    order = np.argsort(keys, kind="stable")
-    keys, times = keys[order], times[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return each, keys[first], np.add.reduceat(times, first)
-
-
-def _held(keys: np.ndarray, known: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those of some sorted keys that are known, and their ids."""
-    at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-    hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
-    return keys[hit], ids[at[hit]]
+def decide(kind: type, cells: DataFrame, parts: int, places: int, least: int, fan: int = FAN) -> DataFrame:
+    """Keys that come ``least`` times or more, numbered by frequency within their place.
 
+    Rows without ``part`` hold a place's frequent keys with ids and counts; rows with it go back
+    to a part with the frequent keys that it has, or the part's own numbers of them. Of more than
+    ``fan`` parts, groups of ``fan`` are summed first and dealt over 64 times the places; the answer
+    comes back the same way."""
 
-def _decided(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _names(DECIDED))
+    def each_of(group: pa.Table) -> list[np.ndarray]:
+        return [kind.unpack(b) for b in group["keys"].to_pylist()]
 
+    def sums_of(group: pa.Table, each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return kind.sums(each, [unpacked(b, "<i8") for b in group["counts"].to_pylist()])
 
-def decide(cells: DataFrame, parts: int, places: int, least: int, fan: int = FAN) -> DataFrame:
-    """Pairs that come ``least`` times or more, numbered by frequency within their place.
+    def answers(group: pa.Table, each: list[np.ndarray], known: np.ndarray, ids: np.ndarray) -> list[tuple]:
+        out = []
+        for part, place, numbers, own in zip(group["part"].to_pylist(), group["place"].to_pylist(), group["numbers"].to_pylist(), each, strict=True):
+            hit, found = kind.held(own, known, ids)
+            if len(found):
+                keys = kind.pack(own[hit]) if numbers is None else packed(unpacked(numbers, "<i4")[hit])
+                out.append((part, place, keys, packed(found), None))
+        return out
 
-    Rows without ``part`` hold a place's frequent pairs with ids and counts; rows with it go back
-    to a part with the frequent pairs that it has. Of more than ``fan`` parts, groups of ``fan``
-    are summed first and dealt over 64 times the places; the answer comes back the same way."""
     if parts <= fan:
 
         def choose(group: pa.Table) -> pa.Table:
-            place = group["place"][0].as_py()
-            each, keys, times = _summed(group)
+            place, each = group["place"][0].as_py(), each_of(group)
+            keys, times = sums_of(group, each)
             keys, times = keys[times >= least], times[times >= least]
             ids = np.empty(len(keys), np.uint64)
-            ids[np.lexsort((keys, -times))] = np.arange(len(keys), dtype=np.uint64) * np.uint64(places) + np.uint64(place + 1)
+            ids[np.argsort(-times, kind="stable")] = np.arange(len(keys), dtype=np.uint64) * np.uint64(places) + np.uint64(place + 1)
             if len(ids) and ids.max() >= 1 << 32:
                 raise OverflowError("more than 4,294,967,295 frequent phrases of one length")
             ids = ids.astype("<u4")
-            out = [(None, place, packed_keys(keys), packed(ids), packed(times))] if len(keys) else []
-            for part, own in zip(group["part"].to_pylist(), each, strict=True):
-                held, known = _held(own, keys, ids)
-                if len(held):
-                    out.append((part, place, packed_keys(held), packed(known), None))
-            return _decided(out)
+            total = [(None, place, kind.pack(keys), packed(ids), packed(times))] if len(keys) else []
+            return _table(total + answers(group, each, keys, ids), DECIDED)
 
         return cut_lineage(cells.groupBy("place").applyInArrow(choose, DECIDED))
 
     def merge(group: pa.Table) -> pa.Table:
-        return _cells(_dealt(group["above"][0].as_py(), *_summed(group)[1:], 64 * places))
+        return _table(_dealt(kind, group["above"][0].as_py(), *sums_of(group, each_of(group)), 64 * places), CELLS)
 
     def hand_down(group: pa.Table, answer: pa.Table) -> pa.Table:
-        known = [unpacked_keys(b) for b in answer["keys"].to_pylist()]
-        if not known or not group.num_rows:
-            return _decided([])
-        ids = np.concatenate([unpacked(b, "<u4") for b in answer["ids"].to_pylist()])
-        known = np.concatenate(known)
+        if not answer.num_rows or not group.num_rows:
+            return _table([], DECIDED)
+        known, ids = np.concatenate(each_of(answer)), np.concatenate([unpacked(b, "<u4") for b in answer["ids"].to_pylist()])
         order = np.argsort(known, kind="stable")
-        known, ids, out = known[order], ids[order], []
-        for part, place, own in zip(group["part"].to_pylist(), group["place"].to_pylist(), group["keys"].to_pylist(), strict=True):
-            held, found = _held(unpacked_keys(own), known, ids)
-            if len(held):
-                out.append((part, place, packed_keys(held), packed(found), None))
-        return _decided(out)
+        return _table(answers(group, each_of(group), known[order], ids[order]), DECIDED)
 
     fewer = ceil(parts / fan)
     cells = cut_lineage(cells.withColumn("above", F.pmod(F.xxhash64("part"), F.lit(fewer))))
-    above = decide(cells.groupBy("place", "above").applyInArrow(merge, CELLS), fewer, 64 * places, least, fan)
+    above = decide(kind, cells.groupBy("place", "above").applyInArrow(merge, CELLS), fewer, 64 * places, least, fan)
     answer = above.where(F.col("part").isNotNull()).select((F.col("place") % places).alias("place"), F.col("part").alias("above"), "keys", "ids")
     back = cells.groupBy("place", "above").cogroup(answer.groupBy("place", "above")).applyInArrow(hand_down, DECIDED)
     return cut_lineage(above.where(F.col("part").isNull()).unionByName(back))
@@ -266,7 +328,7 @@ def pairs(units: DataFrame, places: int) -> DataFrame:
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, left, right = neighbours(unpacked(blob, "<u4"))
-                yield from _cells(_dealt(block, *counted(left, right), places)).to_batches()
+                yield from _table(_dealt(Pairs, block, *counted(left, right), places), CELLS).to_batches()
 
     return units.mapInArrow(run, CELLS)
 
@@ -277,8 +339,8 @@ def next_units(units: DataFrame, decided: DataFrame) -> DataFrame:
 
     def run(held: pa.Table, known: pa.Table) -> pa.Table:
         if not held.num_rows or not known.num_rows:
-            return pa.table({"block": pa.array([], pa.int64()), "units": pa.array([], pa.binary())})
-        keys = np.concatenate([unpacked_keys(b) for b in known["keys"].to_pylist()])
+            return _no_units()
+        keys = np.concatenate([Pairs.unpack(b) for b in known["keys"].to_pylist()])
         ids = np.concatenate([unpacked(b, "<u4") for b in known["ids"].to_pylist()])
         one, two = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
         near = (one < HEAD) & (two < HEAD)
@@ -299,8 +361,20 @@ def next_units(units: DataFrame, decided: DataFrame) -> DataFrame:
         out[:-1][both] = found
         return pa.table({"block": held["block"], "units": pa.array([squeezed(out)], pa.binary())})
 
-    back = decided.where(F.col("part").isNotNull()).select(F.col("part").alias("block"), "keys", "ids")
-    return cut_lineage(units.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, UNITS))
+    return cut_lineage(units.groupBy("block").cogroup(_back(decided).groupBy("block")).applyInArrow(run, UNITS))
+
+
+def frequent_words(decided: DataFrame) -> DataFrame:
+    """``(id, lang, word, a)`` from the rows of places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, ids, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                langs, words = zip(*([p.decode("utf-8", "replace") for p in k.split(BETWEEN, 1)] for k in Words.unpack(keys)), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(unpacked(ids, "<u4").astype(np.int64)), pa.array(langs), pa.array(words), pa.array(unpacked(times, "<i8"))], ["id", "lang", "word", "a"])
+
+    return decided.where(F.col("part").isNull()).select("keys", "ids", "counts").mapInArrow(run, "id long, lang string, word string, a long")
 
 
 def frequent_pairs(decided: DataFrame) -> DataFrame:
@@ -309,7 +383,7 @@ def frequent_pairs(decided: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, ids, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys = unpacked_keys(keys)
+                keys = Pairs.unpack(keys)
                 columns = (unpacked(ids, "<u4"), keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), unpacked(times, "<i8"))
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["id", "left", "right", "a"])
 
@@ -334,39 +408,31 @@ def collocations(
     percent of its count is dropped; a candidate of one word more is enough to tell, as every
     longer one contains such a one that is no rarer.
 
-    Texts become blocks of word numbers, once. Words that are frequent get ids by frequency, and
-    a block learns the ids of its own words by a join. In each turn a block counts its pairs of
-    neighbours, by address for low ids and as sorted keys for the others; what it counts
-    goes to places by tiles, which sum it, number the frequent pairs by frequency, and tell each
-    block the ids of those it has. Two frequent pairs that overlap are the pairs of the next
-    turn. A block sends each pair once, so no pair is more than one cell per block, and no
-    group holds more than ``FAN`` blocks' cells of a place.
+    Texts become blocks of word numbers, once. What a block counts goes to places, which sum it,
+    number what is frequent by frequency, and tell each block the ids of what it has: first of
+    its words, then in each turn of its pairs of neighbours, which are counted by address for low
+    ids and as sorted keys for the others, and go to places by tiles. Two frequent pairs that
+    overlap are the pairs of the next turn. A block sends each word and pair once, so none
+    is more than one cell per block, and no group holds more than ``FAN`` blocks' cells of a place.
 
     Null texts are empty; a null language counts as ``und``; repeated rows count each; no rows, or
     no frequent phrase, give no rows. Further columns are not read. A text of any length
     is read in parts."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    numbered = numbered_words(rows, block)
-    blocks = numbered.where(F.col("tokens").isNotNull()).count()
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    places = max(2 * tasks, 4 * min(blocks, FAN))
-
-    lists = numbered.where(F.col("words").isNotNull())
-    zipped = lists.select("block", "lang", F.explode(F.arrays_zip("words", "numbers", "times")).alias("w"))
-    vocabulary = zipped.select("block", "lang", F.col("w.words").alias("word"), F.col("w.numbers").alias("number"), F.col("w.times").alias("times"))
-    totals = lists.select("lang", F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    counts = vocabulary.groupBy("lang", "word").agg(F.sum("times").alias("a")).where(F.col("a") >= least)
-    place = F.pmod(F.xxhash64("lang", "word"), F.lit(places))
-    order = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("a"), "lang", "word"))
-    words = counts.withColumn("place", place).withColumn("id", (order - 1) * F.lit(places).cast("long") + F.col("place") + 1)
-    level = cut_lineage(lookup_join(words, totals, "lang", "inner").select(
+    places = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32)
+    numbered = numbered_words(rows, places, block)
+    tokens = numbered.where(F.col("place").isNull())
+    blocks = tokens.count()
+    known = decide(Words, numbered.where(F.col("place").isNotNull()).select(F.col("block").alias("part"), "place", F.col("data").alias("keys"), "counts", "numbers"), blocks, places, least)
+    totals = tokens.select(F.explode(F.arrays_zip("langs", "sums")).alias("t")).groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.sums").alias("n"))
+    level = cut_lineage(lookup_join(frequent_words(known), totals, "lang", "inner").select(
         "id", "lang", F.col("word").alias("phrase"), "a", F.array("a").alias("firsts"), F.array("a").alias("lasts"), "n"))
-    units = first_units(numbered, vocabulary, level.select("lang", F.col("phrase").alias("word"), "id"))
+    units = first_units(tokens, known)
 
     found: list[DataFrame] = []
     for words_in in range(2, longest + 1):
-        decided = decide(pairs(units, places), blocks, places, least)
+        decided = decide(Pairs, pairs(units, places), blocks, places, least)
         both = frequent_pairs(decided)
         if found:  # what lies in a phrase of one word more
             holders = both.select(F.col("left").alias("id"), F.col("a").alias("around")).union(both.select("right", "a")).groupBy("id").agg(F.max("around").alias("around"))
