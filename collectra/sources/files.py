@@ -4,7 +4,6 @@ from __future__ import annotations
 import codecs
 import re
 from concurrent.futures import ThreadPoolExecutor
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +79,7 @@ def facts_of(raw: bytes) -> dict:
     first, more, _ = text.partition("\n")
     return {
         "encoding": encoding, "has_bom": bom, "warning": warning or "", "delimiter": delimiter_of(text[:4096]), "line_ending": line_ending_of(raw),
+        "crlf": first.endswith("\r") and bool(more),
         "header": first.rstrip("\r") if more or len(raw) < HEAD_BYTES else None,  # None: longer than what was read
     }
 
@@ -91,17 +91,6 @@ def file_facts(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -
         return list(pool.map(lambda f: {"path": f, **facts_of(head(spark, f))}, files))
 
 
-def broken_utf8(spark: SparkSession, files: list[str]) -> set[str]:
-    """Those of the files that hold bytes which are not UTF-8 in any line."""
-    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file"))
-    broken = {_plain(unquote(r["file"])) for r in lines.where(~F.is_valid_utf8("value")).select("file").distinct().collect()}
-    return {f for f in files if _plain(f) in broken}
-
-
-def _plain(file: str) -> str:
-    return re.sub(r"^file:/+", "/", file)
-
-
 def root_format(raw: bytes) -> str:
     """mets_mods, mods, lido or unknown, from the root element."""
     match = re.search(r"<(?:([\w.\-]+):)?([\w.\-]+)([^>]*)>", re.sub(r"<!--.*?-->|<\?.*?\?>|<![^>]*>", "", raw.decode("utf-8", "replace"), flags=re.S))
