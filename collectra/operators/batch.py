@@ -2,11 +2,13 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import has_text, parse_json, strip
 from ..session import cut_lineage, exists
@@ -64,30 +66,66 @@ def with_parsed(results: DataFrame) -> DataFrame:
     )
 
 
-def answer_table(items: DataFrame, answer: Answer, prompt: str = "", path: str | None = None, **run) -> DataFrame:
+def with_item_keys(items: DataFrame, prompt: str = "") -> DataFrame:
+    content = F.to_json(F.struct(*[F.col(quoted(c)) for c in items.columns]))
+    return items.withColumn("item_key", F.sha2(F.concat_ws("\n", F.lit(prompt), content), 256))
+
+
+def answer_table(
+    items: DataFrame, answer: Answer, prompt: str = "", path: str | None = None, step: int = 256, files: int = 0, workers: int | None = None, **run,
+) -> DataFrame:
     """Items with their parsed answers, written once: every later step reads the table,
     so no item is asked twice and all steps see the same answer.
 
-    ``item_key`` is a hash of ``prompt`` and the item. With a ``path`` the table
-    outlives the run: a rerun asks only for items whose key has no successful answer
-    there, and its rows are added."""
-    spark = items.sparkSession
-    content = F.to_json(F.struct(*[F.col(quoted(c)) for c in items.columns]))
-    keyed = items.withColumn("item_key", F.sha2(F.concat_ws("\n", F.lit(prompt), content), 256))
+    ``item_key`` is a hash of ``prompt`` and the item. With a ``path`` the answers outlive
+    the run, and are committed step by step (:func:`answer_steps`): a run that stops
+    keeps what it has paid for up to its last step, and a rerun asks only for
+    items whose key has no successful answer there."""
+    keyed = with_item_keys(items, prompt)
     if path is None:
-        return cut_lineage(with_parsed(run_items(keyed, answer, **run)))
-    todo = keyed
-    if exists(spark, path):
-        todo = pending_items(keyed, spark.read.parquet(path).where("success").select("item_key"), ["item_key"])
-    with_parsed(run_items(todo, answer, **run)).write.mode("append").parquet(path)
+        return cut_lineage(with_parsed(run_items(keyed, answer, workers, **run)))
+    answer_steps(keyed, answer, path, step, files, workers, **run)
     # a failed item that was asked again has a row for each try; the best one counts
-    found = spark.read.parquet(path)
-    found = found.join(keyed.select("item_key").distinct(), "item_key", "left_semi")
+    found = lookup_join(stored_answers(keyed, path), keyed.select("item_key").distinct(), "item_key", "left_semi")
     best = found.groupBy("item_key").agg(F.max(F.col("success").cast("int")).alias("_best"))
     return found.join(best, "item_key").where(F.col("success").cast("int") == F.col("_best")).drop("_best").select(
         *keyed.columns, *[c for c in found.columns if c not in keyed.columns])
 
 
+def stored_answers(keyed: DataFrame, path: str) -> DataFrame:
+    """All answers below ``path``, in the columns of keyed items; none where nothing is stored."""
+    spark = keyed.sparkSession
+    schema = T.StructType([*keyed.schema.fields, *T.StructType.fromDDL(f"{RESULT}, parsed string, parse_failed boolean").fields])
+    folder = f"{path.rstrip('/')}/answers"
+    if not exists(spark, folder):
+        return spark.createDataFrame([], schema)
+    # step folders are only names: without this they would add columns
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def answer_steps(keyed: DataFrame, answer: Answer, path: str, step: int = 256, files: int = 0, workers: int | None = None, **run) -> None:
+    """Ask for the items that have no successful answer below ``path``, in steps.
+
+    The open items are written as files of at most ``step`` rows and read back as a stream of
+    ``files`` (as many as there are cores, unless given) at a time. Each micro-batch writes its
+    answers to a folder named after run and batch, so what a batch has finished is
+    committed whatever becomes of the next, and a batch that is tried again replaces
+    its own rows. At most one batch of answers is lost when a run stops."""
+    spark = keyed.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    name, root = uuid.uuid4().hex[:12], path.rstrip("/")
+    todo = pending_items(keyed, stored_answers(keyed, path).where("success").select("item_key"), ["item_key"])
+    queue = f"{root}/queue/{name}"
+    todo.write.option("maxRecordsPerFile", step).parquet(queue)
+
+    def commit(batch: DataFrame, number: int) -> None:
+        done = with_parsed(run_items(batch, answer, workers or cores, **run))
+        done.write.mode("overwrite").parquet(f"{root}/answers/{name}/{number}")
+
+    stream = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", files or cores).parquet(queue)
+    stream.writeStream.foreachBatch(commit).option("checkpointLocation", f"{root}/progress/{name}").trigger(availableNow=True).start().awaitTermination()
+
+
 def pending_items(items: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Items a stopped run still has to answer."""
     return lookup_join(items, done.select(*keys).distinct(), keys, "left_anti")

@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import json
+import zlib
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from .. import inputs
@@ -212,10 +214,36 @@ def model_rerun_skips(spark, sf_dir):
     items = mc.text_items(collection(spark, sf_dir), ["note"], "record_id")
     once = batch.answer_table(items, tagger, "names", path).count()
     batch.answer_table(items, tagger, "names", path)
-    total = spark.read.parquet(path).agg(F.count("*").alias("n"))
+    total = _stored(spark, path).agg(F.count("*").alias("n"))
     return total.select(F.stack(F.lit(2), F.lit("first"), F.lit(once).cast("long"), F.lit("second"), F.col("n") - F.lit(once)).alias("run", "asked"))
 
 
+def _stored(spark, path):
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/answers")
+
+
+def _fatal(items: list[dict]) -> list[str]:
+    if any(zlib.crc32(i["record_id"].encode()) % 997 == 3 for i in items):
+        raise SystemExit(1)  # the worker is gone, not the item
+    return ["{}"] * len(items)
+
+
+@query("model_resumed_steps", """SELECT count(*) AS items, count(*) AS answers, count(DISTINCT o_orderkey) AS keys, true AS rest_only FROM orders""")
+def model_resumed_steps(spark, sf_dir):
+    """A run whose workers die keeps its finished steps; the next asks for the rest only."""
+    path = scratch_path(spark, "answers")
+    items = inputs.table(spark, sf_dir, "orders").select(F.concat(F.lit("rec_"), "o_orderkey").alias("record_id"), "o_orderpriority")
+    try:
+        batch.answer_table(items, _fatal, "state", path, step=100)
+    except StreamingQueryException:
+        pass
+    keyed = batch.with_item_keys(items, "state")
+    kept = batch.stored_answers(keyed, path).count()
+    found = batch.answer_table(items, lambda rows: ["{}"] * len(rows), "state", path, step=1000)
+    return found.agg(F.count("*").alias("answers"), F.countDistinct("item_key").alias("keys")).select(
+        F.lit(items.count()).alias("items"), "answers", "keys", (F.col("answers") - kept == F.lit(items.count() - kept)).alias("rest_only"))
+
+
 @query("page_labels", f"""WITH {_I} SELECT CASE WHEN analyzed IS FALSE THEN 'error' WHEN coalesce(try_cast(json_extract_string(result, '$.confidence') AS DOUBLE), 0) >= 0.7 THEN 'high' ELSE 'low' END AS label, count(*) AS n FROM images GROUP BY 1""")
 def page_labels(spark, sf_dir):
     from .export import image_confidence
