@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import inputs
 from ..functions.text import split_values
-from ..operators import authority, dictionary, entities, profile
+from ..operators import authority, dictionary, entities, profile, similarity
 from .quality import COLLECTION, collection
 from .registry import query
 
@@ -217,6 +217,26 @@ def authority_matches(spark, sf_dir):
     return _matches(spark, sf_dir)
 
 
+_WORDS = "list_sort(list_distinct(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: x <> '')))"
+_NAME, _TERM = "p_name || ' ' || p_brand || ' ' || p_type", "p_type || ' Nr. ' || (p_size % 7) || ', ' || p_name"
+
+
+@query("authority_similar", f"""WITH a AS (SELECT 'a' || p_partkey AS authority_id, p_partkey AS ord, {_NAME} AS preferred_name, {_WORDS.format(_NAME)} AS theirs FROM part),
+t AS (SELECT DISTINCT {_TERM} AS text, {_WORDS.format(_TERM)} AS ours FROM part),
+p AS (SELECT text, authority_id, preferred_name, ord, len(list_intersect(ours, theirs)) AS c, len(ours) + len(theirs) AS n FROM t, a),
+r AS (SELECT *, c / (n - c) AS s, cast(row_number() OVER (PARTITION BY text ORDER BY c / (n - c) DESC, ord) AS INTEGER) AS rank FROM p WHERE c / (n - c) >= 0.5)
+SELECT text, authority_id, preferred_name, rank, round(s, 4) AS score FROM r WHERE rank <= 3""")
+def authority_similar(spark, sf_dir):
+    part = inputs.table(spark, sf_dir, "part")
+    none = F.lit(None).cast("string")
+    records = part.select(
+        F.concat(F.lit("a"), "p_partkey").alias("authority_id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("preferred_name"),
+        F.array().cast("array<string>").alias("variants"), none.alias("authority_type"), none.alias("source"), F.col("p_partkey").alias("ord"))
+    text = F.concat("p_type", F.lit(" Nr. "), (F.col("p_size") % 7).cast("string"), F.lit(", "), "p_name")
+    terms = part.select(text.alias("text"), F.lit("TOP").alias("entity_type"))
+    return similarity.similar_terms(terms, records, 0.5, 3).select("text", "authority_id", "preferred_name", "rank", "score")
+
+
 @query("authority_match_counts", f"WITH {_M}, {_NAMES} SELECT (SELECT count(*) FROM wanted) AS total, count(*) FILTER (rank = 1) AS matched, count(*) AS candidates FROM matches")
 def authority_match_counts(spark, sf_dir):
     return authority.match_counts(mentions(spark, sf_dir), _matches(spark, sf_dir))
