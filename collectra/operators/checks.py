@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from ..functions.codes import mapped
 from ..functions.text import edge_blank, has_text, is_missing, split_terms
 from ..session import cut_lineage
-from .profile import Dataset, cells, column_profile, frequencies, quoted
-from .joins import top_rows
+from .profile import SHORT, Dataset, cells, column_profile, long_cells, quoted, value_counts
+from .joins import lookup_join, top_rows
 
 FINDING = T.StructType([
     T.StructField("dataset", T.StringType()),
@@ -93,15 +93,27 @@ def cell_marks() -> dict[str, Column]:
     return marks
 
 
+def counts_of(ds: Dataset) -> DataFrame:
+    """The value counts that all checks of a data set share; ids are kept whole."""
+    return value_counts(ds.df, whole=_whole(ds), marks=cell_marks())
+
+
+def _whole(ds: Dataset) -> tuple[str, ...]:
+    return (ds.id_column,) if ds.id_column else ()
+
+
 def scan_cells(ds: Dataset, n_ids: int = 10, freq: DataFrame | None = None) -> DataFrame:
     """``(column, kind, total, filled, n, record_ids)``: what all cell checks
     need, whatever their number. The counts come from the value counts ``freq``
     where they are at hand; one pass over the table ranks example ids."""
     marks = cell_marks()
-    counted, cnt = (cells(ds.df), F.lit(1)) if freq is None else (freq, F.col("cnt"))
+    counted, cnt, filled, tests = cells(ds.df), F.lit(1), F.col("value").isNotNull(), marks
+    if freq is not None:
+        counted, cnt, filled = freq, F.col("cnt"), F.col("size").isNotNull()
+        tests = {k: F.col("marks").bitwiseAND(F.lit(1 << i)) != 0 for i, k in enumerate(marks)}
     tally = lambda test: F.sum(F.when(test, cnt).otherwise(0)).cast("long")
     counts = counted.groupBy("column").agg(
-        F.sum(cnt).cast("long").alias("total"), tally(F.col("value").isNotNull()).alias("filled"), *[tally(m).alias(k) for k, m in marks.items()]
+        F.sum(cnt).cast("long").alias("total"), tally(filled).alias("filled"), *[tally(t).alias(k) for k, t in tests.items()]
     ).withColumn("missing", F.col("total") - F.col("filled"))
     kinds = ["missing", *marks]
     long = counts.unpivot(["column", "total", "filled"], [quoted(k) for k in kinds], "kind", "n").where(F.col("n") > 0)
@@ -173,8 +185,6 @@ def check_duplicate_records(ds: Dataset, n_ids: int = 20, freq: DataFrame | None
 def duplicate_rows(df: DataFrame, id_column: str) -> DataFrame:
     """All rows of every repeated id. The repeated ids come from a combined
     count, so a hot id is never gathered in one task."""
-    from .joins import lookup_join
-
     ids = df.groupBy(id_column).agg(F.count("*").alias("n")).where(F.col("n") > 1)
     some = lookup_join(df, ids.where(F.col(id_column).isNotNull()), [id_column], "inner")
     null_count = ids.where(F.col(id_column).isNull()).select("n").first()
@@ -221,20 +231,37 @@ def check_format_inconsistency(ds: Dataset, n_ids: int = 5, scan: DataFrame | No
     )
 
 
-def variant_groups(freq: DataFrame) -> DataFrame:
+def _terms(values: DataFrame) -> DataFrame:
+    return values.where(has_text(F.col("value"))).select("column", "cnt", F.explode(split_terms(F.col("value"))).alias("form"))
+
+
+def variant_groups(freq: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """Spellings that differ only in case: ``(column, canonical, pairs)``, the
     pairs being (form, cnt). Columns of any number of values take part; a group holds
-    the spellings of one term."""
-    spelled = (
-        freq.where(has_text(F.col("value")))
-        .select("column", "cnt", F.explode(split_terms(F.col("value"))).alias("form"))
-        .groupBy("column", "form").agg(F.sum("cnt").alias("cnt"))
-    )
+    the spellings of one term.
+
+    ``more`` are long cells, as ``(column, value)``, whose values ``freq`` does not hold. Their terms
+    can be as long, so terms are then counted by hash, and only those with several
+    spellings are fetched."""
+    terms = _terms(freq)
+    if more is not None:
+        terms = terms.union(_terms(more.withColumn("cnt", F.lit(1).cast("long"))))
+        keyed = terms.select("column", "cnt", F.unhex(F.md5(F.lower("form"))).alias("term"), F.unhex(F.md5("form")).alias("spelling"))
+        forms = keyed.groupBy("column", "term", "spelling").agg(F.sum("cnt").alias("cnt"))
+        several = forms.groupBy("column", "term").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("column", "term")
+        terms = lookup_join(terms.withColumn("term", F.unhex(F.md5(F.lower("form")))), several, ["column", "term"], "left_semi")
+    spelled = terms.groupBy("column", "form").agg(F.sum("cnt").alias("cnt"))
     return spelled.groupBy("column", F.lower("form").alias("canonical")).agg(
         F.array_sort(F.collect_list(F.struct("form", "cnt"))).alias("pairs")
     ).where(F.size("pairs") > 1)
 
 
+def long_values(ds: Dataset, freq: DataFrame) -> DataFrame | None:
+    """Cells with long values, or None where the counts know of none."""
+    some = freq.where((F.col("size") > SHORT) & F.col("value").isNull()).limit(1)
+    return None if some.isEmpty() else long_cells(ds.df, _whole(ds))
+
+
 def variant_rows(groups: DataFrame) -> DataFrame:
     """``(column, canonical, form, cnt, forms)``: one row per spelling."""
     return groups.select("column", "canonical", F.size("pairs").cast("long").alias("forms"), F.explode("pairs").alias("p")).select(
@@ -243,7 +270,8 @@ def variant_rows(groups: DataFrame) -> DataFrame:
 
 
 def check_term_variants(ds: Dataset, n_examples: int = 5, freq: DataFrame | None = None) -> DataFrame:
-    groups = cut_lineage(variant_groups(freq if freq is not None else frequencies(ds.df)))
+    freq = counts_of(ds) if freq is None else freq
+    groups = cut_lineage(variant_groups(freq, long_values(ds, freq)))
     example = F.struct("canonical", F.col("pairs.form").alias("forms"), F.col("pairs.cnt").alias("counts"))
     first = top_rows(groups, ["column"], [F.col("canonical")], n_examples).groupBy("column").agg(F.array_sort(F.collect_list(example)).alias("examples"))
     counted = groups.groupBy("column").agg(F.count("*").alias("n")).join(first, "column")  # one row per column on both sides
@@ -373,7 +401,7 @@ def run_checks(datasets: list[Dataset], freqs: dict[str, DataFrame] | None = Non
     there already.
     """
     frames = []
-    freqs = freqs or {d.name: cut_lineage(d.frequencies()) for d in datasets}
+    freqs = freqs or {d.name: cut_lineage(counts_of(d)) for d in datasets}
     for i, d in enumerate(datasets):
         freq = freqs[d.name]
         scan = cut_lineage(scan_cells(d, freq=freq))
@@ -389,7 +417,7 @@ def run_checks(datasets: list[Dataset], freqs: dict[str, DataFrame] | None = Non
 
 def profiles(datasets: list[Dataset], freqs: dict[str, DataFrame] | None = None) -> DataFrame:
     frames = [
-        column_profile((freqs or {}).get(d.name, None) if freqs else d.frequencies()).withColumn("dataset", F.lit(d.name))
+        column_profile(freqs[d.name] if freqs else value_counts(d.df)).withColumn("dataset", F.lit(d.name))
         for d in datasets
     ]
     return reduce(DataFrame.unionByName, frames)
@@ -398,5 +426,5 @@ def profiles(datasets: list[Dataset], freqs: dict[str, DataFrame] | None = None)
 def analyze(datasets: list[Dataset]) -> tuple[DataFrame, DataFrame]:
     """(findings, profile), both materialised. The value counts, the only
     data-sized intermediate, are written once and read by all."""
-    freqs = {d.name: cut_lineage(d.frequencies()) for d in datasets}
+    freqs = {d.name: cut_lineage(counts_of(d)) for d in datasets}
     return cut_lineage(run_checks(datasets, freqs)), cut_lineage(profiles(datasets, freqs))

@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import top_rows
@@ -15,10 +16,22 @@ ID_NAMES = [
 ]
 
 
+#: Longer values are counted by hash.
+SHORT = 256
+
+
 def quoted(name: str) -> str:
     return f"`{name}`"
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def cells(df: DataFrame, id_column: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """One row per cell: ``(record_id, column, value)``. The id column itself
     is a cell, too, unless ``columns`` leaves it out."""
@@ -36,16 +49,37 @@ def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return cells(df, None, columns).groupBy("column", "value").agg(F.count("*").alias("cnt"))
 
 
+def value_counts(df: DataFrame, columns: list[str] | None = None, whole: tuple[str, ...] = (), marks: dict[str, Column] | None = None) -> DataFrame:
+    """``(column, key, size, value, marks, cnt)``: distinct values like :func:`frequencies`, but what
+    is shuffled does not grow with the cells: a value is told by its 128-bit hash, and is
+    itself kept only up to ``SHORT`` characters or in the columns ``whole``. ``size`` is its
+    length (null for a gap), ``marks`` a number with one bit per condition that holds."""
+    value, size = F.col("value"), F.length("value")
+    kept = F.when((size <= SHORT) | F.col("column").isin(*whole), value)
+    bits = [F.when(test, F.lit(1 << i)).otherwise(0) for i, test in enumerate((marks or {}).values())]
+    row = [
+        "column", F.unhex(F.md5("value")).alias("key"), size.alias("size"), kept.alias("value"),
+        reduce(lambda x, y: x.bitwiseOR(y), bits, F.lit(0)).alias("marks"),
+    ]
+    return cells(df, None, columns).select(*row).groupBy("column", "key", "size", "value", "marks").agg(F.count("*").alias("cnt"))
+
+
+def long_cells(df: DataFrame, whole: tuple[str, ...] = ()) -> DataFrame:
+    """``(column, value)`` of the cells whose value :func:`value_counts` does not keep."""
+    return cells(df).where((F.length("value") > SHORT) & ~F.col("column").isin(*whole)).select("column", "value")
+
+
 def column_profile(freq: DataFrame) -> DataFrame:
-    """Per column: counts, distinct values, fill rate and value lengths."""
-    filled = F.col("value").isNotNull()
-    size = F.length("value")
+    """Per column: counts, distinct values, fill rate and value lengths, from
+    :func:`value_counts` or :func:`frequencies`."""
+    size = F.col("size") if "size" in freq.columns else F.length("value")
+    filled = size.isNotNull()
     return (
         freq.groupBy("column")
         .agg(
             F.sum("cnt").alias("total_count"),
             F.sum(F.when(filled, F.col("cnt")).otherwise(0)).alias("non_null_count"),
-            F.count("value").alias("unique_count"),
+            F.count(size).alias("unique_count"),
             F.min(size).alias("min_length"),
             F.max(size).alias("max_length"),
             F.sum(F.when(filled, size.cast("long") * F.col("cnt"))).alias("_chars"),
@@ -56,10 +90,14 @@ def column_profile(freq: DataFrame) -> DataFrame:
     )
 
 
-def sample_values(freq: DataFrame, n: int = 3) -> DataFrame:
-    """The ``n`` smallest distinct values of each column, as ``(column, pos, value)``."""
-    ranked = top_rows(freq.where(F.col("value").isNotNull()), ["column"], [F.col("value")], n, "pos")
-    return ranked.select("column", "pos", "value")
+def sample_values(df: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` smallest distinct values of each column, as ``(column, pos, value)``. They lie among
+    the values with the ``n`` smallest beginnings of ``SHORT`` characters, so only
+    these are compared as a whole."""
+    filled = cells(df).where(F.col("value").isNotNull()).select("column", "value", F.substring("value", 1, SHORT).alias("head"))
+    heads = top_rows(filled.select("column", "head").distinct(), ["column"], [F.col("head")], n).select("column", "head")
+    near = filled.join(F.broadcast(heads), ["column", "head"], "left_semi")  # n rows per column
+    return top_rows(near.select("column", "value").distinct(), ["column"], [F.col("value")], n, "pos").select("column", "pos", "value")
 
 
 def fill_rates(df: DataFrame) -> DataFrame:
@@ -123,16 +161,13 @@ class Dataset:
     line_ending: str = ""
     encoding: str = "utf-8"
 
-    def frequencies(self) -> DataFrame:
-        return frequencies(self.df)
-
     def profile(self) -> DataFrame:
-        return column_profile(self.frequencies()).withColumn("dataset", F.lit(self.name))
+        return column_profile(value_counts(self.df)).withColumn("dataset", F.lit(self.name))
 
 
 def dataset(name: str, df: DataFrame, id_column: str | None = None, **facts) -> Dataset:
     """Wrap a table; the id column is detected when it is not given."""
-    found = id_column or detect_id_column(column_profile(frequencies(df)), df.columns)
+    found = id_column or detect_id_column(column_profile(value_counts(df)), df.columns)
     return Dataset(name, df, found, **facts)
 
 
@@ -144,7 +179,7 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 
 def facet_columns(freq: DataFrame, max_values: int = 40) -> DataFrame:
     """Each non-empty column with its kind: ``facet`` (few, repeated values) or ``text``."""
-    some = F.col("value").isNotNull() & (F.col("value") != "")
+    some = F.col("size") > 0
     counts = freq.where(some).groupBy("column").agg(F.count("*").alias("distinct_values"), F.sum("cnt").alias("non_empty"))
     is_facet = (F.col("distinct_values") <= max_values) & (F.col("distinct_values") < F.col("non_empty"))
     return counts.withColumn("kind", F.when(is_facet, "facet").otherwise("text"))

@@ -130,7 +130,33 @@ def column_profile(spark, sf_dir):
 SELECT "column", value, cast(row_number() OVER (PARTITION BY "column" ORDER BY value) AS INTEGER) AS pos
 FROM freq WHERE dataset = 'collection' AND value IS NOT NULL QUALIFY pos <= 3""")
 def column_samples(spark, sf_dir):
-    return profile.sample_values(profile.frequencies(collection(spark, sf_dir)))
+    return profile.sample_values(collection(spark, sf_dir))
+
+
+_DOCS = "SELECT unnest(['text', 'lang', 'source']) AS \"column\", unnest([text, lang, source]) AS value FROM documents"
+
+
+@query("long_text_profile", f"""WITH c AS ({_DOCS}) SELECT "column", count(*) AS total_count, count(value) AS non_null_count, count(DISTINCT value) AS unique_count, cast(min(length(value)) AS INTEGER) AS min_length,
+  cast(max(length(value)) AS INTEGER) AS max_length, count(value) / count(*) AS fill_rate, cast(floor(sum(length(value)) / count(value)) AS INTEGER) AS mean_length FROM c GROUP BY 1""")
+def long_text_profile(spark, sf_dir):
+    return profile.column_profile(profile.value_counts(inputs.table(spark, sf_dir, "documents").select("text", "lang", "source")))
+
+
+@query("long_text_samples", f"""WITH c AS (SELECT DISTINCT * FROM ({_DOCS})) SELECT "column", value, cast(row_number() OVER (PARTITION BY "column" ORDER BY value) AS INTEGER) AS pos FROM c WHERE value IS NOT NULL QUALIFY pos <= 3""")
+def long_text_samples(spark, sf_dir):
+    return profile.sample_values(inputs.table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+@query("long_text_variants", """WITH w AS (SELECT trim(unnest(string_split(replace(replace(text, ';', ' '), ' ', ';'), ';')), chr(9) || chr(10) || chr(13) || ' ') AS form FROM documents WHERE contains(text, ' ')),
+f AS (SELECT form, lower(form) AS canonical, count(*) AS cnt FROM w WHERE form <> '' GROUP BY ALL)
+SELECT 'text' AS "column", canonical, form, cnt, count(*) OVER (PARTITION BY canonical) AS forms FROM f QUALIFY forms > 1""")
+def long_text_variants(spark, sf_dir):
+    """Every word of every document as a term of one long cell."""
+    docs = inputs.table(spark, sf_dir, "documents").where(F.col("text").contains(" "))
+    words = docs.select(F.translate(F.translate("text", ";", " "), " ", ";").alias("text"))
+    ds = profile.Dataset("documents", words, None)
+    counts = checks.counts_of(ds)
+    return checks.variant_rows(checks.variant_groups(counts, checks.long_values(ds, counts)))
 
 
 @query("fill_rates", f"""WITH {CELLS}
@@ -157,7 +183,7 @@ def id_candidates(spark, sf_dir):
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("custkey"),
         F.concat_ws(":", "o_orderkey", "o_custkey").alias("price_key"), F.col("o_orderstatus").alias("status"),
     )
-    return profile.id_candidates(profile.column_profile(profile.frequencies(df)), df.columns)
+    return profile.id_candidates(profile.column_profile(profile.value_counts(df)), df.columns)
 
 
 @query("id_uniqueness", f"""WITH {COLLECTION}
@@ -370,4 +396,4 @@ SELECT "column", count(*) AS distinct_values, cast(sum(cnt) AS BIGINT) AS non_em
   CASE WHEN count(*) <= 40 AND count(*) < sum(cnt) THEN 'facet' ELSE 'text' END AS kind
 FROM freq WHERE dataset = 'collection' AND value <> '' GROUP BY 1""")
 def facet_columns(spark, sf_dir):
-    return profile.facet_columns(profile.frequencies(collection(spark, sf_dir)))
+    return profile.facet_columns(profile.value_counts(collection(spark, sf_dir)))
