@@ -15,14 +15,16 @@ The log follows groups of equal cells, not cells, along the same pointers, also
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .joins import lookup_join
-from .profile import quoted
+from .profile import quoted, unused
 
-# FIXED VALUES: id columns searched for a record, first one present.
+# FIXED VALUES: id columns in which a record is looked for, in turn.
 ID_COLUMNS = ["record_id", "id", "identifier", "ID"]
 LOGGED_ONLY = {
     "flag_for_authority_lookup": "Flagged for authority lookup — value unchanged",
@@ -31,15 +33,49 @@ LOGGED_ONLY = {
 MAX_SEQ = (1 << 62)
 
 
-def _rules(df: DataFrame, accepted: DataFrame, id_column: str | None) -> DataFrame:
+def _records(df: DataFrame, accepted: DataFrame, id_columns: list[str]) -> DataFrame:
+    """``(item_id, at)``: records that corrections name, with the first id column that holds them."""
+    wanted = accepted.select("item_id").where("item_id IS NOT NULL").distinct()
+    found = [
+        lookup_join(df.select(F.col(quoted(c)).cast("string").alias("item_id")), wanted, ["item_id"], "left_semi").distinct().withColumn("at", F.lit(i))
+        for i, c in enumerate(id_columns)
+    ]
+    return cut_lineage(reduce(DataFrame.union, found).groupBy("item_id").agg(F.min("at").alias("at")))
+
+
+def _with_key(df: DataFrame, records: DataFrame, id_columns: list[str], key: str) -> DataFrame:
+    """The table with a column ``key``: the record a row is corrected as, or, where several id
+    columns lead to it, all of them in one text."""
+    if len(id_columns) == 1:
+        return df.withColumn(key, F.col(quoted(id_columns[0])).cast("string"))
+    out, own = df, []
+    for i, c in enumerate(id_columns):
+        value, hit = f"{key}_value{i}", f"{key}_hit{i}"
+        known = records.where(F.col("at") == i).select(F.col("item_id").alias(value), F.lit(True).alias(hit))
+        out = lookup_join(out.withColumn(value, F.col(quoted(c)).cast("string")), known, [value], "left")
+        own.append(F.when(F.col(hit), F.col(value)))
+    items = F.array_distinct(F.array_compact(F.array(*own)))
+    return out.withColumn(key, F.when(F.size(items) == 1, items[0]).when(F.size(items) > 1, F.to_json(items))).withColumn(f"{key}_items", items)
+
+
+def _per_key(rules: DataFrame, keyed: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Rules by record as rules by row key. A record whose rows have several keys has its rule once
+    for each; rule numbers are then spread by the factor returned, to stay in order."""
+    keys = keyed.select(F.col(key).alias("key"), F.explode(f"{key}_items").alias("item_id")).distinct()
+    place = F.row_number().over(Window.partitionBy("rid").orderBy("key")) - 1
+    by_id = cut_lineage(rules.where("kind = 'id'").join(keys, "item_id").withColumn("place", place))
+    factor = (by_id.agg(F.max("place")).first()[0] or 0) + 1
+    rid = F.col("rid") * factor
+    by_id = by_id.withColumn("rid", rid + F.col("place")).withColumn("item_id", F.col("key"))
+    return by_id.select(*rules.columns).unionByName(rules.where("kind = 'value'").withColumn("rid", rid)), factor
+
+
+def _rules(df: DataFrame, accepted: DataFrame, records: DataFrame | None) -> DataFrame:
     """Corrections as rules: kind ``id`` or ``value``, from, to. Rules that
     cannot apply (unknown column, nothing to match) are left out."""
     acts = accepted.where(F.col("action_type").isin("apply_suggested_value", "move_value_to_field", "normalize_label"))
-    if id_column:
-        wanted = acts.select("item_id").where("item_id IS NOT NULL").distinct()
-        ids = df.select(F.col(quoted(id_column)).cast("string").alias("item_id"))
-        present = lookup_join(ids, wanted, ["item_id"], "left_semi").distinct().withColumn("_found", F.lit(True))
-        acts = acts.join(present, "item_id", "left")
+    if records is not None:
+        acts = acts.join(records.select("item_id", F.lit(True).alias("_found")), "item_id", "left")
     else:
         acts = acts.withColumn("_found", F.lit(None).cast("boolean"))
     action, found = F.col("action_type"), F.coalesce("_found", F.lit(False))
@@ -56,7 +92,7 @@ def _rules(df: DataFrame, accepted: DataFrame, id_column: str | None) -> DataFra
     known = F.col("target_field").isin(df.columns) | (F.col("_made") <= F.col("seq"))
     return acts.join(created, "target_field", "left").withColumn("kind", kind).where(known & F.col("kind").isNotNull()).select(
         F.col("seq").alias("rid"), "kind", F.col("target_field").alias("column"), "item_id", F.col("original_value").alias("from"), to.alias("to"),
-        "suggestion_id", "action_type",
+        "suggestion_id", "action_type", F.col("item_id").alias("record"),
     )
 
 
@@ -121,8 +157,9 @@ def _along(paths: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     return sums.withColumnRenamed("n", "n_cells")
 
 
-def _log(df: DataFrame, rules: DataFrame, first: DataFrame, id_column: str | None, columns: list[str]) -> DataFrame:
-    """Cells each rule changed and, for rules by id, the value before."""
+def _log(df: DataFrame, rules: DataFrame, first: DataFrame, id_column: str | None, columns: list[str], factor: int) -> DataFrame:
+    """Cells each rule changed and, for rules by id, the value before. A rule that stands for
+    several row keys has one entry, with its first key's value."""
     cells = _long(df, id_column, columns)
     starts = lookup_join(cells.where("v IS NOT NULL"), first.select("column", F.col("from").alias("v"), F.col("rid")), ["column", "v"], "inner")
     start_counts = starts.groupBy("rid").agg(F.count("*").alias("cnt"))
@@ -157,8 +194,12 @@ def _log(df: DataFrame, rules: DataFrame, first: DataFrame, id_column: str | Non
     )
     by_value = rules.where("kind = 'value'").join(counts.where("n_cells > 0"), "rid").select("rid", "n_cells", F.col("from").alias("original"))
     batch = F.col("action_type") == "normalize_label"
-    return rules.join(by_id.unionByName(by_value), "rid").select(
-        "suggestion_id", F.col("rid").alias("seq"), F.when(batch, "batch").otherwise(F.coalesce("item_id", F.lit(""))).alias("record_id"), "column",
+    counted = by_id.unionByName(by_value)
+    if factor > 1:
+        counted = counted.groupBy((F.col("rid") - F.pmod("rid", F.lit(factor))).alias("rid")).agg(
+            F.sum("n_cells").alias("n_cells"), F.min_by("original", "rid").alias("original"))
+    return rules.join(counted, "rid").withColumn("rid", (F.col("rid") / factor).cast("long") if factor > 1 else F.col("rid")).select(
+        "suggestion_id", F.col("rid").alias("seq"), F.when(batch, "batch").otherwise(F.coalesce("record", F.lit(""))).alias("record_id"), "column",
         F.col("original").alias("original_value"), F.col("to").alias("new_value"), "action_type", "n_cells",
         F.when(batch, F.format_string("Batch normalization: %d cells updated", "n_cells")).otherwise("").alias("note"),
     )
@@ -170,15 +211,26 @@ def apply_suggestions(
     """(corrected table, change log) of all accepted suggestions in ``seq`` order;
     without ``log`` only the table is worked out.
 
+    A record is looked for in ``id_column``, or in the usual id columns in turn: the first that
+    holds it decides. The table may have any further columns.
+
     A dry run returns the table as it is and the suggestions it would apply.
     New target columns start empty. Splits are advice only and change nothing.
     """
     accepted = suggestions.where("status = 'accepted'").withColumn("seq", F.col("seq").cast("long"))
     if dry_run:
         return df, accepted
-    if id_column is None:
-        id_column = next((c for c in ID_COLUMNS if c in df.columns), None)
-    rules = cut_lineage(_with_next(_rules(df, accepted, id_column)))
+    id_columns = [id_column] if id_column else [c for c in ID_COLUMNS if c in df.columns]
+    key = unused("row_key", df)
+    records, keyed, factor = None, df, 1
+    if id_columns:
+        records = _records(df, accepted, id_columns)
+        keyed = _with_key(df, records, id_columns, key)
+    rules = _rules(df, accepted, records)
+    if len(id_columns) > 1:
+        keyed = cut_lineage(keyed)
+        rules, factor = _per_key(rules, keyed, key)
+    rules = cut_lineage(_with_next(rules))
     rules = cut_lineage(_with_final(rules))
     columns = sorted(r[0] for r in rules.select("column").distinct().collect())  # schema-sized
     made = [r[0] for r in accepted.where("action_type = 'move_value_to_field'").select("target_field").distinct().collect() if r[0] and r[0] not in df.columns]
@@ -188,29 +240,28 @@ def apply_suggestions(
         F.when(F.col("action_type") == "flag_for_authority_lookup", LOGGED_ONLY["flag_for_authority_lookup"])
         .otherwise(LOGGED_ONLY["leave_unchanged_mark_uncertain"]).alias("note"),
     )
-    out = df.withColumns({c: F.lit("") for c in made})
+    out = keyed.withColumns({c: F.lit("") for c in made})
     if not columns:
-        return out, logged_only if log else None
+        return out.select(*map(quoted, [*df.columns, *made])), logged_only if log else None
     first = cut_lineage(rules.where("kind = 'value'").groupBy("column", "from").agg(F.min("rid").alias("rid"), F.min_by("final", "rid").alias("final")))
-    changes = _log(df, rules, first, id_column, columns).unionByName(logged_only) if log else None
-    if id_column:
+    changes = _log(keyed, rules, first, key if id_columns else None, columns, factor).unionByName(logged_only) if log else None
+    sets, hit = f"{key}_set", f"{key}_to"
+    if id_columns:
         last = rules.where("kind = 'id'").groupBy("item_id", "column").agg(F.max_by("final", "rid").alias("final"))
-        per_item = last.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("final")))).alias("_set"))
-        keyed = out.withColumn("item_id", F.col(quoted(id_column)).cast("string")) if "item_id" not in out.columns else out
-        out = lookup_join(keyed, per_item, ["item_id"], "left")
+        per_key = last.groupBy(F.col("item_id").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("final")))).alias(sets))
+        out = lookup_join(out, per_key, [key], "left")
     else:
-        out = out.withColumn("_set", F.lit(None).cast("map<string,struct<final:string>>"))
+        out = out.withColumn(sets, F.lit(None).cast("map<string,struct<final:string>>"))
     valued = {r[0] for r in first.select("column").distinct().collect()}
     for c in columns:
-        by_id = F.try_element_at(F.col("_set"), F.lit(c))
+        by_id = F.try_element_at(F.col(sets), F.lit(c))
+        by_value = F.col(quoted(c))
         if c in valued:
-            table = first.where(F.col("column") == c).select(F.col("from").alias(c), F.struct("final").alias("_hit"))
+            table = first.where(F.col("column") == c).select(F.col("from").alias(c), F.struct("final").alias(hit))
             out = lookup_join(out, table, [c], "left")
-            by_value = F.when(F.col("_hit").isNotNull(), F.col("_hit.final")).otherwise(F.col(quoted(c)))
-        else:
-            by_value = F.col(quoted(c))
-        out = out.withColumn("_new", F.when(by_id.isNotNull(), by_id["final"]).otherwise(by_value)).drop("_hit").withColumn(c, F.col("_new")).drop("_new")
-    return out.select(*df.columns, *made), changes
+            by_value = F.when(F.col(hit).isNotNull(), F.col(f"{hit}.final")).otherwise(by_value)
+        out = out.withColumn(c, F.when(by_id.isNotNull(), by_id["final"]).otherwise(by_value)).drop(hit)
+    return out.select(*map(quoted, [*df.columns, *made])), changes
 
 
 def mark_applied(suggestions: DataFrame) -> DataFrame:
