@@ -3,7 +3,9 @@ from __future__ import annotations
 
 import os
 import zipfile
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import inputs
@@ -36,6 +38,15 @@ def csv_load_cp1252(spark, sf_dir):
     return csv_files.load_csv(spark, _csv(spark, sf_dir, "ISO-8859-1", "\t"))
 
 
+@query("csv_quoted_breaks", """WITH t AS (SELECT cast(doc_id AS VARCHAR) AS doc_id, regexp_replace(text, '^[\\s\\x1C-\\x1F]+|[\\s\\x1C-\\x1F]+$', '', 'g') AS text, lang FROM documents)
+SELECT doc_id, CASE WHEN text NOT IN ('', 'nan', 'NaN', 'NULL', 'None', 'N/A', 'n/a') THEN text END AS text, lang FROM t""")
+def csv_quoted_breaks(spark, sf_dir):
+    path = scratch_path(spark, "csv")
+    docs = inputs.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return csv_files.load_csv(spark, path)
+
+
 @query("csv_ingest_profile", f"""WITH {COLLECTION}, c AS (SELECT unnest(['title', 'creator', 'place']) AS "column", unnest([title, creator, place]) AS value FROM collection)
 SELECT "column", count(*) AS total_count, count(value) AS non_null_count, count(DISTINCT value) AS unique_count FROM c GROUP BY 1""")
 def csv_ingest_profile(spark, sf_dir):
@@ -165,3 +176,41 @@ def file_facts(spark, sf_dir):
     path = _csv(spark, sf_dir)
     facts = files.file_facts(spark, path, (".csv",))
     return spark.createDataFrame(facts).select("encoding", "delimiter", "line_ending", "has_bom").distinct().withColumn("seen", F.lit(True))
+
+
+def _projects(spark, sf_dir):
+    """One JSON document for each fifty parts, with its dictionary, candidates, tasks and extras."""
+    path, p = scratch_path(spark, "projects"), inputs.table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    entry = F.struct(
+        F.col("p_name").alias("term"), F.concat(F.lit("e"), key).alias("entry_id"), F.lower("p_type").alias("entity_type"), F.array(key, F.lit("r")).alias("record_ids"),
+        F.concat(F.lit("Q"), key).alias("wikidata_id"), F.col("p_brand").alias("geonames_preferred"), (F.col("p_size") / 50).alias("confidence"), F.col("p_size").alias("shelf"))
+    candidate = F.struct(F.concat(F.lit("e"), key).alias("entry_id"), F.when(F.col("p_size") % 2 == 0, "accepted").alias("status"), F.struct(F.col("p_size").alias("size")).alias("extra"))
+    task = F.struct(key.alias("task_id"), F.col("p_size").alias("priority"), F.col("p_brand").alias("note"))
+    lists = {"dictionary": entry, "authority_candidates": candidate, "tasks": task}
+    docs = p.groupBy(F.floor(F.col("p_partkey") / 50).alias("n")).agg(
+        *[F.array_sort(F.collect_list(c)).alias(name) for name, c in lists.items()], F.map_from_entries(F.collect_list(F.struct(key, "p_retailprice"))).alias("extras"))
+    body = F.to_json(F.struct(*lists, "extras", F.concat(F.lit("project "), "n").alias("name"), F.array(F.lit("a.csv")).alias("source_files")))
+    docs.select(body.alias("value"), "n").write.partitionBy("n").text(path)
+    return path
+
+
+@query("workspace_state_import", """WITH p AS (SELECT *, 'project ' || cast(floor(p_partkey / 50) AS BIGINT) AS project FROM part)
+SELECT project, 'dictionary' AS kind, 'e' || p_partkey AS id, concat_ws('|', p_name, lower(p_type), p_partkey || ',r', 'Q' || p_partkey, p_brand, cast(p_size * 2 AS VARCHAR), cast(p_size AS VARCHAR)) AS detail FROM p
+UNION ALL SELECT project, 'candidate', 'e' || p_partkey, (CASE WHEN p_size % 2 = 0 THEN 'accepted' ELSE 'pending' END) || '|' || p_size FROM p
+UNION ALL SELECT project, 'task', cast(p_partkey AS VARCHAR), p_size || '|' || p_brand FROM p
+UNION ALL SELECT project, 'extra', cast(p_partkey AS VARCHAR), cast(cast(p_retailprice AS DECIMAL(12, 2)) AS VARCHAR) FROM p
+UNION ALL SELECT DISTINCT project, 'project', project, 'a.csv|record_id' FROM p""")
+def workspace_state_import(spark, sf_dir):
+    t = workspace.import_document(spark, _projects(spark, sf_dir))
+    join = lambda *columns: F.concat_ws("|", *columns).alias("detail")
+    rows = {
+        "dictionary": ("entry_id", join("term", "entity_type", F.concat_ws(",", "record_ids"), "wikidata_id", "geonames_preferred",
+                                        F.round(F.col("confidence") * 100).cast("int"), F.get_json_object("item", "$.shelf"))),
+        "authority_candidates": ("entry_id", join("status", F.col("extra")["size"])), "tasks": ("task_id", join("priority", "note")),
+        "extras": ("key", join(F.col("item").cast("decimal(12, 2)"))), "project": ("name", join(F.concat_ws(";", "source_files"), "id_column")),
+    }
+    kinds = {"authority_candidates": "candidate", "tasks": "task", "extras": "extra"}
+    names = t["project"].select("document", F.col("name").alias("project"))
+    out = [t[k].join(names, "document").select("project", F.lit(kinds.get(k, k)).alias("kind"), F.col(i).alias("id"), d) for k, (i, d) in rows.items()]
+    return reduce(DataFrame.unionByName, out)

@@ -138,6 +138,18 @@ def sample_rows(spark, sf_dir):
     return sampling.sample_rows(inputs.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 200)
 
 
+@query("sample_repeated_ids", f"SELECT l_partkey FROM lineitem ORDER BY {_H.format(k='l_partkey')}, l_partkey LIMIT 1500")
+def sample_repeated_ids(spark, sf_dir):
+    lines = inputs.table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
+    return sampling.sample_rows(lines, "l_partkey", 1500).select("l_partkey")
+
+
+@query("row_numbers", "SELECT event_id, row_number() OVER (ORDER BY event_type DESC, event_id) AS row_no FROM events")
+def row_numbers(spark, sf_dir):
+    events = inputs.table(spark, sf_dir, "events").select("event_id", "event_type")
+    return sampling.row_numbers(events, F.desc("event_type"), F.col("event_id")).select("event_id", "row_no")
+
+
 @query("sample_percent", f"""SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY {_H.format(k='o_orderkey')}, o_orderkey) <= greatest(1, round_even((SELECT count(*) FROM orders) * 0.05, 0))""")
 def sample_percent(spark, sf_dir):
     return sampling.sample_percent(inputs.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 5.0)
@@ -179,13 +191,13 @@ def chunk_sizes(spark, sf_dir):
     return c.groupBy("chunk").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
-@query("severity_order", f"WITH {_M} SELECT ord FROM mentions ORDER BY CASE WHEN confidence > 0.9 THEN 0 WHEN confidence > 0.5 THEN 1 ELSE 2 END, ord LIMIT 25")
+@query("severity_order", f"WITH {_M} SELECT ord FROM mentions ORDER BY CASE WHEN confidence > 0.9 THEN 0 WHEN confidence > 0.5 THEN 1 ELSE 2 END, ord")
 def severity_order(spark, sf_dir):
     from ..functions.codes import severity_rank
 
     sev = F.when(F.col("confidence") > 0.9, "critical").when(F.col("confidence") > 0.5, "warning").otherwise("info")
     m = inputs.derive(spark, sf_dir, "mentions").withColumn("severity", sev)
-    return m.orderBy(severity_rank(F.col("severity")), "ord").limit(25).select("ord")
+    return m.orderBy(severity_rank(F.col("severity")), "ord").select("ord")
 
 
 @query("union_by_name", "SELECT 'doc_' || doc_id AS record_id, lang, NULL AS role FROM documents UNION ALL SELECT 'conv_' || conv_id || '_' || turn, NULL, role FROM conversations")

@@ -7,7 +7,7 @@ from xml.etree import ElementTree
 import pytest
 from pyspark.sql import functions as F
 
-from collectra.operators import authority, dictionary, entities, joins, remediation, sampling
+from collectra.operators import authority, checks, dictionary, entities, joins, profile, remediation, sampling, similarity
 from collectra.sinks import common, enriched_csv, import_xml, jsonld, mets
 from collectra.operators.standard import MAPPING
 
@@ -97,6 +97,102 @@ def test_corrections_chain(spark):
     assert logged == {"s1": (2, "a"), "s2": (2, "b"), "s3": (1, "c")}
 
 
+def test_checks_of_long_values(spark, monkeypatch):
+    """The findings are the same whether values are kept or told by their hash."""
+    rng = random.Random(3)
+    parts = ["Kirche", "kirche", "Haus am See", "haus am see", "Ã¤pfel", " rand", "a, b", "x"]
+    rows = [(f"r{i % 40}", *("; ".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) if rng.random() > 0.2 else None for _ in range(2))) for i in range(60)]
+    df = spark.createDataFrame(rows, "record_id string, a string, b string")
+
+    def everything():
+        ds = profile.Dataset("d", df, "record_id")
+        found, profiled = checks.analyze([ds])
+        samples = profile.sample_values(df)
+        return [sorted(map(str, x.collect())) for x in (found, profiled, samples)]
+
+    wanted = everything()
+    for short in (0, 1, 8, 20):
+        monkeypatch.setattr(profile, "SHORT", short)
+        monkeypatch.setattr(checks, "SHORT", short)
+        assert everything() == wanted
+        assert profile.value_counts(df).where(F.length("value") > short).isEmpty()
+    assert any("term_variants" in f for f in wanted[0]) and any("encoding_issues" in f for f in wanted[0])
+
+
+def brute_similar(left, right, threshold):
+    sets = [{w: frozenset(w) for w in side if w} for side in (left, right)]
+    return sorted((a, b, round(len(x & y) / len(x | y), 6)) for a, x in sets[0].items() for b, y in sets[1].items() if len(x & y) / len(x | y) >= threshold - 1e-9)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.6, 0.75, 0.8, 1.0])
+def test_similar_sets(spark, threshold):
+    """Against all pairs; one word is in a third of all names."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(12)]
+
+    def side(n):
+        out = [tuple(sorted(set(rng.choices(words, k=rng.randint(0, 7)) + (["hot"] if rng.random() < 0.35 else [])))) for _ in range(n)]
+        return out + out[:20]
+
+    left, right = side(120), side(150)
+    frames = [spark.createDataFrame([(list(w),) for w in s], "words array<string>") for s in (left, right)]
+    found = sorted((tuple(r["left_words"]), tuple(r["right_words"]), round(r["score"], 6)) for r in similarity.similar_sets(*frames, threshold).collect())
+    assert found == brute_similar(set(left), set(right), threshold)
+
+
+def test_similar_terms_of_nothing(spark):
+    authority_schema = "authority_id string, preferred_name string, variants array<string>, authority_type string, source string, ord long"
+    terms = spark.createDataFrame([("Haus am See", "LOC"), (None, "LOC"), ("  ", "LOC"), ("…", None), ("See-Haus (am)", "PER")], "text string, entity_type string")
+    none = spark.createDataFrame([], authority_schema)
+    assert similarity.similar_terms(terms, none).collect() == []
+    some = spark.createDataFrame([
+        ("a1", "Am See: Haus", ["Haus am Berg", "Seehaus"], "PlaceOrGeographicName", "gnd", 1), ("a2", "Haus", None, None, "gnd", 2),
+        ("a3", "haus AM see", [], "PlaceOrGeographicName", "gnd", 3), ("a4", "", None, "Person", "gnd", 4)], authority_schema)
+    got = {(r["text"], r["authority_id"]): (r["rank"], r["score"]) for r in similarity.similar_terms(terms, some, 0.5, 5).collect()}
+    assert got == {("Haus am See", "a1"): (1, 1.0), ("Haus am See", "a3"): (2, 1.0)}
+    free = {(r["text"], r["authority_id"]) for r in similarity.similar_terms(terms, some, 0.3, 5, by_type=False).collect()}
+    assert free == {(t, a) for t in ("Haus am See", "See-Haus (am)") for a in ("a1", "a2", "a3")}
+
+
+SUGGESTED = "suggestion_id string, seq long, action_type string, original_value string, suggested_value string, item_id string, target_field string, status string"
+
+
+def test_corrections_with_clashing_columns(spark):
+    df = spark.createDataFrame([("r1", "r2", "k", "a"), ("r2", "r1", "k", "b")], "record_id string, item_id string, row_key string, subject string")
+    df = df.withColumns({"_set": F.lit(1), "row_key_set": F.lit(2), "_new": F.lit("n"), "_hit": F.lit("h")})
+    fix = spark.createDataFrame([("s1", 1, "apply_suggested_value", None, "new", "r1", "subject", "accepted"), ("s2", 2, "normalize_label", "n", "m", None, "_new", "accepted")], SUGGESTED)
+    for id_column in (None, "record_id"):
+        out, log = remediation.apply_suggestions(df, fix, id_column)
+        assert out.columns == df.columns
+        assert sorted(tuple(r) for r in out.collect()) == [("r1", "r2", "k", "new", 1, 2, "m", "h"), ("r2", "r1", "k", "b", 1, 2, "m", "h")]
+        assert {r["suggestion_id"]: (r["n_cells"], r["original_value"]) for r in log.collect()} == {"s1": (1, "a"), "s2": (2, "n")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_corrections_by_any_id_column(spark, seed):
+    """Each record is looked for in the id columns in turn; a row can be led to by several of them."""
+    rng = random.Random(seed)
+    names = ["p", "q", "r", "s", "t", None]
+    rows = [(rng.choice(names[:3]), rng.choice([*names, "u"]), rng.choice("abc"), rng.choice("abc")) for _ in range(14)]
+    fixes = []
+    for i in range(16):
+        kind = rng.choice(["apply_suggested_value", "apply_suggested_value", "normalize_label", "move_value_to_field"])
+        fixes.append((f"s{i}", i + 1, kind, rng.choice("abcd"), rng.choice("abcd"), rng.choice([*names, "u", "v"]), rng.choice(["x", "y"]), "accepted"))
+    table = [dict(zip(("record_id", "id", "x", "y"), r, strict=True)) for r in rows]
+    log = {}
+    for name, _, kind, old, new, item, column, _ in fixes:
+        hit = next((found for c in ("record_id", "id") if item is not None and (found := [t for t in table if t[c] == item])), [])
+        if kind == "normalize_label" or (kind == "apply_suggested_value" and not hit):
+            hit = [t for t in table if t[column] == old]
+        if hit:
+            log[name] = len(hit)
+            for t in hit:
+                t[column] = new
+    out, changes = remediation.apply_suggestions(spark.createDataFrame(rows, "record_id string, id string, x string, y string"), spark.createDataFrame(fixes, SUGGESTED))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted((tuple(t.values()) for t in table), key=str)
+    assert {r["suggestion_id"]: r["n_cells"] for r in changes.collect()} == log
+
+
 def test_samples(spark):
     df = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("g"))
     a, b = sampling.sample_rows(df, "id", 137), sampling.sample_rows(df.repartition(5), "id", 137)

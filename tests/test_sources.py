@@ -1,12 +1,13 @@
 """Readers on files written by the test."""
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from collectra.operators import batch, checks, model_checks
-from collectra.sources import csv, files, images, terms, workspace, xml
+from collectra.sources import csv, files, images, records, terms, workspace, xml
 from collectra.streaming import incremental
 
 MODS = """<?xml version="1.0"?><mods:modsCollection xmlns:mods="http://www.loc.gov/mods/v3">
@@ -37,6 +38,60 @@ def test_encodings(spark, tmp_path):
         csv.load_csv(spark, str(tmp_path / "none"))
 
 
+def quoted_csv(rng, rows, sep, newline):
+    """Cells with breaks, doubled quotes, quotes inside plain cells and text behind a closing quote."""
+    plain = ["a", "", " b ", "x y", 'in"side', 'two""', "ä", "1'2"]
+    inner = ["a", "\n", "\r\n", '""', sep, " ", "ß", "line"]
+    lines = [sep.join(["id", "one", "two"])]
+    for i in range(rows):
+        cells = [str(i)]
+        for _ in range(2):
+            if rng.random() < 0.5:
+                cells.append(rng.choice(plain))
+            else:
+                cells.append('"' + "".join(rng.choice(inner) for _ in range(rng.randint(0, 12))) + '"' + rng.choice(["", "", "", "tail"]))
+        lines.append(sep.join(cells))
+        if rng.random() < 0.05:
+            lines.append("")
+    return newline.join(lines) + rng.choice(["", newline])
+
+
+@pytest.mark.parametrize("block", ["60", "300", "128m"])
+def test_breaks_in_quotes_in_any_block(spark, tmp_path, block):
+    """The same rows as reading each file whole, wherever a file is cut."""
+    rng = random.Random(11)
+    folder = tmp_path / "q"
+    folder.mkdir()
+    seps = {"plain.csv": ";", "open.csv": ";"}
+    for i, (sep, newline, charset) in enumerate([(";", "\n", "utf-8"), (",", "\r\n", "cp1252"), ("\t", "\n", "utf-8"), (";", "\r\n", "utf-8")]):
+        seps[f"f {i}.csv"] = sep
+        (folder / f"f {i}.csv").write_bytes(quoted_csv(rng, 120, sep, newline).encode(charset))
+    (folder / "plain.csv").write_text("id;one;two\n1;2;3\n4;5\n")
+    (folder / "open.csv").write_text('id;one;two\n1;2;3\n4;"5;\n6;7;8\n\n9')
+    facts = files.file_facts(spark, str(folder))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        for f in facts:
+            sep = seps[f["path"].rsplit("/", 1)[-1]]
+            whole = spark.read.options(header=True, sep=sep, encoding=files.SPARK_NAMES[f["encoding"]], multiLine=True, escape='"', quote='"').csv(f["path"])
+            whole = csv.clean_table(csv.from_latin1(whole) if f["encoding"] == "cp1252" else whole)
+            found = csv.load_csv(spark, f["path"], delimiter=sep)
+            assert found.columns == whole.columns
+            assert sorted(found.collect(), key=str) == sorted(whole.collect(), key=str), f["path"]
+        (folder / "sub").mkdir()
+        for n in range(3):
+            (folder / "sub" / f"{n}.csv").write_bytes(b"id;one;two\n" + b'1;"a\nb";2\n' * 40)
+        assert csv.load_csv(spark, str(folder / "sub"), delimiter=";").groupBy("id", "one", "two").count().collect() == [("1", "a\nb", "2", 120)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_line_decides_by_its_quotes():
+    for line, outside, inside in [("a;b", False, True), ('"a', True, False), ('"a""', True, False), ('a"b', False, False), ('"a"b;"', True, True), ('""', False, True), ('";"', False, True), ("", False, True)]:
+        assert (records.ends_inside(line, False, ";"), records.ends_inside(line, True, ";")) == (outside, inside), line
+
+
 def test_mods(spark, tmp_path):
     path = tmp_path / "m.xml"
     path.write_text(MODS)
@@ -85,6 +140,36 @@ def test_workspace_document(spark, tmp_path):
     assert tables["field_mapping"].first()["target_type"] == "TitleDocMain" and tables["dates"].count() == 1
 
 
+def test_workspace_keeps_everything(spark, tmp_path):
+    """Every field of every item, what nobody knows of, odd types and lists kept as objects."""
+    entry = {f.split()[0]: [f"{f}1", "x"] if "array" in f else 0.5 if "double" in f else f"v {f.split()[0]}" for f in workspace.LISTS["dictionary"].split(", ")}
+    one = {
+        "name": "P", "source_files": ["a.csv", "b.csv"], "dictionary": {"k1": {**entry, "new": [1, {"a": None}]}, "k2": {"term": "t"}},
+        "authority_candidates": [{"entry_id": "e", "extra": {"lat": 1.5, "name": "x"}}, {"entry_id": 7, "score": "no number", "status": "accepted"}],
+        "tasks": [{"task_id": "t1", "priority": 2, "fill_rate": 0.25}, "a task that is a text"], "custom_mds_fields": [{"name": "f", "weight": 3}],
+        "field_mapping": [{"csv_column": "c", "goobi_type": "T", "repeatable": True, "enabled": False}], "extras": {"a": {"b": [1]}, "z": None}, "ai_runs": None, "dates": "none",
+    }
+    (tmp_path / "one.json").write_text(json.dumps(one))
+    (tmp_path / "two words.json").write_text(json.dumps({"name": None, "dictionary": [{"term": "other"}]}))
+    (tmp_path / "bad.json").write_text("{")
+    found = workspace.import_document(spark, str(tmp_path))
+    terms = {(r["document"], r["ord"]): r for r in found["dictionary"].collect()}
+    assert set(terms) == {("one", 0), ("one", 1), ("two words", 0)}
+    assert {k: terms["one", 0][k] for k in entry} == entry and json.loads(terms["one", 0]["item"])["new"] == [1, {"a": None}]
+    assert (terms["one", 1]["term"], terms["one", 1]["confidence"], terms["one", 1]["note"]) == ("t", 1.0, None)
+    assert [(r["entry_id"], r["score"], r["status"], r["extra"]) for r in found["authority_candidates"].orderBy("ord").collect()] == [
+        ("e", 0.0, "pending", {"lat": "1.5", "name": "x"}), ("7", 0.0, "accepted", None)]
+    assert [(r["task_id"], r["priority"], r["fill_rate"], json.loads(r["item"])) for r in found["tasks"].orderBy("ord").collect()] == [("t1", 2, 0.25, one["tasks"][0]), (None, None, None, one["tasks"][1])]
+    assert json.loads(found["custom_mds_fields"].first()["item"]) == {"name": "f", "weight": 3}
+    assert {r["key"]: json.loads(r["item"]) for r in found["extras"].collect()} == one["extras"]
+    assert {(r["document"], r["name"], r["id_column"], tuple(r["source_files"] or ())) for r in found["project"].collect()} == {
+        ("one", "P", "record_id", ("a.csv", "b.csv")), ("two words", None, "record_id", ())}
+    assert found["ai_runs"].count() == found["dates"].count() == 0
+    workspace.save_workspace(found, str(tmp_path / "saved"))
+    back = workspace.load_workspace(spark, str(tmp_path / "saved"))
+    assert {n: sorted(map(str, t.collect())) for n, t in back.items() if n in found} == {n: sorted(map(str, t.collect())) for n, t in found.items() if n in back} and "tasks" in back
+
+
 def test_batch_errors(spark):
     def answer(items):
         if any(i["text"] == "bad" for i in items):
@@ -168,3 +253,34 @@ def test_each_item_is_asked_once(spark, tmp_path):
     assert batch.answer_table(items, answer, "p", path).count() == 10 and log.read_text().count("x") == 20
     batch.answer_table(items, answer, "other prompt", path)
     assert log.read_text().count("x") == 30
+
+
+def test_a_stopped_run_keeps_its_steps(spark, tmp_path):
+    """The first run dies in its fifth step; the second asks exactly what the first has not committed."""
+    from pyspark.errors import StreamingQueryException
+
+    log, path = tmp_path / "asked", str(tmp_path / "kept")
+
+    def answer(rows):
+        with open(log, "a") as fh:
+            fh.write("".join(f"{r['record_id']}\n" for r in rows))
+        return ['{"ok": true}' for _ in rows]
+
+    def dies(rows):
+        if any(int(r["record_id"]) >= 43 for r in rows):
+            raise SystemExit(3)  # what a killed worker looks like
+        return answer(rows)
+
+    items = spark.createDataFrame([(f"{i:02d}", i, "r") for i in range(60)], "record_id string, step int, run string").coalesce(1)
+    with pytest.raises(StreamingQueryException):
+        batch.answer_table(items, dies, "p", path, step=10, files=1, workers=1)
+    first = log.read_text().split()
+    kept = {r["record_id"] for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/answers").collect()}
+    assert kept == {f"{i:02d}" for i in range(40)} and set(first) >= kept
+    log.write_text("")
+    done = batch.answer_table(items, answer, "p", path, step=10, files=2)
+    assert sorted(log.read_text().split()) == [f"{i:02d}" for i in range(40, 60)]
+    assert done.columns[:4] == ["record_id", "step", "run", "item_key"] and sorted(r["record_id"] for r in done.collect()) == [f"{i:02d}" for i in range(60)]
+    batch.answer_table(items, answer, "p", path)
+    assert len(log.read_text().split()) == 20
+    assert batch.answer_table(items.limit(0), answer, "q", str(tmp_path / "none")).collect() == []
