@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEVERITIES = ["critical", "warning", "info"]
@@ -167,3 +167,28 @@ def provenance(**given: Column) -> Column:
     """Uniform seven-field struct, empty text for what is absent."""
     keys = ["source", "method", "model", "extracted_at", "reviewed_at", "reviewer", "note"]
     return F.struct(*[F.coalesce(given.get(k, F.lit("")).cast("string"), F.lit("")).alias(k) for k in keys])
+
+
+# FIXED VALUES: sources of a mention that are also the name of its method.
+MENTION_METHODS = ("llm", "spacy", "rule", "manual")
+
+
+def row_provenance(kind: str, df: DataFrame) -> Column:
+    """Where a row comes from: a ``dictionary`` entry, ``mention``, ``date``, authority ``candidate`` or
+    ``image`` result. Columns that the table lacks count as empty."""
+
+    def text(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit("")
+
+    def either(first: str, second: str) -> Column:
+        return F.when(text(first) != "", text(first)).otherwise(text(second))
+
+    given = {name: text(name) for name in ("source", "model", "extracted_at", "reviewed_at", "reviewer", "note")}
+    own = {
+        "dictionary": {"method": text("source"), "model": text("model_source"), "extracted_at": F.lit(""), "reviewed_at": text("last_edited"), "reviewer": F.lit("")},
+        "mention": {"method": F.when(text("source").isin(*MENTION_METHODS), text("source")).otherwise("ner"), "note": either("editor_note", "reviewer_note")},
+        "date": {"source": either("source", "method"), "method": text("method")},
+        "candidate": {"method": F.lit("api"), "note": text("reviewer_note")},
+        "image": {"source": F.lit("vision_ai"), "method": F.lit("llm"), "extracted_at": text("analyzed_at"), "note": either("review_note", "review_comment")},
+    }
+    return provenance(**given | own[kind])

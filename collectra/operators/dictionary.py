@@ -112,6 +112,13 @@ def lookup(texts: DataFrame, text: str, entries: DataFrame, spellings: DataFrame
     return lookup_join(texts.withColumn("_name", F.lower(text)), found, ["_name"], "left").drop("_name")
 
 
+def lookup_id(texts: DataFrame, column: str, entries: DataFrame, id_column: str = "gnd_id") -> DataFrame:
+    """Add the ``key`` of the first entry (by ``ord``) that has the id of a row in ``column``: an authority id
+    such as ``gnd_id``, or an ``entry_id``. Empty ids lead nowhere."""
+    named = entries.where(has_text(F.col(id_column))).groupBy(F.col(id_column).alias(column)).agg(F.min_by("key", F.struct("ord", "key")).alias("key"))
+    return lookup_join(texts, named, [column], "left")
+
+
 def target_format(entries: DataFrame, spellings: DataFrame, links: DataFrame) -> DataFrame:
     """Hand-over rows: first record, type code, normalised term, authority."""
     first = links.groupBy("key").agg(F.min("record_id").alias("record_id"))

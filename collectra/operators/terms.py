@@ -2,13 +2,23 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
+from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text, regex_quote, strip
+from ..session import cut_lineage
 from .joins import lookup_join
 
+try:
+    import ahocorasick
+except ImportError:  # then substrings are found by their grams
+    ahocorasick = None
+
 # FIXED VALUES: characters that end a word, besides blanks.
 BOUNDARY = r"\s,;.!?\"'()\[\]"
 SPLIT = rf"(?U)[{BOUNDARY}]+"
@@ -33,6 +43,8 @@ def _grams(c: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), "")))
 
 
+#: Terms of one automaton, with what a key takes besides its text.
+CHUNK_BYTES, KEY_BYTES = 8 << 20, 48
 # Lists up to these sizes are searched inside the projection, without any join.
 MAX_INLINE_TERMS = 500
 MAX_INLINE_WORDS = 32
@@ -54,6 +66,43 @@ def _inline_scan(cells: DataFrame, terms: list, whole_word: bool, out_columns: l
     return cells.select("record_id", "column", "value", F.explode(hits).alias("t")).select("record_id", "column", "value", "t.*").select(*out_columns)
 
 
+def _automaton_scan(cells: DataFrame, known: DataFrame, out_columns: list[str]) -> DataFrame:
+    """Search for a long list of substrings with one automaton, which reads each cell once whatever
+    the number of terms. The list is cut by hash into chunks of about ``CHUNK_BYTES``; a
+    chunk is what goes to a task, and each is a scan of its own. Only hits come back."""
+    listed = cut_lineage(known.select("key", *out_columns[3:]))
+    size = listed.agg(F.sum(F.octet_length("key") + KEY_BYTES)).first()[0] or 0
+    chunks = max(1, ceil(size / CHUNK_BYTES))
+    slim = cells.select("record_id", "column", "value", "_text")
+    schema = slim.drop("_text").withColumn("key", F.lit("")).schema
+
+    def scan(keys: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for i, key in enumerate(keys):
+                automaton.add_word(key, i)
+            automaton.make_automaton()
+            for batch in batches:
+                at, found = [], []
+                for row, text in enumerate(batch.column("_text").to_pylist()):
+                    hits = {i for _, i in automaton.iter(text)}
+                    at += [row] * len(hits)
+                    found += [keys[i] for i in hits]
+                rows = batch.select(["record_id", "column", "value"]).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.string())], schema.names)
+
+        return slim.mapInArrow(run, schema)
+
+    frames = []
+    for number in range(chunks):
+        keys = [r[0] for r in listed.where(F.pmod(F.xxhash64("key"), F.lit(chunks)) == number).select("key").collect()]
+        if keys:
+            frames.append(scan(keys))
+    if not frames:
+        return cells.select("record_id", "column", "value", *[F.lit("").alias(c) for c in out_columns[3:]]).limit(0)
+    return lookup_join(reduce(DataFrame.unionByName, frames), listed, ["key"], "inner").select(*out_columns)
+
+
 def scan_terms(cells: DataFrame, terms: DataFrame, case_sensitive: bool = False, whole_word: bool = True, inline: int | None = None) -> DataFrame:
     """``(record_id, column, value, term, replacement, category, note)`` for
     every cell and term that occurs in it.
@@ -66,6 +115,8 @@ def scan_terms(cells: DataFrame, terms: DataFrame, case_sensitive: bool = False,
     leading one to three characters instead and checked the same way. No cell
     is joined to a term it does not share an anchor with. The exploded rows hold a
     hash of the cell and one anchor; the text joins again where a term was found.
+    Where pyahocorasick is installed, long lists of substrings are searched with an
+    automaton instead, so that a long cell is not exploded to its grams.
     """
     known = keyed_terms(terms, case_sensitive)
     cells = cells.where(has_text(F.col("value"))).withColumn(
@@ -80,6 +131,8 @@ def scan_terms(cells: DataFrame, terms: DataFrame, case_sensitive: bool = False,
     short = known.limit(bound + 1).collect()
     if 0 < len(short) <= bound:
         return _inline_scan(cells, short, whole_word, out_columns)
+    if not whole_word and ahocorasick is not None:
+        return _automaton_scan(cells, known, out_columns)
     known = known.withColumn("_anchor", first if whole_word else F.lit(None).cast("string"))
     by_token = known.where(F.col("_anchor").isNotNull())
     by_gram = known.where(F.col("_anchor").isNull()).withColumn("_n", F.least(F.lit(3), F.length("key")))

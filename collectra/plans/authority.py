@@ -171,6 +171,18 @@ def dictionary_lookup(spark, sf_dir):
     return dictionary.lookup(texts, "t", d.entries.withColumn("ord", F.col("key")), d.spellings).select("o_orderkey", "key")
 
 
+@query("dictionary_lookup_ids", """WITH e AS (SELECT p_partkey AS ord, 'k' || p_partkey AS key, CASE WHEN p_size % 5 > 0 THEN 'g' || (p_partkey % 300) ELSE '' END AS gnd_id FROM part),
+g AS (SELECT gnd_id, min_by(key, ord) AS key FROM e WHERE gnd_id <> '' GROUP BY 1)
+SELECT o_orderkey, g.key AS by_gnd, e.key AS by_entry FROM orders LEFT JOIN g ON g.gnd_id = 'g' || (o_custkey % 400) LEFT JOIN e ON e.key = 'k' || (o_orderkey % 3000)""")
+def dictionary_lookup_ids(spark, sf_dir):
+    p, o = inputs.table(spark, sf_dir, "part"), inputs.table(spark, sf_dir, "orders")
+    key = F.concat(F.lit("k"), "p_partkey")
+    entries = p.select(key.alias("key"), key.alias("entry_id"), F.col("p_partkey").alias("ord"), F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("g"), (F.col("p_partkey") % 300).cast("string"))).otherwise("").alias("gnd_id"))
+    texts = o.select("o_orderkey", F.concat(F.lit("g"), (F.col("o_custkey") % 400).cast("string")).alias("gnd"), F.concat(F.lit("k"), (F.col("o_orderkey") % 3000).cast("string")).alias("entry"))
+    by_gnd = dictionary.lookup_id(texts, "gnd", entries).withColumnRenamed("key", "by_gnd")
+    return dictionary.lookup_id(by_gnd, "entry", entries, "entry_id").select("o_orderkey", "by_gnd", F.col("key").alias("by_entry"))
+
+
 @query("dictionary_target", f"""WITH {_TERMS}, main AS (SELECT lower(term) AS key, term FROM (SELECT *, {_ENTRY_ORDER} AS rn FROM term_rows) WHERE rn = 1)
 SELECT key, any_value(main.term) AS term_normalized, min(record_id) AS record_id, 'LOC' AS entity_type, count(DISTINCT t.term) - 1 AS variant_count, '' AS authority_id
 FROM main JOIN term_rows t ON lower(t.term) = key GROUP BY key""")

@@ -250,6 +250,15 @@ def term_scan_phrase_parts(spark, sf_dir):
     return terms.scan_terms(_texts(spark, sf_dir), _phrases(spark, sf_dir), whole_word=False, inline=0).select("record_id", "term")
 
 
+@query("term_scan_long_list", """WITH w AS (SELECT DISTINCT trim(lower(unnest(string_split_regex(text, '[\\s.,]+')))) AS term FROM benchmark),
+t AS (SELECT term FROM w WHERE length(term) >= 3) SELECT doc_id AS record_id, term FROM documents, t WHERE contains(lower(text), term)""")
+def term_scan_long_list(spark, sf_dir):
+    """Every word of the benchmark as a substring of every document."""
+    words = inputs.table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"[\s.,]+")).alias("term")).where(F.length("term") >= 3).distinct()
+    listed = words.select("term", F.lit("").alias("replacement"), F.lit("").alias("category"), F.lit("").alias("note"), F.lit(0).alias("ord"))
+    return terms.scan_terms(_texts(spark, sf_dir), listed, whole_word=False, inline=0).select("record_id", "term")
+
+
 @query("term_scan_transcriptions", f"""WITH {inputs.cte('images')} SELECT coalesce(nullif(record_id, ''), image_id) AS record_id, '[OCR] ' || filename AS "column", 'KUTSCHE' AS term
 FROM images WHERE contains(json_extract_string(result, '$.transcription'), 'Kutsche')""")
 def term_scan_transcriptions(spark, sf_dir):

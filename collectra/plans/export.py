@@ -1,15 +1,19 @@
 """Exports of the derived collection; written files are read back."""
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import inputs
-from ..operators import dictionary
+from ..functions.codes import row_provenance
+from ..operators import dictionary, profile, standard, terms
 from ..session import scratch_path
 from ..sinks import common, enriched_csv, import_xml, jsonld, mets, tables
-from ..operators import standard
+from ..sources import csv as csv_files
 from .authority import mentions
-from .quality import COLLECTION, collection
+from .quality import CELLS, COLLECTION, collection
 from .registry import query
 
 _M, _I, _D = inputs.cte("mentions"), inputs.cte("images"), inputs.cte("dates")
@@ -275,3 +279,42 @@ def mentions_csv_file(spark, sf_dir):
     path = scratch_path(spark, "mentions")
     tables.write_mentions_csv(mentions(spark, sf_dir).select("ord", "text", "entity_type"), path)
     return spark.read.option("header", True).schema("ord long, text string, entity_type string").csv(path)
+
+
+@query("term_matches_csv_file", f"""WITH {CELLS}, t AS (SELECT 'Kutsche' AS term, 'Wagen' AS replacement UNION ALL SELECT 'Ansicht', '')
+SELECT term, value AS cell_value, "column", record_id, replacement, '' AS category FROM cells, t WHERE dataset = 'collection' AND contains(lower(value), lower(term))""")
+def term_matches_csv_file(spark, sf_dir):
+    path = scratch_path(spark, "term_matches")
+    listed = spark.createDataFrame([("Kutsche", "Wagen", None, "n", 0), ("Ansicht", None, "", "n", 1)], "term string, replacement string, category string, note string, ord int")
+    tables.write_term_matches_csv(terms.scan_terms(profile.cells(collection(spark, sf_dir), "record_id"), listed, whole_word=False), path)
+    back = csv_files.load_csv(spark, path, delimiter=",").fillna("")
+    return back.select("term", "cell_value", "column", "record_id", "replacement", "category")
+
+
+@query("term_list_csv_file", """SELECT DISTINCT ON (term) p_name || ' "' || p_brand || '", ' || p_size AS term, p_type AS replacement, 'zwei' || chr(10) || 'Zeilen' AS note FROM part ORDER BY term, replacement""")
+def term_list_csv_file(spark, sf_dir):
+    path, p = scratch_path(spark, "term_list"), inputs.table(spark, sf_dir, "part")
+    name = F.concat("p_name", F.lit(' "'), "p_brand", F.lit('", '), "p_size")
+    rows = p.groupBy(name.alias("term")).agg(F.min("p_type").alias("replacement")).withColumns({"category": F.lit(None).cast("string"), "note": F.lit("zwei\nZeilen")})
+    tables.write_term_list_csv(rows, path)
+    return csv_files.load_csv(spark, path, delimiter=",").select("term", "replacement", "note")
+
+
+_ORIGIN = """'{{"source":"' || {source} || '","method":"' || {method} || '","model":"{model}","extracted_at":"","reviewed_at":"","reviewer":"","note":"' || {note} || '"}}'"""
+
+
+@query("provenance_rows", f"""WITH {inputs.cte('mentions', 'dates')}
+SELECT 'mention' AS kind, cast(ord AS VARCHAR) AS id, {_ORIGIN.format(source='source', method="CASE source WHEN 'rule' THEN 'rule' ELSE 'ner' END", model='m1', note="''")} AS origin FROM mentions
+UNION ALL SELECT 'date', cast(ord AS VARCHAR), {_ORIGIN.format(source="'rule'", method="'rule'", model='', note="''")} FROM dates
+UNION ALL SELECT 'dictionary', cast(p_partkey AS VARCHAR), {_ORIGIN.format(source="'ocr'", method="'ocr'", model='m2', note='p_name')} FROM part
+UNION ALL SELECT 'candidate', cast(p_partkey AS VARCHAR), {_ORIGIN.format(source="'gnd'", method="'api'", model='', note='p_brand')} FROM part""")
+def provenance_rows(spark, sf_dir):
+    p = inputs.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand")
+    rows = {
+        "mention": mentions(spark, sf_dir).select(F.col("ord").alias("id"), "source", F.lit("m1").alias("model")),
+        "date": inputs.derive(spark, sf_dir, "dates").select(F.col("ord").alias("id"), F.lit("").alias("source"), F.lit("rule").alias("method")),
+        "dictionary": p.select("id", F.lit("ocr").alias("source"), F.lit("m2").alias("model_source"), F.col("p_name").alias("note")),
+        "candidate": p.select("id", F.lit("gnd").alias("source"), F.col("p_brand").alias("reviewer_note")),
+    }
+    out = [t.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), F.to_json(row_provenance(kind, t)).alias("origin")) for kind, t in rows.items()]
+    return reduce(DataFrame.unionByName, out)

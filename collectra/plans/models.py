@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import inputs
 from ..functions.text import base_name
-from ..operators import batch, entities, model_checks as mc, profile
+from ..operators import batch, dictionary, entities, model_checks as mc, profile
 from ..session import scratch_path
 from ..sources import images as image_files
 from ..streaming import incremental
@@ -81,6 +81,17 @@ def model_mentions(spark, sf_dir):
     return mc.extract_mentions(items, tagger)[0].select("record_id", "source_column", "text", "entity_type", "confidence")
 
 
+@query("ocr_dictionary", f"""WITH {inputs.cte('images')}, w AS (SELECT coalesce(nullif(record_id, ''), image_id) AS record_id, unnest(string_split(json_extract_string(result, '$.transcription'), ' ')) AS term FROM images WHERE review_status = 'accepted'),
+c AS (SELECT * FROM w WHERE regexp_matches(term, '^\\p{{Lu}}') AND length(term) % 2 = 1)
+SELECT lower(term) AS key, min(term) AS term, 'person' AS entity_type, 'ocr' AS source, count(*) AS occurrences, count(DISTINCT record_id) AS records FROM c GROUP BY 1""")
+def ocr_dictionary(spark, sf_dir):
+    """Names in accepted transcriptions, reviewed as a whole, as dictionary entries with their records."""
+    found, _ = mc.ocr_mentions(inputs.derive(spark, sf_dir, "images"), tagger, types=("PER",))
+    made = dictionary.from_mentions(found.withColumn("status", F.lit("accepted")), source="ocr")
+    counts = made.links.groupBy("key").agg(F.count("*").alias("records"))
+    return made.entries.join(counts, "key").select("key", "term", "entity_type", "source", "occurrences", "records")
+
+
 @query("hybrid_mentions", f"""WITH {_WORDS}, a AS (SELECT DISTINCT record_id, 'Ansicht' AS text, 'PER' AS entity_type FROM collection WHERE starts_with(title, 'Ansicht')),
 b AS (SELECT DISTINCT record_id, text, CASE WHEN length(text) % 2 = 1 THEN 'PER' ELSE 'LOC' END AS entity_type FROM w WHERE regexp_matches(text, '^\\p{{Lu}}'))
 SELECT record_id, text, entity_type, CASE WHEN a.text IS NULL THEN 'llm' WHEN b.text IS NULL THEN 'gazetteer' ELSE 'hybrid' END AS source FROM a FULL JOIN b USING (record_id, text, entity_type)""")

@@ -7,7 +7,7 @@ from xml.etree import ElementTree
 import pytest
 from pyspark.sql import functions as F
 
-from collectra.operators import authority, checks, dictionary, entities, joins, profile, remediation, sampling, similarity
+from collectra.operators import authority, checks, dictionary, entities, joins, profile, remediation, sampling, similarity, terms
 from collectra.sinks import common, enriched_csv, import_xml, jsonld, mets
 from collectra.operators.standard import MAPPING
 
@@ -154,6 +154,23 @@ def test_similar_terms_of_nothing(spark):
     assert free == {(t, a) for t in ("Haus am See", "See-Haus (am)") for a in ("a1", "a2", "a3")}
 
 
+@pytest.mark.parametrize("automaton", [True, False])
+def test_long_lists_of_substrings(spark, monkeypatch, automaton):
+    """Terms inside terms, overlaps and several chunks, against a search of every term in every cell."""
+    if automaton:
+        monkeypatch.setattr(terms, "CHUNK_BYTES", 5_000)
+    else:
+        monkeypatch.setattr(terms, "ahocorasick", None)
+    rng = random.Random(9)
+    keys = sorted({"".join(rng.choice("abÄ .") for _ in range(rng.randint(1, 6))).strip() for _ in range(400)} - {""})
+    texts = ["".join(rng.choice("abÄä .x") for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", "ab" * 5000]
+    cells = spark.createDataFrame([(str(i), "c", t) for i, t in enumerate(texts)], "record_id string, column string, value string")
+    listed = spark.createDataFrame([(k, "r", "c", "n", i) for i, k in enumerate(keys)], "term string, replacement string, category string, note string, ord int")
+    found = {(r["record_id"], r["term"].lower()) for r in terms.scan_terms(cells, listed, whole_word=False, inline=0).collect()}
+    assert found == {(str(i), k.lower()) for i, t in enumerate(texts) if t for k in keys if k.lower() in t.lower()}
+    assert terms.scan_terms(cells, listed.limit(0), whole_word=False, inline=0).collect() == []
+
+
 SUGGESTED = "suggestion_id string, seq long, action_type string, original_value string, suggested_value string, item_id string, target_field string, status string"
 
 
