@@ -238,12 +238,19 @@ def jsonld_authorities(spark, sf_dir):
     return jsonld.authority_nodes(e)
 
 
-@query("jsonld_file", f"WITH {COLLECTION} SELECT record_id, title FROM collection")
+@query("jsonld_file", f"""WITH {COLLECTION} SELECT 'record' AS kind, record_id AS id, title AS name FROM collection
+UNION ALL SELECT 'authority', 'gnd:g' || c_custkey, 'ort ' || c_custkey FROM customer WHERE c_custkey % 3 = 0""")
 def jsonld_file(spark, sf_dir):
+    """Every part is read back as one JSON document with its context."""
     path = scratch_path(spark, "jsonld")
-    jsonld.write_jsonld(jsonld.record_nodes(collection(spark, sf_dir), _mapping(spark, _JSON_ROWS), "https://data.museum/"), path)
-    back = spark.read.schema("identifier string, name string").json(path + "/graph")
-    return back.select(F.col("identifier").alias("record_id"), F.col("name").alias("title"))
+    terms_ = known_terms(spark, sf_dir).withColumns({c: F.lit("") for c in ("gnd_preferred", "wikidata_id", "geonames_id")})
+    jsonld.write_jsonld(jsonld.record_nodes(collection(spark, sf_dir), _mapping(spark, _JSON_ROWS), "https://data.museum/"), path, jsonld.authority_nodes(terms_))
+    docs = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"))
+    graphs = docs.select(F.variant_get("doc", "$['@graph']", "variant").alias("graph")).where(F.variant_get("doc", "$['@context']", "variant").isNotNull())
+    nodes = spark.sql("SELECT e.value AS node FROM {graphs}, LATERAL variant_explode(graph) AS e", graphs=graphs)
+    text = lambda key: F.try_variant_get("node", key, "string")
+    known = text("$['@type']") == "DefinedTerm"
+    return nodes.select(F.when(known, "authority").otherwise("record").alias("kind"), F.when(known, text("$['@id']")).otherwise(text("$.identifier")).alias("id"), text("$.name").alias("name"))
 
 
 # ---- other tables -----------------------------------------------------------

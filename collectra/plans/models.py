@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import inputs
 from ..functions.text import base_name
-from ..operators import batch, dictionary, entities, model_checks as mc, profile
+from ..operators import batch, dictionary, entities, model_checks as mc, profile, report
 from ..session import scratch_path
 from ..sources import images as image_files
 from ..streaming import incremental
@@ -129,6 +129,21 @@ def model_cell_findings(spark, sf_dir):
     return _judged(spark, sf_dir).select("record_id", "column", "value", "category", "severity")
 
 
+@query("model_issue_clusters", f"""WITH {_JUDGED}, f AS (SELECT record_id, "column", CASE issue_type WHEN 'generic' THEN 'low_information_value' ELSE 'field_misuse' END AS category, CASE issue_type WHEN 'generic' THEN 'info' ELSE 'warning' END AS severity FROM j WHERE issue_type <> 'likely_correct'),
+g AS (SELECT category, any_value(severity) AS severity, array_to_string(list_sort(list(DISTINCT "column")), ',') AS affected_columns, count(DISTINCT record_id) AS affected_records FROM f GROUP BY 1)
+SELECT 'cluster_' || lpad(cast(row_number() OVER (ORDER BY severity = 'info', category) - 1 AS VARCHAR), 3, '0') || '_' || category AS cluster_id, severity, affected_columns, affected_records FROM g""")
+def model_issue_clusters(spark, sf_dir):
+    c = report.issue_clusters(mc.as_findings(_judged(spark, sf_dir), "collection"))
+    return c.select("cluster_id", "severity", F.concat_ws(",", "affected_columns").alias("affected_columns"), "affected_records")
+
+
+@query("model_reports_by_record", f"""WITH {_JUDGED} SELECT record_id, CASE WHEN bool_or(issue_type <> 'generic') THEN 'warning' ELSE 'info' END AS severity, count(*) AS n_issues, bool_or(issue_type <> 'generic') AS review_required
+FROM j WHERE issue_type <> 'likely_correct' GROUP BY 1""")
+def model_reports_by_record(spark, sf_dir):
+    r = report.record_reports(mc.as_findings(_judged(spark, sf_dir), "collection"))
+    return r.select("record_id", "severity", F.size("issues").cast("long").alias("n_issues"), "review_required")
+
+
 def purity(items: list[dict]) -> list[str]:
     return [json.dumps({"field_purity_score": 100.0 - len(json.loads(i["sample_values"])), "confidence": 0.8, "review_required": i["non_empty_count"] < i["total_count"]}) for i in items]
 

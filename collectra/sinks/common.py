@@ -59,12 +59,19 @@ def cell(column: str) -> Column:
     return F.nullif(strip(F.col(quoted(column)).cast("string")), F.lit(""))
 
 
-def write_documents(xml: DataFrame, path: str, head: str, tail: str, column: str = "xml") -> None:
-    """One valid document per part file: head, the records, tail."""
+def write_documents(xml: DataFrame, path: str, head: str, tail: str, column: str = "xml", between: str = "") -> None:
+    """One valid document per part file: head, the records with ``between`` in front of all but the first, tail."""
     def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"value": [head]})
+        started = False
         for batch in batches:
-            yield pd.DataFrame({"value": batch[column]})
+            values = batch[column]
+            if between and len(values):
+                values = between + values
+                if not started:
+                    values.iloc[0] = values.iloc[0][len(between):]
+                started = True
+            yield pd.DataFrame({"value": values})
         yield pd.DataFrame({"value": [tail]})
 
     xml.select(column).mapInPandas(wrap, "value string").write.mode("overwrite").text(path)

@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import ENTITY_TO_SCHEMA, mapped, provenance
 from ..functions.text import split_values
 from ..operators.joins import lookup_join
-from .common import cell, collected
+from .common import cell, collected, write_documents
 from .enriched_csv import result_cells
 from .import_xml import mapping_list
 
@@ -141,11 +140,12 @@ def authority_nodes(entries: DataFrame) -> DataFrame:
     return entries.where(has("gnd_id") | has("wikidata_id") | has("geonames_id")).select("term", F.to_json(node).alias("node"))
 
 
-def write_jsonld(nodes: DataFrame, path: str) -> None:
-    """One node per line, and the context once, in a file beside the parts."""
-    spark = nodes.sparkSession
-    nodes.select("node").write.mode("overwrite").text(os.path.join(path, "graph"))
-    spark.range(1).select(F.lit(json.dumps({"@context": CONTEXT}, ensure_ascii=False)).alias("value")).write.mode("overwrite").text(os.path.join(path, "context"))
+def write_jsonld(nodes: DataFrame, path: str, authorities: DataFrame | None = None) -> None:
+    """JSON-LD documents, one per part file: the context, and as its graph the nodes of records and,
+    where they are given, of authorities."""
+    graph = nodes.select("node") if authorities is None else nodes.select("node").unionByName(authorities.select("node"))
+    context = json.dumps(CONTEXT, ensure_ascii=False)
+    write_documents(graph, path, f'{{"@context": {context}, "@graph": [', "]}", "node", ",")
 
 
 # ---- image results ----------------------------------------------------------
