@@ -310,9 +310,13 @@ def _write_images(spark, sf_dir):
 
 
 @query("image_scan", """SELECT 'page_' || page_id || CASE WHEN page_id % 2 = 1 THEN '.jpg' ELSE '.png' END AS filename, CASE WHEN page_id % 2 = 1 THEN 'image/jpeg' ELSE 'image/png' END AS mime_type,
-  cast(100 + page_id % 400 AS INTEGER) AS width, cast(50 + page_id % 300 AS INTEGER) AS height FROM pages""")
+  cast(100 + page_id % 400 AS INTEGER) AS width, cast(50 + page_id % 300 AS INTEGER) AS height, cast(CASE WHEN page_id % 2 = 1 THEN 29 ELSE 24 END AS BIGINT) AS size_bytes,
+  sha256(unhex(hex)) AS hash_sha256, to_base64(unhex(hex)) AS base64_data, 0 AS n_errors FROM (SELECT page_id, CASE WHEN page_id % 2 = 1
+    THEN 'FFD8FFE000046162FFC0001108' || right('0000' || hex(50 + page_id % 300), 4) || right('0000' || hex(100 + page_id % 400), 4) || repeat('00', 12)
+    ELSE '89504E470D0A1A0A0000000D49484452' || right('00000000' || hex(100 + page_id % 400), 8) || right('00000000' || hex(50 + page_id % 300), 8) END AS hex FROM pages)""")
 def image_scan(spark, sf_dir):
-    return image_files.scan_images(spark, _write_images(spark, sf_dir)).select("filename", "mime_type", "width", "height")
+    rows = image_files.scan_images(spark, _write_images(spark, sf_dir), with_content=True)
+    return rows.select("filename", "mime_type", "width", "height", "size_bytes", "hash_sha256", "base64_data", F.size("errors").alias("n_errors"))
 
 
 def describer(items: list[dict]) -> list[str]:

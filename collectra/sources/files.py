@@ -15,15 +15,18 @@ SPARK_NAMES = {"utf-8": "UTF-8", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE
 DELIMITERS = [",", ";", "\t", "|"]
 
 
-def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> list[str]:
-    """Data files below a path; only names come to the driver."""
+def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (), only_empty: bool = False) -> list[str]:
+    """Data files below a path, or those of them without content; only names come to the driver."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
         raise FileNotFoundError(path)
     found, walk = [], fs.listFiles(hadoop, True)
     while walk.hasNext():
-        p = walk.next().getPath()
+        status = walk.next()
+        if only_empty and status.getLen():
+            continue
+        p = status.getPath()
         name = p.getName()
         if not name.startswith(("_", ".")) and (not suffixes or name.lower().endswith(suffixes)):
             found.append(p.toString())

@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import list_files
+
 # FIXED VALUES: file types by extension, and by leading bytes.
 MIME = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".tif": "image/tiff", ".tiff": "image/tiff", ".webp": "image/webp"}
 MAGIC = {"ffd8ff": "image/jpeg", "89504e470d0a1a0a": "image/png", "49492a00": "image/tiff", "4d4d002a": "image/tiff"}
-HEAD = 1 << 20
+#: What is read of a JPEG file for its frame header, first and where that was not enough.
+NEAR, HEAD = 1 << 12, 1 << 20
+#: Spark holds a file in one row of at most this many bytes.
+LARGEST = (1 << 31) - 1 - 64
 SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
 
 
@@ -58,22 +63,38 @@ def jpeg_size(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(sizes, columns=["width", "height"]).astype("Int32")
 
 
-def scan_images(spark: SparkSession, path: str, with_content: bool = False) -> DataFrame:
-    """One row per image below a folder. Sizes of PNG files and hashes are
-    computed in the JVM; only the first part of JPEG files goes to Python."""
+def scan_images(spark: SparkSession, path: str, with_content: bool = False, largest: int = LARGEST) -> DataFrame:
+    """One row per image below a folder, in any case with its path. ``errors`` says why a file has no facts: it
+    cannot be read, is empty, or is above ``largest`` bytes, which one row cannot hold; its type is then ``unknown``.
+
+    The listing does not open files; contents are read apart, without the files that are too
+    large, so that one bad file costs only itself. A file that is removed meanwhile has no row. Sizes of PNG files and hashes are computed in the
+    JVM; only the first part of JPEG files goes to Python, and all of it only where
+    the frame header lies behind long metadata."""
     globs = "*.{jpg,jpeg,png,tif,tiff,webp,JPG,JPEG,PNG,TIF,TIFF,WEBP}"
-    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=globs).load(path)
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=globs, ignoreMissingFiles=True)
+    listed = files.load(path).select("path", "length")
+    empty = list_files(spark, path, tuple(MIME), only_empty=True)  # which the reader passes over
+    if empty:
+        listed = listed.unionByName(spark.createDataFrame([(f, 0) for f in empty], "path string, length long"))
+    read = files.option("ignoreCorruptFiles", True).load(path).where(F.col("length") <= largest)
     c = F.col("content")
-    typed = files.withColumn("mime_type", mime_type(F.col("path"), c))
+    typed = read.select("path", c, F.col("length").alias("size_bytes"), mime_type(F.col("path"), c).alias("mime_type"))
     is_png, is_jpeg = F.col("mime_type") == "image/png", F.col("mime_type") == "image/jpeg"
-    # frame headers come before the image data, behind at most some metadata segments of 64 KB
-    sized = typed.withColumn("_jpeg", jpeg_size(F.when(is_jpeg, F.substring(c, 1, HEAD))))
+    # frame headers come before the image data, mostly near the start, and behind at most some metadata segments of 64 KB
+    sized = typed.withColumn("_near", jpeg_size(F.when(is_jpeg, F.substring(c, 1, NEAR))))
+    sized = sized.withColumn("_jpeg", jpeg_size(F.when(is_jpeg & F.col("_near.width").isNull() & (F.col("size_bytes") > NEAR), F.substring(c, 1, HEAD))))
 
     def png(at: int) -> Column:
-        return F.when(is_png & (F.col("length") >= 24), F.conv(F.hex(F.substring(c, at, 4)), 16, 10).cast("int"))
+        return F.when(is_png & (F.col("size_bytes") >= 24), F.conv(F.hex(F.substring(c, at, 4)), 16, 10).cast("int"))
 
     extra = [F.base64(c).alias("base64_data")] if with_content else []
-    return sized.select(
-        "path", F.regexp_extract("path", r"[^/\\]+$", 0).alias("filename"), F.col("length").alias("size_bytes"), "mime_type",
-        F.coalesce("_jpeg.width", png(17)).alias("width"), F.coalesce("_jpeg.height", png(21)).alias("height"), F.sha2(c, 256).alias("hash_sha256"), *extra,
-    )
+    facts = sized.select(
+        "path", "size_bytes", "mime_type", F.coalesce("_near.width", "_jpeg.width", png(17)).alias("width"),
+        F.coalesce("_near.height", "_jpeg.height", png(21)).alias("height"), F.sha2(c, 256).alias("hash_sha256"), *extra)
+    error = F.when(F.col("hash_sha256").isNotNull(), F.array().cast("array<string>")).otherwise(
+        F.array(F.when(F.col("length") > largest, F.concat(F.lit("larger than "), F.lit(largest), F.lit(" bytes")))
+                .when(F.col("length") == 0, "empty").otherwise("cannot be read")))
+    return listed.join(facts, "path", "left").select(
+        "path", F.regexp_extract("path", r"[^/\\]+$", 0).alias("filename"), F.coalesce("size_bytes", F.lit(0).cast("long")).alias("size_bytes"),
+        F.coalesce("mime_type", F.lit("unknown")).alias("mime_type"), "width", "height", "hash_sha256", *(["base64_data"] if with_content else []), error.alias("errors"))

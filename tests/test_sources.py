@@ -1,4 +1,5 @@
 """Readers on files written by the test."""
+import hashlib
 import json
 import random
 import zipfile
@@ -122,6 +123,18 @@ def test_images(spark, tmp_path):
     (tmp_path / "broken.jpg").write_bytes(b"\xff\xd8")
     got = {r["filename"]: (r["width"], r["height"]) for r in images.scan_images(spark, str(tmp_path)).collect()}
     assert got == {"p.png": (16, 32), "j.jpg": (7, 5), "broken.jpg": (None, None)}
+    # metadata before the frame header, an empty file, and files above the limit
+    (tmp_path / "far.jpg").write_bytes(b"\xff\xd8" + (b"\xff\xe1\x10\x02" + b"m" * 0x1000) * 3 + b"\xff\xc2\x00\x11\x08\x00\x09\x00\x0b" + b"\x00" * 9)
+    (tmp_path / "none.PNG").write_bytes(b"")
+    (tmp_path / "big.tif").write_bytes(b"II*\x00" + b"x" * 20_000)
+    rows = {r["filename"]: r for r in images.scan_images(spark, str(tmp_path), largest=15_000).collect()}
+    assert (rows["far.jpg"]["width"], rows["far.jpg"]["height"], rows["far.jpg"]["errors"]) == (11, 9, [])
+    assert (rows["none.PNG"]["size_bytes"], rows["none.PNG"]["width"], rows["none.PNG"]["errors"]) == (0, None, ["empty"])
+    assert (rows["big.tif"]["mime_type"], rows["big.tif"]["hash_sha256"], rows["big.tif"]["errors"]) == ("unknown", None, ["larger than 15000 bytes"])
+    assert rows["p.png"]["hash_sha256"] == hashlib.sha256((tmp_path / "p.png").read_bytes()).hexdigest()
+    lost = images.scan_images(spark, str(tmp_path))  # a file that goes between listing and reading
+    (tmp_path / "j.jpg").unlink()
+    assert {r["filename"] for r in lost.collect()} == {"p.png", "broken.jpg", "far.jpg", "none.PNG", "big.tif"}
 
 
 @pytest.mark.parametrize("doc,want", [
