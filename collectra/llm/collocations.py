@@ -415,7 +415,8 @@ def collocations(
     overlap are the pairs of the next turn. A block sends each word and pair once, so none
     is more than one cell per block, and no group holds more than ``FAN`` blocks' cells of a place.
 
-    Null texts are empty; a null language counts as ``und``; repeated rows count each; no rows, or
+    Of equal cuts the first counts, and equal scores go by count, then by the phrase's bytes. Null
+    texts are empty; a null language counts as ``und``; repeated rows count each; no rows, or
     no frequent phrase, give no rows. Further columns are not read. A text of any length
     is read in parts."""
     spark = docs.sparkSession
