@@ -86,6 +86,13 @@ def xml_columns(spark, sf_dir):
     return df.agg(F.count("*").alias("n")).select(F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("name"), "n")
 
 
+@query("xml_preview", """SELECT 'mets_mods' AS format, unnest(['title', 'name', 'role', 'date_issued', 'subjects', 'identifier', 'identifier_type', 'abstract']) AS name, (SELECT least(10, count(*)) FROM orders) AS head_rows""")
+def xml_preview(spark, sf_dir):
+    p = xml_files.preview_xml(spark, _mets(spark, sf_dir))
+    head = p["head"].agg(F.count("*").alias("head_rows"))
+    return head.select(F.lit(next(iter(p["formats"]))).alias("format"), F.explode(F.array(*[F.lit(c) for c in p["columns"]])).alias("name"), "head_rows")
+
+
 def _lido(spark, sf_dir):
     path = scratch_path(spark, "lido")
     o = inputs.table(spark, sf_dir, "orders")

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..operators.profile import Dataset, drop_empty_columns
+from ..operators.profile import Dataset, column_profile, drop_empty_columns, id_candidates, value_counts
+from ..session import cut_lineage
 from .csv import describe
 from .files import xml_formats
 
@@ -121,12 +122,12 @@ def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
 
 def load_mods(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFrame:
     flat = mods_fields(_read(spark, path, "mods", MODS_SCHEMA))
-    return flat if keep_empty else drop_empty_columns(flat)
+    return flat if keep_empty else drop_empty_columns(cut_lineage(flat))  # parsed once, counted from the table
 
 
 def load_lido(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFrame:
     flat = lido_fields(_read(spark, path, "lido", LIDO_SCHEMA))
-    return flat if keep_empty else drop_empty_columns(flat)
+    return flat if keep_empty else drop_empty_columns(cut_lineage(flat))
 
 
 def load_xml(spark: SparkSession, path: str, skip_unknown: bool = False) -> DataFrame:
@@ -142,6 +143,22 @@ def load_xml(spark: SparkSession, path: str, skip_unknown: bool = False) -> Data
     return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1], allowMissingColumns=True)
 
 
+def preview_xml(spark: SparkSession, path: str, rows: int = 10, sample: int = 1000) -> dict:
+    """What an import would see: the formats with their numbers of files, the filled columns, the first rows and
+    likely id columns of the first ``sample`` records, warnings about files of another kind."""
+    found = xml_formats(spark, path)
+    unknown = found.pop("unknown", [])
+    if not found:
+        raise ValueError(f"the root element is neither METS/MODS nor LIDO: {unknown[:20]}")
+    kind = "lido" if "lido" in found else next(iter(found))
+    load = load_lido if kind == "lido" else load_mods
+    top = drop_empty_columns(cut_lineage(load(spark, found[kind], keep_empty=True).limit(sample)))
+    return {
+        "formats": {k: len(v) for k, v in found.items()}, "columns": top.columns, "head": top.limit(rows),
+        "id_candidates": id_candidates(column_profile(value_counts(top)), top.columns), "warnings": [f"not read: {f}" for f in unknown],
+    }
+
+
 def ingest_xml(spark: SparkSession, path: str) -> tuple[Dataset, DataFrame]:
     return describe(load_xml(spark, path), os.path.splitext(os.path.basename(path.rstrip("/")))[0])
 

@@ -102,8 +102,13 @@ def test_mods(spark, tmp_path):
     first = rows["Ansicht von Berlin"]
     assert (first["name"], first["role"], first["subjects"], first["identifier"], first["identifier_type"]) == ("Müller, Friedrich", "artist", "Stadt; Berlin", "rec_001", "uri")
     assert rows["Zweites"]["abstract"] is None and "publisher" not in df.columns
+    seen = xml.preview_xml(spark, str(path), rows=1)
+    assert seen["formats"] == {"mods": 1} and seen["head"].count() == 1 and seen["columns"] == df.columns and seen["warnings"] == []
     bad = tmp_path / "x.xml"
     bad.write_text("<other/>")
+    assert len(xml.preview_xml(spark, str(tmp_path))["warnings"]) == 1
+    with pytest.raises(ValueError):
+        xml.preview_xml(spark, str(bad))
     with pytest.raises(ValueError):
         xml.load_xml(spark, str(bad))
 
