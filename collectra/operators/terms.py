@@ -1,4 +1,4 @@
-"""Scan cells for problem terms by equi-joins on tokens or character grams."""
+"""Scan cells for problem terms: by expression, by automaton, or by equi-joins on tokens or character grams."""
 from __future__ import annotations
 
 import re
@@ -66,30 +66,46 @@ def _inline_scan(cells: DataFrame, terms: list, whole_word: bool, out_columns: l
     return cells.select("record_id", "column", "value", F.explode(hits).alias("t")).select("record_id", "column", "value", "t.*").select(*out_columns)
 
 
-def _automaton_scan(cells: DataFrame, known: DataFrame, out_columns: list[str]) -> DataFrame:
-    """Search for a long list of substrings with one automaton, which reads each cell once whatever
-    the number of terms. The list is cut by hash into chunks of about ``CHUNK_BYTES``; a
-    chunk is what goes to a task, and each is a scan of its own. Only hits come back."""
-    listed = cut_lineage(known.select("key", *out_columns[3:]))
-    size = listed.agg(F.sum(F.octet_length("key") + KEY_BYTES)).first()[0] or 0
-    chunks = max(1, ceil(size / CHUNK_BYTES))
+#: The characters of ``BOUNDARY``; what ``\\s`` stands for are the white space characters of Unicode.
+EDGES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))) + ",;.!?\"'()[]")
+
+
+def _list_bytes(known: DataFrame) -> int:
+    return known.agg(F.sum(F.octet_length("key") + KEY_BYTES)).first()[0] or 0
+
+
+def _automaton_scan(cells: DataFrame, listed: DataFrame, whole_word: bool, out_columns: list[str]) -> DataFrame:
+    """Search for a long list of terms with one automaton, which reads each cell once whatever
+    the number of terms; a whole word is a place with an edge on both sides. The list is cut by
+    hash into chunks of about ``CHUNK_BYTES``; a chunk is what goes to a task, and each is a
+    scan of its own. A cell comes back once, with the keys found in it."""
+    chunks = max(1, ceil(_list_bytes(listed) / CHUNK_BYTES))
     slim = cells.select("record_id", "column", "value", "_text")
-    schema = slim.drop("_text").withColumn("key", F.lit("")).schema
+    schema = slim.drop("_text").withColumn("keys", F.array(F.lit(""))).schema
 
     def scan(keys: list[str]):
+        edges = EDGES if whole_word else None
+
+        def found(automaton, text: str) -> list[str]:
+            if edges is None:
+                return [keys[i] for i in {i for _, i in automaton.iter(text)}]
+            hits, last = set(), len(text) - 1
+            for end, i in automaton.iter(text):
+                start = end - len(keys[i])
+                if i not in hits and (start < 0 or text[start] in edges) and (end == last or text[end + 1] in edges):
+                    hits.add(i)
+            return [keys[i] for i in hits]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             for i, key in enumerate(keys):
                 automaton.add_word(key, i)
             automaton.make_automaton()
             for batch in batches:
-                at, found = [], []
-                for row, text in enumerate(batch.column("_text").to_pylist()):
-                    hits = {i for _, i in automaton.iter(text)}
-                    at += [row] * len(hits)
-                    found += [keys[i] for i in hits]
-                rows = batch.select(["record_id", "column", "value"]).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.string())], schema.names)
+                hits = [found(automaton, text.as_py()) for text in batch.column("_text")]
+                rows = batch.select(["record_id", "column", "value"]).columns
+                out = pa.RecordBatch.from_arrays([*rows, pa.array(hits, pa.list_(pa.string()))], schema.names)
+                yield out.filter(pa.array([bool(h) for h in hits], pa.bool_()))
 
         return slim.mapInArrow(run, schema)
 
@@ -100,7 +116,8 @@ def _automaton_scan(cells: DataFrame, known: DataFrame, out_columns: list[str])
             frames.append(scan(keys))
     if not frames:
         return cells.select("record_id", "column", "value", *[F.lit("").alias(c) for c in out_columns[3:]]).limit(0)
-    return lookup_join(reduce(DataFrame.unionByName, frames), listed, ["key"], "inner").select(*out_columns)
+    hits = reduce(DataFrame.unionByName, frames).select("record_id", "column", "value", F.explode("keys").alias("key"))
+    return lookup_join(hits, listed, ["key"], "inner").select(*out_columns)
 
 
 def scan_terms(cells: DataFrame, terms: DataFrame, case_sensitive: bool = False, whole_word: bool = True, inline: int | None = None) -> DataFrame:
@@ -115,8 +132,8 @@ def scan_terms(cells: DataFrame, terms: DataFrame, case_sensitive: bool = False,
     leading one to three characters instead and checked the same way. No cell
     is joined to a term it does not share an anchor with. The exploded rows hold a
     hash of the cell and one anchor; the text joins again where a term was found.
-    Where pyahocorasick is installed, long lists of substrings are searched with an
-    automaton instead, so that a long cell is not exploded to its grams.
+    Where pyahocorasick is installed, long lists of substrings, and of whole words up to ``CHUNK_BYTES``,
+    are searched with an automaton instead, so that a cell is neither exploded nor shuffled.
     """
     known = keyed_terms(terms, case_sensitive)
     cells = cells.where(has_text(F.col("value"))).withColumn(
@@ -131,8 +148,10 @@ def scan_terms(cells: DataFrame, terms: DataFrame, case_sensitive: bool = False,
     short = known.limit(bound + 1).collect()
     if 0 < len(short) <= bound:
         return _inline_scan(cells, short, whole_word, out_columns)
-    if not whole_word and ahocorasick is not None:
-        return _automaton_scan(cells, known, out_columns)
+    if ahocorasick is not None:
+        listed = cut_lineage(known.select("key", *out_columns[3:]))
+        if not whole_word or _list_bytes(listed) <= CHUNK_BYTES:
+            return _automaton_scan(cells, listed, whole_word, out_columns)
     known = known.withColumn("_anchor", first if whole_word else F.lit(None).cast("string"))
     by_token = known.where(F.col("_anchor").isNotNull())
     by_gram = known.where(F.col("_anchor").isNull()).withColumn("_n", F.least(F.lit(3), F.length("key")))

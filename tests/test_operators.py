@@ -1,6 +1,7 @@
 """Operators against brute force: joins under skew, ordered corrections, samples, exports."""
 import hashlib
 import random
+import re
 from collections import Counter
 from xml.etree import ElementTree
 
@@ -171,6 +172,33 @@ def test_long_lists_of_substrings(spark, monkeypatch, automaton):
     assert terms.scan_terms(cells, listed.limit(0), whole_word=False, inline=0).collect() == []
 
 
+@pytest.mark.parametrize("automaton", [True, False])
+def test_long_lists_of_words(spark, monkeypatch, automaton):
+    """Words and phrases at all kinds of edges, by automaton and by token, against the pattern itself."""
+    if not automaton:
+        monkeypatch.setattr(terms, "ahocorasick", None)
+    rng = random.Random(11)
+    keys = sorted({"".join(rng.choice("abÄ. -") for _ in range(rng.randint(1, 5))).strip() for _ in range(300)} - {""})
+    texts = ["".join(rng.choice("abÄä .,;x-(\u2003\xa0\x1c\"'") for _ in range(rng.randint(0, 40))) for _ in range(120)] + [None, "", "a"]
+    cells = spark.createDataFrame([(str(i), "c", t) for i, t in enumerate(texts)], "record_id string, column string, value string")
+    listed = spark.createDataFrame([(k, "r", "c", "n", i) for i, k in enumerate(keys)], "term string, replacement string, category string, note string, ord int")
+    found = sorted((r["record_id"], r["term"].lower()) for r in terms.scan_terms(cells, listed, inline=0).collect())
+    edge = "[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000,;.!?\"'()\\[\\]]"
+    assert found == sorted({(str(i), k.lower()) for i, t in enumerate(texts) if t and t.strip() for k in keys
+                            if re.search(f"(?:^|(?<={edge})){re.escape(k.lower())}(?={edge}|$(?!\\n))", t.lower())})
+
+
+def test_many_terms_in_one_long_cell(spark):
+    """A cell comes back once, not once for every term in it: 2,200 copies of a megabyte fit no batch."""
+    keys = [f"k{i:04d}" for i in range(2200)]
+    text = (" ".join(keys) + " ").ljust(1 << 20, "x")
+    cells = spark.createDataFrame([("1", "c", text)], "record_id string, column string, value string")
+    listed = spark.createDataFrame([(k, "", "", "", i) for i, k in enumerate(keys)], "term string, replacement string, category string, note string, ord int")
+    for whole in (False, True):
+        found = terms.scan_terms(cells, listed, whole_word=whole, inline=0).select("record_id", "term")
+        assert sorted(r["term"] for r in found.collect()) == keys
+
+
 SUGGESTED = "suggestion_id string, seq long, action_type string, original_value string, suggested_value string, item_id string, target_field string, status string"
 
 
