@@ -1,9 +1,9 @@
 """What the exports share: per-row lookups, bounded groups, text files."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,22 +59,56 @@ def cell(column: str) -> Column:
     return F.nullif(strip(F.col(quoted(column)).cast("string")), F.lit(""))
 
 
-def write_documents(xml: DataFrame, path: str, head: str, tail: str, column: str = "xml", between: str = "") -> None:
-    """One valid document per part file: head, the records with ``between`` in front of all but the first, tail."""
-    def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"value": [head]})
-        started = False
+#: A document ends after so many lines of about so many characters, some 32 MB in all.
+LINES, LINE_SIZE = 64, 1 << 19
+#: The head of a document, the text of a row, the tail.
+Document = Callable[[], tuple[str, Callable[..., str], Callable[[], str]]]
+
+
+def write_bounded(rows: DataFrame, path: str, document: Document) -> None:
+    """One valid document per part file, and as many as the rows fill: readers give a whole XML file to one
+    task. ``document`` is called for each. Rows are put together to lines of ``LINE_SIZE``;
+    every document but the last of a task has ``LINES`` of them, which is where the writer begins a file."""
+    most, size = LINES, LINE_SIZE
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(texts: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(["\n".join(texts)], pa.string())], ["value"])
+
+        head, text, tail = document()
+        line, filled, lines, begun = [head], 0, 0, True
         for batch in batches:
-            values = batch[column]
-            if between and len(values):
-                values = between + values
-                if not started:
-                    values.iloc[0] = values.iloc[0][len(between):]
-                started = True
-            yield pd.DataFrame({"value": values})
-        yield pd.DataFrame({"value": [tail]})
-
-    xml.select(column).mapInPandas(wrap, "value string").write.mode("overwrite").text(path)
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if not begun:
+                    head, text, tail = document()
+                    line, filled, lines, begun = [head], 0, 0, True
+                line.append(text(*row))
+                filled += len(line[-1])
+                if filled < size:
+                    continue
+                lines += 1
+                begun = lines < most
+                yield out(line if begun else [*line, tail()])
+                line, filled = [], 0
+        if begun:
+            yield out([*line, tail()])
+
+    rows.mapInArrow(wrap, "value string").write.mode("overwrite").option("maxRecordsPerFile", most).text(path)
+
+
+def write_documents(xml: DataFrame, path: str, head: str, tail: str, column: str = "xml", between: str = "") -> None:
+    """Documents of bounded size, one per part file: head, the records with ``between`` in front of all but the first, tail."""
+    def document():
+        first = True
+
+        def text(value: str | None) -> str:
+            nonlocal first
+            front, first = "" if first else between, False
+            return front + (value or "")
+
+        return head, text, lambda: tail
+
+    write_bounded(xml.select(column), path, document)
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False, bom: bool = False) -> None:

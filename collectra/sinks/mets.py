@@ -1,16 +1,13 @@
 """METS documents with one MODS section per record."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import mapped
 from ..functions.text import split_values, utc_timestamp, xml_escape
 from ..operators.joins import lookup_join
-from .common import cell, collected
+from .common import cell, collected, write_bounded
 from .enriched_csv import result_cells
 from .import_xml import mapping_list
 
@@ -124,26 +121,23 @@ def mods_records(
 
 
 def write_mets(mods: DataFrame, path: str, label: str = "Export") -> None:
-    """One METS document per part file, its structMap listing the records of
-    that part."""
+    """METS documents of bounded size, one per part file, the structMap listing the records of
+    that document."""
     stamp = mods.sparkSession.range(1).select(F.date_format(F.to_timestamp(utc_timestamp()), "yyyy-MM-dd'T'HH:mm:ss'Z'")).first()[0]
     head = (
         f'<?xml version="1.0" encoding="UTF-8"?>\n<mets:mets xmlns:mets="{METS_NS}" xmlns:mods="{MODS_NS}" xmlns:xlink="{XLINK_NS}" OBJID="export">'
         f'<mets:metsHdr CREATEDATE="{stamp}" RECORDSTATUS="Complete" />'
     )
+    start = f'<mets:fileSec><mets:fileGrp USE="metadata" /></mets:fileSec><mets:structMap TYPE="physical"><mets:div TYPE="document" LABEL="{label}">'
+
+    def document():
+        divs: list[str] = []
+
+        def text(attribute: str, xml: str) -> str:
+            i = len(divs)
+            divs.append(f'<mets:div TYPE="record" LABEL="{attribute}" DMDID="dmd{i}" />')
+            return f'<mets:dmdSec ID="dmd{i}"><mets:mdWrap MDTYPE="MODS"><mets:xmlData>{xml}</mets:xmlData></mets:mdWrap></mets:dmdSec>'
+
+        return head, text, lambda: "\n".join([start, *divs, "</mets:div></mets:structMap></mets:mets>"])
 
-    def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"value": [head]})
-        divs, i = [], 0
-        for batch in batches:
-            lines = []
-            for attribute, xml in zip(batch["attribute"], batch["mods"]):
-                lines.append(f'<mets:dmdSec ID="dmd{i}"><mets:mdWrap MDTYPE="MODS"><mets:xmlData>{xml}</mets:xmlData></mets:mdWrap></mets:dmdSec>')
-                divs.append(f'<mets:div TYPE="record" LABEL="{attribute}" DMDID="dmd{i}" />')
-                i += 1
-            yield pd.DataFrame({"value": lines})
-        start = f'<mets:fileSec><mets:fileGrp USE="metadata" /></mets:fileSec><mets:structMap TYPE="physical"><mets:div TYPE="document" LABEL="{label}">'
-        yield pd.DataFrame({"value": [start, *divs, "</mets:div></mets:structMap></mets:mets>"]})
-
-    rows = mods.select(xml_escape(F.col("record_id")).alias("attribute"), "mods")
-    rows.mapInPandas(wrap, "value string").write.mode("overwrite").text(path)
+    write_bounded(mods.select(xml_escape(F.col("record_id")).alias("attribute"), "mods"), path, document)

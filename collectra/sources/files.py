@@ -116,13 +116,18 @@ def xml_formats(spark: SparkSession, path: str) -> dict[str, list[str]]:
     files = list_files(spark, path)
     if not files:
         raise FileNotFoundError(path)
-    out: dict[str, list[str]] = {}
-    for f in files:
+
+    def kind(file: str) -> str:
         try:
-            kind = root_format(head(spark, f))
+            return root_format(head(spark, file))
         except ValueError:
-            kind = "unknown"
-        out.setdefault(kind, []).append(f)
+            return "unknown"
+
+    with ThreadPoolExecutor(16) as pool:
+        kinds = list(pool.map(kind, files))
+    out: dict[str, list[str]] = {}
+    for name, f in zip(kinds, files):
+        out.setdefault(name, []).append(f)
     return out
 
 

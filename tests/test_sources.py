@@ -302,3 +302,26 @@ def test_a_stopped_run_keeps_its_steps(spark, tmp_path):
     batch.answer_table(items, answer, "p", path)
     assert len(log.read_text().split()) == 20
     assert batch.answer_table(items.limit(0), answer, "q", str(tmp_path / "none")).collect() == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 41, 100])
+def test_documents_of_one_task_are_bounded(spark, tmp_path, monkeypatch, n):
+    """One task writes several whole documents, none longer than its lines, with each record once."""
+    from xml.etree import ElementTree
+
+    from collectra.sinks import common, mets
+
+    monkeypatch.setattr(common, "LINES", 4)
+    monkeypatch.setattr(common, "LINE_SIZE", 1000)
+    rows = spark.range(n).coalesce(1).select(F.concat(F.lit("r"), "id").alias("record_id"), F.rpad(F.concat(F.lit("<x>"), "id", F.lit("</x>")), 100, " ").alias("xml"))
+    common.write_documents(rows, str(tmp_path / "plain"), "<all>", "</all>")
+    mets.write_mets(rows.withColumnRenamed("xml", "mods"), str(tmp_path / "mets"))
+    common.write_documents(rows.select(F.to_json(F.struct("record_id", F.rpad(F.lit(""), 100, "z"))).alias("xml")), str(tmp_path / "json"), "[", "]", between=",")
+    plain = [ElementTree.fromstring(f.read_bytes()) for f in (tmp_path / "plain").glob("part*")]
+    assert sorted(int(x.text) for d in plain for x in d) == list(range(n)) and len(plain) == max(1, -(-n // 40)) and all(len(d) <= 40 for d in plain)
+    nested = [ElementTree.fromstring(f.read_bytes()) for f in (tmp_path / "mets").glob("part*")]
+    for d in nested:
+        ids = [e.get("ID") for e in d.iter("{http://www.loc.gov/METS/}dmdSec")]
+        assert ids == [e.get("DMDID") for e in d.iter("{http://www.loc.gov/METS/}div") if e.get("DMDID")]
+    assert sum(len(list(d.iter("x"))) for d in nested) == n and (n < 100 or len(nested) > 2)
+    assert sorted(r["record_id"] for f in (tmp_path / "json").glob("part*") for r in json.loads(f.read_text())) == sorted(f"r{i}" for i in range(n))
