@@ -4,6 +4,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,9 +13,12 @@ from pyspark.sql import types as T
 
 from ..functions.text import has_text, parse_json, strip
 from ..session import cut_lineage, exists
+from ..sources.files import list_files
 from .joins import lookup_join
 from .profile import quoted
 
+#: Steps of a long run, and files of its queue.
+MAX_STEPS, MAX_FILES = 100, 4096
 RESULT = "success boolean, response string, error string, error_type string, duration double"
 Answer = Callable[[list[dict]], list[str]]
 
@@ -110,19 +114,23 @@ def answer_steps(keyed: DataFrame, answer: Answer, path: str, step: int = 256, f
     ``files`` (as many as there are cores, unless given) at a time. Each micro-batch writes its
     answers to a folder named after run and batch, so what a batch has finished is
     committed whatever becomes of the next, and a batch that is tried again replaces
-    its own rows. At most one batch of answers is lost when a run stops."""
+    its own rows. Within a batch each task commits its own file, so a batch that fails keeps its
+    finished tasks. A step costs about a second whatever it holds: a run of more than ``MAX_STEPS`` takes longer steps,
+    and more than ``MAX_FILES`` files become larger ones. When a run stops, it loses one batch of answers at most:
+    ``files`` times ``step`` items, or about a hundredth of a long run."""
     spark = keyed.sparkSession
     cores = spark.sparkContext.defaultParallelism
     name, root = uuid.uuid4().hex[:12], path.rstrip("/")
-    todo = pending_items(keyed, stored_answers(keyed, path).where("success").select("item_key"), ["item_key"])
+    todo = cut_lineage(pending_items(keyed, stored_answers(keyed, path).where("success").select("item_key"), ["item_key"]))
     queue = f"{root}/queue/{name}"
-    todo.write.option("maxRecordsPerFile", step).parquet(queue)
+    todo.write.option("maxRecordsPerFile", max(step, ceil(todo.count() / MAX_FILES))).parquet(queue)
+    at_once = max(files or cores, ceil(len(list_files(spark, queue)) / MAX_STEPS))
 
     def commit(batch: DataFrame, number: int) -> None:
         done = with_parsed(run_items(batch, answer, workers or cores, **run))
-        done.write.mode("overwrite").parquet(f"{root}/answers/{name}/{number}")
+        done.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{root}/answers/{name}/{number}")
 
-    stream = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", files or cores).parquet(queue)
+    stream = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", at_once).parquet(queue)
     stream.writeStream.foreachBatch(commit).option("checkpointLocation", f"{root}/progress/{name}").trigger(availableNow=True).start().awaitTermination()
 
 

@@ -325,3 +325,40 @@ def test_documents_of_one_task_are_bounded(spark, tmp_path, monkeypatch, n):
         assert ids == [e.get("DMDID") for e in d.iter("{http://www.loc.gov/METS/}div") if e.get("DMDID")]
     assert sum(len(list(d.iter("x"))) for d in nested) == n and (n < 100 or len(nested) > 2)
     assert sorted(r["record_id"] for f in (tmp_path / "json").glob("part*") for r in json.loads(f.read_text())) == sorted(f"r{i}" for i in range(n))
+
+
+def test_steps_of_a_long_run_grow(spark, tmp_path, monkeypatch):
+    """The number of steps has a bound, whatever the number of items; each is asked once, in no more files than that."""
+    monkeypatch.setattr(batch, "MAX_STEPS", 3)
+    monkeypatch.setattr(batch, "MAX_FILES", 8)
+    path, items = str(tmp_path / "kept"), spark.range(200).select(F.col("id").cast("string").alias("record_id")).coalesce(1)
+    done = batch.answer_table(items, lambda rows: ["{}"] * len(rows), "p", path, step=2, files=1, workers=1)
+    assert sorted(int(r["record_id"]) for r in done.collect()) == list(range(200))
+    assert len(list(tmp_path.glob("kept/queue/*/*.parquet"))) == 8 and len(list(tmp_path.glob("kept/answers/*/*"))) == 3
+
+
+def test_a_failed_step_keeps_its_finished_tasks(spark, tmp_path):
+    """Two tasks of one step: one ends, then the other dies. The next run asks only for what the second had."""
+    import os
+    import time
+
+    from pyspark.errors import StreamingQueryException
+
+    path = str(tmp_path / "kept")
+
+    def dies(rows):
+        if any(r["record_id"] == "0" for r in rows):
+            for _ in range(200):
+                if any(f.endswith(".parquet") for _, _, names in os.walk(f"{path}/answers") for f in names):
+                    break
+                time.sleep(0.1)
+            time.sleep(2)
+            raise SystemExit(3)
+        return ["{}"] * len(rows)
+
+    items = spark.range(100).select(F.col("id").cast("string").alias("record_id")).coalesce(1)
+    with pytest.raises(StreamingQueryException):
+        batch.answer_table(items, dies, "p", path, step=100, files=1, workers=2)
+    kept = batch.stored_answers(batch.with_item_keys(items, "p"), path).count()
+    assert 0 < kept < 100
+    assert batch.answer_table(items, lambda rows: ["{}"] * len(rows), "p", path).count() == 100
