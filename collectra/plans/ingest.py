@@ -122,9 +122,14 @@ def lido_load(spark, sf_dir):
     return xml_files.load_xml(spark, _lido(spark, sf_dir)).select("title", "record_id", "name", "date_created", "place_of_origin", "genre", "extent")
 
 
+#: Members of one archive of the derived input.
+ZIP_MEMBERS = 5000
+
+
 def _zips(spark, sf_dir):
     folder = scratch_path(spark, "zips")
-    c = inputs.table(spark, sf_dir, "customer").select("c_custkey", "c_name").repartition(4, "c_custkey")
+    c = inputs.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    c = c.repartition(max(4, c.count() // ZIP_MEMBERS), "c_custkey")  # archives of a size, more for more rows
 
     def write(rows) -> None:
         os.makedirs(folder, exist_ok=True)

@@ -38,6 +38,8 @@ LIDO_SCHEMA = (
     f"administrativeMetadata array<struct<recordWrap:array<struct<recordID:{_S}>>,rightsWorkWrap:array<struct<rightsWorkSet:array<struct<rightsType:array<struct<term:{_S}>>>>>>>>"
 )
 MAX_MEMBER_BYTES = 1 << 30
+# Members that leave a task together: a batch for each would cost more than its member.
+MEMBERS, MEMBER_CHARS = 1000, 1 << 22
 
 
 def _steps(root: Column, path: str) -> Column:
@@ -176,7 +178,7 @@ def _decoded(raw: bytes) -> str:
 
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
     """``(archive, member, xml, error)``: one row per XML file in the archives.
-    Archives are spread over tasks; members are read one at a time."""
+    Archives are spread over tasks; members are read one at a time and handed on some at a time."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,6 +191,7 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
                 except zipfile.BadZipFile as e:
                     yield pd.DataFrame([(archive, None, None, str(e))], columns=columns)
                     continue
+                rows, filled = [], 0
                 for name in names:
                     try:
                         if zf.getinfo(name).file_size > MAX_MEMBER_BYTES:
@@ -196,7 +199,13 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
                         row = (archive, name, _decoded(zf.read(name)), None)
                     except Exception as e:  # a bad member must not stop the archive
                         row = (archive, name, None, f"{type(e).__name__}: {e}")
-                    yield pd.DataFrame([row], columns=columns)
+                    rows.append(row)
+                    filled += len(row[2] or "")
+                    if len(rows) == MEMBERS or filled >= MEMBER_CHARS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, filled = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "content").mapInPandas(unpack, "archive string, member string, xml string, error string")
 

@@ -362,3 +362,22 @@ def test_a_failed_step_keeps_its_finished_tasks(spark, tmp_path):
     kept = batch.stored_answers(batch.with_item_keys(items, "p"), path).count()
     assert 0 < kept < 100
     assert batch.answer_table(items, lambda rows: ["{}"] * len(rows), "p", path).count() == 100
+
+
+def test_archives_grow_in_number_and_leave_in_groups(spark, tmp_path, monkeypatch):
+    """Members leave a task in groups by number and size, each once; more rows make more archives."""
+    from collectra.plans import ingest
+
+    monkeypatch.setattr(xml, "MEMBERS", 3)
+    monkeypatch.setattr(xml, "MEMBER_CHARS", 40)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as zf:
+        for i in range(20):
+            zf.writestr(f"{i:02d}.xml", "<broken" if i == 7 else f"<a>{'x' * (i * 5)}</a>")
+    rows = {r["member"]: r for r in xml.zip_members(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == [f"{i:02d}.xml" for i in range(20)] and rows["07.xml"]["xml"] is None and rows["07.xml"]["error"]
+    assert all(rows[f"{i:02d}.xml"]["xml"] == f"<a>{'x' * (i * 5)}</a>" for i in range(20) if i != 7)
+    monkeypatch.setattr(ingest, "ZIP_MEMBERS", 10)
+    folder = ingest._zips(spark, "/root/testdata/sf0.001")
+    names = [r["member"] for r in xml.zip_members(spark, folder).select("member").collect()]
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    assert len(names) == len(set(names)) == customers and len(files.list_files(spark, folder)) > 4
