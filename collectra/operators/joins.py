@@ -35,21 +35,26 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str] | str, how: str
 
     The lookup is written once, so that measuring it and joining it do not work it
     out twice. One that measures small is broadcast and the large side is not
-    shuffled. Otherwise rows with hot keys are split off: their part of the
-    lookup (at most 1/HOT_SHARE keys) is broadcast when it measures small and
+    shuffled. Otherwise the keys are counted once. Where one is hot, or null in many
+    rows, rows with hot keys are split off (so that a chain of lookups does not repeat the large side
+    without need): their part of the lookup (at most 1/HOT_SHARE keys) is broadcast when it measures small and
     salted when it does not, and only the remaining, even keys are shuffled.
     """
     keys = [on] if isinstance(on, str) else list(on)
     small = cut_lineage(small)
     if fits_broadcast(small):
         return big.join(F.broadcast(small), keys, how)
+    counts = big.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_null", any_null(keys))
+    row = counts.agg(F.sum("_n").alias("rows"), F.max(F.when(~F.col("_null"), F.col("_n"))).alias("most"), F.sum(F.when(F.col("_null"), F.col("_n"))).alias("nulls")).first()
+    total = (row["rows"] or 0) - (row["nulls"] or 0)
+    if max(row["most"] or 0, row["nulls"] or 0) <= max(1.0, total * HOT_SHARE):
+        return big.join(small.hint("merge"), keys, how)
     keyed = big.where(~any_null(keys))
-    counts = keyed.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = F.broadcast(counts.where(F.col("_n") > max(1.0, total * HOT_SHARE)).select(*keys))
+    # at most 1/HOT_SHARE keys, written so that the plan does not hold their search several times
+    hot = F.broadcast(cut_lineage(counts.where(~F.col("_null") & (F.col("_n") > max(1.0, total * HOT_SHARE))).select(*keys)))
     hot_big, cold_big = keyed.join(hot, keys, "left_semi"), keyed.join(hot, keys, "left_anti")
     hot_small, cold_small = small.join(hot, keys, "left_semi"), small.join(hot, keys, "left_anti")
-    cold = cold_big.join(cold_small, keys, how)
+    cold = cold_big.join(cold_small.hint("merge"), keys, how)  # small on disk may be large in the driver
     if fits_broadcast(hot_small):
         warm = hot_big.join(F.broadcast(hot_small), keys, how)
     else:

@@ -26,6 +26,17 @@ def test_lookup_join_paths_agree(spark, monkeypatch):
     assert not joins.fits_broadcast(big, max_rows=10) and joins.fits_broadcast(small)
 
 
+def test_chained_lookups_read_the_large_side_once(spark, monkeypatch):
+    """Large lookups on even keys, one after the other: the plan does not multiply, and none of them is broadcast."""
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df, *a, **k: False)
+    out = spark.range(3000).select(F.col("id").alias("k"))
+    for i in range(4):
+        out = joins.lookup_join(out, spark.range(0, 3000, i + 2).select(F.col("id").alias("k"), F.lit(i).alias(f"v{i}")), "k")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Range (0, 3000"), plan.count("BroadcastHashJoin")) == (1, 0)
+    assert out.count() == 3000 and out.where("v0 = 0 AND v1 = 1 AND v2 = 2 AND v3 = 3").count() == 50
+
+
 def test_ordered_text_keeps_everything(spark):
     rows = [("r1", "b", 2), ("r1", "a", 3), ("r1", "b", 9)] + [("big", f"v{i:03d}", i) for i in range(30)]
     df = spark.createDataFrame(rows, "k string, v string, o int")
