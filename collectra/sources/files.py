@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import codecs
+import os
 import re
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,21 +17,42 @@ SPARK_NAMES = {"utf-8": "UTF-8", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE
 DELIMITERS = [",", ";", "\t", "|"]
 
 
-def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (), only_empty: bool = False) -> list[str]:
-    """Data files below a path, or those of them without content; only names come to the driver."""
+def _walk(spark: SparkSession, path: str) -> Iterator[tuple[str, int]]:
+    """(path, length) of every file below a path. A local folder is listed by Python, since the walk through
+    Hadoop costs some calls into the JVM for each file."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
         raise FileNotFoundError(path)
-    found, walk = [], fs.listFiles(hadoop, True)
+    root = fs.makeQualified(hadoop).toUri()
+    if root.getScheme() == "file":
+        folders = [root.getPath()]
+        if os.path.isfile(folders[0]):
+            yield f"file:{folders[0]}", os.path.getsize(folders.pop())
+        while folders:
+            with os.scandir(folders.pop()) as entries:
+                for entry in entries:
+                    if entry.is_dir():
+                        folders.append(entry.path)
+                        continue
+                    try:
+                        yield f"file:{entry.path}", entry.stat().st_size
+                    except FileNotFoundError:  # removed meanwhile
+                        pass
+        return
+    walk = fs.listFiles(hadoop, True)
     while walk.hasNext():
         status = walk.next()
-        if only_empty and status.getLen():
-            continue
-        p = status.getPath()
-        name = p.getName()
-        if not name.startswith(("_", ".")) and (not suffixes or name.lower().endswith(suffixes)):
-            found.append(p.toString())
+        yield status.getPath().toString(), status.getLen()
+
+
+def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (), only_empty: bool = False) -> list[str]:
+    """Data files below a path, or those of them without content; only names come to the driver."""
+    found = []
+    for file, length in _walk(spark, path):
+        name = file.rpartition("/")[2]
+        if not (only_empty and length) and not name.startswith(("_", ".")) and (not suffixes or name.lower().endswith(suffixes)):
+            found.append(file)
     return sorted(found)
 
 

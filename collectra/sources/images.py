@@ -17,6 +17,8 @@ MAGIC = {"ffd8ff": "image/jpeg", "89504e470d0a1a0a": "image/png", "49492a00": "i
 NEAR, HEAD = 1 << 12, 1 << 20
 #: Spark holds a file in one row of at most this many bytes.
 LARGEST = (1 << 31) - 1 - 64
+#: So many of Spark's file splits, which hold some 32 small files each, are read by one task where files are small.
+SPLITS, SMALL_SPLIT = 8, 1 << 24
 SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
 
 
@@ -63,6 +65,13 @@ def jpeg_size(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(sizes, columns=["width", "height"]).astype("Int32")
 
 
+def _fewer_tasks(files: DataFrame) -> DataFrame:
+    """Splits of small files together, since each task with Python costs more than reading them; splits of many bytes stay alone."""
+    splits, size = files.select("path").rdd.getNumPartitions(), int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = max(-(-splits // SPLITS), 4 * files.sparkSession.sparkContext.defaultParallelism)
+    return files.coalesce(wanted) if wanted < splits and size < splits * SMALL_SPLIT else files
+
+
 def scan_images(spark: SparkSession, path: str, with_content: bool = False, largest: int = LARGEST) -> DataFrame:
     """One row per image below a folder, in any case with its path. ``errors`` says why a file has no facts: it
     cannot be read, is empty, or is above ``largest`` bytes, which one row cannot hold; its type is then ``unknown``.
@@ -72,12 +81,13 @@ def scan_images(spark: SparkSession, path: str, with_content: bool = False, larg
     JVM; only the first part of JPEG files goes to Python, and all of it only where
     the frame header lies behind long metadata."""
     globs = "*.{jpg,jpeg,png,tif,tiff,webp,JPG,JPEG,PNG,TIF,TIFF,WEBP}"
-    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=globs, ignoreMissingFiles=True)
-    listed = files.load(path).select("path", "length")
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=globs, ignoreMissingFiles=True, ignoreCorruptFiles=True).load(path)
+    files = _fewer_tasks(files)
+    listed = files.select("path", "length")
     empty = list_files(spark, path, tuple(MIME), only_empty=True)  # which the reader passes over
     if empty:
         listed = listed.unionByName(spark.createDataFrame([(f, 0) for f in empty], "path string, length long"))
-    read = files.option("ignoreCorruptFiles", True).load(path).where(F.col("length") <= largest)
+    read = files.where(F.col("length") <= largest)
     c = F.col("content")
     typed = read.select("path", c, F.col("length").alias("size_bytes"), mime_type(F.col("path"), c).alias("mime_type"))
     is_png, is_jpeg = F.col("mime_type") == "image/png", F.col("mime_type") == "image/jpeg"

@@ -381,3 +381,20 @@ def test_archives_grow_in_number_and_leave_in_groups(spark, tmp_path, monkeypatc
     names = [r["member"] for r in xml.zip_members(spark, folder).select("member").collect()]
     customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
     assert len(names) == len(set(names)) == customers and len(files.list_files(spark, folder)) > 4
+
+
+def test_many_images_are_listed_once_and_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    (tmp_path / "deep").mkdir()
+    for i in range(1200):
+        (tmp_path / "deep" / f"i {i}.png").write_bytes(b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR\x00\x00\x00\x10\x00\x00\x00\x20" if i % 100 else b"")
+    client, calls = spark.sparkContext._gateway._gateway_client, []
+    send = client.send_command
+    monkeypatch.setattr(client, "send_command", lambda *a, **k: calls.append(1) or send(*a, **k))
+    empty = files.list_files(spark, str(tmp_path), (".png",), only_empty=True)
+    assert len(empty) == 12 and empty[0] == f"file:{tmp_path}/deep/i 0.png" and len(calls) < 100
+    assert files.list_files(spark, empty[0]) == empty[:1]
+    monkeypatch.undo()
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    assert images._fewer_tasks(read).rdd.getNumPartitions() < read.rdd.getNumPartitions()
+    rows = images.scan_images(spark, str(tmp_path)).groupBy("width", "errors").count().collect()
+    assert {(r["width"], tuple(r["errors"])): r["count"] for r in rows} == {(16, ()): 1188, (None, ("empty",)): 12}
