@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, xml_escape
-from ..operators.joins import lookup_join
+from ..operators.joins import fits_broadcast, lookup_join
 from ..operators.profile import quoted
+from ..session import cut_lineage
 
 
 def collected(rows: DataFrame, keys: str | list[str], order: str, fields: list[str], out: str) -> DataFrame:
@@ -20,17 +21,26 @@ def collected(rows: DataFrame, keys: str | list[str], order: str, fields: list[s
 
 
 def row_key(columns: list[str]) -> Column:
-    return F.sha2(F.to_json(F.struct(*[F.col(quoted(c)).cast("string").alias(c) for c in columns])), 256)
+    return F.unhex(F.md5(F.to_json(F.struct(*[F.col(quoted(c)).cast("string").alias(c) for c in columns]))))
 
 
-def with_row_hits(df: DataFrame, columns: list[str], parts: Column, lookup: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def with_row_hits(
+    df: DataFrame, columns: list[str], parts: Column, lookup: DataFrame, keys: list[str], value: str, out: str, sparse: bool = False
+) -> DataFrame:
     """Add a map from the parts of a row to what a lookup table says about
     them. ``parts`` is an array of structs with the fields ``keys`` and
     ``name``; the map is ``name -> value``. Rows are matched back by a hash of
-    their content, so the map of a row holds that row's parts only."""
-    rows = df.withColumn("_row", row_key(columns))
+    their content, so the map of a row holds that row's parts only.
+
+    The rows are written first: the search, the counts of the joins and the result read them, and what led to them
+    is not worked out for each. ``sparse`` says that few parts are known: a large lookup is then reduced to parts that occur
+    before the parts of all rows are shuffled."""
+    rows = cut_lineage(df.withColumn("_row", row_key(columns)))
     exploded = rows.select("_row", F.explode(parts).alias("_p")).select("_row", "_p.*")
-    hits = lookup_join(exploded, lookup.select(*keys, value), keys, "inner")
+    known = cut_lineage(lookup.select(*keys, value))
+    if sparse and not fits_broadcast(known):
+        known = known.join(exploded.select(*keys).distinct(), keys, "left_semi")
+    hits = lookup_join(exploded, known, keys, "inner")
     maps = hits.groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("name", value))).alias(out))
     return lookup_join(rows, maps, ["_row"], "left").drop("_row")
 

@@ -106,13 +106,13 @@ def record_xml(
         if all(m["source_column"] != "record_id" for m in active):
             plain = [{"source_column": "record_id", "target_type": CATALOG_TYPE, "label": CATALOG_TYPE, "repeatable": False}] + plain
     columns = sorted({m["source_column"] for m in plain})
-    out = df
-    if dates is not None:
+    out = df.select(*[F.col(quoted(c)) for c in df.columns if c in columns or c.lower() == "record_id"])  # rows are written below
+    if dates is not None and columns != ["record_id"]:
         known = dates.where("edtf <> ''").groupBy("record_id", F.col("original").alias("text")).agg(F.min_by("edtf", "ord").alias("edtf"))
         cells = F.filter(F.array(*[
-            F.struct(F.col("record_id").cast("string").alias("record_id"), cell(c).alias("text"), F.lit(c).alias("name")) for c in columns
+            F.struct(F.col("record_id").cast("string").alias("record_id"), cell(c).alias("text"), F.lit(c).alias("name")) for c in columns if c != "record_id"
         ]), lambda s: s["text"].isNotNull())
-        out = with_row_hits(out, columns, cells, known, ["record_id", "text"], "edtf", "_edtf")
+        out = with_row_hits(out, out.columns, cells, known, ["record_id", "text"], "edtf", "_edtf")
         out = out.withColumns({
             c: F.coalesce(F.try_element_at("_edtf", F.lit(c)), F.col(quoted(c)).cast("string")) for c in columns if c != "record_id"
         }).drop("_edtf")
@@ -124,7 +124,7 @@ def record_xml(
     ]))
     parts = F.transform(F.array_distinct(pieces), lambda p: F.struct(p.alias("part"), p.alias("name")))
     lookup = _terms(mentions, terms)
-    out = with_row_hits(out, columns, parts, lookup, ["part"], "gnd_id", "_auth")
+    out = with_row_hits(out, columns, parts, lookup, ["part"], "gnd_id", "_auth", sparse=True)
     body = [mapped_elements(cell(m["source_column"]), m["target_type"], m["label"] or m["target_type"], m["repeatable"]) for m in plain]
     if mentions is not None:
         kept = mentions.where("status <> 'rejected'").withColumn("part", F.lower("text"))

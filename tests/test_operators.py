@@ -440,3 +440,29 @@ def test_term_items_hold_the_whole_row(spark):
     df = spark.createDataFrame([("r1", "x" * 900, "eine Kutsche")], "record_id string, title string, note string")
     assert model_checks.term_items(df, "record_id").first()["text"].endswith("eine Kutsche")
     assert len(model_checks.term_items(df, "record_id", size=500).first()["text"]) == 500
+
+
+def test_import_xml_works_its_input_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda v: (seen.add(1), v)[1], "string").asNondeterministic()
+    df = spark.range(50, numPartitions=1).select(F.concat(F.lit("r"), "id").alias("record_id"), F.lit("s").alias("sig"), count(F.lit("1920")).alias("date"), F.lit("x").alias("other"))
+    m = maps(spark, [("sig", "CatalogIDDigital", False), ("date", "DateIssued", False)])
+    terms = spark.createDataFrame([("1920?", "g1", 1)], "term string, gnd_id string, ord int")
+    dates = spark.createDataFrame([("r1", "1920", "1920~", 1), ("r2", "1920", "1920?", 2)], "record_id string, original string, edtf string, ord int")
+    rows = {r["record_id"]: r["xml"] for r in import_xml.record_xml(df, m, terms, dates=dates).collect()}
+    assert seen.value == 50 and len(rows) == 50
+    # records that differ in nothing but an id that is not mapped keep their own dates
+    assert ">1920~<" in rows["r1"] and 'valueURI="g1">1920?<' in rows["r2"].replace("http://d-nb.info/gnd/", "") and ">1920<" in rows["r3"]
+    only_id = m.where("ord = 0").withColumn("source_column", F.lit("record_id"))
+    assert import_xml.record_xml(df, only_id, terms, dates=dates).count() == 50
+
+
+def test_a_large_sparse_lookup_is_reduced_to_what_occurs(spark, monkeypatch):
+    rows = spark.range(40).select(F.col("id").cast("string").alias("a"))
+    lookup = spark.range(1000).select((F.col("id") + 30).cast("string").alias("part"), F.concat(F.lit("g"), "id").alias("g"))
+    parts = F.array(F.struct(F.col("a").alias("part"), F.col("a").alias("name")))
+    asked, join = [], common.lookup_join
+    monkeypatch.setattr(common, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(common, "lookup_join", lambda big, small, *a: asked.append(small.count()) or join(big, small, *a))
+    got = common.with_row_hits(rows, ["a"], parts, lookup, ["part"], "g", "hits", sparse=True).where("hits IS NOT NULL")
+    assert sorted((r["a"], r["hits"]) for r in got.collect()) == [(str(i), {str(i): f"g{i - 30}"}) for i in range(30, 40)] and asked[0] == 10
