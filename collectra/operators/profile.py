@@ -55,13 +55,15 @@ def value_counts(df: DataFrame, columns: list[str] | None = None, whole: tuple[s
     itself kept only up to ``SHORT`` characters or in the columns ``whole``. ``size`` is its
     length (null for a gap), ``marks`` a number with one bit per condition that holds."""
     value, size = F.col("value"), F.length("value")
-    kept = F.when((size <= SHORT) | F.col("column").isin(*whole), value)
-    bits = [F.when(test, F.lit(1 << i)).otherwise(0) for i, test in enumerate((marks or {}).values())]
+    keep = (size <= SHORT) | F.col("column").isin(*whole)
+    bits = reduce(lambda x, y: x.bitwiseOR(y), [F.when(test, F.lit(1 << i)).otherwise(0) for i, test in enumerate((marks or {}).values())], F.lit(0))
+    # conditions on values that are kept are asked of the distinct values only
     row = [
-        "column", F.unhex(F.md5("value")).alias("key"), size.alias("size"), kept.alias("value"),
-        reduce(lambda x, y: x.bitwiseOR(y), bits, F.lit(0)).alias("marks"),
+        "column", F.unhex(F.md5("value")).alias("key"), size.alias("size"), F.when(keep, value).alias("value"),
+        F.when(value.isNull() | keep, 0).otherwise(bits).alias("marks"),
     ]
-    return cells(df, None, columns).select(*row).groupBy("column", "key", "size", "value", "marks").agg(F.count("*").alias("cnt"))
+    counted = cells(df, None, columns).select(*row).groupBy("column", "key", "size", "value", "marks").agg(F.count("*").alias("cnt"))
+    return counted.withColumn("marks", F.when(value.isNotNull(), bits).otherwise(F.col("marks")))
 
 
 def long_cells(df: DataFrame, whole: tuple[str, ...] = ()) -> DataFrame:

@@ -466,3 +466,22 @@ def test_a_large_sparse_lookup_is_reduced_to_what_occurs(spark, monkeypatch):
     monkeypatch.setattr(common, "lookup_join", lambda big, small, *a: asked.append(small.count()) or join(big, small, *a))
     got = common.with_row_hits(rows, ["a"], parts, lookup, ["part"], "g", "hits", sparse=True).where("hits IS NOT NULL")
     assert sorted((r["a"], r["hits"]) for r in got.collect()) == [(str(i), {str(i): f"g{i - 30}"}) for i in range(30, 40)] and asked[0] == 10
+
+
+def test_example_ids_are_bounded_before_they_are_sorted(spark, monkeypatch):
+    rows = [(f"r{i % 700:04d}" if i % 50 else None, None if i % 3 else " x", "a;b,c" if i % 2 else "ok", "Ã¤" if i == 650 else "y" * (300 if i % 7 else 3) + " ", "full") for i in range(1500)]
+    ds = profile.Dataset("d", spark.createDataFrame(rows, "id string, a string, b string, c string, d string"), "id")
+    plain = sorted(map(str, checks.scan_cells(ds).collect()))
+    seen, near = [], checks._near_cells
+    monkeypatch.setattr(checks, "MANY_HITS", 5)
+    monkeypatch.setattr(checks, "PART", 4)
+    monkeypatch.setattr(checks, "_near_cells", lambda *a: seen.append(near(*a)) or seen[-1])
+    assert sorted(map(str, checks.scan_cells(ds).collect())) == plain
+    assert sorted(map(str, checks.scan_cells(ds, freq=checks.counts_of(ds)).collect())) == plain
+    read = {r["column"]: r["count"] for r in seen[0].groupBy("column").count().collect()}
+    # few rows of a and b; c has one rare kind and is read as a whole; d has no hits
+    assert read["a"] < 400 and read["b"] < 400 and read["c"] == 1500 and "d" not in read
+    monkeypatch.setattr(profile, "SHORT", 5)  # marks of short values are asked of the distinct values
+    marks = {(r["column"], r["size"]): r["marks"] for r in checks.counts_of(ds).where("column IN ('b', 'c')").collect()}
+    bit = {k: 1 << i for i, k in enumerate(checks.cell_marks())}
+    assert marks == {("b", 5): bit["both_rows"], ("b", 2): 0, ("c", 301): bit["whitespace_count"], ("c", 4): bit["whitespace_count"], ("c", 2): bit["Ã¤"]}
