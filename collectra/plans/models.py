@@ -331,11 +331,17 @@ def image_descriptions(spark, sf_dir):
 
 # ---- incremental run --------------------------------------------------------
 
+#: Batches of the derived input, and the rows of one of its files.
+BATCHES, FILE_ROWS = 3, 100_000
+
+
 def _dates_run(spark, sf_dir):
     source, out = scratch_path(spark, "arriving"), scratch_path(spark, "run")
-    inputs.derive(spark, sf_dir, "date_texts").repartition(6, "ord").write.parquet(source)
+    rows = inputs.table(spark, sf_dir, "orders").count()
+    files = max(2, rows // (BATCHES * FILE_ROWS))  # files of a size, more for more rows
+    inputs.derive(spark, sf_dir, "date_texts").repartition(BATCHES * files, "ord").write.parquet(source)
     record = incremental.run_incremental(
-        spark, source, "record_id string, text string, ord long", lambda batch_df: mc.hybrid_dates(batch_df), out, files_per_batch=2, task="edtf"
+        spark, source, "record_id string, text string, ord long", lambda batch_df: mc.hybrid_dates(batch_df), out, files_per_batch=files, task="edtf"
     )
     return record, out
 

@@ -398,3 +398,24 @@ def test_many_images_are_listed_once_and_read_by_few_tasks(spark, tmp_path, monk
     assert images._fewer_tasks(read).rdd.getNumPartitions() < read.rdd.getNumPartitions()
     rows = images.scan_images(spark, str(tmp_path)).groupBy("width", "errors").count().collect()
     assert {(r["width"], tuple(r["errors"])): r["count"] for r in rows} == {(16, ()): 1188, (None, ("empty",)): 12}
+
+
+def test_dates_without_a_model_take_one_pass(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda v: (seen.add(1), v)[1], "string").asNondeterministic()
+    texts = ["1920", "ca. 1920", None, " ", "keine Ahnung 5", "o.D."]
+    df = spark.createDataFrame([(str(i), t, i) for i, t in enumerate(texts)], "record_id string, text string, ord long").withColumn("text", count("text"))
+    rows = [tuple(r)[2:] for r in sorted(model_checks.hybrid_dates(df).collect(), key=lambda r: r["ord"])]
+    assert seen.value == len(texts)
+    assert rows[0][:2] == ("1920", "1920") and rows[2][:2] == rows[3][:2] == ("", "") and all(r[-1] for r in rows[:4])
+    assert rows[4] == ("keine Ahnung 5", "", 0.0, "rule", "Kein Muster erkannt — LLM deaktiviert", False)
+
+
+def test_files_of_the_incremental_run_grow_in_number(spark, monkeypatch):
+    from collectra.plans import models
+
+    run, taken = incremental.run_incremental, []
+    monkeypatch.setattr(models, "FILE_ROWS", 100)
+    monkeypatch.setattr(incremental, "run_incremental", lambda *a, **k: taken.append(k["files_per_batch"]) or run(*a, **k))
+    log = models.incremental_run_log(spark, "/root/testdata/sf0.001").first()
+    assert taken[0] > 2 and (log["chunks"], log["errors"]) == (3, 0)
