@@ -263,16 +263,22 @@ def variant_groups(freq: DataFrame, more: DataFrame | None = None) -> DataFrame:
     the spellings of one term.
 
     ``more`` are long cells, as ``(column, value)``, whose values ``freq`` does not hold. Their terms
-    can be as long, so terms are then counted by hash, and only those with several
-    spellings are fetched."""
+    can be as long: terms above ``SHORT`` are counted by hash, and only those with several
+    spellings are fetched, in a second pass where there are any."""
     terms = _terms(freq)
-    if more is not None:
+    if more is None:
+        spelled = terms.groupBy("column", "form").agg(F.sum("cnt").alias("cnt"))
+    else:
         terms = terms.union(_terms(more.withColumn("cnt", F.lit(1).cast("long"))))
-        keyed = terms.select("column", "cnt", F.unhex(F.md5(F.lower("form"))).alias("term"), F.unhex(F.md5("form")).alias("spelling"))
-        forms = keyed.groupBy("column", "term", "spelling").agg(F.sum("cnt").alias("cnt"))
-        several = forms.groupBy("column", "term").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("column", "term")
-        terms = lookup_join(terms.withColumn("term", F.unhex(F.md5(F.lower("form")))), several, ["column", "term"], "left_semi")
-    spelled = terms.groupBy("column", "form").agg(F.sum("cnt").alias("cnt"))
+        short = F.length(F.lower("form")) <= SHORT  # the same for all spellings of a term
+        digest = lambda c: F.when(~short, F.unhex(F.md5(c)))
+        keyed = terms.select("column", "cnt", F.when(short, F.col("form")).alias("form"), digest(F.lower("form")).alias("term"), digest(F.col("form")).alias("spelling"))
+        forms = cut_lineage(keyed.groupBy("column", "form", "term", "spelling").agg(F.sum("cnt").alias("cnt")))
+        spelled = forms.where(F.col("form").isNotNull()).select("column", "form", "cnt")
+        several = cut_lineage(forms.where(F.col("form").isNull()).groupBy("column", "term").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("column", "term"))
+        if not several.isEmpty():
+            long = terms.where(~short).withColumn("term", F.unhex(F.md5(F.lower("form"))))
+            spelled = spelled.union(lookup_join(long, several, ["column", "term"], "left_semi").groupBy("column", "form").agg(F.sum("cnt").alias("cnt")))
     return spelled.groupBy("column", F.lower("form").alias("canonical")).agg(
         F.array_sort(F.collect_list(F.struct("form", "cnt"))).alias("pairs")
     ).where(F.size("pairs") > 1)

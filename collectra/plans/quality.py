@@ -155,7 +155,7 @@ def long_text_variants(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "documents").where(F.col("text").contains(" "))
     words = docs.select(F.translate(F.translate("text", ";", " "), " ", ";").alias("text"))
     ds = profile.Dataset("documents", words, None)
-    counts = checks.counts_of(ds)
+    counts = cut_lineage(checks.counts_of(ds))
     return checks.variant_rows(checks.variant_groups(counts, checks.long_values(ds, counts)))
 
 

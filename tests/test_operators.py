@@ -485,3 +485,16 @@ def test_example_ids_are_bounded_before_they_are_sorted(spark, monkeypatch):
     marks = {(r["column"], r["size"]): r["marks"] for r in checks.counts_of(ds).where("column IN ('b', 'c')").collect()}
     bit = {k: 1 << i for i, k in enumerate(checks.cell_marks())}
     assert marks == {("b", 5): bit["both_rows"], ("b", 2): 0, ("c", 301): bit["whitespace_count"], ("c", 4): bit["whitespace_count"], ("c", 2): bit["Ã¤"]}
+
+
+def test_short_terms_of_long_cells_take_one_pass(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda v: (seen.add(1), v)[1], "string").asNondeterministic()
+    freq = spark.createDataFrame([("t", "Berg", 2)], "column string, value string, cnt long")
+    cell_texts = [" ; ".join(["berg", "Tal", "x" * 10 * i]) for i in range(20, 25)]
+    more = spark.createDataFrame([("t", t) for t in cell_texts], "column string, value string").withColumn("value", count("value"))
+    got = sorted(map(tuple, checks.variant_rows(checks.variant_groups(freq, more)).collect()))
+    assert got == [("t", "berg", "Berg", 2, 2), ("t", "berg", "berg", 5, 2)] and seen.value == 5
+    long = spark.createDataFrame([("t", "y" * 300 + ";a"), ("t", "Y" * 300 + ";A;z"), ("t", "y" * 300 + ";" + "w" * 300)], "column string, value string")
+    got = sorted(map(tuple, checks.variant_rows(checks.variant_groups(freq, long)).collect()))
+    assert got == [("t", "a", "A", 1, 2), ("t", "a", "a", 1, 2), ("t", "y" * 300, "Y" * 300, 1, 2), ("t", "y" * 300, "y" * 300, 2, 2)]
