@@ -97,6 +97,80 @@ def test_model_has_its_full_size():
     assert scoring.WORDS >= 320 and scoring.ENDINGS >= 191 and scoring.WIDTH >= 24
 
 
+def test_texts_are_cut_into_words_twice(spark, monkeypatch):
+    """Once to count words and once to number them; training and scoring read the numbers."""
+    docs, read = table(spark, SF, "documents"), []
+    kind = type(docs)
+    run = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, *more: read.append(df.columns) or run(df, *more))
+    scoring.lm_scores(docs)
+    assert len(read) == 5 and sum("text" in columns for columns in read) == 2
+
+
+def test_words_and_numbers_are_those_of_python():
+    import numpy as np
+    import pyarrow as pa
+    rows = ["", " \t", "The CAT\x0b\x0csat  x\r\n", " é É\u00a0ß\x1cq ", "y", "cat the the"]
+    words, lengths = scoring.split(pa.array(rows))
+    wanted = [t.encode().lower().split() for t in rows]
+    assert lengths.tolist() == [len(w) for w in wanted] and words.to_pylist() == sum(wanted, [])
+    sliced = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(rows)], ["id", "text"]).slice(2)
+    assert scoring.split(sliced.column(1))[1].tolist() == [4, 2, 1, 3]
+    vocab = scoring.Vocabulary(9, 4, {b"the": 5, b"cat": 2, b"y": 1}, {scoring.END: 0, b"the": 1}, {b"at": 3, b"x": 4}, np.full(5, 0.2), np.ones(5))
+    codes = scoring.Codes(vocab)
+    outputs = codes.outputs[codes.of([b"the", b"cat", b"sat", b"x", b"y", b"unknown"])]
+    assert outputs.tolist() == [1, 3, 3, 4, 2, 2, 0]
+
+
+def test_pieces_of_a_text_score_like_the_whole(spark, odd, monkeypatch):
+    rows = scoring.texts(odd)
+    counts = scoring.word_counts(rows)
+    vocab = scoring.vocabulary(counts)
+    model = scoring.train(rows, vocab)
+
+    def scores():
+        found = scoring.score(scoring.number(rows, vocab), counts, vocab, model)
+        return sorted(((r.id, r.n_tokens, r.n_known, round(r.score, 2)) for r in found.collect()), key=str)
+
+    whole = scores()
+    monkeypatch.setattr(scoring, "PIECE_TOKENS", 7)
+    monkeypatch.setattr(scoring, "PIECE_BYTES", 10)
+    assert scores() == whole
+
+
+def test_training_step_follows_the_plain_gradient():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    prior = rng.dirichlet(np.ones(30))
+    model, plain = scoring.Model(30, prior), scoring.Model(30, prior)
+    trainer = scoring.Trainer(model, prior, 5, 0.1)
+    context, target = rng.integers(0, 30, (200, scoring.CONTEXT)), rng.integers(0, 30, 200)
+    noise = np.minimum(np.searchsorted(np.cumsum(prior), np.random.default_rng(5).random(scoring.NOISE)), 29)
+    trainer.step(context.astype(np.uint16), target.astype(np.uint16))
+    gradients = [np.zeros(a.shape) for a in plain.arrays()]
+    for c, t in zip(context, target, strict=True):
+        h = (plain.inputs[c] * plain.places).sum(axis=0)
+        for w, own in [(t, True), *((w, False) for w in noise)]:
+            odds = h @ plain.outputs[w] + plain.bias[w] - math.log(prior[w] * scoring.NOISE)
+            g = (1 / (1 + math.exp(-odds)) - own) / 200
+            gradients[1][w] += g * h
+            gradients[3][w] += g
+            for k, word in enumerate(c):
+                gradients[0][word] += g * plain.outputs[w] * plain.places[k]
+                gradients[2][k] += g * plain.outputs[w] * plain.inputs[word]
+    for start, found, g in zip(plain.arrays(), model.arrays(), gradients, strict=True):
+        g = g * 200 ** 0.5
+        assert np.allclose(found, start - 0.1 * g / np.sqrt(0.05 + g * g), atol=1e-4)
+
+
+def test_large_scores_stay_normalised():
+    import numpy as np
+    model = scoring.Model(40, np.full(40, 1 / 40))
+    model.outputs *= 2000
+    found = model.log_probabilities(np.zeros((40, scoring.CONTEXT), int) + 3, np.arange(40))
+    assert np.isfinite(found).all() and abs(np.exp(found).sum() - 1) < 1e-4
+
+
 def brute_substrings(rows, width=20):
     order = lambda i: (i is None, i or 0)
     split, first = [(i, (t or "").encode().split()) for i, t in rows], {}
