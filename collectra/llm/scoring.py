@@ -71,24 +71,26 @@ def split(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def word_counts(rows: DataFrame, limit: int = 400_000) -> DataFrame:
-    """``(word, n)`` over all rows ``(id, text)``, an end token for each. Tasks count in
-    dictionaries of at most about ``limit`` words before the shuffle."""
-
-    def out(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+    """``(word, n)`` over all rows ``(id, text)``, an end token for each. Tasks add up the
+    counts of their pieces to tables of about ``limit`` words before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, size, ends = [], 0, 0
         for batch in batches:
+            ends += batch.num_rows
             for piece in pieces(batch):
-                words, n = pc.value_counts(split(piece.column(1))[0]).flatten()
-                for word, times in zip(words.to_pylist(), n.to_pylist(), strict=True):
-                    counts[word] += times
-                if len(counts) > limit:
-                    yield out(counts)
-                    counts = Counter()
-            counts[END] += batch.num_rows
-        yield out(counts)
+                held.append(pa.Table.from_arrays(pc.value_counts(split(piece.column(1))[0]).flatten(), ["word", "n"]))
+                size += held[-1].num_rows
+                if size > limit:
+                    summed = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+                    held = [summed.select(["word", "n_sum"]).rename_columns(["word", "n"])]
+                    size = held[0].num_rows
+                if size > limit:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        for counts in held:
+            yield from counts.to_batches()
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], ["word", "n"])
 
     return rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
@@ -250,22 +252,20 @@ class Trainer:
         np.divide(np.float32(1 / n), gf, out=gf)
         dh = np.multiply(gt[:, None], out, out=out)
         dh += gf @ away
-        outputs = self._gathered(target, gt[:, None] * h) + self._gathered(noise, gf.T @ h)
-        bias = (np.bincount(target, gt, len(m.bias)) + np.bincount(noise, gf.sum(axis=0), len(m.bias))).astype(np.float32)
+        rows, sides = np.concatenate([target, noise]), np.concatenate([gt[:, None] * h, gf.T @ h])
+        outputs = self._gathered(rows, np.ascontiguousarray(sides.T))
+        bias = self._gathered(rows, np.concatenate([gt, gf.sum(axis=0)])[None])[:, 0]
         places = np.einsum("cij,ij->cj", vectors, dh)
-        values = np.multiply(dh, m.places[:, None], out=vectors)
-        inputs = self._gathered(before.ravel(), values.reshape(-1, WIDTH))  # all places in one
+        values = np.multiply(np.ascontiguousarray(dh.T)[:, None], m.places.T[:, :, None], out=vectors.reshape(WIDTH, CONTEXT, n))
+        inputs = self._gathered(before.ravel(), values.reshape(WIDTH, -1))  # all places in one
         for i, g in enumerate((inputs, outputs, places, bias)):
             self._descend(i, g * np.float32(n ** 0.5))
 
     def _gathered(self, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """The sum of the values of each output's rows."""
-        into = np.zeros_like(self.m.outputs)
-        order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort, for two bytes
-        sorted_rows = rows[order]
-        begins = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-        sorted_values = values.take(order, axis=0, out=self._room("sorted", len(rows), WIDTH), mode="clip")
-        into[sorted_rows[begins]] = np.add.reduceat(sorted_values, begins, axis=0)
+        """The sum of the values of each output's rows, for each dimension."""
+        into = np.empty((len(self.m.bias), len(values)), np.float32)
+        for i, column in enumerate(values):
+            into[:, i] = np.bincount(rows, column, len(into))
         return into
 
 
@@ -316,7 +316,7 @@ def number(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
                 numbers, ends = codes.numbers(words), np.concatenate([[0], np.cumsum(lengths)])
                 others = np.flatnonzero(numbers >= codes.first)
                 bounds = np.searchsorted(others, ends)
-                left = words.take(pa.array(others)).to_pylist()
+                left = words.take(pa.array(others)).to_numpy(zero_copy_only=False).tolist()
                 rest, times, upto = [], [], [0]
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     own = Counter(left[a:b])
