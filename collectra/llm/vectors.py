@@ -16,6 +16,9 @@ from .components import components
 
 RADII = (1.0, 0.5, 0.25, 0.125)
 SLACK = 1e-4  # single precision, used only to rule pairs out
+ROWS = len(RADII) + 1  # the level below the leaves: every row is a node
+# Pairs compared at a time, numbers gathered for them, numbers in the vectors of a block.
+PAIRS, NUMBERS, BLOCK_NUMBERS = 1 << 21, 1 << 22, 1 << 19
 
 
 def _cover(x: np.ndarray, radius: float) -> list[np.ndarray]:
@@ -51,173 +54,276 @@ def _cover(x: np.ndarray, radius: float) -> list[np.ndarray]:
 
 class Tree:
     """Nested covers of the rows of ``x`` with halving radii. Rows are reordered so that a
-    node is a range; ``levels`` holds (begin, end, radius, first child, last child)."""
+    node is a range; ``levels`` holds (first rows, radii, first children) from the whole block down to
+    the rows, the first children with the end of the last node's."""
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray):
         x = _unit(raw.astype(np.float64)).astype(np.float32)
-        nodes, self.levels, tops = [np.arange(len(x))], [], []
+        nodes, tops = [np.arange(len(x))], []
         for radius in RADII:
             parts = [[n] if len(n) == 1 else [n[g] for g in _cover(x[n], radius)] for n in nodes]
             tops.append(np.cumsum([0] + [len(p) for p in parts]))
             nodes = [n for p in parts for n in p]
-        self.order = np.concatenate(nodes)
-        ends = np.cumsum([len(n) for n in nodes])
-        begins = np.concatenate([[0], ends[:-1]])
-        self.x, self.ids, self.weights, self.raw = x[self.order], ids[self.order], weights[self.order], raw[self.order]
-        for level in range(len(RADII) - 1, -1, -1):  # the last level's ranges give the others'
-            if level < len(RADII) - 1:
-                children = tops[level + 1]
-                begins, ends = begins[children[:-1]], ends[children[1:] - 1]
-            centre = np.repeat(begins, ends - begins)
-            far = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", self.x, self.x[centre]), 0))
-            radii = np.maximum.reduceat(far, begins)
-            below = tops[level + 1] if level < len(RADII) - 1 else None
-            self.levels.insert(0, (begins, ends, radii, below))
+        order = np.concatenate(nodes)
+        self.ids, self.weights, self.raw, self.x = ids[order], weights[order], raw[order], x[order]
+        tops.append(np.cumsum([0] + [len(n) for n in nodes]))
+        self.levels, begins = [(np.arange(len(x)), np.zeros(len(x)), None)], np.arange(len(x))
+        for children in tops[::-1]:
+            begins = begins[children[:-1]]
+            centre = np.repeat(begins, np.diff(np.append(begins, len(x))))
+            radii = np.maximum.reduceat(np.linalg.norm(self.x - self.x[centre], axis=1), begins)
+            self.levels.insert(0, (begins, radii, children))
 
     def packed(self) -> bytes:
         """Numbers only; vectors in the precision they came in."""
-        return pickle.dumps((self.ids, self.weights, self.raw, self.levels))
+        small = [(b.astype(np.int32), r.astype(np.float32) + np.float32(1e-6), c.astype(np.int32)) for b, r, c in self.levels[:-1]]
+        return pickle.dumps((self.ids, self.weights, self.raw, small))
 
     @classmethod
     def unpacked(cls, blob: bytes) -> Tree:
         tree = cls.__new__(cls)
-        tree.ids, tree.weights, tree.raw, tree.levels = pickle.loads(blob)
-        tree.full = _unit(tree.raw.astype(np.float64))
-        tree.x = tree.full.astype(np.float32)
+        tree.ids, tree.weights, tree.raw, small = pickle.loads(blob)
+        tree.x = _unit(tree.raw.astype(np.float64)).astype(np.float32)
+        rows = np.arange(len(tree.x))
+        tree.levels = [tuple(column.astype(kind) for column, kind in zip(level, (np.int64, np.float64, np.int64), strict=True)) for level in small]
+        tree.levels.append((rows, np.zeros(len(rows)), None))
         return tree
 
-
-def leaf_pairs(a: Tree, b: Tree, reach: float) -> Iterator[tuple[int, int, int, int]]:
-    """Row ranges of the leaf pairs that may hold rows within ``reach``: a pair of nodes is
-    dropped where the distance of the centres exceeds reach and both radii."""
-    begins_a, _, radii_a, _ = a.levels[0]
-    begins_b, _, radii_b, _ = b.levels[0]
-    tops_b, widest = np.ascontiguousarray(b.x[begins_b].T), radii_b.max()
-    for at in range(0, len(begins_a), 1024):
-        part = slice(at, at + 1024)
-        near = a.x[begins_a[part]] @ tops_b
-        span = reach + radii_a[part] + widest  # first with the widest node, then with each one's own radius
-        left, right = np.nonzero(near >= (1 - span * span / 2 - SLACK).astype(np.float32)[:, None])
-        span = reach + radii_a[part][left] + radii_b[right]
-        kept = near[left, right] >= 1 - span * span / 2 - SLACK
-        left, right = left[kept] + at, right[kept]
-        for level in range(len(RADII)):
-            if level:
-                down_a, down_b = a.levels[level - 1][3], b.levels[level - 1][3]
-                n_a, n_b = down_a[left + 1] - down_a[left], down_b[right + 1] - down_b[right]
-                both = n_a * n_b
-                where = np.repeat(np.arange(len(left)), both)
-                inner = np.arange(len(where)) - np.repeat(np.cumsum(both) - both, both)
-                left, right = down_a[left][where] + inner // n_b[where], down_b[right][where] + inner % n_b[where]
-                ca, cb = a.levels[level][0][left], b.levels[level][0][right]
-                span = reach + a.levels[level][2][left] + b.levels[level][2][right]
-                near = np.einsum("ij,ij->i", a.x[ca], b.x[cb]) >= 1 - span * span / 2 - SLACK
-                left, right = left[near], right[near]
-        (ba, ea, _, _), (bb, eb, _, _) = a.levels[-1], b.levels[-1]
-        yield from zip(ba[left].tolist(), ea[left].tolist(), bb[right].tolist(), eb[right].tolist(), strict=True)
+    def below(self, level: int, target: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first of the nodes of ``target``, the next level or that of the rows, below ``nodes``, and their numbers."""
+        begins, _, children = self.levels[level]
+        ends = children if target == level + 1 else np.append(begins, len(self.x))
+        return ends[nodes], ends[nodes + 1] - ends[nodes]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _stars(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join what the matrix links, without listing all links."""
-    out, rows = [], np.flatnonzero(near.any(axis=1))
-    while len(rows):
-        group, columns = rows[:1], np.zeros(near.shape[1], bool)
-        rows = rows[1:]
-        root = left[group[0]]
-        while len(group):
-            columns |= near[group].any(axis=0)
-            out += [(root, v) for v in left[group].tolist()]
-            hit = near[rows][:, columns].any(axis=1)
-            group, rows = rows[hit], rows[~hit]
-        out += [(root, v) for v in right[columns].tolist()]
-    return [(int(u), int(v)) for u, v in out if u != v]
-
-
-def _links(trees: list[Tree], threshold: float) -> tuple[list, list]:
-    """Weighted link counts of the vectors of two blocks, or of one with itself, and edges."""
-    reach = sqrt(2 - 2 * threshold)
-    a, b = trees[0], trees[-1]
-    ids_a, weights_a, xa = a.ids, a.weights, a.full
-    ids_b, weights_b, xb = b.ids, b.weights, b.full
-    counts_a, counts_b, edges = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64), []
-    alone = len(trees) == 1
-    for b0, e0, b1, e1 in leaf_pairs(a, b, reach):
-        if alone and b1 < b0:
-            continue
-        for at in range(b0, e0, 1024):
-            end = min(at + 1024, e0)
-            near = xa[at:end] @ xb[b1:e1].T >= threshold
-            if alone and b0 == b1:
-                near[np.arange(end - at), np.arange(at - b0, end - b0)] = False
-            counts_a[at:end] += near @ weights_b[b1:e1]
-            if not (alone and b0 == b1):
-                counts_b[b1:e1] += weights_a[at:end] @ near
-            edges += _stars(near, ids_a[at:end], ids_b[b1:e1])
-    counts = [(ids_a, counts_a), (ids_b, counts_b)]
-    out = [(int(i), int(c)) for ids, cs in counts for i, c in zip(ids[cs > 0], cs[cs > 0], strict=True)]
-    return out, edges
-
-
-def near_pairs(distinct: DataFrame, width: int, threshold: float, block: int = 8192, most_cells: int = 4096) -> DataFrame:
+def _compared(a: Tree, b: Tree, target: int, firsts: tuple, counts: tuple, floor) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For pairs of runs of nodes of one level, the pairs of nodes whose centres' cosine reaches ``floor(their radii)``,
+    with that cosine. Long runs are one matrix product after another, short ones are listed; both some at a time."""
+    (begins_a, radii_a, _), (begins_b, radii_b, _) = a.levels[target], b.levels[target]
+    both = counts[0] * counts[1]
+    for p in np.flatnonzero(both >= 4096).tolist():
+        (fa, fb), (na, nb) = (int(f[p]) for f in firsts), (int(c[p]) for c in counts)
+        for right in range(fb, fb + nb, PAIRS // 64):
+            end = min(right + PAIRS // 64, fb + nb)
+            columns, widest = np.ascontiguousarray(b.x[begins_b[right:end]].T), radii_b[right:end].max()
+            step = max(1, PAIRS // (end - right))
+            for left in range(fa, fa + na, step):
+                rows = slice(left, min(left + step, fa + na))
+                near = a.x[begins_a[rows]] @ columns  # first with the widest node, then with each one's own radius
+                least = floor(radii_a[rows] + widest).astype(np.float32)
+                i, j = np.divmod(np.flatnonzero(near >= least[:, None]), near.shape[1])
+                cosine = near[i, j]
+                i, j = i + left, j + right
+                kept = cosine >= floor(radii_a[i] + radii_b[j])
+                yield i[kept], j[kept], cosine[kept]
+    short = np.flatnonzero(both < 4096)
+    ends = np.cumsum(both[short])
+    step = max(1, min(PAIRS, NUMBERS // a.x.shape[1]))
+    for at in range(0, int(ends[-1]) if len(ends) else 0, step):
+        number = np.arange(at, min(at + step, int(ends[-1])))
+        p = short[np.searchsorted(ends, number, side="right")]
+        inner = number - (ends - both[short])[np.searchsorted(ends, number, side="right")]
+        i, j = firsts[0][p] + inner // counts[1][p], firsts[1][p] + inner % counts[1][p]
+        cosine = np.einsum("ij,ij->i", a.x[begins_a[i]], b.x[begins_b[j]])
+        kept = cosine >= floor(radii_a[i] + radii_b[j])
+        yield i[kept], j[kept], cosine[kept]
+
+
+def near_rows(a: Tree, b: Tree, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of both trees whose cosine reaches the threshold, or of one tree with itself, each pair once, some at a time.
+
+    The trees are walked together: a pair of nodes is dropped where the distance of the centres exceeds reach and both
+    radii. Where the children of both nodes are hardly fewer than their rows, the rows are compared at once. A pair is
+    followed to its rows before the next ones are taken, so what is held does not grow with the pairs. Rows
+    that single precision leaves open are compared in double precision."""
+    reach, width = sqrt(2 - 2 * threshold), a.x.shape[1]
+    slack = max(SLACK, 1.2e-7 * (width + 4))
+
+    def apart(radii: np.ndarray) -> np.ndarray:
+        return 1 - (reach + radii) ** 2 / 2 - slack
+
+    def linked(radii: np.ndarray) -> np.ndarray:
+        return np.full(len(radii), threshold - slack)
+
+    def exact(i: np.ndarray, j: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        sure, step = cosine >= threshold + slack, max(1, NUMBERS // width)
+        open_ = np.flatnonzero(~sure)
+        for at in range(0, len(open_), step):
+            part = open_[at:at + step]
+            va, vb = a.raw[i[part]].astype(np.float64), b.raw[j[part]].astype(np.float64)
+            sure[part] = np.einsum("ij,ij->i", va, vb) / np.linalg.norm(va, axis=1) / np.linalg.norm(vb, axis=1) >= threshold
+        return sure
+
+    def walk(level: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        few = np.zeros(len(left), bool)
+        for tree, nodes in ((a, left), (b, right)):
+            few |= 2 * tree.below(level, level + 1, nodes)[1] < tree.below(level, ROWS, nodes)[1]
+        for target, taken in ((ROWS, ~few), (level + 1, few)):
+            if not taken.any():
+                continue
+            (fa, na), (fb, nb) = a.below(level, target, left[taken]), b.below(level, target, right[taken])
+            for i, j, cosine in _compared(a, b, target, (fa, fb), (na, nb), linked if target == ROWS else apart):
+                if a is b:
+                    once = i < j if target == ROWS else i <= j
+                    i, j, cosine = i[once], j[once], cosine[once]
+                if target == ROWS:
+                    sure = exact(i, j, cosine)
+                    i, j = i[sure], j[sure]
+                if len(i):
+                    yield from [(i, j)] if target == ROWS else walk(target, i, j)
+
+    yield from walk(0, np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+
+class Forest:
+    """Rows joined by links, which are taken in some at a time and not kept."""
+
+    def __init__(self):
+        self.root, self.waiting, self.held = np.arange(0), [], 0
+
+    def grow(self, more: int) -> int:
+        """The first of so many new rows."""
+        size = len(self.root)
+        self.root = np.concatenate([self.root, np.arange(size, size + more)])
+        return size
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        i, j = self.root[i], self.root[j]
+        fresh = i != j
+        if fresh.any():
+            self.waiting.append((i[fresh], j[fresh]))
+            self.held += len(self.waiting[-1][0])
+        if self.held >= PAIRS // 4 or len(self.waiting) >= 4096:
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        """The smallest row that each row is joined with."""
+        root = self.root
+        i, j = (np.concatenate(c) for c in zip(*self.waiting, strict=True)) if self.waiting else (root[:0], root[:0])
+        self.waiting, self.held = [], 0
+        while len(i):
+            np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+            while len(np.flatnonzero(root[root] != root)):
+                root[:] = root[root]
+            i, j = root[i], root[j]
+            i, j = i[i != j], j[i != j]
+        return root
+
+
+def links(low: list[bytes], high: list[bytes] | None, meet, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the packed trees of one group of blocks link with those of another, or with each other: the ids of rows with links and
+    the weighted numbers of these, and a forest of edges with the same components as the links. ``meet`` says of the places of two trees
+    whether to compare them. The memory is that of the trees and some numbers for each row, however many links there are."""
+    forest, trees, counts, starts = Forest(), [], [], []
+
+    def entered(blob: bytes) -> Tree:
+        tree = Tree.unpacked(blob)
+        trees.append(tree.ids)
+        counts.append(np.zeros(len(tree.ids), np.int64))
+        starts.append(forest.grow(len(tree.ids)))
+        return tree
+
+    mine = [entered(blob) for blob in low]
+    for k, other in enumerate(mine if high is None else map(entered, high)):
+        at = k if high is None else len(mine) + k
+        for m, tree in enumerate(mine[:k + 1] if high is None else mine):
+            if not meet(m, k):
+                continue
+            for i, j in near_rows(tree, other, threshold):
+                counts[m] += np.bincount(i, other.weights[j], len(tree.ids)).astype(np.int64)
+                counts[at] += np.bincount(j, tree.weights[i], len(other.ids)).astype(np.int64)
+                forest.add(i + starts[m], j + starts[at])
+    ids, counts, root = np.concatenate(trees), np.concatenate(counts), forest.settle()
+    some, joined = np.flatnonzero(counts), np.flatnonzero(root != np.arange(len(root)))
+    return ids[some], counts[some], ids[joined], ids[root[joined]]
+
+
+def near_pairs(distinct: DataFrame, width: int, threshold: float, block: int = 8192, most_cells: int = 4096, most_group: int = 16) -> DataFrame:
     """``(u, v, links)`` for distinct vectors ``(uid, n, v)`` of one width: rows with ``v`` null
-    give ``u`` its links to other vectors, counted with their copies; the others are edges.
+    give ``u`` its links to other vectors, counted with their copies; the others are edges
+    that join what links join.
 
     The top of the cover tree is drawn on the cluster: vectors go to the nearest of up to
-    ``most_cells`` centres, cells are cut into blocks of about ``block`` vectors, and
+    ``most_cells`` centres, cells are cut into blocks of about ``block`` vectors, fewer if they are wide, and
     two blocks meet only if their centres lie within the reach and both radii. Each block's
-    tree is built once; a pair of blocks is one task's work, which walks both trees together."""
+    tree is built once. Blocks in a row form a group; a pair of groups is one task's work, and a tree goes once to each
+    pair that it meets a block of, so that what is sent grows with the blocks up to ``12 * most_group`` of them, then with their square by ``most_group``."""
     spark = distinct.sparkSession
     size = distinct.count()
+    block = max(1, min(block, BLOCK_NUMBERS // width))
     cells = max(1, min(most_cells, ceil(size / block)))
-    chosen = distinct.orderBy(F.xxhash64("uid"), "uid").limit(cells).select("v").collect()
-    if not chosen:
+    chosen = distinct.orderBy(F.xxhash64("uid"), "uid").limit(cells).select("v").toArrow().column("v").combine_chunks()
+    if not len(chosen):
         return spark.createDataFrame([], "u long, v long, links long")
-    centres = _unit(np.array([r["v"] for r in chosen], np.float64)).astype(np.float32)
+    centres = _unit(np.asarray(chosen.flatten(), np.float64).reshape(-1, width)).astype(np.float32)
+    step = max(1, min(PAIRS // cells, NUMBERS // width))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.asarray(batch.column(2).flatten(), np.float32).reshape(-1, width)
-            near = _unit(x.astype(np.float64)).astype(np.float32) @ centres.T if len(x) else np.zeros((0, 1), np.float32)
-            far = np.sqrt(np.maximum(2 - 2 * near.max(axis=1), 0)) if len(x) else np.zeros(0)
-            cell = near.argmax(axis=1) if len(x) else np.zeros(0)
-            raw = [v.tobytes() for v in x]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(cell, pa.int32()), pa.array(far, pa.float64())], ["uid", "n", "v", "cell", "far"])
-
-    def build(group: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(group.column("v").to_pylist()), np.float32).reshape(-1, width)
-        tree = Tree(np.asarray(group.column("uid")), np.asarray(group.column("n")), raw)
-        return pa.table({"cell": group.column("cell").slice(0, 1), "cut": group.column("cut").slice(0, 1), "tree": pa.array([tree.packed()], pa.binary())})
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                batch = whole.slice(at, step)
+                x = np.asarray(batch.column(2).flatten(), np.float32).reshape(-1, width)
+                unit = _unit(x.astype(np.float64)).astype(np.float32)
+                cell = (unit @ centres.T).argmax(axis=1)
+                far = np.linalg.norm(unit - centres[cell], axis=1)
+                raw = [v.tobytes() for v in x]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(cell, pa.int32()), pa.array(far, pa.float64())], ["uid", "n", "v", "cell", "far"])
 
     placed = cut_lineage(distinct.select("uid", "n", "v").mapInArrow(nearest, "uid long, n long, v binary, cell int, far double"))
-    known = {r["cell"]: (r["n"], r["far"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    cuts = {c: ceil(n / (2 * block)) for c, (n, _) in known.items()}
+    known = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).orderBy("cell").collect()
+    cuts, fars = np.zeros(cells, np.int64), np.zeros(cells)
+    for r in known:
+        cuts[r["cell"]], fars[r["cell"]] = ceil(r["n"] / (2 * block)), r["far"]
+    firsts = np.cumsum(cuts) - cuts
+    group = max(1, min(most_group, int(cuts.sum()) // 12))
+    groups = ceil(int(cuts.sum()) / group)
     reach = sqrt(2 - 2 * threshold)
-    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
-    partners = [(c, d, cuts[d]) for c in known for d in known if c == d or apart[c, d] <= reach + known[c][1] + known[d][1] + 1e-3]
-    meets = spark.createDataFrame(partners, "cell int, other int, theirs int")
-    mine = F.pmod(F.xxhash64("uid"), "mine").cast("int")
-    numbers = spark.createDataFrame(list(cuts.items()), "cell int, mine int")
-    blocks = placed.join(numbers, "cell").select("cell", mine.alias("cut"), "uid", "n", "v").groupBy("cell", "cut").applyInArrow(
-        build, "cell int, cut int, tree binary")
-    sent = blocks.join(meets, "cell").select("tree", "cell", "other", "cut", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)).alias("their"))
-    own, far = F.struct(F.col("cell").alias("c"), F.col("cut").alias("k")), F.struct(F.col("other").alias("c"), F.col("their").alias("k"))
-    sent = sent.select(F.least(own, far).alias("low"), F.greatest(own, far).alias("high"), (own > far).cast("int").alias("side"), "tree")
-
-    def run(group: pa.Table) -> pa.Table:
-        sides = sorted(group.to_pylist(), key=lambda r: r["side"])
-        rows = []
-        if len(sides) == 2 or sides[0]["low"] == sides[0]["high"]:  # a cut without vectors has no tree
-            counts, edges = _links([Tree.unpacked(r["tree"]) for r in sides], threshold)
-            rows = [(u, None, c) for u, c in counts] + [(u, w, None) for u, w in edges]
-        columns = list(zip(*rows, strict=True)) or [[]] * 3
-        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("u", "v", "links"), columns, strict=True)})
-
-    return sent.groupBy("low", "high").applyInArrow(run, "u long, v long, links long")
+
+    def partners(cell: int) -> np.ndarray:
+        """The cells that may hold a vector within reach of one of this cell."""
+        apart = np.linalg.norm(centres - centres[cell], axis=1)
+        return (cuts > 0) & (apart <= reach + fars[cell] + fars + 1e-3)
+
+    def build(rows: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float32).reshape(-1, width)
+        tree = Tree(np.asarray(rows.column("uid")), np.asarray(rows.column("n")), raw)
+        number = rows.column("number")[0].as_py()
+        cell = int(np.searchsorted(firsts + cuts, number, side="right"))
+        met = np.flatnonzero(partners(cell))
+        sent = np.zeros(groups + 1, np.int64)
+        np.add.at(sent, firsts[met] // group, 1)
+        np.add.at(sent, (firsts[met] + cuts[met] - 1) // group + 1, -1)
+        return pa.table({"number": pa.array([number], pa.int32()), "theirs": pa.array([np.flatnonzero(np.cumsum(sent)).tolist()], pa.list_(pa.int32())),
+                         "tree": pa.array([tree.packed()], pa.binary())})
+
+    numbers = spark.createDataFrame([(c, int(firsts[c]), int(cuts[c])) for c in np.flatnonzero(cuts).tolist()], "cell int, first int, cuts int")
+    number = (F.col("first") + F.pmod(F.xxhash64("uid"), "cuts")).cast("int")
+    blocks = placed.join(F.broadcast(numbers), "cell").select(number.alias("number"), "uid", "n", "v").groupBy("number").applyInArrow(
+        build, "number int, theirs array<int>, tree binary")
+    own = F.floor(F.col("number") / group).cast("int")
+    sent = blocks.select("number", own.alias("own"), F.explode("theirs").alias("their"), "tree")
+    sent = sent.select(F.least("own", "their").alias("low"), F.greatest("own", "their").alias("high"), "number", "tree")
+
+    def run(rows: pa.Table) -> pa.Table:
+        low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+        sides: list[list] = [[], []]
+        for at, n in enumerate(rows.column("number").to_pylist()):
+            sides[n // group != low].append((n, rows.column("tree")[at].as_buffer()))
+        cells_of = [[int(np.searchsorted(firsts + cuts, n, side="right")) for n, _ in side] for side in sides]
+        met = [partners(c) for c in cells_of[0]]
+        there = cells_of[low != high]
+        u, counts, v, w = links([t for _, t in sides[0]], None if low == high else [t for _, t in sides[1]], lambda m, k: met[m][there[k]], threshold)
+        nothing, empty = [pa.nulls(len(c), pa.int64()) for c in (u, v)], pa.int64()
+        return pa.table({"u": pa.concat_arrays([pa.array(u, empty), pa.array(v, empty)]), "v": pa.concat_arrays([nothing[0], pa.array(w, empty)]),
+                         "links": pa.concat_arrays([pa.array(counts, empty), nothing[1]])})
+
+    tasks = min(groups * (groups + 1) // 2, 4096)
+    return sent.repartition(tasks, "low", "high").groupBy("low", "high").applyInArrow(run, "u long, v long, links long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 8192) -> DataFrame:

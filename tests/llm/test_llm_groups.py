@@ -123,6 +123,39 @@ def test_vector_table(spark):
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in vectors.op9(spark, SF).collect()), key=str) == brute_vectors(rows)
 
 
+def test_vector_groups(spark):
+    """Blocks that meet in groups, and links that grow with the square of a cluster while what leaves a task does not."""
+    rng = np.random.default_rng(4)
+    centre, dense = rng.normal(size=(5, 16)), rng.normal(size=16)
+    made = [centre[i % 5] + rng.normal(size=16) * rng.choice([0.05, 0.3, 1.0]) for i in range(200)] + [dense + rng.normal(size=16) * 0.16 for _ in range(400)]
+    rows = [(int(i), v.astype("f4").tolist()) for i, v in zip(rng.permutation(600), made, strict=True)] + [(700, made[250].astype("f4").tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    wanted = brute_vectors(rows)
+    for block in (10, 8192):
+        found = vectors.near_duplicates(frame, block=block).collect()
+        assert sorted(((r.id, r.n_links, r.component) for r in found), key=str) == wanted
+    distinct = frame.selectExpr("vec_id AS uid", "1L AS n", "embedding AS v").where("vec_id < 700")
+    found = vectors.near_pairs(distinct, 16, 0.95).collect()
+    edges = [r for r in found if r.v is not None]
+    assert sum(r.links for r in found if r.v is None) > 20_000 > 600 > len(edges) > 0
+
+
+def test_near_rows_bounded(monkeypatch):
+    """However many pairs of nodes there are, few are held: wide and narrow runs in pieces give the same pairs."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=8) + rng.normal(size=(150, 8)) * s for s in (0.02, 0.1, 0.4)] + [rng.normal(size=(150, 8))]).astype("f4")
+    a, b = (vectors.Tree.unpacked(vectors.Tree(np.arange(len(p)), np.ones(len(p), int), p).packed()) for p in (x[::2], x[1::2]))
+    monkeypatch.setattr(vectors, "PAIRS", 256)
+    monkeypatch.setattr(vectors, "NUMBERS", 512)
+    for left, right in ((a, b), (a, a)):
+        u, v = (t.raw / np.linalg.norm(t.raw.astype(float), axis=1, keepdims=True) for t in (left, right))
+        near = u @ v.T >= 0.95
+        wanted = {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if left is not right or i < j}
+        parts = list(vectors.near_rows(left, right, 0.95))
+        found = [p for i, j in parts for p in zip(i.tolist(), j.tolist(), strict=True)]
+        assert set(found) == wanted and len(found) == len(wanted) and max(len(i) for i, _ in parts) <= 256
+
+
 def split_url(url):
     if url is None or "://" not in url:
         return "", ""
