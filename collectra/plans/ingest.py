@@ -67,7 +67,7 @@ _MODS = [("title", "TitleDocMain", False), ("creator", "Creator", True), ("date_
 def _mets(spark, sf_dir):
     path = scratch_path(spark, "mets")
     mapping = spark.createDataFrame([(c, t, "", rep, "", True, i) for i, (c, t, rep) in enumerate(_MODS)], standard.MAPPING)
-    mets.write_mets(mets.mods_records(collection(spark, sf_dir), mapping), path)
+    mets.write_mets(mets.mods_records(collection(spark, sf_dir), mapping), path, compression="gzip")
     return path
 
 
@@ -112,7 +112,8 @@ def _lido(spark, sf_dir):
                   t("eventWrap", event, event)),
         t("administrativeMetadata", t("recordWrap", t("recordID", F.lit("rec_"), k))),
     )
-    write_documents(o.select(doc.alias("xml")), path, '<?xml version="1.0" encoding="UTF-8"?>\n<lido:lidoWrap xmlns:lido="http://www.lido-schema.org">', "</lido:lidoWrap>")
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<lido:lidoWrap xmlns:lido="http://www.lido-schema.org">'
+    write_documents(o.select(doc.alias("xml")), path, head, "</lido:lidoWrap>", compression="gzip")
     return path
 
 

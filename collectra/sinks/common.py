@@ -75,10 +75,11 @@ LINES, LINE_SIZE = 64, 1 << 19
 Document = Callable[[], tuple[str, Callable[..., str], Callable[[], str]]]
 
 
-def write_bounded(rows: DataFrame, path: str, document: Document) -> None:
+def write_bounded(rows: DataFrame, path: str, document: Document, compression: str = "none") -> None:
     """One valid document per part file, and as many as the rows fill: readers give a whole XML file to one
     task. ``document`` is called for each. Rows are put together to lines of ``LINE_SIZE``;
-    every document but the last of a task has ``LINES`` of them, which is where the writer begins a file."""
+    every document but the last of a task has ``LINES`` of them, which is where the writer begins a file.
+    Documents that only Spark reads again can be written with ``gzip``; markup repeats, so little of it is left on disk."""
     most, size = LINES, LINE_SIZE
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +104,10 @@ def write_bounded(rows: DataFrame, path: str, document: Document) -> None:
         if begun:
             yield out([*line, tail()])
 
-    rows.mapInArrow(wrap, "value string").write.mode("overwrite").option("maxRecordsPerFile", most).text(path)
+    rows.mapInArrow(wrap, "value string").write.mode("overwrite").options(maxRecordsPerFile=most, compression=compression).text(path)
 
 
-def write_documents(xml: DataFrame, path: str, head: str, tail: str, column: str = "xml", between: str = "") -> None:
+def write_documents(xml: DataFrame, path: str, head: str, tail: str, column: str = "xml", between: str = "", compression: str = "none") -> None:
     """Documents of bounded size, one per part file: head, the records with ``between`` in front of all but the first, tail."""
     def document():
         first = True
@@ -118,7 +119,7 @@ def write_documents(xml: DataFrame, path: str, head: str, tail: str, column: str
 
         return head, text, lambda: tail
 
-    write_bounded(xml.select(column), path, document)
+    write_bounded(xml.select(column), path, document, compression)
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False, bom: bool = False) -> None:

@@ -120,7 +120,7 @@ def mods_records(
     return out.select(F.col("_rid").alias("record_id"), xml.alias("mods"))
 
 
-def write_mets(mods: DataFrame, path: str, label: str = "Export") -> None:
+def write_mets(mods: DataFrame, path: str, label: str = "Export", compression: str = "none") -> None:
     """METS documents of bounded size, one per part file, the structMap listing the records of
     that document."""
     stamp = mods.sparkSession.range(1).select(F.date_format(F.to_timestamp(utc_timestamp()), "yyyy-MM-dd'T'HH:mm:ss'Z'")).first()[0]
@@ -140,4 +140,4 @@ def write_mets(mods: DataFrame, path: str, label: str = "Export") -> None:
 
         return head, text, lambda: "\n".join([start, *divs, "</mets:div></mets:structMap></mets:mets>"])
 
-    write_bounded(mods.select(xml_escape(F.col("record_id")).alias("attribute"), "mods"), path, document)
+    write_bounded(mods.select(xml_escape(F.col("record_id")).alias("attribute"), "mods"), path, document, compression)

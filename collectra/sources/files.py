@@ -4,6 +4,7 @@ from __future__ import annotations
 import codecs
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -66,6 +67,16 @@ def head(spark: SparkSession, file: str, n: int = HEAD_BYTES) -> bytes:
         stream.close()
 
 
+def unpacked_head(file: str, raw: bytes) -> bytes:
+    """The first bytes of what Spark reads from a file: it unpacks one named .gz."""
+    if not file.endswith(".gz"):
+        return raw
+    try:
+        return zlib.decompressobj(zlib.MAX_WBITS | 16).decompress(raw, HEAD_BYTES)
+    except zlib.error as e:
+        raise ValueError(f"{file} is not a gzip file") from e
+
+
 def encoding_of(raw: bytes) -> tuple[str, bool, str | None]:
     """(encoding, has BOM, warning) of the first bytes of a file."""
     for mark, name in BOMS.items():
@@ -142,7 +153,7 @@ def xml_formats(spark: SparkSession, path: str) -> dict[str, list[str]]:
 
     def kind(file: str) -> str:
         try:
-            return root_format(head(spark, file))
+            return root_format(unpacked_head(file, head(spark, file)))
         except ValueError:
             return "unknown"
 

@@ -327,6 +327,39 @@ def test_documents_of_one_task_are_bounded(spark, tmp_path, monkeypatch, n):
     assert sorted(r["record_id"] for f in (tmp_path / "json").glob("part*") for r in json.loads(f.read_text())) == sorted(f"r{i}" for i in range(n))
 
 
+def test_compressed_documents(spark, tmp_path):
+    """Documents written with gzip load like plain ones, and a file that only bears the name is of no known kind."""
+    import gzip
+
+    from collectra.sinks import common, mets
+
+    head, tail = '<?xml version="1.0" encoding="UTF-8"?>\n<lido:lidoWrap xmlns:lido="http://www.lido-schema.org">', "</lido:lidoWrap>"
+    record = "<lido:lido><lido:administrativeMetadata><lido:recordWrap><lido:recordID>L{}</lido:recordID></lido:recordWrap></lido:administrativeMetadata></lido:lido>"
+    rows = spark.range(50).select(F.concat(F.lit("r"), "id").alias("record_id"), F.concat(F.lit(record[:record.index("{")]), "id", F.lit(record[record.index("}") + 1:])).alias("xml"))
+    common.write_documents(rows, str(tmp_path / "in" / "lido"), head, tail, compression="gzip")
+    mods = rows.select("record_id", F.concat(F.lit("<mods:mods><mods:titleInfo><mods:title>T"), "record_id", F.lit("</mods:title></mods:titleInfo></mods:mods>")).alias("mods"))
+    mets.write_mets(mods, str(tmp_path / "in" / "mets"), compression="gzip")
+    written = [f for f in (tmp_path / "in").rglob("part*")]
+    assert written and all(f.name.endswith(".gz") and gzip.decompress(f.read_bytes()).startswith(b"<?xml") for f in written)
+    wanted = sorted([(f"L{i}", None) for i in range(50)] + [(None, f"Tr{i}") for i in range(50)], key=str)
+    assert sorted(map(tuple, xml.load_xml(spark, str(tmp_path / "in")).select("record_id", "title").collect()), key=str) == wanted
+    (tmp_path / "in" / "plain.xml.gz").write_text(head + tail)
+    assert [f.rpartition("/")[2] for f in files.xml_formats(spark, str(tmp_path / "in"))["unknown"]] == ["plain.xml.gz"]
+
+
+def test_derived_documents_take_little_disk(spark):
+    """The documents that a loading query writes for itself are far smaller than their text."""
+    import os
+
+    from collectra.plans import ingest
+
+    given = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{given}/orders.parquet").count()
+    for write in (ingest._lido, ingest._mets):
+        folder = write(spark, given)
+        assert sum(os.path.getsize(os.path.join(folder, f)) for f in os.listdir(folder) if f.startswith("part")) < 150 * n
+
+
 def test_steps_of_a_long_run_grow(spark, tmp_path, monkeypatch):
     """The number of steps has a bound, whatever the number of items; each is asked once, in no more files than that."""
     monkeypatch.setattr(batch, "MAX_STEPS", 3)
